@@ -11,6 +11,18 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import benchmark_matches
+
+    return benchmark_matches(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op5_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import encoding_rows
+
+    return encoding_rows(_docs(spark, sf_dir))
+
+
 def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_rows
 
@@ -48,7 +60,7 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_hilbert_shards, op7_simhash_components, op8_quality_scores, op9_exact_groups)}
+    return {f.__name__: f for f in (op3_benchmark_matches, op5_piece_encoding, op6_hilbert_shards, op7_simhash_components, op8_quality_scores, op9_exact_groups)}
 
 
 def oracle_sql() -> dict[str, str]:
