@@ -48,6 +48,13 @@ def op9_exact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_docs(spark, sf_dir))
 
 
+def op10_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pitman_yor import score, train
+
+    docs = _docs(spark, sf_dir)
+    return score(docs, train(docs))
+
+
 OP9_SQL = """
 SELECT doc_id,
        max(doc_id) OVER same AS keep_id,
@@ -60,7 +67,7 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_benchmark_matches, op5_piece_encoding, op6_hilbert_shards, op7_simhash_components, op8_quality_scores, op9_exact_groups)}
+    return {f.__name__: f for f in (op3_benchmark_matches, op5_piece_encoding, op6_hilbert_shards, op7_simhash_components, op8_quality_scores, op9_exact_groups, op10_pitman_yor_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
