@@ -5,18 +5,49 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four batches over all documents: counts by two tokenizers, one of them sent twice, then the documents that
+    the second counts shorter leave the first."""
+    from .common import new_path, stored
+    from .token_counts import TokenRollup, count_tokens
+
+    counted = stored(count_tokens(_docs(spark, sf_dir)), "counted")
+    rollup = TokenRollup(spark, new_path(spark, "rollup"))
+    insert = counted.select(F.lit("insert").alias("op"), "*")
+    for version in ("byte_bpe_50k", "byte_bpe_multi_50k", "byte_bpe_50k"):
+        rollup.apply(f"insert-{version}", insert.where(F.col("version") == version))
+    now = rollup.present().groupBy("doc_id").pivot("version", ["byte_bpe_50k", "byte_bpe_multi_50k"]).agg(F.max("n_tokens"))
+    shorter = now.where("byte_bpe_multi_50k < byte_bpe_50k").select("doc_id", F.lit("byte_bpe_50k").alias("version"))
+    rollup.apply("retire", shorter.select(F.lit("delete").alias("op"), "*", *[F.lit(None).cast(t).alias(c) for c, t in (("source", "string"), ("lang", "string"), ("n_tokens", "long"))]))
+    return rollup.totals()
+
+
+def op2_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pii_rows, train_field
+
+    docs = _docs(spark, sf_dir)
+    return pii_rows(docs, train_field(docs))
+
+
 def op3_benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import benchmark_matches
 
     return benchmark_matches(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import document_paths, scan_licenses
+
+    return scan_licenses(document_paths(_docs(spark, sf_dir)))
+
+
 def op5_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import encoding_rows
 
@@ -67,7 +98,7 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_benchmark_matches, op5_piece_encoding, op6_hilbert_shards, op7_simhash_components, op8_quality_scores, op9_exact_groups, op10_pitman_yor_scores)}
+    return {f.__name__: f for f in (op1_token_rollup, op2_pii_spans, op3_benchmark_matches, op4_license_scan, op5_piece_encoding, op6_hilbert_shards, op7_simhash_components, op8_quality_scores, op9_exact_groups, op10_pitman_yor_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
