@@ -174,8 +174,8 @@ def make_snippet(body: str, words: list[tuple[tuple[str, ...], bool]], stem: boo
             starts[i] = 100
     options = {0}
     for i, j, _ in hits:
-        mid = max(0, min(n - size, i - (size - (j - i)) // 2)) if n > size else 0
-        options.add(mid)
+        for end in {j, max(y for x, y, _ in hits if x >= i and y <= max(j, i + size))}:  # the hit alone, and all that fit with it
+            options.add(max(0, min(n - size, i - (size - (end - i)) // 2)) if n > size else 0)
         options.update(s for s in starts if s <= i and j <= s + size)
     best, at = None, 0
     for s in sorted(options):
