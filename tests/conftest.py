@@ -2,7 +2,10 @@ import os
 import sys
 
 import pytest
+from hypothesis import settings
 
+settings.register_profile("repo", deadline=None)
+settings.load_profile("repo")
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
