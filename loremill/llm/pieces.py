@@ -18,11 +18,14 @@ rows; other columns are kept by ``encode`` and not read by the query.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,10 +34,14 @@ from .common import require, text_or_empty
 
 MODEL_PATH = os.path.join("/opt/tokenizers", "piece_bpe_32k.model")
 DROPOUT, SEED, VARIANTS = 0.1, 17, 4
-CACHE_SEGMENTS = 150_000
+#: Segments in each half of each variant's cache.
+CACHE_SEGMENTS = 120_000
 _SPACE = "▁"
 _SEGMENT = re.compile(r" *[^ \n]+| +|\n")
-_M64 = 2**64 - 1
+INFINITE = float("inf")
+NO_MERGE = (INFINITE, -1)
+#: Up to this many symbols the agenda is a list.
+SHORT = 48
 
 
 class Pieces:
@@ -49,7 +56,8 @@ class Pieces:
         plain = [not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)) for i in range(n)]
         ids = {t: i for i, t in enumerate(text) if plain[i]}
         self.byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self.chars = {t: i for t, i in ids.items() if len(t) == 1}
+        # a space is the model's visible space; the visible space itself is no letter
+        self.chars = {" " if t == _SPACE else t: i for t, i in ids.items() if len(t) == 1}
         # merges: every way to make a piece of two pieces; the better score first
         self.merges: dict[int, tuple[float, int]] = {}
         for t, i in ids.items():
@@ -64,9 +72,14 @@ class Pieces:
             self.raw[i] = bytes([b])
 
     def start(self, segment: str) -> list[int]:
+        chars = self.chars
+        try:  # most segments have only letters of the model
+            return [chars[ch] for ch in segment]
+        except KeyError:
+            pass
         out: list[int] = []
         for ch in segment:
-            i = self.chars.get(_SPACE if ch == " " else ch) if ch != _SPACE else None
+            i = chars.get(ch)
             if i is None:
                 out.extend(self.byte_ids[b] for b in ch.encode())
             else:
@@ -74,34 +87,55 @@ class Pieces:
         return out
 
     def segment(self, segment: str, dropout: float = 0.0, seed: int = SEED, variant: int = 0) -> list[int]:
-        """Ids of one segment, by an agenda of candidate merges."""
-        ids, merges = self.start(segment), self.merges
-        n = len(ids)
-        if n < 2:
+        """Ids of one segment, by an agenda of candidate merges: the best score first, then the leftmost."""
+        ids = self.start(segment)
+        if len(ids) < 2:
             return ids
+        limit, draws = int(dropout * 65536), b""
+        if limit:
+            # 64 bytes keyed by seed, variant and segment; place and merged piece choose the two that decide a candidate
+            draws = hashlib.blake2b(segment.encode(), digest_size=64, key=f"{seed}:{variant}".encode()).digest() * 2
+        return self._short(ids, limit, draws) if len(ids) <= SHORT else self._long(ids, limit, draws)
+
+    def _short(self, ids: list[int], limit: int, draws: bytes) -> list[int]:
+        """The agenda as a list of scores by place: few symbols are searched faster than a heap is kept."""
+        get = self.merges.get
+        found = [get(a << 32 | b, NO_MERGE) for a, b in zip(ids, ids[1:])]
+        ranks = [m[0] for m in found]
+        while ranks:
+            best = min(ranks)
+            if best == INFINITE:
+                break
+            i = ranks.index(best)
+            made = found[i][1]
+            if limit and draws[k := (made * 7 + i * 31) & 63] << 8 | draws[k + 1] < limit:
+                ranks[i] = INFINITE
+                continue
+            ids[i] = made
+            del ids[i + 1], ranks[i], found[i]
+            if i:
+                found[i - 1] = m = get(ids[i - 1] << 32 | made, NO_MERGE)
+                ranks[i - 1] = m[0]
+            if i < len(ranks):
+                found[i] = m = get(made << 32 | ids[i + 1], NO_MERGE)
+                ranks[i] = m[0]
+        return ids
+
+    def _long(self, ids: list[int], limit: int, draws: bytes) -> list[int]:
+        """The agenda as a heap over linked symbols, for segments of any length."""
+        merges, n = self.merges, len(ids)
         agenda = []
         for i in range(n - 1):
             if m := merges.get(ids[i] << 32 | ids[i + 1]):
                 agenda.append((m[0], i, ids[i], ids[i + 1], m[1]))
-        if not agenda:
-            return ids
         heapify(agenda)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        limit = int(dropout * 2**64)
-        if limit:
-            import xxhash
-
-            key = xxhash.xxh64_intdigest(segment.encode(), (seed * 1_000_003 + variant) & _M64)
         while agenda:
             _, i, a, b, made = heappop(agenda)
             if ids[i] != a or (j := after[i]) >= n or ids[j] != b:
                 continue
-            if limit:
-                h = (key + i * 0x9E3779B97F4A7C15 + made * 0xC2B2AE3D27D4EB4F) & _M64
-                h = ((h ^ (h >> 30)) * 0xBF58476D1CE4E5B9) & _M64
-                h = ((h ^ (h >> 27)) * 0x94D049BB133111EB) & _M64
-                if h ^ (h >> 31) < limit:
-                    continue
+            if limit and draws[k := (made * 7 + i * 31) & 63] << 8 | draws[k + 1] < limit:
+                continue
             ids[i], ids[j] = made, -1
             k = after[i] = after[j]
             if k < n:
@@ -131,41 +165,48 @@ class Encoder:
 
     def open(self) -> Pieces:
         if self.pieces is None:
-            self.pieces = Pieces(self.model_path)
-            self.cache: list[dict[str, list[int]]] = [{} for _ in range(self.variants)]
+            key = (self.model_path, self.dropout, self.seed, self.variants)
+            if key not in _OPEN:
+                _OPEN.clear()
+                _OPEN[key] = (Pieces(self.model_path), [{} for _ in range(self.variants)], [{} for _ in range(self.variants)])
+            self.pieces, self.cache, self.older = _OPEN[key]
         return self.pieces
 
+    def _miss(self, s: str, v: int) -> list[int]:
+        """Encode a segment, or take it over from the older half of the cache."""
+        ids = self.older[v].get(s)
+        if ids is None:
+            ids = self.pieces.segment(s, self.dropout, self.seed, v)
+        if len(s) <= 64:
+            if len(self.cache[v]) >= CACHE_SEGMENTS:
+                self.older[v], self.cache[v] = self.cache[v], {}
+            self.cache[v][s] = ids
+        return ids
+
     def encode(self, text: str, document: int = 0) -> list[int]:
-        pieces = self.open()
+        self.open()
         if not text:
             return []
-        v, n, out = (document * 2654435761 >> 8) % self.variants, self.variants, []
+        n, cache, out = self.variants, self.cache, []
+        v = (document * 2654435761 >> 8) % n
         for s in _SEGMENT.findall(" " + text):
-            known = self.cache[v]
-            ids = known.get(s)
-            if ids is None:
-                ids = pieces.segment(s, self.dropout, self.seed, v)
-                if len(s) <= 64:
-                    if len(known) >= CACHE_SEGMENTS:
-                        known.clear()
-                    known[s] = ids
-            out += ids
-            v += 1
-            if v == n:
-                v = 0
+            ids = cache[v].get(s)
+            out += self._miss(s, v) if ids is None else ids
+            v = v + 1 if v + 1 < n else 0
         return out
 
 
+#: What a worker keeps from task to task: the vocabulary and two halves of a cache for each variant.
+_OPEN: dict[tuple, tuple] = {}
+
+
 def encode(docs: DataFrame, encoder: Encoder | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``token_ids`` (array of int)."""
     require(docs, id_col, text_col)
     encoder = encoder or Encoder()
 
     @F.pandas_udf("array<int>")
-    def run(texts, ids):
-        import numpy as np
-        import pandas as pd
-
+    def run(texts: pd.Series, ids: pd.Series) -> pd.Series:
         return pd.Series([np.array(encoder.encode(t, int(i)), dtype=np.int32) for t, i in zip(texts, ids)])
 
     return docs.withColumn("token_ids", run(text_or_empty(docs, text_col), F.coalesce(F.col(id_col), F.lit(0)).cast("long")))
@@ -176,9 +217,7 @@ def decode(tokens: DataFrame, model_path: str = MODEL_PATH, column: str = "token
     encoder = Encoder(model_path)
 
     @F.pandas_udf("string")
-    def run(ids):
-        import pandas as pd
-
+    def run(ids: pd.Series) -> pd.Series:
         return pd.Series([encoder.open().decode(list(x)) if x is not None else "" for x in ids])
 
     return tokens.withColumn("decoded", run(F.col(column)))
@@ -190,7 +229,6 @@ def encoding_rows(docs: DataFrame, encoder: Encoder | None = None) -> DataFrame:
     encoder = encoder or Encoder()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
         from array import array
 
         for b in batches:
