@@ -17,6 +17,7 @@ from .operators import sessions as SS
 from .operators import tasks as T
 from .storage import cut
 from .sources.files import Roots, notes, parse_notes, resolve_path, transcript_lines
+from .sources.transcripts import project_sessions
 
 
 class BadRequest(ValueError):
@@ -95,7 +96,7 @@ class Knowledge:
         """New memory atoms from rows of title, body, scope and project; file names get a number when taken."""
         named = A.slug_collisions(rows.withColumn("_n", F.monotonically_increasing_id()), order="_n")
         path = F.concat(F.lit(folder + "/"), "file", F.lit(".md"))
-        return named.withColumn("source_path", path).withColumns({"id": atom_id(F.col("source_path"), F.lit(0)), "content_hash": F.left(F.sha2("body", 256), F.lit(16)), "atom_type": F.lit("memory"), "source_type": F.lit("nexus_native")}).drop("_n", "nth", "slug", "file")
+        return named.withColumn("source_path", path).withColumns({"id": atom_id(F.col("source_path"), F.lit(0)), "content_hash": F.left(F.sha2("body", 256), F.lit(16)), "atom_type": F.lit("memory"), "source_type": F.lit("native")}).drop("_n", "nth", "slug", "file")
 
     # --- tasks ---
     def _tasks(self) -> DataFrame:
@@ -146,6 +147,13 @@ class Knowledge:
         self.session(id)
         return self.sessions.withColumn("custom_title", F.when(F.col("session_id") == id, F.lit(title)).otherwise(F.col("custom_title")))
 
+    def live(self, lines: DataFrame, now: str) -> DataFrame:
+        """Sessions with the status that their transcripts' tails show at ``now``; ``lines``: path, line_no, raw."""
+        return SS.refresh(self.sessions, SS.status(lines, now).withColumnRenamed("path", "jsonl_path"))
+
+    def without_session(self, id: str) -> DataFrame:
+        return self.sessions.where(F.col("session_id") != id)
+
     def session_references(self, id: str) -> DataFrame:
         return self.atoms.where(F.try_variant_get(F.try_parse_json("frontmatter"), "$.source_session_id", "string") == id)
 
@@ -166,7 +174,7 @@ class Knowledge:
 
 
 def reindex(spark, roots: Roots, old: Knowledge | None = None, now: str = "1970-01-01 00:00:00") -> Knowledge:
-    """Read all sources and bring atoms, links and diagnostics up to date; new atoms are created at ``now``."""
+    """Read all sources and bring atoms, links, diagnostics and sessions up to date; new atoms are created at ``now``."""
     from pyspark.sql import Window
 
     from .functions.text import link_targets
@@ -186,4 +194,8 @@ def reindex(spark, roots: Roots, old: Knowledge | None = None, now: str = "1970-
     diags = diags.unionByName(gone.select(F.lit("broken_reference").alias("type"), F.col("source_id").alias("atom_id"), F.lit(None).cast("string").alias("source_path"), F.concat(F.lit("Missing: "), "path").alias("message"), F.lit(None).cast("string").alias("details")))
     diags = diags.unionByName(orphan.select(F.lit("orphan").alias("type"), F.col("id").alias("atom_id"), "source_path", F.concat(F.lit("No links: "), "title").alias("message"), F.lit(None).cast("string").alias("details")))
     both = explicit.withColumn("prio", F.lit(0)).unionByName(L.infer(atoms).withColumn("prio", F.lit(1)))
-    return Knowledge(atoms, L.insert_or_ignore(both, "prio").select("source_id", "target_id", "link_type", "confidence"), old.sessions if old else None, diags)
+    sessions = SS.backfill_titles(project_sessions(spark, roots))
+    if old is not None and old.sessions is not None:
+        kept = SS.upsert(old.sessions, sessions)
+        sessions = sessions.drop(*[c for c in kept.columns if c != "session_id"]).join(kept, "session_id", "right").select(*sessions.columns)
+    return Knowledge(atoms, L.insert_or_ignore(both, "prio").select("source_id", "target_id", "link_type", "confidence"), cut(sessions, "sessions"), diags)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: The model's enumerations.
 ATOM_TYPES = ("memory", "agent", "skill", "plan", "feedback", "reference", "project_note", "architecture", "task")
 SCOPES = ("global", "shared", "project")
-SOURCE_TYPES = ("memory_file", "agent_def", "skill_def", "plan_file", "nexus_native")
+SOURCE_TYPES = ("memory_file", "agent_def", "skill_def", "plan_file", "native")
 LINK_TYPES = ("references", "extends", "refines", "contradicts", "supports", "duplicates", "related")
 SESSION_STATUSES = ("active", "waiting_input", "processing", "idle", "dead")
 DIAGNOSTIC_TYPES = ("broken_reference", "missing_frontmatter", "duplicate", "orphan", "stale")

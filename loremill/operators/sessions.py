@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 HEAD, TAIL, TAIL_BYTES = 20, 15, 8192
 
 
-def head(lines: DataFrame, key: str = "path") -> DataFrame:
+#: Where a transcript line has its session's id and time.
+FIELDS = {"session_id": "$.sessionId", "timestamp": "$.timestamp"}
+
+
+def head(lines: DataFrame, key: str = "path", fields: dict[str, str] = FIELDS) -> DataFrame:
     """A session a transcript, from ``lines`` (key, line_no, raw): fields of the first 20 non-blank lines, the number of
     non-blank lines, and the last one's time. Lines that are no JSON are skipped but counted."""
     real = lines.where(F.trim("raw") != "")
@@ -23,15 +27,25 @@ def head(lines: DataFrame, key: str = "path") -> DataFrame:
     first = lambda c: F.min_by(c, F.when(in_head & c.isNotNull(), F.col("line_no")))
     user = F.when(field("$.type") == "user", F.left(text, F.lit(200)))
     return j.groupBy(key).agg(
-        first(field("$.sessionId")).alias("session_id"), first(field("$.timestamp")).alias("started_at"), first(field("$.gitBranch")).alias("git_branch"), first(field("$.slug")).alias("slug"),
-        first(user).alias("summary"), F.count("*").alias("message_count"), F.max_by(field("$.timestamp"), F.col("line_no")).alias("last_active"),
+        first(field(fields["session_id"])).alias("session_id"), first(field(fields["timestamp"])).alias("started_at"), first(field("$.gitBranch")).alias("git_branch"), first(field("$.slug")).alias("slug"),
+        first(user).alias("summary"), F.count("*").alias("message_count"), F.max_by(field(fields["timestamp"]), F.col("line_no")).alias("last_active"),
     )
 
 
-def tail(lines: DataFrame, key: str = "path", last: int = TAIL) -> DataFrame:
-    """The last 15 non-blank lines of a transcript, ``back`` = 1 for the newest."""
-    nth = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("line_no")))
-    return lines.where(F.trim("raw") != "").withColumn("back", nth).where(F.col("back") <= last)
+def tail(lines: DataFrame, key: str = "path", last: int = TAIL, most_bytes: int = TAIL_BYTES) -> DataFrame:
+    """The last 15 non-blank lines in the last 8,192 bytes of a transcript, ``back`` = 1 for the newest.
+
+    A line that the byte limit cuts keeps its end only (and so no longer parses). Lines are taken as joined by
+    line feeds, the last one without.
+    """
+    newest = Window.partitionBy(key).orderBy(F.desc("line_no"))
+    size = F.octet_length("raw") + 1
+    seen = lines.withColumn("_upto", F.sum(size).over(newest.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    over = F.col("_upto") - most_bytes
+    seen = seen.where(over < size - 1)
+    raw = F.when(over > 0, F.decode(F.substring(F.encode("raw", "UTF-8"), over.cast("int") + 1, F.lit(1 << 30)), "UTF-8")).otherwise(F.col("raw"))
+    kept = seen.withColumn("raw", raw).drop("_upto").where(F.trim("raw") != "")
+    return kept.withColumn("back", F.row_number().over(newest)).where(F.col("back") <= last)
 
 
 def recency(age_seconds: Column, enqueued: Column, last_type: Column) -> Column:
@@ -60,6 +74,30 @@ def status(lines: DataFrame, now: str, key: str = "path") -> DataFrame:
     return per.select(key, st.alias("status"), pending.alias("pending_prompt"), "last_timestamp")
 
 
+def refresh(sessions: DataFrame, states: DataFrame) -> DataFrame:
+    """Sessions under their live states (jsonl_path, status, pending_prompt, last_timestamp); without a transcript dead."""
+    st = states.select("jsonl_path", F.col("status").alias("_status"), "pending_prompt", "last_timestamp")
+    j = sessions.join(st, "jsonl_path", "left")
+    new = {"status": F.coalesce("_status", F.lit("dead")), "summary": F.coalesce("pending_prompt", "summary"), "last_active": F.coalesce("last_timestamp", "last_active")}
+    return j.withColumns(new).select(*sessions.columns)
+
+
+def backfill_titles(sessions: DataFrame) -> DataFrame:
+    """Sessions without a title get one from their summary."""
+    from ..functions.text import generate_title
+
+    empty = F.coalesce("title", F.lit("")) == ""
+    has = F.coalesce("summary", F.lit("")) != ""
+    return sessions.withColumn("title", F.when(empty & has, generate_title(F.col("summary"))).otherwise(F.col("title")))
+
+
+def tool_summary(tool_input: Column, most: int = 60) -> Column:
+    """A tool call's first argument as ``key="value"``, the value shortened."""
+    first = F.get(F.map_entries(F.from_json(tool_input, "map<string,string>")), F.lit(0))
+    value = F.when(F.length(first["value"]) > most, F.concat(F.left(first["value"], F.lit(most)), F.lit("..."))).otherwise(first["value"])
+    return F.concat(first["key"], F.lit('="'), value, F.lit('"'))
+
+
 def short_status(s: Column) -> Column:
     """Five statuses to the three that are shown."""
     return F.when(s.isin("active", "processing"), "active").when(s == "waiting_input", "waiting").otherwise("idle")
