@@ -8,7 +8,8 @@ document among ``variants``, which keeps segments cacheable. With dropout 0 the
 stock encoder.
 
 No piece crosses a space, so a text is cut before runs of spaces and at line ends, and segments are encoded
-on their own; segments that were met before come from a cache of bounded size. A character that the model lacks
+on their own; segments that were met before come from a cache of bounded size, and the new ones of a few hundred
+documents are encoded side by side: each round takes the best candidate of every segment's agenda. A character that the model lacks
 becomes its UTF-8 bytes, and so does the visible-space character U+2581 itself, which the stock encoder
 would turn into a space; hence decoding gives back every text exactly.
 
@@ -27,21 +28,39 @@ from heapq import heapify, heappop, heappush
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import require, text_or_empty
 
 MODEL_PATH = os.path.join("/opt/tokenizers", "piece_bpe_32k.model")
 DROPOUT, SEED, VARIANTS = 0.1, 17, 4
-#: Segments in each half of each variant's cache.
-CACHE_SEGMENTS = 120_000
+#: Segments in each half of each variant's cache, if one chunk has not more.
+CACHE_SEGMENTS = 50_000
+CHUNK_CHARS = 1 << 20
+#: Rows of a batch that are encoded before they are handed on.
+OUT_ROWS = 1000
 _SPACE = "▁"
 _SEGMENT = re.compile(r" *[^ \n]+| +|\n")
-INFINITE = float("inf")
-NO_MERGE = (INFINITE, -1)
-#: Up to this many symbols the agenda is a list.
-SHORT = 48
+#: Segments of up to so many letters are encoded side by side.
+WIDTHS = (8, 16, 32)
+_M64 = 2**64 - 1
+
+
+def _mix_one(key: int, made: int, place: int) -> int:
+    """16 bits from a segment's key, the merged piece and the place: what decides whether a candidate is skipped."""
+    h = (key + made * 0x9E3779B97F4A7C15 + place * 0xC2B2AE3D27D4EB4F) & _M64
+    h = ((h ^ (h >> 30)) * 0xBF58476D1CE4E5B9) & _M64
+    return h >> 48
+
+
+def _mix(keys: np.ndarray, made: np.ndarray, place: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = keys + made.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h >> np.uint64(48)
 
 
 class Pieces:
@@ -59,12 +78,20 @@ class Pieces:
         # a space is the model's visible space; the visible space itself is no letter
         self.chars = {" " if t == _SPACE else t: i for t, i in ids.items() if len(t) == 1}
         # merges: every way to make a piece of two pieces; the better score first
-        self.merges: dict[int, tuple[float, int]] = {}
+        self.merges: dict[int, int] = {}
+        self.ranks = [-sp.get_score(i) for i in range(n)]
         for t, i in ids.items():
             for cut in range(1, len(t)):
                 a, b = ids.get(t[:cut]), ids.get(t[cut:])
                 if a is not None and b is not None:
-                    self.merges[a << 32 | b] = (-sp.get_score(i), i)
+                    self.merges[a << 32 | b] = i
+        order = sorted(self.merges)
+        self.pair_keys = np.array(order, dtype=np.int64)
+        self.pair_ranks = np.array([self.ranks[self.merges[k]] for k in order], dtype=np.float32)
+        self.pair_made = np.array([self.merges[k] for k in order], dtype=np.int32)
+        self.letters = np.full(0x110000, -1, dtype=np.int32)
+        for t, i in self.chars.items():
+            self.letters[ord(t)] = i
         self.raw = [b""] * n
         for t, i in ids.items():
             self.raw[i] = t.replace(_SPACE, " ").encode()
@@ -89,61 +116,113 @@ class Pieces:
     def segment(self, segment: str, dropout: float = 0.0, seed: int = SEED, variant: int = 0) -> list[int]:
         """Ids of one segment, by an agenda of candidate merges: the best score first, then the leftmost."""
         ids = self.start(segment)
-        if len(ids) < 2:
-            return ids
-        limit, draws = int(dropout * 65536), b""
-        if limit:
-            # 64 bytes keyed by seed, variant and segment; place and merged piece choose the two that decide a candidate
-            draws = hashlib.blake2b(segment.encode(), digest_size=64, key=f"{seed}:{variant}".encode()).digest() * 2
-        return self._short(ids, limit, draws) if len(ids) <= SHORT else self._long(ids, limit, draws)
-
-    def _short(self, ids: list[int], limit: int, draws: bytes) -> list[int]:
-        """The agenda as a list of scores by place: few symbols are searched faster than a heap is kept."""
-        get = self.merges.get
-        found = [get(a << 32 | b, NO_MERGE) for a, b in zip(ids, ids[1:])]
-        ranks = [m[0] for m in found]
-        while ranks:
-            best = min(ranks)
-            if best == INFINITE:
-                break
-            i = ranks.index(best)
-            made = found[i][1]
-            if limit and draws[k := (made * 7 + i * 31) & 63] << 8 | draws[k + 1] < limit:
-                ranks[i] = INFINITE
-                continue
-            ids[i] = made
-            del ids[i + 1], ranks[i], found[i]
-            if i:
-                found[i - 1] = m = get(ids[i - 1] << 32 | made, NO_MERGE)
-                ranks[i - 1] = m[0]
-            if i < len(ranks):
-                found[i] = m = get(made << 32 | ids[i + 1], NO_MERGE)
-                ranks[i] = m[0]
-        return ids
-
-    def _long(self, ids: list[int], limit: int, draws: bytes) -> list[int]:
+        limit = int(dropout * 65536)
+        return ids if len(ids) < 2 else self._long(ids, limit, self.key(segment, seed, variant) if limit else 0)
+
+    @staticmethod
+    def key(segment: str, seed: int, variant: int) -> int:
+        return xxhash.xxh64_intdigest(segment.encode(), (seed * 1_000_003 + variant) & _M64)
+
+    def segments(self, segments: list[str], dropout: float = 0.0, seed: int = SEED, variant: int = 0) -> list[bytes]:
+        """``segment`` for many non-empty ones at once, ids as little-endian int32: short ones of known letters as rows of arrays, the others one by one."""
+        out: list[bytes | None] = [None] * len(segments)
+        sizes = np.fromiter(map(len, segments), dtype=np.int64, count=len(segments))
+        codes = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        known = self.letters[codes]
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        strange = np.add.reduceat(known < 0, starts[:-1]) > 0 if len(codes) else np.zeros(0, bool)
+        low = 0
+        for high in WIDTHS:
+            pick = np.flatnonzero((sizes > low) & (sizes <= high) & ~strange)
+            low = high
+            if len(pick):
+                keys = np.fromiter((self.key(segments[i], seed, variant) for i in pick), dtype=np.uint64, count=len(pick)) if dropout else None
+                cols = starts[pick][:, None] + np.arange(high)[None, :]
+                inside = np.arange(high)[None, :] < sizes[pick][:, None]
+                rows = np.where(inside, known[np.minimum(cols, len(known) - 1)], -1)
+                for i, ids in zip(pick.tolist(), self._rows(rows, int(dropout * 65536), keys)):
+                    out[i] = ids
+        for i, ids in enumerate(out):
+            if ids is None:
+                out[i] = np.array(self.segment(segments[i], dropout, seed, variant), dtype="<i4").tobytes()
+        return out
+
+    def _find(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and merged pieces of pairs; infinite and -1 where they don't merge."""
+        key = a.astype(np.int64) << 32 | b
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        hit = (self.pair_keys[at] == key) & (a >= 0) & (b >= 0)
+        return np.where(hit, self.pair_ranks[at], np.inf).astype(np.float32), np.where(hit, self.pair_made[at], -1)
+
+    def _rows(self, ids: np.ndarray, limit: int, keys: np.ndarray | None) -> list[bytes]:
+        """Work off the agendas of many rows, one candidate of each a round; -1 fills a row's end.
+
+        Symbols stay where they are and are linked; a merged right symbol becomes -1. The last column is a sentinel.
+        """
+        n, wide = ids.shape[0], ids.shape[1] + 1
+        done: list[bytes] = [b""] * n
+        ids = np.concatenate([ids, np.full((n, 1), -1, ids.dtype)], axis=1).astype(np.int32)
+        ranks, made = np.full((n, wide), np.inf, np.float32), np.full((n, wide), -1, np.int32)
+        ranks[:, :-1], made[:, :-1] = self._find(ids[:, :-1], ids[:, 1:])
+        after = np.tile(np.minimum(np.arange(1, wide + 1), wide - 1).astype(np.int32), (n, 1))
+        before = np.tile((np.arange(-1, wide - 1) % wide).astype(np.int32), (n, 1))  # in front of the first: the sentinel
+        live, base = np.arange(n), np.arange(n) * wide
+        while len(live):
+            best = ranks.argmin(1)
+            at = base[: len(live)] + best
+            open_ = ranks.ravel()[at] < np.inf
+            if np.count_nonzero(open_) < 0.7 * len(live):  # put away what is finished
+                ended = ids[~open_]
+                left = ended >= 0
+                blob = ended[left].astype("<i4").tobytes()
+                ends = np.cumsum(left.sum(1) * 4).tolist()
+                for i, x, y in zip(live[~open_].tolist(), [0, *ends], ends):
+                    done[i] = blob[x:y]
+                live, ids, ranks, made, after, before, best = (x[open_] for x in (live, ids, ranks, made, after, before, best))
+                keys = keys[open_] if keys is not None else None
+                at = base[: len(live)] + best
+                open_ = np.ones(len(live), dtype=bool)
+            flat_ids, flat_ranks, flat_made, flat_after, flat_before = (x.ravel() for x in (ids, ranks, made, after, before))
+            if limit:
+                skip = (_mix(keys, flat_made[at], best) < limit) & open_
+                flat_ranks[at[skip]] = np.inf
+                open_ = open_ & ~skip
+            row = base[: len(live)][open_]
+            i, m = best[open_], flat_made[at[open_]]
+            i_at = row + i
+            j_at = row + flat_after[i_at]
+            k = flat_after[j_at]
+            flat_ids[i_at], flat_ids[j_at], flat_ranks[j_at] = m, -1, np.inf
+            flat_after[i_at] = k
+            flat_before[row + k] = i
+            flat_ranks[i_at], flat_made[i_at] = self._find(m, flat_ids[row + k])
+            p_at = row + flat_before[i_at]
+            flat_ranks[p_at], flat_made[p_at] = self._find(flat_ids[p_at], m)
+        return done
+
+    def _long(self, ids: list[int], limit: int, key: int) -> list[int]:
         """The agenda as a heap over linked symbols, for segments of any length."""
-        merges, n = self.merges, len(ids)
+        merges, ranks, n = self.merges, self.ranks, len(ids)
         agenda = []
         for i in range(n - 1):
             if m := merges.get(ids[i] << 32 | ids[i + 1]):
-                agenda.append((m[0], i, ids[i], ids[i + 1], m[1]))
+                agenda.append((ranks[m], i, ids[i], ids[i + 1], m))
         heapify(agenda)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while agenda:
             _, i, a, b, made = heappop(agenda)
             if ids[i] != a or (j := after[i]) >= n or ids[j] != b:
                 continue
-            if limit and draws[k := (made * 7 + i * 31) & 63] << 8 | draws[k + 1] < limit:
+            if limit and _mix_one(key, made, i) < limit:
                 continue
             ids[i], ids[j] = made, -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
                 if m := merges.get(made << 32 | ids[k]):
-                    heappush(agenda, (m[0], i, made, ids[k], m[1]))
+                    heappush(agenda, (ranks[m], i, made, ids[k], m))
             if (p := before[i]) >= 0 and (m := merges.get(ids[p] << 32 | made)):
-                heappush(agenda, (m[0], p, ids[p], made, m[1]))
+                heappush(agenda, (ranks[m], p, ids[p], made, m))
         return [x for x in ids if x >= 0]
 
     def decode(self, ids: list[int]) -> str:
@@ -172,44 +251,76 @@ class Encoder:
             self.pieces, self.cache, self.older = _OPEN[key]
         return self.pieces
 
-    def _miss(self, s: str, v: int) -> list[int]:
-        """Encode a segment, or take it over from the older half of the cache."""
-        ids = self.older[v].get(s)
-        if ids is None:
-            ids = self.pieces.segment(s, self.dropout, self.seed, v)
-        if len(s) <= 64:
-            if len(self.cache[v]) >= CACHE_SEGMENTS:
-                self.older[v], self.cache[v] = self.cache[v], {}
-            self.cache[v][s] = ids
-        return ids
-
-    def encode(self, text: str, document: int = 0) -> list[int]:
+    def _learn(self, wanted: set[str], v: int) -> None:
+        """See that the cache of variant ``v`` has all of ``wanted``."""
+        known, older = self.cache[v], self.older[v]
+        new = wanted.difference(known)
+        if not new:
+            return
+        if len(known) + len(new) > CACHE_SEGMENTS and known:  # the older half goes, what is wanted is taken over
+            older = self.older[v] = known
+            known = self.cache[v] = {}
+            new = wanted
+        kept = new.intersection(older)
+        known.update((s, older[s]) for s in kept)
+        new = sorted(new - kept)
+        known.update(zip(new, self.pieces.segments(new, self.dropout, self.seed, v)))
+
+    def encode_many(self, texts: list[str], documents: list[int]) -> list[bytes]:
+        """Ids of each text, as little-endian int32; ``documents`` are numbers that choose where each text's variants begin."""
         self.open()
-        if not text:
-            return []
-        n, cache, out = self.variants, self.cache, []
-        v = (document * 2654435761 >> 8) % n
-        for s in _SEGMENT.findall(" " + text):
-            ids = cache[v].get(s)
-            out += self._miss(s, v) if ids is None else ids
-            v = v + 1 if v + 1 < n else 0
+        n = self.variants
+        cut = [_SEGMENT.findall(" " + t) if t else [] for t in texts]
+        first = [(d * 2654435761 >> 8) % n for d in documents]
+        for v in range(n):
+            self._learn(set().union(*(segs[(v - f) % n :: n] for segs, f in zip(cut, first))), v)
+        get = [c.__getitem__ for c in self.cache]
+        out = []
+        for segs, f in zip(cut, first):
+            found = [b""] * len(segs)
+            for k in range(n):
+                found[k::n] = map(get[(f + k) % n], segs[k::n])
+            out.append(b"".join(found))
         return out
 
+    def encode(self, text: str, document: int = 0) -> list[int]:
+        return np.frombuffer(self.encode_many([text], [document])[0], dtype="<i4").tolist()
+
+    def stream(self, texts, documents) -> Iterator[bytes]:
+        """``encode_many`` over a batch, about ``CHUNK_CHARS`` characters at a time."""
+        some, ids, size = [], [], 0
+        for t, d in zip(texts, documents):
+            some.append(t)
+            ids.append(int(d or 0))
+            size += len(t)
+            if size > CHUNK_CHARS:
+                yield from self.encode_many(some, ids)
+                some, ids, size = [], [], 0
+        yield from self.encode_many(some, ids)
+
 
 #: What a worker keeps from task to task: the vocabulary and two halves of a cache for each variant.
 _OPEN: dict[tuple, tuple] = {}
 
 
 def encode(docs: DataFrame, encoder: Encoder | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``token_ids`` (array of int)."""
+    """``docs`` with ``token_ids`` (array of int), in place of a column of that name."""
     require(docs, id_col, text_col)
     encoder = encoder or Encoder()
+    docs = docs.drop("token_ids")
+    at = docs.columns.index(text_col)
+    rows = docs.withColumn("_number", F.coalesce(F.col(id_col), F.lit(0)).cast("long"))
 
-    @F.pandas_udf("array<int>")
-    def run(texts: pd.Series, ids: pd.Series) -> pd.Series:
-        return pd.Series([np.array(encoder.encode(t, int(i)), dtype=np.int32) for t, i in zip(texts, ids)])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, OUT_ROWS):
+                b = whole.slice(start, OUT_ROWS)
+                raw = list(encoder.stream([t or "" for t in b.column(at).to_pylist()], b.column(b.num_columns - 1).to_pylist()))
+                ends = np.cumsum([0, *(len(x) // 4 for x in raw)], dtype=np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), dtype="<i4")))
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], ids], [*b.schema.names[:-1], "token_ids"])
 
-    return docs.withColumn("token_ids", run(text_or_empty(docs, text_col), F.coalesce(F.col(id_col), F.lit(0)).cast("long")))
+    return rows.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType()))]))
 
 
 def decode(tokens: DataFrame, model_path: str = MODEL_PATH, column: str = "token_ids") -> DataFrame:
@@ -229,16 +340,14 @@ def encoding_rows(docs: DataFrame, encoder: Encoder | None = None) -> DataFrame:
     encoder = encoder or Encoder()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from array import array
-
         for b in batches:
             n, size, digest, same = [], [], [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
-                text = t.as_py()
-                ids = encoder.encode(text, i or 0)
+            texts = b.column(1).to_pylist()
+            for text, raw in zip(texts, encoder.stream(texts, b.column(0).to_pylist())):
+                ids = np.frombuffer(raw, dtype="<i4").tolist()
                 n.append(len(ids))
                 size.append(len(text.encode()))
-                digest.append(hashlib.sha256(array("i", ids).tobytes()).hexdigest())
+                digest.append(hashlib.sha256(raw).hexdigest())
                 same.append(encoder.open().decode(ids) == text)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(size, pa.int64()), pa.array(digest, pa.string()), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "n_bytes", "tokens_sha256", "lossless"])
 

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 import sentencepiece
 from hypothesis import given
@@ -32,9 +33,10 @@ def test_dropout_varies_and_repeats():
     assert len(MORE.encode(text)) > len(DROPPED.encode(text)) > len(PLAIN.encode(text))
 
 
-@given(st.text("abcdefghij lmno", min_size=1, max_size=80))
-def test_list_and_heap_agree(text):
-    assert VOCAB._short(VOCAB.start(text), 0, b"") == VOCAB._long(VOCAB.start(text), 0, b"")
+@given(st.lists(st.text("abcdefghij lmnoé▁日", min_size=1, max_size=40), min_size=1, max_size=6), st.sampled_from([0.0, 0.1, 0.5]))
+def test_side_by_side_and_one_by_one_agree(segments, dropout):
+    got = [np.frombuffer(b, dtype="<i4").tolist() for b in VOCAB.segments(segments, dropout, 5, 2)]
+    assert got == [VOCAB.segment(s, dropout, 5, 2) for s in segments]
 
 
 def test_frames(spark):
