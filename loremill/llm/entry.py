@@ -97,9 +97,62 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def _hilbert_sql(dims: int = 4, bits: int = 4) -> str:
+    """Common table expressions that give each cell its index on the Hilbert curve, a step of the transform each."""
+    xs = [f"x{i}" for i in range(dims)]
+    out = [f"h0 AS (SELECT cell, {', '.join(f'(cell >> {bits * (dims - 1 - i)}) & {2**bits - 1} AS {x}' for i, x in enumerate(xs))} FROM (SELECT DISTINCT cell FROM rows6))"]
+    n = 0
+    for b in range(bits - 1, 0, -1):
+        q, p = 1 << b, (1 << b) - 1
+        for i, x in enumerate(xs):
+            first = f"CASE WHEN {x} & {q} <> 0 THEN xor(x0, {p}) ELSE xor(x0, xor(x0, {x}) & {p}) END"
+            own = f"CASE WHEN {x} & {q} <> 0 THEN {x} ELSE xor({x}, xor(x0, {x}) & {p}) END"
+            cols = [f"{first} AS x0" if y == "x0" else f"{own} AS {y}" if y == x and i else y for y in xs]
+            out.append(f"h{n + 1} AS (SELECT cell, {', '.join(cols)} FROM h{n})")
+            n += 1
+    for i in range(1, dims):
+        out.append(f"h{n + 1} AS (SELECT cell, {', '.join(f'xor(x{i}, x{i - 1}) AS x{i}' if y == f'x{i}' else y for y in xs)} FROM h{n})")
+        n += 1
+    t = "0"
+    for b in range(bits - 1, 0, -1):
+        t = f"xor({t}, CASE WHEN {xs[-1]} & {1 << b} <> 0 THEN {(1 << b) - 1} ELSE 0 END)"
+    out.append(f"h{n + 1} AS (SELECT cell, {', '.join(f'xor({x}, {t}) AS {x}' for x in xs)} FROM h{n})")
+    places = [(b, x) for b in range(bits - 1, -1, -1) for x in xs]
+    index = " + ".join(f"((({x} >> {b}) & 1) << {len(places) - 1 - k})" for k, (b, x) in enumerate(places))
+    out.append(f"curve AS (SELECT cell, {index} AS h FROM h{n + 1})")
+    return ",\n".join(out)
+
+
+def _cuts_sql(column: str) -> str:
+    """A code from 0 to 15 by the share of rows before a value in sort order: how many cuts are not above it."""
+    return f"""{column}_cuts AS (SELECT code, min({column}) AS cut FROM (SELECT {column}, CAST(floor(coalesce(sum(c) OVER (ORDER BY {column} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 16 / (SELECT count(*) FROM base6)) AS BIGINT) AS code
+  FROM (SELECT {column}, count(*) AS c FROM base6 GROUP BY 1)) WHERE code > 0 GROUP BY 1)"""
+
+
+#: CRC-32 (the reflected polynomial 0xEDB88320), a table made by its rule and a step a byte.
+_CRC_STEP = "CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
+OP6_SQL = f"""
+WITH RECURSIVE bits8 AS (SELECT n AS i, n::BIGINT AS x, 0 AS k FROM range(256) t(n) UNION ALL SELECT i, {_CRC_STEP}, k + 1 FROM bits8 WHERE k < 8),
+crc AS (SELECT list(x ORDER BY i) AS tab FROM bits8 WHERE k = 8),
+raw6 AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+base6 AS (SELECT doc_id, source, lang, CAST(length(hx) // 2 + 16 AS BIGINT) AS size,
+  xor(list_reduce(list_prepend(4294967295, list_transform(range(length(hx) // 2), lambda i: (instr('0123456789ABCDEF', hx[2 * i + 1]) - 1) * 16 + instr('0123456789ABCDEF', hx[2 * i + 2]) - 1)), lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295) AS text_crc32 FROM raw6, crc),
+{_cuts_sql("source")},
+{_cuts_sql("lang")},
+span AS (SELECT min(doc_id) AS lo, max(doc_id) - min(doc_id) + 1 AS n FROM base6),
+rows6 AS (SELECT doc_id, size, text_crc32, CAST((((SELECT count(*) FROM source_cuts WHERE cut <= source) * 16 + (SELECT count(*) FROM lang_cuts WHERE cut <= lang)) * 16
+  + least(15, greatest(0, length(ltrim(bin(size), '0')) - 5))) * 16 + (doc_id - lo) * 16 // n AS BIGINT) AS cell FROM base6, span),
+{_hilbert_sql()},
+total AS (SELECT count(*) AS n, CAST(pow(2, greatest(0, ceil(log2(greatest(1, count(*) / 20000.0))))) AS BIGINT) AS runs FROM rows6),
+placed AS (SELECT doc_id, size, text_crc32, h, n, row_number() OVER (ORDER BY h, ((((doc_id % 4294967296) * 40503 + text_crc32) >> 8) % runs), doc_id, text_crc32, size) - 1 AS place FROM rows6 JOIN curve USING (cell), total),
+cut6 AS (SELECT *, place * 40 // n AS shard FROM placed)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(shard AS INTEGER) AS shard, CAST(place - (shard * n + 39) // 40 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, CAST(h AS INTEGER) AS h FROM cut6
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_token_rollup, op2_pii_spans, op3_benchmark_matches, op4_license_scan, op5_piece_encoding, op6_hilbert_shards, op7_simhash_components, op8_quality_scores, op9_exact_groups, op10_pitman_yor_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_groups": OP9_SQL}
+    return {"op6_hilbert_shards": OP6_SQL, "op9_exact_groups": OP9_SQL}

@@ -98,7 +98,9 @@ def hilbert_places(docs: DataFrame, shards: int = SHARDS, run_rows: int = RUN_RO
     for d in dims:
         cell = cell * side + d
     runs = 1 << max(0, math.ceil(math.log2(max(1, (n or 0) / run_rows))))
-    at = meta.select("doc_id", "size", "text_crc32", cell.cast("int").alias("cell"), F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(runs)).cast("int").alias("run"))
+    # a slice of its cell for each row, spread by doc_id and text, so neither copies nor a range of ids share one
+    spread = F.shiftright(F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(1 << 32)) * 40503 + F.col("text_crc32"), 8)
+    at = meta.select("doc_id", "size", "text_crc32", cell.cast("int").alias("cell"), F.pmod(spread, F.lit(runs)).cast("int").alias("run"))
     counts = stored(at.groupBy("cell", "run").agg(F.count("*").alias("c")), "counts")
     # cells: at most 2 ** 16, whatever the input
     axes = [F.expr(f"(cell >> {BITS * (3 - i)}) & {side - 1}") for i in range(4)]
