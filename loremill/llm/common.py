@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +68,19 @@ def text_or_empty(df: DataFrame, column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def keep_rows(docs: DataFrame, column: str, keep: Callable[[pa.Array], Sequence[bool]], rows: int = 1000) -> DataFrame:
+    """The rows of ``docs`` for which ``keep`` says so, from ``column`` (nulls as empty texts), ``rows`` at a time."""
+    at = docs.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, rows):
+                b = whole.slice(start, rows)
+                yield b.filter(pa.array(keep(b.column(at).fill_null("")), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph by alternating large-star and small-star rounds.
 

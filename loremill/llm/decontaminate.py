@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import require, text_or_empty
+from .common import keep_rows, require, text_or_empty
 
 MAX_ERROR = 0.1
 #: A piece shorter than this would hit everywhere; the budget of a short item is what leaves pieces this long.
@@ -174,15 +174,10 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, max_error: float =
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, max_error: float = MAX_ERROR, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` that hold no test item, with the columns of ``docs``."""
     require(docs, "text")
-    out = docs
     for block in item_blocks(benchmark, block_bytes):
-        matcher = Matcher(block, max_error)
-
-        @F.pandas_udf("boolean")
-        def clean(texts, matcher: Matcher = matcher):
-            import pandas as pd
+        docs = keep_rows(docs, "text", _without(Matcher(block, max_error)))
+    return docs
 
-            return pd.Series([not matcher.find(t) for t in texts], dtype=bool)
 
-        out = out.where(clean(text_or_empty(docs)))
-    return out
+def _without(matcher: Matcher):
+    return lambda texts: [not matcher.find(t) for t in texts.to_pylist()]

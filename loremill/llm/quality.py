@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import require, text_or_empty
+from .common import keep_rows, require, text_or_empty
 
 PASSAGE_BYTES = 512
 MAX_TRAIN = 3000
@@ -223,10 +223,4 @@ def score_quality(docs: DataFrame, model: AttentionModel) -> DataFrame:
 def keep_quality(docs: DataFrame, model: AttentionModel) -> DataFrame:
     """The rows of ``docs`` that score 0.5 or more, with the columns of ``docs``."""
 
-    @F.pandas_udf("double")
-    def score(texts):
-        import pandas as pd
-
-        return pd.Series(score_texts(model, pa.array(texts, pa.string())))
-
-    return docs.where(score(text_or_empty(docs)) >= 0.5)
+    return keep_rows(docs, "text", lambda texts: score_texts(model, texts) >= 0.5)
