@@ -19,6 +19,7 @@ any other; repeated rows each come back; an empty table gives no rows; other col
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -31,6 +32,7 @@ from .common import components, drop_stored, require, stored, text_or_empty
 SEED = 42
 LIST_CAP = 64
 MAX_BITS = 2
+NUMBER = 16
 _NO_ID = -(2**63)
 
 
@@ -53,36 +55,49 @@ def shingle_hashes(text: str, words: int, seed: int = SEED) -> list[int]:
     return [h(norm[s:e], seed) for s, e in zip(starts, ends)]
 
 
-def fingerprints(text: str, words: int, extra: int = 0) -> list[int]:
-    """The SimHash of ``text``, and ``extra`` more from the same shingles mixed with other constants; signed 64 bit."""
+def _prints(hashes: list[int], extra: int) -> list[int]:
+    """SimHashes of weighted features given as 64-bit hashes, repeats included; the extra ones mix the hashes with other constants."""
     import numpy as np
 
-    hashes = shingle_hashes(text, words)
     if not hashes:
         return [0] * (1 + extra)
-    out = []
     base = np.array(hashes, dtype=np.uint64)
-    for r in range(1 + extra):
-        h = base
-        if r:  # splitmix64 finaliser over the hash and the number of the fingerprint
-            h = base + np.uint64((r * 0x9E3779B97F4A7C15) & (2**64 - 1))
-            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            h = h ^ (h >> np.uint64(31))
-        ones = np.zeros(64, dtype=np.int64)
-        for at in range(0, len(h), 4096):
-            ones += np.unpackbits(h[at : at + 4096].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-        out.append(int.from_bytes(np.packbits(ones * 2 > len(h)).tobytes(), "big", signed=True))
-    return out
-
-
-def fingerprint_rows(docs: DataFrame, words: int = 3, extra: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    h = np.empty((1 + extra, len(base)), dtype=">u8")
+    h[0] = base
+    if extra:  # splitmix64 finaliser over the hash and the number of the fingerprint
+        steps = np.array([(r * 0x9E3779B97F4A7C15) & (2**64 - 1) for r in range(1, 1 + extra)], dtype=np.uint64)
+        x = base[None, :] + steps[:, None]
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h[1:] = x ^ (x >> np.uint64(31))
+    ones = np.zeros((1 + extra, 64), dtype=np.int64)
+    for at in range(0, len(base), 255):  # counts of up to 255 fit a byte
+        part = np.ascontiguousarray(h[:, at : at + 255])
+        bits = np.unpackbits(part.view(np.uint8)).reshape(1 + extra, -1, 64)
+        ones += np.add.reduce(bits, axis=1, dtype=np.uint8)
+    packed = np.packbits(ones * 2 > len(base), axis=1)
+    return [int.from_bytes(row.tobytes(), "big", signed=True) for row in packed]
+
+
+def fingerprints(text: str, words: int, extra: int = 0) -> list[int]:
+    """The SimHash of ``text`` over its shingles, and ``extra`` more; signed 64 bit."""
+    return _prints(shingle_hashes(text, words), extra)
+
+
+def word_fingerprints(text: str, number: int) -> list[int]:
+    """``number`` SimHashes of the distinct words of ``text``."""
+    import xxhash
+
+    return _prints([xxhash.xxh64_intdigest(w, SEED) for w in dict.fromkeys(text.encode("utf-8", "surrogatepass").lower().split())], number - 1)
+
+
+def fingerprint_rows(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``k`` (the doc_id, nulls as the smallest long) and ``fps`` for every row of ``docs``."""
     require(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [fingerprints(t.as_py(), words, extra) for t in b.column(1)]
+            fps = [fingerprints(t.as_py(), words) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.list_(pa.int64()))], ["k", "fps"])
 
     rows = docs.select(F.coalesce(F.col(id_col), F.lit(_NO_ID)).cast("long").alias("k"), text_or_empty(docs, text_col).alias("t"))
@@ -131,22 +146,11 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, list_cap: int = LIST_CAP)
     return near.unionByName(star.where("a <> b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def simhash_components(docs: DataFrame, words: int = 3, max_bits: int = MAX_BITS, extra: int = 0, list_cap: int = LIST_CAP) -> DataFrame:
-    """``k``, ``fps`` and ``root`` (the smallest k reachable) for every row of ``docs``.
-
-    With ``extra`` fingerprints two documents are linked when any of their fingerprints is within
-    ``max_bits`` of the other's fingerprint of the same number.
-    """
-    rows = stored(fingerprint_rows(docs, words, extra), "fps")
-    each = rows.select("k", F.posexplode("fps").alias("space", "fp"))
-    nodes = stored(each.groupBy("space", "fp").agg(F.min("k").alias("rep")), "nodes")
-    edges = links(nodes, max_bits, list_cap)
-    if extra:
-        # a document's fingerprints tie it to the representative of each
-        edges = edges.unionByName(each.join(nodes, ["space", "fp"]).where("k <> rep").select(F.col("k").alias("a"), F.col("rep").alias("b")))
-        found = components(edges)
-        return rows.join(found, rows.k == found.node, "left").select("k", "fps", F.coalesce("root", "k").alias("root"))
-    found = components(edges)
+def simhash_components(docs: DataFrame, words: int = 3, max_bits: int = MAX_BITS, list_cap: int = LIST_CAP) -> DataFrame:
+    """``k``, ``fps`` (one fingerprint) and ``root`` (the smallest k reachable) for every row of ``docs``."""
+    rows = stored(fingerprint_rows(docs, words), "fps")
+    nodes = stored(rows.groupBy(F.col("fps")[0].alias("fp")).agg(F.min("k").alias("rep")), "nodes")
+    found = components(links(nodes.withColumn("space", F.lit(0)), max_bits, list_cap))
     named = nodes.join(found, nodes.rep == found.node, "left").select("fp", F.coalesce("root", "rep").alias("root"))
     return rows.withColumn("fp", F.col("fps")[0]).join(named, "fp").select("k", "fps", "root")
 
@@ -158,7 +162,40 @@ def simhash_rows(docs: DataFrame, words: int = 3, max_bits: int = MAX_BITS) -> D
     return found.select(back("k").alias("doc_id"), F.lpad(F.lower(F.hex(F.col("fps")[0])), 16, "0").alias("fingerprint"), back("root").alias("component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, max_bits: int = MAX_BITS, extra: int = 7) -> DataFrame:
+def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, number: int = NUMBER, list_cap: int = LIST_CAP) -> DataFrame:
+    """``k`` and ``root`` for every row: groups of texts whose ``words``-word shingles are alike by ``similarity`` or more.
+
+    64 bits of shingles differ too much at a similarity of 0.8 for byte positions to find them, so the search and
+    the verifying use two kinds of fingerprints. ``number`` fingerprints of a text's distinct words, which a few changed
+    words move little, go through the byte-position index (two bits, any of them); what meets is
+    verified on ``number`` fingerprints of its shingles, 64 bits each, whose differing bits together tell the angle and
+    so the similarity to about 0.03. In lists longer than ``list_cap`` candidates are met through the smallest of those that
+    share a one-bit neighbour.
+    """
+    require(docs, "doc_id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.int64())
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([word_fingerprints(t, number) for t in texts], kind), pa.array([fingerprints(t, words, number - 1) for t in texts], kind)], ["k", "fps", "sig"])
+
+    source = docs.select(F.coalesce(F.col("doc_id"), F.lit(_NO_ID)).cast("long").alias("k"), text_or_empty(docs).alias("t"))
+    rows = stored(source.mapInArrow(run, "k long, fps array<long>, sig array<long>"), "fps")
+    each = rows.select("k", F.posexplode("fps").alias("space", "fp"))
+    nodes = stored(each.groupBy("space", "fp").agg(F.min("k").alias("rep"), F.count("*").alias("n")), "nodes")
+    same = each.join(nodes.where("n > 1").select("space", "fp", "rep"), ["space", "fp"]).where("k <> rep").select(F.col("rep").alias("a"), F.col("k").alias("b"))
+    met = links(nodes.select("space", "fp", "rep"), MAX_BITS, list_cap).unionByName(same).distinct()
+    # the angle between shingle vectors of two texts of one length with that similarity
+    most = int(64 * number * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    sig = rows.groupBy("k").agg(F.first("sig").alias("sig"))
+    ends = met.join(sig.select(F.col("k").alias("a"), F.col("sig").alias("x")), "a").join(sig.select(F.col("k").alias("b"), F.col("sig").alias("y")), "b")
+    apart = F.expr("aggregate(zip_with(x, y, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)")
+    found = components(ends.where(apart <= most).select("a", "b"))
+    return rows.join(found, rows.k == found.node, "left").select("k", F.coalesce("root", "k").alias("root"))
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, number: int = NUMBER) -> DataFrame:
     """Of each group of near copies the row with the smallest doc_id stays; the columns are those of ``docs``."""
-    gone = simhash_components(docs, words, max_bits, extra).where("k <> root").select(F.col("k").alias("_gone")).distinct()
+    gone = near_groups(docs, words, similarity, number).where("k <> root").select(F.col("k").alias("_gone")).distinct()
     return docs.withColumn("_k", F.coalesce(F.col("doc_id"), F.lit(_NO_ID)).cast("long")).join(gone, F.col("_k") == F.col("_gone"), "left_anti").select(*docs.columns)
