@@ -33,3 +33,49 @@ def test_exact_groups_sql(spark, sf):
     want = sorted(con.sql(entry.oracle_sql()["op9_exact_groups"]).fetchall())
     got = sorted(tuple(r) for r in entry.queries()["op9_exact_groups"](spark, sf).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect())
     assert got == want
+
+
+def test_whole_pipeline_against_brute_force(spark, sf):
+    import math
+
+    import pyarrow as pa
+
+    from loremill.llm import decontaminate as D
+    from loremill.llm import quality as Q
+    from loremill.llm import simhash as S
+    from loremill.llm.pieces import Pieces
+
+    got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, sf).collect()}
+    table, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    texts = {r["doc_id"]: r["text"] for r in table.collect()}
+    # 1: the classifier's own scores, one text at a time
+    model = Q.train_quality(table, labels)
+    left = {i: t for i, t in texts.items() if Q.score_texts(model, pa.array([t]))[0] >= 0.5}
+    # 2: of equal texts the largest doc_id
+    left = {i: t for i, t in left.items() if i == max(j for j, u in left.items() if u == t)}
+    # 3: all pairs of fingerprints
+    ids = sorted(left)
+    words, shingles = {i: S.word_fingerprints(left[i], S.NUMBER) for i in ids}, {i: S.fingerprints(left[i], 5, S.NUMBER - 1) for i in ids}
+    apart = lambda x, y: [((a ^ b) & (2**64 - 1)).bit_count() for a, b in zip(x, y)]
+    most = int(64 * S.NUMBER * math.acos(1.6 / 1.8) / math.pi)
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for x, a in enumerate(ids):
+        for b in ids[:x]:
+            if min(apart(words[a], words[b])) <= 2 and sum(apart(shingles[a], shingles[b])) <= most:
+                p, q = find(a), find(b)
+                root[max(p, q)] = min(p, q)
+    left = {i: t for i, t in left.items() if find(i) == i}
+    # 4: every item over every whole text, without pieces
+    items = [n for (t,) in duckdb.sql(f"select text from '{sf}/benchmark.parquet'").fetchall() if (n := D.normalise(t))]
+    holds = lambda t: any(D.myers(D.masks(n), len(n), t)[0] <= D.budget(len(n)) for n in items)
+    left = {i: t for i, t in left.items() if not holds(D.normalise(t))}
+    assert set(got) == set(left)
+    # 5: the ids say the text
+    pieces = Pieces()
+    assert all(pieces.decode(r["token_ids"]) == left[i] for i, r in got.items())
