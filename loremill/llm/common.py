@@ -85,31 +85,26 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph by alternating large-star and small-star rounds.
 
     ``edges`` has long columns ``a`` and ``b``. Returns ``(node, root)`` for every node that
-    has an edge to another one; ``root`` is the smallest node reachable. Each round is two
-    aggregations with map-side combine and two equi-joins, and is written to the shared
-    folder; only two numbers a round reach the driver. Rounds grow with the logarithm
+    has an edge to another one; ``root`` is the smallest node reachable. A round is three
+    aggregations with map-side combine and two equi-joins, written to the shared
+    folder; only one row a round reaches the driver. Rounds grow with the logarithm
     of the longest path. A graph without edges gives no rows.
     """
     cur = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    mark = None
     for _ in range(max_rounds):
         both = cur.select("u", "v").unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = stored(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+        low = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") < F.col("u")).alias("less"), F.count_if(F.col("v") > F.col("u")).alias("more")), "low")
+        # settled when only stars are left: a node has one smaller neighbour and no larger one, or no smaller one
+        if not low.where("less > 1 or (less = 1 and more > 0)").head(1):
+            drop_stored(cur)
+            return low.select(F.col("u").alias("node"), F.col("m").alias("root"))
+        large = stored(both.join(low.select("u", "m"), "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")), "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         nxt = stored(small.select(F.col("u"), F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct(), "small")
-        drop_stored(large, cur)
+        drop_stored(low, large, cur)
         cur = nxt
-        seen = cur.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if mark == (seen["n"], seen["s"]):
-            break
-        mark = (seen["n"], seen["s"])
-    else:
-        raise RuntimeError("components did not settle")
-    # settled: stars only, every leaf u points at its centre v
-    centres = cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return cur.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(centres)
+    raise RuntimeError("components did not settle")
 
 
 def require(df: DataFrame, *names: str) -> None:

@@ -115,7 +115,7 @@ def _signed(x: int) -> int:
 
 
 def links(nodes: DataFrame, max_bits: int = MAX_BITS, list_cap: int = LIST_CAP) -> DataFrame:
-    """``(a, b)`` of nodes linked by fingerprints; ``nodes`` has distinct ``(space, fp)`` with a long ``rep``.
+    """``(a, b)`` of nodes linked by fingerprints, some more than once; ``nodes`` has distinct ``(space, fp)`` with a long ``rep``.
 
     Fingerprints of different ``space`` never meet. Links between members of long lists go through the
     smallest rep that shares a one-bit neighbour, so they connect the same components.
@@ -133,17 +133,18 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, list_cap: int = LIST_CAP)
         filter(slice(l, i + 2, size(l)), y -> {tally} >= {8 - max_bits} and bit_count(x.fp ^ y.fp) <= {max_bits}),
         y -> struct(x.rep as a, y.rep as b)))))"""
     near = short.selectExpr(pair)
+    if not met.where(f"n > {list_cap}").head(1):
+        return near
     # the rest, exactly: two fingerprints within two bits share a one-bit neighbour (or one is it)
     long_ = met.where(f"n > {list_cap}").select("space", "fp", "rep").distinct()
     flips = F.array(F.lit(0).cast("long"), *([F.lit(_signed(1 << i)) for i in range(64)] if max_bits else []))
-    posts1 = long_.select("space", "rep", F.col("fp").alias("_f"), F.explode(flips).alias("_x")).select("space", "rep", F.col("_f").bitwiseXOR(F.col("_x")).alias("mid"), (F.col("_x") != 0).alias("flip"))
+    mids = long_.select("space", "rep", F.col("fp").alias("_f"), F.explode(flips).alias("_x")).select("space", "rep", F.col("_f").bitwiseXOR(F.col("_x")).alias("mid"), (F.col("_x") != 0).alias("flip"))
     if max_bits < 2:  # one bit: a neighbour only meets the fingerprint itself
-        own = posts1.where("not flip")
-        star = posts1.join(own.select("space", "mid", F.col("rep").alias("hub")), ["space", "mid"]).select(F.col("rep").alias("a"), F.col("hub").alias("b"))
+        hub = mids.where("not flip").select("space", "mid", F.col("rep").alias("hub"))
     else:
-        hub = posts1.groupBy("space", "mid").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1")
-        star = posts1.join(hub, ["space", "mid"]).select(F.col("rep").alias("a"), F.col("hub").alias("b"))
-    return near.unionByName(star.where("a <> b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        hub = mids.groupBy("space", "mid").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    star = mids.join(hub, ["space", "mid"]).select(F.col("rep").alias("a"), F.col("hub").alias("b"))
+    return near.unionByName(star.where("a <> b"))
 
 
 def simhash_components(docs: DataFrame, words: int = 3, max_bits: int = MAX_BITS, list_cap: int = LIST_CAP) -> DataFrame:
@@ -185,7 +186,7 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, number
     each = rows.select("k", F.posexplode("fps").alias("space", "fp"))
     nodes = stored(each.groupBy("space", "fp").agg(F.min("k").alias("rep"), F.count("*").alias("n")), "nodes")
     same = each.join(nodes.where("n > 1").select("space", "fp", "rep"), ["space", "fp"]).where("k <> rep").select(F.col("rep").alias("a"), F.col("k").alias("b"))
-    met = links(nodes.select("space", "fp", "rep"), MAX_BITS, list_cap).unionByName(same).distinct()
+    met = links(nodes.select("space", "fp", "rep"), MAX_BITS, list_cap).unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     # the angle between shingle vectors of two texts of one length with that similarity
     most = int(64 * number * math.acos(2 * similarity / (1 + similarity)) / math.pi)
     sig = rows.groupBy("k").agg(F.first("sig").alias("sig"))
