@@ -3,7 +3,7 @@ import random
 import pytest
 import xxhash
 
-from loremill.llm.simhash import drop_near_duplicates, fingerprints, simhash_components, simhash_rows
+from loremill.llm.simhash import drop_near_duplicates, fingerprints, near_groups, simhash_components, simhash_rows
 
 from .helpers import ODD, docs, odd
 
@@ -73,3 +73,37 @@ def test_near_copies_go_and_others_stay(spark):
 def test_extra_fingerprints_differ():
     a = fingerprints("one two three four five six", 3, 3)
     assert len(a) == len(set(a)) == 4
+
+
+def _shingles(text, n=5):
+    words = text.split()
+    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
+
+
+@pytest.mark.parametrize("edit", ["append", "cut", "replace", "scatter"])
+def test_copies_with_every_kind_of_edit_are_found(spark, edit):
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    rows, alike = [], []
+    for i in range(60):
+        text = [word() for _ in range(rng.randint(150, 600))]
+        n = len(text) // 9
+        at = rng.randrange(len(text) - n)
+        copy = text[:]
+        if edit == "append":
+            copy += [word() for _ in range(n)]
+        elif edit == "cut":
+            copy = copy[: len(copy) - n]
+        elif edit == "replace":
+            copy[at : at + n // 2] = [word() for _ in range(n // 2)]
+        else:
+            for _ in range(max(1, len(text) // 60)):
+                copy[rng.randrange(len(copy))] = word()
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(copy))]
+        a, b = _shingles(rows[-2][1]), _shingles(rows[-1][1])
+        if len(a & b) / len(a | b) >= 0.84:
+            alike.append(i)
+    root = {r["k"]: r["root"] for r in near_groups(docs(spark, rows)).collect()}
+    assert len(alike) > 40
+    assert sum(root[2 * i + 1] == 2 * i for i in alike) >= 0.95 * len(alike)
+    assert all(r in (k, k - k % 2) for k, r in root.items())
