@@ -36,6 +36,7 @@ MAX_BITS = 2
 NUMBER = 16
 #: Near copies meet where the least values of BAND_ROWS hash functions over their shingles agree, in one of BANDS bands.
 BANDS, BAND_ROWS = 20, 5
+RUN = 2048
 _NO_ID = -(2**63)
 
 
@@ -130,7 +131,7 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, list_cap: int = LIST_CAP)
     on = ["space", "part", "bytes"]
     lists = posts.groupBy(*on).agg(F.count("*").alias("n")).where("n > 1")
     met = stored(posts.join(lists, on), "met")
-    short = met.groupBy(*on).agg(F.collect_list(F.struct("fp", "rep")).alias("l"))
+    short = met.where(f"n <= {list_cap}").groupBy(*on).agg(F.collect_list(F.struct("fp", "rep")).alias("l"))
     tally = " + ".join(f"int((shiftrightunsigned(x.fp ^ y.fp, {8 * i}) & 255) = 0)" for i in range(8))
     pair = f"""inline(flatten(transform(l, (x, i) -> transform(
         filter(slice(l, i + 2, size(l)), y -> {tally} >= {8 - max_bits} and bit_count(x.fp ^ y.fp) <= {max_bits}),
@@ -196,13 +197,78 @@ def _apart(x: str, y: str):
     return F.expr(f"aggregate(zip_with({x}, {y}, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)")
 
 
+def tile_links(ids: list[int], sigs, left: list[bool], right: list[bool], most: int) -> list[tuple[int, int]]:
+    """Links among the rows of a tile. Those only ``left`` are one group already and meet those ``right``; those ``right`` meet each other too if none is only left.
+
+    A row that has its link needs no other one, so what was reached leaves the rest: every pair is compared or known to be in one group.
+    """
+    import numpy as np
+
+    out: list[tuple[int, int]] = []
+    hits = lambda i, rest: rest[np.bitwise_count(sigs[rest] ^ sigs[i]).sum(1, dtype=np.int64) <= most]
+    rest = np.flatnonzero(np.array(right))
+    hubs = np.flatnonzero(np.array(left) & ~np.array(right))
+    if len(hubs):
+        for i in hubs:
+            if not len(rest):
+                break
+            near = hits(i, rest)
+            out += [(ids[i], ids[j]) for j in near]
+            rest = np.setdiff1d(rest, near, assume_unique=True)
+        return out
+    while len(rest):
+        reached, rest = [rest[0]], rest[1:]
+        while reached and len(rest):
+            i = reached.pop()
+            near = hits(i, rest)
+            out += [(ids[i], ids[j]) for j in near]
+            reached += near.tolist()
+            rest = np.setdiff1d(rest, near, assume_unique=True)
+    return out
+
+
+def _long_lists(members: DataFrame, sig: DataFrame, most: int) -> DataFrame:
+    """``(a, b)`` that connect what all pairs of each list would; ``members`` has ``part``, ``key`` and ``rep``.
+
+    A list's smallest rep is compared with all others first. Those it fails meet each other and those it passes, in tiles of two
+    runs of about ``RUN`` each, so a list that is one group costs one comparison a member and no task holds a whole list.
+    """
+    import numpy as np
+
+    on = ["part", "key"]
+    hubs = members.groupBy(*on).agg(F.min("rep").alias("hub"))
+    far = members.join(hubs, on).join(sig.withColumnRenamed("sig", "x"), F.col("rep") == F.col("k")).drop("k")
+    far = far.join(sig.withColumnRenamed("sig", "y"), F.col("hub") == F.col("k")).drop("k").withColumn("ok", _apart("x", "y") <= most)
+    first = stored(far.select(*on, "hub", "rep", "ok", F.col("x").alias("sig")), "hubs")
+    # a run is a hash class; failed members (right) also meet the passed ones (left)
+    counts = first.groupBy(*on).agg(F.count_if(~F.col("ok")).alias("nr"), F.count_if("ok").alias("nl")).where("nr > 0")
+    runs = lambda n: F.ceil(F.col(n) / F.lit(RUN)).cast("int")
+    todo = first.join(counts.select(*on, runs("nr").alias("gr"), runs("nl").alias("gl")), on)
+    mine = todo.withColumn("run", F.pmod(F.xxhash64("rep"), F.when(F.col("ok"), F.col("gl")).otherwise(F.col("gr"))).cast("int"))
+    # tiles (i, j): i below 0 is a run of passed members
+    passed = F.transform(F.sequence(F.lit(0), F.col("gr") - 1), lambda j: F.struct((-1 - F.col("run")).alias("i"), j.alias("j")))
+    cross = F.transform(F.sequence(F.lit(0), F.col("gl") - 1), lambda i: F.struct((-1 - i).alias("i"), F.col("run").alias("j")))
+    within = F.transform(F.sequence(F.lit(0), F.col("gr") - 1), lambda j: F.struct(F.least(j, "run").alias("i"), F.greatest(j, "run").alias("j")))
+    tiles = mine.select(*on, "rep", "ok", "sig", F.inline(F.when(F.col("ok"), passed).otherwise(F.concat(cross, within))))
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, ok = table.column("rep").to_pylist(), table.column("ok").to_pylist()
+        sigs = np.array(table.column("sig").to_pylist(), dtype=np.int64).view(np.uint64).reshape(len(ids), -1)
+        found = tile_links(ids, sigs, ok, [not x for x in ok], most)
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    rest = tiles.groupBy(*on, "i", "j").applyInArrow(run, "a long, b long")
+    return first.where("ok").select(F.col("hub").alias("a"), F.col("rep").alias("b")).unionByName(rest)
+
+
 def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, number: int = NUMBER, list_cap: int = LIST_CAP) -> DataFrame:
     """``k`` and ``root`` for every row: groups of texts whose ``words``-word shingles are alike by ``similarity`` or more.
 
     64 bits of shingles differ too much at a similarity of 0.8 for byte positions to find them, so texts meet where
     one of ``BANDS`` keys of least shingle hashes is the same: a chance of 1 - (1 - 0.8 ** 5) ** 20 = 0.9996 at 0.8 for
     any kind of edit. What meets is verified on ``number`` fingerprints of its shingles, 64 bits each, whose differing bits
-    together tell the angle and so the similarity to about 0.03. Every pair that meets is compared. Texts with the same fingerprints are one node.
+    together tell the angle and so the similarity to about 0.03. Every pair that meets is compared, or is in one group
+    already; lists longer than ``list_cap`` are compared in tiles. Texts with the same fingerprints are one node.
     """
     require(docs, "doc_id", "text")
 
@@ -226,12 +292,14 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, number
     posts = stored(named.select("rep", F.posexplode("keys").alias("part", "key")).repartition(*on).distinct(), "posts")
     lists = posts.groupBy(*on).agg(F.count("*").alias("n")).where("n > 1")
     met = stored(posts.join(lists, on), "met")
-    short = met.groupBy(*on).agg(F.sort_array(F.collect_list("rep")).alias("l"))
+    short = met.where(f"n <= {list_cap}").groupBy(*on).agg(F.sort_array(F.collect_list("rep")).alias("l"))
     pairs = short.selectExpr("inline(flatten(transform(l, (x, i) -> transform(slice(l, i + 2, size(l)), y -> struct(x as a, y as b)))))").distinct()
     # the angle between shingle vectors of two texts of one length with that similarity
     most = int(64 * number * math.acos(2 * similarity / (1 + similarity)) / math.pi)
     ends = pairs.join(sig.select(F.col("k").alias("a"), F.col("sig").alias("x")), "a").join(sig.select(F.col("k").alias("b"), F.col("sig").alias("y")), "b")
     links_ = ends.where(_apart("x", "y") <= most).select("a", "b")
+    if met.where(f"n > {list_cap}").head(1):
+        links_ = links_.unionByName(_long_lists(met.where(f"n > {list_cap}").select(*on, "rep"), sig, most))
     same = named.where("k <> rep").select(F.col("rep").alias("a"), F.col("k").alias("b"))
     found = components(links_.unionByName(same))
     return named.join(found, named.k == found.node, "left").select("k", F.coalesce("root", "k").alias("root"))

@@ -1,8 +1,10 @@
+import math
 import random
 
 import pytest
 import xxhash
 
+from loremill.llm import simhash
 from loremill.llm.simhash import drop_near_duplicates, fingerprints, near_groups, simhash_components, simhash_rows
 
 from .helpers import ODD, docs, odd
@@ -107,3 +109,46 @@ def test_copies_with_every_kind_of_edit_are_found(spark, edit):
     assert len(alike) > 40
     assert sum(root[2 * i + 1] == 2 * i for i in alike) >= 0.95 * len(alike)
     assert all(r in (k, k - k % 2) for k, r in root.items())
+
+
+@pytest.mark.parametrize("cap", [1, 64])
+def test_every_pair_that_meets_is_decided(spark, cap, monkeypatch):
+    # chains from one text: neighbours are alike, the ends are not, and all share a long common part
+    monkeypatch.setattr(simhash, "RUN", 8)
+    rng = random.Random(23)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    rows = []
+    for family in range(2):
+        core = [word() for _ in range(240)]
+        for chain in range(12):
+            text = core[:]
+            at = rng.randrange(200)
+            text[at : at + 40] = [word() for _ in range(40)]
+            for _ in range(4):
+                rows.append((len(rows), " ".join(text)))
+                at = rng.randrange(225)
+                text[at : at + 14] = [word() for _ in range(14)]
+    rng.shuffle(rows)
+    got = {r["k"]: r["root"] for r in near_groups(docs(spark, rows), list_cap=cap).collect()}
+    keys = {i: simhash.band_keys(simhash.shingle_hashes(t, 5)) for i, t in rows}
+    sigs = {i: fingerprints(t, 5, simhash.NUMBER - 1) for i, t in rows}
+    most = int(64 * simhash.NUMBER * math.acos(1.6 / 1.8) / math.pi)
+    root = {i: i for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    failed = 0
+    for a, _ in rows:
+        for b, _ in rows:
+            if a < b and any(p == q for p, q in zip(keys[a], keys[b])):
+                if sum(((p ^ q) & (2**64 - 1)).bit_count() for p, q in zip(sigs[a], sigs[b])) <= most:
+                    p, q = find(a), find(b)
+                    root[max(p, q)] = min(p, q)
+                else:
+                    failed += 1
+    want = {i: find(i) for i, _ in rows}
+    assert failed > 100 and 2 < len(set(want.values())) < len(rows)
+    assert got == want
