@@ -3,7 +3,9 @@
 A test item of normalised length m has an error budget k = floor(m * ``max_error``). It is split into k + 1
 pieces; a text that holds the item with at most k edits holds at least one piece unchanged. One automaton
 over the pieces of a block of items finds the exact piece hits in each whole text; every hit marks where
-the item would have to lie, and Myers' bit-parallel algorithm verifies the least edit distance there.
+the item would have to lie, and Myers' bit-parallel algorithm verifies the least edit distance there. A hit is first
+verified on ever longer stretches around its piece: of two halves with j and l pieces that together have at most j + l - 1
+edits, one has at most j - 1 or the other at most l - 1, so a match always has a piece all whose stretches of n pieces pass with n - 1.
 
 Normalising lower-cases and makes each run of white space one space, so a passage that was re-wrapped still
 matches. The test items are the stated query set: they are read in blocks of at most ``BLOCK_BYTES`` bytes, each
@@ -26,8 +28,6 @@ from pyspark.sql import functions as F
 from .common import keep_rows, require, text_or_empty
 
 MAX_ERROR = 0.1
-#: A piece shorter than this would hit everywhere; the budget of a short item is what leaves pieces this long.
-MIN_PIECE = 12
 BLOCK_BYTES = 4 << 20
 
 
@@ -35,8 +35,8 @@ def normalise(text: str) -> str:
     return " ".join(text.lower().split())
 
 
-def budget(length: int, max_error: float = MAX_ERROR, min_piece: int = MIN_PIECE) -> int:
-    return max(0, min(int(length * max_error), length // min_piece - 1))
+def budget(length: int, max_error: float = MAX_ERROR) -> int:
+    return int(length * max_error)
 
 
 def pieces(item: str, k: int) -> list[tuple[int, str]]:
@@ -77,12 +77,22 @@ def myers(peq: dict[str, int], m: int, text: str) -> tuple[int, int]:
     return best, end
 
 
+def stretches(i: int, n: int) -> list[tuple[int, int]]:
+    """The ranges of pieces around piece ``i`` of ``n`` by repeated halving, shortest first, without the piece and the whole."""
+    out, low, high = [], 0, n
+    while high - low > 1:
+        out.append((low, high))
+        mid = (low + high) // 2
+        low, high = (low, mid) if i < mid else (mid, high)
+    return out[:0:-1]
+
+
 class Matcher:
     """Finds a block of items in texts. Pickles as the items; the automaton is built where it is used."""
 
-    def __init__(self, items: list[tuple[int, str]], max_error: float = MAX_ERROR, min_piece: int = MIN_PIECE):
+    def __init__(self, items: list[tuple[int, str]], max_error: float = MAX_ERROR):
         self.items = [(i, n) for i, t in items if (n := normalise(t or ""))]
-        self.max_error, self.min_piece = max_error, min_piece
+        self.max_error = max_error
         self.machine = None
 
     def __getstate__(self) -> dict:
@@ -94,15 +104,25 @@ class Matcher:
         self.machine = ahocorasick.Automaton()
         self.info, where = [], {}
         for x, (_, norm) in enumerate(self.items):
-            k = budget(len(norm), self.max_error, self.min_piece)
+            k = budget(len(norm), self.max_error)
             self.info.append((k, masks(norm)))
-            for at, p in pieces(norm, k):
-                where.setdefault(p, []).append((x, at))
+            for i, (_, p) in enumerate(pieces(norm, k)):
+                where.setdefault(p, []).append((x, i))
         for p, v in where.items():
             self.machine.add_word(p, (len(p), v))
         if where:
             self.machine.make_automaton()
 
+    def _holds(self, x: int, i: int, start: int, norm: str) -> bool:
+        """Whether every stretch around piece ``i`` is there with fewer edits than it has pieces; ``start`` is where the item would begin."""
+        pattern, n = self.items[x][1], self.info[x][0] + 1
+        m = len(pattern)
+        for low, high in stretches(i, n):
+            a, b, e = m * low // n, m * high // n, high - low - 1
+            if myers(masks(pattern[a:b]), b - a, norm[max(0, start + a - e) : max(0, start + b + e)])[0] > e:
+                return False
+        return True
+
     def find(self, text: str) -> list[tuple[int, int, int]]:
         """``(item_id, distance, end)`` of every item within its budget; ``end`` in the normalised text."""
         if self.machine is None:
@@ -112,8 +132,10 @@ class Matcher:
             return []
         spots: dict[int, list[int]] = {}
         for end, (size, v) in self.machine.iter(norm):
-            for x, at in v:
-                spots.setdefault(x, []).append(end - size + 1 - at)
+            for x, i in v:
+                start = end - size + 1 - len(self.items[x][1]) * i // (self.info[x][0] + 1)
+                if self._holds(x, i, start, norm):
+                    spots.setdefault(x, []).append(start)
         out = []
         for x, starts in spots.items():
             (item_id, pattern), (k, peq) = self.items[x], self.info[x]

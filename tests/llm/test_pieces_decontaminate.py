@@ -102,6 +102,28 @@ def test_matches_against_brute_force(spark):
     assert drop_contaminated(odd(spark), bench.where("false")).count() == len(ODD)
 
 
+def test_a_tenth_of_an_item_may_differ(spark):
+    rng = random.Random(29)
+    text = lambda n: "".join(rng.choices("abcdefgh ijklmnop", k=n)).strip()
+    items = [(i, text(n)) for i, n in enumerate([11, 22, 30, 60, 90, 150, 233] * 4)]
+    rows, want = [], set()
+    for d, (i, t) in enumerate(items):
+        n = len(normalise(t))
+        for at, edits in enumerate((n // 10 - 1, n // 10, n // 10, n // 10 + 2)):
+            rows.append((1000 * at + d, f"{text(200)} {damaged(rng, normalise(t), edits)} {text(100)}"))
+    for d, t in rows:
+        for i, item in items:
+            n = normalise(item)
+            if (x := brute(n, normalise(t))) <= len(n) // 10:  # a tenth, on its own
+                want.add((d, i, x))
+    # edits beyond what pieces of 12 characters allow
+    assert sum(x > max(0, len(normalise(items[i][1])) // 12 - 1) for _, i, x in want) > 30
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"], r["distance"]) for r in benchmark_matches(docs(spark, rows), bench).collect()} == want
+    kept = {r["doc_id"] for r in drop_contaminated(docs(spark, rows), bench).collect()}
+    assert kept == {d for d, _ in rows} - {d for d, _, _ in want}
+
+
 def test_several_items_of_one_text():
     m = Matcher([(1, "alpha beta gamma delta"), (2, "alpha beta gamma delta")])
     assert {i for i, *_ in m.find("x ALPHA  beta\ngamma delta y")} == {1, 2}
