@@ -187,7 +187,7 @@ def _similar(key: str) -> str | None:
     if "@" in key:
         return "@" + key.split("@")[0]
     if key.count(".") == 3 and key.replace(".", "").isdigit():
-        return None
+        return key[: key.rindex(".") + 1]
     if key.isdigit() and len(key) >= 7:
         return "#" + key[-7:]
     return None
@@ -241,7 +241,7 @@ def edges(text: str, cs: list[Candidate]) -> tuple[np.ndarray, np.ndarray]:
     hub: dict[str, int] = {}
     for i in sorted(range(len(cs)), key=lambda i: not cs[i].observed):  # what the patterns found comes first
         c = cs[i]
-        if len(c.key) < 5:
+        if not c.key:
             continue
         near = _similar(c.key)
         j = hub.setdefault(c.key, i)
@@ -328,8 +328,8 @@ def _training_rows(text: str) -> list[tuple[list[int], int, list[int], list[int]
     return [(features(text, c, n % 2 == 0), c.label, *near[n]) for n, c in enumerate(cs)]
 
 
-def fit(rows: list[tuple[list[int], int, list[int], list[int]]], steps: int = 200, rate: float = 0.5, decay: float = 1e-3) -> Field:
-    """Maximise the pseudo-likelihood: each label given its features and its neighbours' labels."""
+def fit(rows: list[tuple[list[int], int, list[int], list[int]]], steps: int = 200, rate: float = 0.5, decay: float = 1e-3, counts: list[int] | None = None) -> Field:
+    """Maximise the pseudo-likelihood: each label given its features and its neighbours' labels; ``counts`` says how often each row occurs."""
     same = np.eye(5)
     field = Field(np.zeros((5, FEATURES)), np.zeros((5, 5)), 1.0 * same)
     field.unary[0, 0] = 1.0
@@ -340,6 +340,8 @@ def fit(rows: list[tuple[list[int], int, list[int], list[int]]], steps: int = 20
         field.skip = SKIP_LEAST * same
         return field
     n = len(rows)
+    share = np.ones(n) if counts is None else np.array(counts, dtype=np.float64)
+    share = (share / share.sum())[:, None]
     x = np.zeros((n, FEATURES))
     y = np.array([r[1] for r in rows])
     by_chain, by_skip = np.zeros((n, 5)), np.zeros((n, 5))
@@ -354,7 +356,7 @@ def fit(rows: list[tuple[list[int], int, list[int], list[int]]], steps: int = 20
         z = x @ field.unary.T + by_chain @ field.chain + by_skip @ field.skip
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        g = (target - p) / n * 5
+        g = (target - p) * share * 5
         field.unary += rate * (g.T @ x - decay * field.unary)
         for name, near in (("chain", by_chain), ("skip", by_skip)):
             m = getattr(field, name)
@@ -387,10 +389,8 @@ def train_field(docs: DataFrame, max_train: int = MAX_TRAIN) -> Field:
         yield pa.RecordBatch.from_arrays([pa.array([repr(k) for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["row", "n"])
 
     counted = texts.mapInArrow(run, "row string, n long").groupBy("row").agg(F.sum("n").alias("n")).collect()
-    rows = []
-    for r in sorted(counted, key=lambda r: r["row"]):
-        rows.extend([ast.literal_eval(r["row"])] * min(r["n"], 50))
-    return fit(rows)
+    counted.sort(key=lambda r: r["row"])
+    return fit([ast.literal_eval(r["row"]) for r in counted], counts=[r["n"] for r in counted])
 
 
 def pii_rows(docs: DataFrame, field: Field) -> DataFrame:

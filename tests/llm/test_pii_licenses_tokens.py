@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -149,3 +150,20 @@ def test_counts(spark):
     assert len(rows) == 2 * len(ODD)
     assert {r["n_tokens"] for r in rows if r["doc_id"] in (1, 2)} == {0}
     assert count_tokens(docs(spark, [(1, "x")]).where("false")).count() == 0
+
+
+def test_similar_addresses_and_short_tokens_share_an_edge():
+    def tied(a, b):
+        cs = [I.Candidate(0, 1, a, 0, False, 0), I.Candidate(9, 10, b, 0, False, 0)]
+        pairs, kinds = I.edges("x" * 20, cs)
+        return [tuple(p) for p, k in zip(pairs.tolist(), kinds.tolist()) if k]
+
+    assert tied("10.1.2.3", "10.1.2.44") == [(0, 1)] and tied("10.1.2.3", "10.1.22.3") == []
+    assert tied("a12", "a12") == [(0, 1)] and tied("a12", "a13") == []
+
+
+def test_training_rows_count_as_often_as_they_occur(spark):
+    rows = [(i, "call 415-555-2671 now") for i in range(80)] + [(200 + i, "mail a1@example.org") for i in range(3)]
+    got = I.train_field(docs(spark, rows))
+    want = I.fit([r for _, t in rows for r in I._training_rows(t)])
+    assert np.allclose(got.unary, want.unary) and np.allclose(got.chain, want.chain) and np.allclose(got.skip, want.skip)
