@@ -21,7 +21,7 @@ sweep, so a task that runs again draws the same. For scoring, words with a share
 ``FREQUENT`` of the corpus are sent to every task as one table of log probabilities, contexts by words. Shares sum to one,
 so with c contexts, each of a share of 1 / ``MAX_CONTEXTS``, the table has at most c (1 - c / ``MAX_CONTEXTS``)
 ``FREQUENT`` cells, 134 MB at the most; a natural corpus has a tenth of that. All other words of a text meet their
-dish by a join. Nothing is capped or left out.
+dish by a join. No token is left out, but words under 1 / ``MAX_CONTEXTS`` of the corpus share one context.
 
 Edge cases: a null text counts as empty and is its end token alone; a null doc_id is not held out; without
 training rows every word is unknown; repeated rows each come back; an empty table gives no rows;
