@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -9,14 +10,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Only where the session names no shared folder (tests on one machine).
-FALLBACK_DIR = "/tmp/checkpoints/loremill"
+#: A key with more than one row in so many of its table is heavy, and so is none with fewer rows than HEAVY_ROWS.
+HEAVY_SHARE, HEAVY_ROWS = 50_000, 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, read from the session."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, read from the session.
+
+    Where it is unset and all tasks run in the driver's own process, a folder of this machine takes its place; a
+    cluster without it is refused.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (named or FALLBACK_DIR).rstrip("/")
+    if named:
+        return named.rstrip("/")
+    if not (spark.sparkContext.master + "[").startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{tempfile.gettempdir()}/loremill-checkpoints"
 
 
 def _fs_path(spark: SparkSession, path: str):
@@ -81,13 +90,42 @@ def keep_rows(docs: DataFrame, column: str, keep: Callable[[pa.Array], Sequence[
     return docs.mapInArrow(run, docs.schema)
 
 
+def fresh(columns: Sequence[str], *names: str) -> list[str]:
+    """``names``, each with as many underscores behind it as it takes to clash with none of ``columns``."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], n: str = "n") -> DataFrame:
+    """``left`` joined to ``right``, whose keys are distinct and not null and whose ``n`` says how many rows ``left`` has for each.
+
+    Rows of a heavy key (more than one in ``HEAVY_SHARE`` of all) stay where they are and get their match from a
+    broadcast of the heavy keys, of which there are fewer than ``HEAVY_SHARE``; all other rows are dealt by key, so no
+    task holds more than ``HEAVY_ROWS`` rows of one key, or one in ``HEAVY_SHARE`` of all. ``left`` is read twice if there is a heavy key.
+    """
+    total, most = right.agg(F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.max(n), F.lit(0))).first()
+    limit = max(HEAVY_ROWS, total // HEAVY_SHARE)
+    if most <= limit:
+        return left.join(right.drop(n), on)
+    heavy = right.where(F.col(n) > limit).drop(n)
+    near = left.join(F.broadcast(heavy), on)
+    far = left.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(right.where(F.col(n) <= limit).drop(n), on)
+    return near.unionByName(far)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph by alternating large-star and small-star rounds.
 
     ``edges`` has long columns ``a`` and ``b``. Returns ``(node, root)`` for every node that
     has an edge to another one; ``root`` is the smallest node reachable. A round is three
-    aggregations with map-side combine and two equi-joins, written to the shared
-    folder; only one row a round reaches the driver. Rounds grow with the logarithm
+    aggregations with map-side combine and two joins that split the rows of a star's centre, written to the shared
+    folder; only a few numbers a round reach the driver. Rounds grow with the logarithm
     of the longest path. A graph without edges gives no rows.
     """
     cur = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
@@ -98,11 +136,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not low.where("less > 1 or (less = 1 and more > 0)").head(1):
             drop_stored(cur)
             return low.select(F.col("u").alias("node"), F.col("m").alias("root"))
-        large = stored(both.join(low.select("u", "m"), "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")), "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        large = stored(spread_join(both, low.select("u", "m", (F.col("less") + F.col("more")).alias("n")), ["u"]).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")), "large")
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+        small = spread_join(large, least, ["u"])
         nxt = stored(small.select(F.col("u"), F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct(), "small")
-        drop_stored(low, large, cur)
+        drop_stored(low, large, least, cur)
         cur = nxt
     raise RuntimeError("components did not settle")
 

@@ -1,17 +1,18 @@
 """SimHash near-dedup with a byte-position inverted index and count filtering.
 
 A fingerprint has 8 bytes. Two fingerprints that differ in at most ``max_bits`` bits differ in at
-most that many bytes, so they share at least ``8 - max_bits`` positional bytes: the guaranteed
-minimum. The index posts every distinct fingerprint under its positional bytes; since one byte alone
-has a 256th of all rows in its list, the lists are intersected up front: with two bits at least two of
-the four byte pairs are whole, so a posting is keyed by two byte pairs (six keys of four bytes). Pairs
-that meet in a list are tallied (how many of the eight positional bytes agree), those under the
-guaranteed minimum go, and the rest are verified on their differing bits.
+most that many bytes. One byte alone has a 256th of all rows in its list, so the index posts every distinct
+fingerprint under four positional bytes at a time, in 14 ways: the sets of four positions out of eight whose numbers
+(0 to 7, as bits) have a XOR of zero. Any three positions are in exactly one of these sets, so two fingerprints
+share 14, 7, 3, 1 or at most 1 of their 14 postings when 0, 1, 2, 3 or more of their bytes differ. The postings that
+each pair shares are tallied over all lists; pairs under the guaranteed minimum (7 for one bit, 3 for two) go, and the
+rest are verified on their differing bits.
 
 Rows of one fingerprint are collapsed first, so copies cost nothing in the index. A list of up to
 ``list_cap`` fingerprints is paired inside its own row. A longer one would be quadratic; its members take
 an exact linear way instead: each posts itself and its 64 one-bit neighbours, and two fingerprints are
-within two bits of each other exactly when they share such a post. No link is lost, no pair is dropped.
+within two bits of each other exactly when they share such a post. A pair with a long list in common is settled
+there, any other pair has its whole tally in short lists: no link is lost, no pair is dropped.
 
 Edge cases: a null text counts as empty; a text without words has fingerprint zero and is linked like
 any other; repeated rows each come back; an empty table gives no rows; other columns are not read.
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, drop_stored, require, stored, text_or_empty
+from .common import components, fresh, require, spread_join, stored, text_or_empty
 
 SEED = 42
 LIST_CAP = 64
@@ -88,13 +89,6 @@ def fingerprints(text: str, words: int, extra: int = 0) -> list[int]:
     return _prints(shingle_hashes(text, words), extra)
 
 
-def word_fingerprints(text: str, number: int) -> list[int]:
-    """``number`` SimHashes of the distinct words of ``text``."""
-    import xxhash
-
-    return _prints([xxhash.xxh64_intdigest(w, SEED) for w in dict.fromkeys(text.encode("utf-8", "surrogatepass").lower().split())], number - 1)
-
-
 def fingerprint_rows(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``k`` (the doc_id, nulls as the smallest long) and ``fps`` for every row of ``docs``."""
     require(docs, id_col, text_col)
@@ -108,56 +102,67 @@ def fingerprint_rows(docs: DataFrame, words: int = 3, id_col: str = "doc_id", te
     return rows.mapInArrow(run, "k long, fps array<long>")
 
 
-def _byte_keys() -> list[tuple[int, int]]:
-    """Pairs of byte pairs as (number, mask): of four byte pairs at least two are whole if two bytes differ."""
-    halves = [0xFFFF << (16 * i) for i in range(4)]
-    return [(i, a | b) for i, (a, b) in enumerate(combinations(halves, 2))]
+def position_sets() -> list[tuple[int, ...]]:
+    """The 14 sets of four byte positions whose XOR is zero."""
+    return [c for c in combinations(range(8), 4) if c[0] ^ c[1] ^ c[2] ^ c[3] == 0]
 
 
 def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
+def least_shared(max_bits: int) -> int:
+    """How many postings two fingerprints share at least if up to ``max_bits`` of their bytes differ."""
+    return (14, 7, 3)[max_bits]
+
+
+def postings(nodes: DataFrame) -> DataFrame:
+    """``(part, bytes, fp, rep)``: each fingerprint under every set of four positional bytes, with the size ``n`` of its list; lists of one are left out."""
+    masks = [sum(0xFF << (8 * i) for i in c) for c in position_sets()]
+    keys = F.array(*[F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bytes")) for i, m in enumerate(masks)])
+    posts = stored(nodes.select("fp", "rep", F.inline(keys)), "posts")
+    lists = posts.groupBy("part", "bytes").agg(F.count("*").alias("n")).where("n > 1")
+    return stored(spread_join(posts, lists.withColumn("size", F.col("n")), ["part", "bytes"]).withColumnRenamed("size", "n"), "met")
+
+
+def tallied(met: DataFrame, max_bits: int = MAX_BITS, list_cap: int = LIST_CAP) -> DataFrame:
+    """``(x, y, shared)``: pairs of (fp, rep) of lists up to ``list_cap`` that share the guaranteed minimum of postings."""
+    short = met.where(f"n <= {list_cap}").groupBy("part", "bytes").agg(F.sort_array(F.collect_list(F.struct("fp", "rep"))).alias("l"))
+    pairs = short.selectExpr("inline(flatten(transform(l, (x, i) -> transform(slice(l, i + 2, size(l)), y -> struct(x as x, y as y)))))")
+    return pairs.groupBy("x", "y").agg(F.count("*").alias("shared")).where(F.col("shared") >= least_shared(max_bits))
+
+
 def links(nodes: DataFrame, max_bits: int = MAX_BITS, list_cap: int = LIST_CAP) -> DataFrame:
-    """``(a, b)`` of nodes linked by fingerprints, some more than once; ``nodes`` has distinct ``(space, fp)`` with a long ``rep``.
+    """``(a, b)`` of nodes linked by fingerprints, some more than once; ``nodes`` has distinct ``fp`` with a long ``rep``.
 
-    Fingerprints of different ``space`` never meet. Links between members of long lists go through the
-    smallest rep that shares a one-bit neighbour, so they connect the same components.
+    Links between members of long lists go through the smallest rep that shares a one-bit neighbour, so they connect
+    the same components.
     """
     if not 0 <= max_bits <= 2:
-        raise ValueError("the byte-pair keys guarantee links of up to two differing bits")
-    keys = F.array(*[F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bytes")) for i, m in _byte_keys()])
-    posts = stored(nodes.select("space", "fp", "rep", F.inline(keys)), "posts")
-    on = ["space", "part", "bytes"]
-    lists = posts.groupBy(*on).agg(F.count("*").alias("n")).where("n > 1")
-    met = stored(posts.join(lists, on), "met")
-    short = met.where(f"n <= {list_cap}").groupBy(*on).agg(F.collect_list(F.struct("fp", "rep")).alias("l"))
-    tally = " + ".join(f"int((shiftrightunsigned(x.fp ^ y.fp, {8 * i}) & 255) = 0)" for i in range(8))
-    pair = f"""inline(flatten(transform(l, (x, i) -> transform(
-        filter(slice(l, i + 2, size(l)), y -> {tally} >= {8 - max_bits} and bit_count(x.fp ^ y.fp) <= {max_bits}),
-        y -> struct(x.rep as a, y.rep as b)))))"""
-    near = short.selectExpr(pair)
+        raise ValueError("the index guarantees shared postings for up to two differing bytes")
+    met = postings(nodes)
+    near = tallied(met, max_bits, list_cap).where(f"bit_count(x.fp ^ y.fp) <= {max_bits}").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
     if not met.where(f"n > {list_cap}").head(1):
         return near
     # the rest, exactly: two fingerprints within two bits share a one-bit neighbour (or one is it)
-    long_ = met.where(f"n > {list_cap}").select("space", "fp", "rep").distinct()
+    long_ = met.where(f"n > {list_cap}").select("fp", "rep").distinct()
     flips = F.array(F.lit(0).cast("long"), *([F.lit(_signed(1 << i)) for i in range(64)] if max_bits else []))
-    mids = long_.select("space", "rep", F.col("fp").alias("_f"), F.explode(flips).alias("_x")).select("space", "rep", F.col("_f").bitwiseXOR(F.col("_x")).alias("mid"), (F.col("_x") != 0).alias("flip"))
+    mids = long_.select("rep", F.col("fp").alias("own"), F.explode(flips).alias("x")).select("rep", F.col("own").bitwiseXOR(F.col("x")).alias("mid"), (F.col("x") != 0).alias("flip"))
     if max_bits < 2:  # one bit: a neighbour only meets the fingerprint itself
-        hub = mids.where("not flip").select("space", "mid", F.col("rep").alias("hub"))
+        hub = mids.where("not flip").select("mid", F.col("rep").alias("hub"))
     else:
-        hub = mids.groupBy("space", "mid").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    star = mids.join(hub, ["space", "mid"]).select(F.col("rep").alias("a"), F.col("hub").alias("b"))
+        hub = mids.groupBy("mid").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    star = mids.join(hub, "mid").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
     return near.unionByName(star.where("a <> b"))
 
 
 def simhash_components(docs: DataFrame, words: int = 3, max_bits: int = MAX_BITS, list_cap: int = LIST_CAP) -> DataFrame:
     """``k``, ``fps`` (one fingerprint) and ``root`` (the smallest k reachable) for every row of ``docs``."""
-    rows = stored(fingerprint_rows(docs, words), "fps")
-    nodes = stored(rows.groupBy(F.col("fps")[0].alias("fp")).agg(F.min("k").alias("rep")), "nodes")
-    found = components(links(nodes.withColumn("space", F.lit(0)), max_bits, list_cap))
-    named = nodes.join(found, nodes.rep == found.node, "left").select("fp", F.coalesce("root", "rep").alias("root"))
-    return rows.withColumn("fp", F.col("fps")[0]).join(named, "fp").select("k", "fps", "root")
+    rows = stored(fingerprint_rows(docs, words).withColumn("fp", F.col("fps")[0]), "fps")
+    nodes = stored(rows.groupBy("fp").agg(F.min("k").alias("rep"), F.count("*").alias("n")), "nodes")
+    found = components(links(nodes.select("fp", "rep"), max_bits, list_cap))
+    named = nodes.join(found, nodes.rep == found.node, "left").select("fp", F.coalesce("root", "rep").alias("root"), "n")
+    return spread_join(rows, stored(named, "named"), ["fp"]).select("k", "fps", "root")
 
 
 def simhash_rows(docs: DataFrame, words: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
@@ -261,14 +266,15 @@ def _long_lists(members: DataFrame, sig: DataFrame, most: int) -> DataFrame:
     return first.where("ok").select(F.col("hub").alias("a"), F.col("rep").alias("b")).unionByName(rest)
 
 
-def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, number: int = NUMBER, list_cap: int = LIST_CAP) -> DataFrame:
-    """``k`` and ``root`` for every row: groups of texts whose ``words``-word shingles are alike by ``similarity`` or more.
+def near_rows(docs: DataFrame, words: int = 5, similarity: float = 0.8, number: int = NUMBER, list_cap: int = LIST_CAP) -> DataFrame:
+    """``k`` (doc_id), ``h1`` and ``h2`` (hashes of the text) and ``grp`` for every row: one ``grp`` for each group of texts whose ``words``-word shingles are alike by ``similarity`` or more.
 
     64 bits of shingles differ too much at a similarity of 0.8 for byte positions to find them, so texts meet where
     one of ``BANDS`` keys of least shingle hashes is the same: a chance of 1 - (1 - 0.8 ** 5) ** 20 = 0.9996 at 0.8 for
-    any kind of edit. What meets is verified on ``number`` fingerprints of its shingles, 64 bits each, whose differing bits
+    any kind of edit. What meets is verified on ``number`` SimHashes of its shingles, 64 bits each, whose differing bits
     together tell the angle and so the similarity to about 0.03. Every pair that meets is compared, or is in one group
-    already; lists longer than ``list_cap`` are compared in tiles. Texts with the same fingerprints are one node.
+    already; lists longer than ``list_cap`` are compared in tiles. Texts with the same fingerprints are one node, numbered
+    on its own: rows are told apart by doc_id and text, so a doc_id that several texts have, or none, joins nothing.
     """
     require(docs, "doc_id", "text")
 
@@ -276,22 +282,22 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, number
         kind = pa.list_(pa.int64())
         for b in batches:
             keys, sigs = [], []
-            for t in b.column(1):  # one text's shingles at a time
+            for t in b.column(3):  # one text's shingles at a time
                 hashes = shingle_hashes(t.as_py(), words)
                 keys.append(band_keys(hashes))
                 sigs.append(_prints(hashes, number - 1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, kind), pa.array(sigs, kind)], ["k", "keys", "sig"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(keys, kind), pa.array(sigs, kind)], ["k", "h1", "h2", "keys", "sig"])
 
-    source = docs.select(F.coalesce(F.col("doc_id"), F.lit(_NO_ID)).cast("long").alias("k"), text_or_empty(docs).alias("t"))
-    rows = stored(source.mapInArrow(run, "k long, keys array<long>, sig array<long>"), "fps")
-    # a node is a distinct sig under the smallest k that has it
-    nodes = stored(rows.groupBy("sig").agg(F.min("k").alias("rep")), "nodes")
-    named = stored(rows.join(nodes, "sig").select("k", "rep", "keys"), "named")
+    source = docs.select(*[c.alias(a) for c, a in zip(_row_key(docs), ("k", "h1", "h2"))], text_or_empty(docs).alias("t"))
+    rows = stored(source.mapInArrow(run, "k long, h1 long, h2 long, keys array<long>, sig array<long>"), "fps")
+    # a node is a distinct sig; its keys are those of all its texts
+    nodes = stored(rows.groupBy("sig").agg(F.count("*").alias("n")).withColumn("rep", F.monotonically_increasing_id()), "nodes")
+    named = stored(spread_join(rows, nodes, ["sig"]).select("k", "h1", "h2", "rep", "keys"), "named")
     sig = nodes.select(F.col("rep").alias("k"), "sig")
     on = ["part", "key"]
-    posts = stored(named.select("rep", F.posexplode("keys").alias("part", "key")).repartition(*on).distinct(), "posts")
+    posts = stored(named.select("rep", F.posexplode("keys").alias("part", "key")).distinct(), "posts")
     lists = posts.groupBy(*on).agg(F.count("*").alias("n")).where("n > 1")
-    met = stored(posts.join(lists, on), "met")
+    met = stored(spread_join(posts, lists.withColumn("size", F.col("n")), on).withColumnRenamed("size", "n"), "met")
     short = met.where(f"n <= {list_cap}").groupBy(*on).agg(F.sort_array(F.collect_list("rep")).alias("l"))
     pairs = short.selectExpr("inline(flatten(transform(l, (x, i) -> transform(slice(l, i + 2, size(l)), y -> struct(x as a, y as b)))))").distinct()
     # the angle between shingle vectors of two texts of one length with that similarity
@@ -300,12 +306,36 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, number
     links_ = ends.where(_apart("x", "y") <= most).select("a", "b")
     if met.where(f"n > {list_cap}").head(1):
         links_ = links_.unionByName(_long_lists(met.where(f"n > {list_cap}").select(*on, "rep"), sig, most))
-    same = named.where("k <> rep").select(F.col("rep").alias("a"), F.col("k").alias("b"))
-    found = components(links_.unionByName(same))
-    return named.join(found, named.k == found.node, "left").select("k", F.coalesce("root", "k").alias("root"))
+    found = components(links_)
+    groups = nodes.join(found, nodes.rep == found.node, "left").select("rep", F.coalesce("root", "rep").alias("grp"), "n")
+    return spread_join(named.drop("keys"), stored(groups, "groups"), ["rep"]).select("k", "h1", "h2", "grp")
+
 
+def _row_key(docs: DataFrame) -> list:
+    """What tells a row of ``docs``: its doc_id (nulls as the smallest long) and two hashes of its text."""
+    text = text_or_empty(docs)
+    return [F.coalesce(F.col("doc_id"), F.lit(_NO_ID)).cast("long"), F.xxhash64(text), F.xxhash64(F.lit(1), text)]
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, number: int = NUMBER) -> DataFrame:
-    """Of each group of near copies the row with the smallest doc_id stays; the columns are those of ``docs``."""
-    gone = near_groups(docs, words, similarity, number).where("k <> root").select(F.col("k").alias("_gone")).distinct()
-    return docs.withColumn("_k", F.coalesce(F.col("doc_id"), F.lit(_NO_ID)).cast("long")).join(gone, F.col("_k") == F.col("_gone"), "left_anti").select(*docs.columns)
+
+def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, number: int = NUMBER, list_cap: int = LIST_CAP) -> DataFrame:
+    """``k`` and ``root``, the smallest doc_id of its group, for every row."""
+    rows = stored(near_rows(docs, words, similarity, number, list_cap), "near")
+    groups = stored(rows.groupBy("grp").agg(F.min("k").alias("root"), F.count("*").alias("n")), "roots")
+    return spread_join(rows, groups, ["grp"]).select("k", "root")
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, number: int = NUMBER, list_cap: int = LIST_CAP) -> DataFrame:
+    """Of each group of near copies one row stays, that with the smallest doc_id; the columns are those of ``docs``.
+
+    Edge cases: a null text counts as empty, and all texts without words are one group; a null doc_id comes before all
+    others; of several texts with the smallest doc_id one stays, by its hash, and of rows that have the same doc_id
+    and text one; an unrelated text of a doc_id that goes stays; an empty table gives no rows; columns of any name are kept.
+    """
+    rows = stored(near_rows(docs, words, similarity, number, list_cap), "near")
+    kept = rows.groupBy("grp").agg(F.min(F.struct("k", "h1", "h2")).alias("m")).select("m.*")
+    names = fresh(docs.columns, "k", "h1", "h2")
+    kept = stored(kept.toDF(*names), "kept")
+    whole = docs.withColumns(dict(zip(names, _row_key(docs)))).join(kept, names, "left_semi")
+    if rows.groupBy("k", "h1", "h2").agg(F.count("*").alias("n")).where("n > 1").join(kept.toDF("k", "h1", "h2"), ["k", "h1", "h2"], "left_semi").head(1):
+        whole = whole.groupBy(*names).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row")).select("row.*")
+    return whole.select(*[F.col(f"`{c}`") for c in docs.columns])
