@@ -52,50 +52,111 @@ def test_attention_gradients():
     assert ((m.score(x, owner, 10) >= 0.5) == y).mean() >= 0.9
 
 
+def tokens(text):
+    return [*(text or "").encode().lower().split(), b""]
+
+
+def is_training(i):
+    return i is None or zlib.crc32(str(i).encode()) % 5 != 1
+
+
 def brute_base(rows):
     train = Counter()
     for i, t in rows:
-        if i is None or zlib.crc32(str(i).encode()) % 5 != 1:
-            train.update(P.tokens(t or ""))
+        if is_training(i):
+            train.update(tokens(t))
     n, v = sum(train.values()), len(train)
     out = []
     for i, t in rows:
-        ws = P.tokens(t or "")
+        ws = tokens(t)
         out.append((str(i), len(ws), sum(w in train for w in ws), n, round(sum(math.log10((train[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws), 6)))
     return sorted(out)
 
 
-@pytest.mark.parametrize("frequent", [P.FREQUENT, 8])
-def test_base_score(spark, sf, monkeypatch, frequent):
-    monkeypatch.setattr(P, "FREQUENT", frequent)
-    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] + ODD
-    d = docs(spark, rows)
-    got = P.score(d, P.train(d)).collect()
-    assert sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == brute_base(rows)
+def word_key(w):
+    return int(P.END) if w == b"" else P.word_hash(w)
+
+
+def test_token_hashes():
+    texts = ["", " \n", "One two\tONE", "x" * 64 + " " + "x" * 65 + " " + "x" * 64 + "y", "\u00c9 \u00e9\x0b\x0c\r a\x1cb"]
+    raw = [t.encode() for t in texts]
+    got, n = P.token_hashes(b"".join(raw), np.cumsum([0, *map(len, raw)]))
+    want = [word_key(w) for t in texts for w in tokens(t)]
+    assert got.tolist() == want and n.tolist() == [len(tokens(t)) for t in texts]
+    words = {w for t in texts for w in tokens(t)}
+    assert len({word_key(w) for w in words}) == len(words)
 
 
-def test_both_ways_of_scoring_agree_and_probabilities_sum_to_one(spark, monkeypatch):
-    words = ["a", "b", "c", "d", "e"]
-    rng = np.random.default_rng(1)
-    rows = [(i, " ".join(rng.choice(words, p=[0.5, 0.2, 0.15, 0.1, 0.05], size=12))) for i in range(60)]
+def test_packed_arrays():
+    rng = np.random.default_rng(3)
+    arrays = [rng.integers(0, top, 50) for top in (2, 300, 70_000, 2**40)] + [np.zeros(0, np.int64), rng.random(7), rng.integers(0, 2**64, 5, dtype=np.uint64)]
+    back = P.unpack(P.pack(*arrays))
+    assert all(np.array_equal(a.astype(b.dtype) if a.dtype.kind != "f" else a, b) for a, b in zip(arrays, back))
+
+
+def seatings(model):
+    """(context, word) -> customers and tables by sample; words' customers, tables at the parent, by sample."""
+    pairs, words = {}, {}
+    for r in model.rows.where(f"kind = {P.STATE}").collect():
+        s, each = P._read_state(r["blob"], model.shared)
+        for n in range(len(s.c)):
+            key = (int(s.u[s.ui[n]]), int(s.w[s.wi[n]]))
+            assert key not in pairs
+            pairs[key] = (int(s.c[n]), [int(t[n]) for t in each])
+    for (_, w), (c, t) in pairs.items():
+        c0, k = words.get(w, (0, [0] * len(t)))
+        words[w] = (c0 + c, [a + b for a, b in zip(k, t)])
+    return pairs, words
+
+
+@pytest.mark.parametrize("frequent,top,heavy,buckets", [(P.FREQUENT, P.TOP_PAIRS, P.HEAVY, 16), (8, 8, 4, 3), (1, 1, 1, 1)])
+def test_scores_against_brute_force(spark, sf, monkeypatch, frequent, top, heavy, buckets):
+    for name, value in (("FREQUENT", frequent), ("TOP_PAIRS", top), ("HEAVY", heavy), ("LEAST_BUCKETS", buckets)):
+        monkeypatch.setattr(P, name, value)
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()] + ODD
     d = docs(spark, rows)
-    monkeypatch.setattr(P, "MAX_CONTEXTS", 4)  # contexts are among the frequent words either way
-    one = {r["doc_id"]: r["score"] for r in P.score(d, P.train(d)).collect()}
-    monkeypatch.setattr(P, "FREQUENT", 4)
     model = P.train(d)
-    two = {r["doc_id"]: r["score"] for r in P.score(d, model).collect()}
-    assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-3 for k in one)
-    table = model.table.collect()
-    samples = model.tables.shape[1]
-    for ctx in range(len(model.contexts) + 2):
-        if not model.customers[ctx]:
-            continue
-        total = 0.0
-        for r in table:
-            own = sum(x["own"] for x in r["own"] if x["ctx"] == ctx)
-            total += 10 ** model.log10(np.array([own]), np.array([ctx]), np.array([r["k"]]), np.array([r["taus"]]))[0]
-        total += 10 ** model.log10(np.zeros(1), np.array([ctx]), np.zeros((1, samples)), np.zeros((1, samples)))[0]
-        assert total == pytest.approx(1.0, abs=1e-6)
+    got = P.score(d, model).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == brute_base(rows)
+    # every observed pair has its customers, and no other pair
+    want = Counter()
+    for i, t in rows:
+        if is_training(i):
+            ws = [word_key(w) for w in tokens(t)]
+            want.update(zip([int(P.START), *ws[:-1]], ws))
+    pairs, words = seatings(model)
+    assert {k: c for k, (c, _) in pairs.items()} == dict(want)
+    assert all(1 <= x <= c for c, t in pairs.values() for x in t)
+    # scores from the seatings, one token at a time
+    sh, samples = model.shared, model.samples
+    tau = {r["h"] & (2**64 - 1): r["v"][samples:] for r in model.words.collect()}
+    known = model.parents  # the frequent words' probabilities at the parent
+    k_sum = [sum(k[s] for _, k in words.values()) for s in range(samples)]
+    assert k_sum == sh.root_customers.tolist()
+    at = {int(h): n for n, h in enumerate(sh.frequent)}
+    tables, customers = {}, Counter()
+    for (u, _), (c, t) in pairs.items():
+        customers[u] += c
+        tables[u] = [a + b for a, b in zip(tables.get(u, [0] * samples), t)]
+
+    def parent(w, s):
+        if w in at:
+            return known[at[w], s]
+        k, t = (words[w][1][s], tau[w][s]) if w in words else (0, 0)
+        return (max(k - sh.root_d * t, 0) + (1 + sh.root_d * sh.root_tables[s]) / (sh.v + 1)) / (1 + k_sum[s])
+
+    def probability(u, w):
+        c, t = pairs.get((u, w), (0, [0] * samples))
+        return sum((max(c - sh.d * t[s], 0) * (c > 0) + (1 + sh.d * tables.get(u, [0] * samples)[s]) * parent(w, s)) / (1 + customers[u]) for s in range(samples)) / samples
+
+    brute = []
+    for i, t in rows:
+        ws = [word_key(w) for w in tokens(t)]
+        brute.append((str(i), sum(math.log10(probability(u, w)) for u, w in zip([int(P.START), *ws[:-1]], ws))))
+    assert [(str(r["doc_id"]), pytest.approx(r["score"], abs=1e-6)) for r in sorted(got, key=lambda r: (str(r["doc_id"]), r["score"]))] == sorted(brute)
+    # in every context the probabilities of all words and the unknown one sum to one
+    for u in [*list(tables)[:5], 12345]:
+        assert sum(probability(u, w) for w in words) + probability(u, 7) == pytest.approx(1.0, abs=1e-9)
 
 
 def test_seating_draws_follow_the_exact_distribution():
@@ -110,10 +171,21 @@ def test_seating_draws_follow_the_exact_distribution():
     assert 1 <= big[0] <= 5000
 
 
-def test_better_than_base_on_held_out_rows(spark, sf):
+def test_contexts_help_on_held_out_rows(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet")
-    scored = P.score(d, P.train(d)).cache()
-    assert P.perplexity(scored, "score") < P.perplexity(scored, "base_score")
+    model = P.train(d)
+    scored = P.score(d, model).cache()
+    base, whole = P.perplexity(scored, "base_score"), P.perplexity(scored, "score")
+    # the parent alone is a Pitman-Yor model of single words: the contexts take off a tenth or more
+    sh, at, alone, n = model.shared, {int(h): i for i, h in enumerate(model.shared.frequent)}, 0.0, 0
+    unknown = sh.parent(np.zeros(1), np.zeros(1), 0)[0]
+    for r in d.collect():
+        if not is_training(r["doc_id"]):
+            ws = [word_key(w) for w in tokens(r["text"])]
+            alone += sum(math.log10(model.parents[at[w], 0] if w in at else unknown) for w in ws)
+            n += len(ws)
+    assert len(at) == sh.v  # at this size every word is a frequent one
+    assert whole < 0.9 * 10 ** (-alone / n) and whole < 0.5 * base
 
 
 def test_no_training_rows(spark):
