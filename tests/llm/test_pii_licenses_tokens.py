@@ -47,6 +47,56 @@ def test_clean_text_has_no_spans():
         assert I.all_spans(FIELD, text, I.base_spans(text)) == []
 
 
+def _corpus(rng, n):
+    """Texts with an entity, some words, and later the entity once more in a form that no pattern takes, among other numbers."""
+    out = []
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 5))
+    for i in range(n):
+        area, mid, end = rng.integers(200, 999), rng.integers(200, 999), rng.integers(1000, 9999)
+        whole, again = [(f"+1 ({area}) {mid}-{end}", f"{area}.{mid}.{end}"), (f"u{mid}x{end}@{word()}.com", f"u{mid}x{end}@{word()}")][i % 2]
+        filler = [word() for _ in range(rng.integers(5, 60))]
+        noise = f"order {rng.integers(200, 999)}.{rng.integers(200, 999)}.{rng.integers(1000, 9999)}, year {rng.integers(1900, 2030)}"
+        out.append((" ".join(["reach", whole, "or", *filler, noise, *filler[:9], "later", again, "end"]), again))
+    return out
+
+
+def test_skip_edges_find_masked_repeats_on_held_out_texts():
+    rng = np.random.default_rng(11)
+    train, held = _corpus(rng, 120), _corpus(rng, 60)
+    field = I.fit([r for t, _ in train for r in I._training_rows(t)])
+    without = I.Field(field.unary, field.chain, 0 * field.skip)
+
+    def found(f):
+        hit = extra = 0
+        for t, again in held:
+            added = [t[s:e] for s, e, _ in I.added_spans(f, t, I.base_spans(t))]
+            hit += again in added
+            extra += len(set(added) - {again})
+        return hit / len(held), extra
+
+    assert found(field)[0] >= 0.9 and found(field)[1] <= 1
+    assert found(without)[0] <= 0.1
+
+
+def test_every_token_of_a_text_with_a_hint_is_a_node():
+    text = "Ann wrote to a.b@c.de, then Ann called 415-555-2671 twice."
+    cs = I.nodes(text, I.base_spans(text))
+    assert [text[c.start : c.end] for c in cs] == ["Ann", "wrote", "to", "a.b@c.de", "then", "Ann", "called", "415-555-2671", "twice"]
+    pairs, kinds = I.edges(text, cs)
+    assert (0, 5) in [tuple(p) for p, k in zip(pairs.tolist(), kinds.tolist()) if k]
+
+
+@pytest.mark.parametrize("unit", ["1 ", "1-", "+1", "a@", "1.", "(1) ", "x9"])
+def test_time_grows_with_the_text_alone(unit):
+    import time
+
+    text = unit * (1_000_000 // len(unit))
+    start = time.monotonic()
+    base = I.base_spans(text)
+    I.nodes(text, base)
+    assert time.monotonic() - start < 20
+
+
 def test_belief_propagation_is_exact_on_a_tree():
     import itertools
 
@@ -143,6 +193,53 @@ def test_rollup_ignores_files_of_a_failed_batch(spark, tmp_path, monkeypatch):
     assert r.apply("one", rows) and totals(r) == {("a", "en", "v"): (1, 5)}
 
 
+def test_an_overtaken_writer_changes_nothing(spark, tmp_path):
+    rows = spark.createDataFrame([("insert", 1, "a", "en", "v", 5, 0)], C)
+    more = spark.createDataFrame([("insert", 2, "a", "en", "v", 6, 0)], C)
+    r, late = TokenRollup(spark, str(tmp_path / "r")), TokenRollup(spark, str(tmp_path / "r"))
+    before = late._manifest()
+    assert r.apply("one", rows)
+    late._manifest = lambda: before
+    with pytest.raises(Exception, match="already exists"):
+        late.apply("two", more)
+    assert totals(r) == {("a", "en", "v"): (1, 5)}
+    del late._manifest
+    assert late.apply("two", more) and totals(r) == {("a", "en", "v"): (2, 11)}
+
+
+def test_rollup_compacts_by_itself(spark, tmp_path):
+    r = TokenRollup(spark, str(tmp_path / "r"), buckets=3, compact_every=2)
+    for n in range(5):
+        assert r.apply(f"b{n}", spark.createDataFrame([("insert", n % 3, "a", "en", "v", n, 0)], C))
+    assert len(r._manifest()[1]["deltas"]) <= 2 and totals(r) == {("a", "en", "v"): (3, 3 + 4 + 2)}
+    assert not any(r.apply(f"b{n}", spark.createDataFrame([("delete", 1, None, None, "v", None, 0)], C)) for n in range(5))
+
+
+def test_rollup_query_against_a_recount(spark, sf):
+    import base64
+    import os
+
+    import tiktoken
+
+    from loremill.llm import entry
+    from loremill.llm import token_counts as T
+
+    encodings = {}
+    for v, f in T.VERSIONS.items():
+        with open(os.path.join(T.TOKENIZER_DIR, f), "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        encodings[v] = tiktoken.Encoding(v, pat_str=T.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        n = {v: len(e.encode_ordinary(r["text"] or "")) for v, e in encodings.items()}
+        for v in n:
+            if v == "byte_bpe_multi_50k" or n["byte_bpe_multi_50k"] >= n["byte_bpe_50k"]:
+                d, t = want.get((r["source"], r["lang"], v), (0, 0))
+                want[r["source"], r["lang"], v] = (d + 1, t + n[v])
+    got = {(r["source"], r["lang"], r["version"]): (r["documents"], r["tokens"]) for r in entry.op1_token_rollup(spark, sf).collect()}
+    assert got == want
+
+
 def test_counts(spark):
     import tiktoken  # noqa: F401
 
@@ -154,7 +251,7 @@ def test_counts(spark):
 
 def test_similar_addresses_and_short_tokens_share_an_edge():
     def tied(a, b):
-        cs = [I.Candidate(0, 1, a, 0, False, 0), I.Candidate(9, 10, b, 0, False, 0)]
+        cs = [I.Node(0, 1, a, 0, False, 0), I.Node(9, 10, b, 0, False, 0)]
         pairs, kinds = I.edges("x" * 20, cs)
         return [tuple(p) for p, k in zip(pairs.tolist(), kinds.tolist()) if k]
 
@@ -165,5 +262,9 @@ def test_similar_addresses_and_short_tokens_share_an_edge():
 def test_training_rows_count_as_often_as_they_occur(spark):
     rows = [(i, "call 415-555-2671 now") for i in range(80)] + [(200 + i, "mail a1@example.org") for i in range(3)]
     got = I.train_field(docs(spark, rows))
-    want = I.fit([r for _, t in rows for r in I._training_rows(t)])
+    each = [r for _, t in rows for r in I._training_rows(t)]
+    once = sorted(set(each), key=repr)
+    want = I.fit(once, counts=[each.count(r) for r in once])
     assert np.allclose(got.unary, want.unary) and np.allclose(got.chain, want.chain) and np.allclose(got.skip, want.skip)
+    few, many = I.fit(once, steps=3, counts=[each.count(r) for r in once]), I.fit(each, steps=3)
+    assert np.allclose(few.unary, many.unary) and np.allclose(few.chain, many.chain) and np.allclose(few.skip, many.skip)
