@@ -48,7 +48,7 @@ from .common import drop_stored, require, stored, text_or_empty
 FREQUENT = 524_288
 TOP_PAIRS = 262_144
 HEAVY = 4096
-CHUNK_TOKENS = 2_000_000
+CHUNK_TOKENS = 1_000_000
 CHUNK_BYTES = 4 << 20
 #: Training tokens to a bucket, and the least number of buckets.
 BUCKET_TOKENS, LEAST_BUCKETS = 3_000_000, 16
@@ -447,6 +447,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[np
 def _places(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct words of a chunk with START, sorted, and the places in them of each token's context and of the token."""
     words, wi = np.unique(np.append(h, START), return_inverse=True)
+    wi = wi.astype(np.int32)
     start, wi = wi[-1], wi[:-1]
     ui = np.empty_like(wi)
     ui[1:] = wi[:-1]
@@ -465,7 +466,7 @@ def pair_rows(texts: DataFrame, shared) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, (h, sizes, _) in enumerate(_chunks(batches, 0)):
             words, ui, wi = _places(h, sizes)
-            code, c = np.unique(ui * len(words) + wi, return_counts=True)
+            code, c = np.unique(ui.astype(np.int64) * len(words) + wi, return_counts=True)
             chunk = TaskContext.get().partitionId() << 32 | number
             for t in _deal(words, shared.value, PAIRS, chunk, code // len(words), code % len(words), c):
                 yield from t.to_batches()
@@ -746,9 +747,11 @@ def text_rows(docs: DataFrame, model) -> DataFrame:
             known = np.bincount(doc, (at >= 0)[wi], minlength=len(sizes)).astype(np.int64)
             based = np.bincount(doc, np.where(at >= 0, base[at] if len(base) else 0, 0)[wi], minlength=len(sizes))
             # (pair, text) entries and how often each occurs
-            codes, pair = np.unique(ui * len(words) + wi, return_inverse=True)
+            codes, pair = np.unique(ui.astype(np.int64) * len(words) + wi, return_inverse=True)
+            del ui, wi, h
             entry, c = np.unique(pair * len(sizes) + doc, return_counts=True)
             pair, doc = entry // len(sizes), entry % len(sizes)
+            del entry
             pu, pw = codes // len(words), codes % len(words)
             common = find(top, pair_keys(words[pu], words[pw]))
             here = common[pair] >= 0
