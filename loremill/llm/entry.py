@@ -151,29 +151,26 @@ SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(shard AS INTEGER) AS shard,
 
 
 def _op4_sql() -> str:
-    from .licenses import MIN_COSINE, SIGNAL, TEMPLATES
+    from .licenses import MIN_COSINE, TEMPLATES, template_words, window_length
 
     quoted = lambda t: "'" + t.replace("'", "''") + "'"
-    notices = ", ".join(f"({n}, {quoted(lic)}, {quoted(t)})" for n, (lic, t) in enumerate((lic, t) for lic in sorted(TEMPLATES) for t in TEMPLATES[lic]))
-    words = lambda c: f"list_filter(string_split_regex(regexp_replace(lower({c}), '\\.(\\s|$)', ' ', 'g'), '[^\\p{{L}}\\p{{N}}.]+'), lambda w: w <> '')"
-    signal = quoted(SIGNAL)
+    listed = [(n, lic, template_words(t)) for n, (lic, t) in enumerate((lic, t) for lic in sorted(TEMPLATES) for t in TEMPLATES[lic])]
+    notices = ", ".join(f"({n}, {quoted(lic)}, {window_length(len(ws))}, {quoted(w)}, {ws.count(w)})" for n, lic, ws in listed for w in dict.fromkeys(ws))
     return f"""
 WITH files AS (SELECT doc_id, text, CASE WHEN doc_id % 100 = 0 THEN (doc_id // 1000) || '/LICENSE.' || doc_id WHEN doc_id % 10 = 0 THEN (doc_id // 1000) || '/' || (doc_id // 10) || '/LICENSE.' || doc_id
   ELSE (doc_id // 1000) || '/' || (doc_id // 10) || '/' || doc_id || '.txt' END AS path FROM documents),
-lines AS (SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '\r?\n')) AS line FROM files),
-units AS (SELECT doc_id, {words("line")} AS words FROM lines WHERE regexp_matches(line, {signal})),
-kinds AS (SELECT words, count(*) AS n FROM units GROUP BY 1),
-notices(notice, license, t) AS (VALUES {notices}),
-parts AS (SELECT words, n, word, count(*) AS tf FROM (SELECT words, n, unnest(words) AS word FROM kinds) GROUP BY ALL),
-tparts AS (SELECT notice, license, word, count(*) AS tf FROM (SELECT notice, license, unnest({words("t")}) AS word FROM notices) GROUP BY ALL),
-df AS (SELECT word, sum(c) AS df FROM (SELECT word, n AS c FROM parts UNION ALL SELECT word, 1 FROM tparts) GROUP BY 1),
-size4 AS (SELECT (SELECT count(*) FROM units) + (SELECT count(*) FROM notices) AS total),
-x AS (SELECT words, word, (1 + ln(tf)) * (ln((total + 1) / (df + 1.0)) + 1) AS x FROM parts JOIN df USING (word), size4),
-y AS (SELECT notice, license, word, (1 + ln(tf)) * (ln((total + 1) / (df + 1.0)) + 1) AS y FROM tparts JOIN df USING (word), size4),
-xn AS (SELECT words, sqrt(sum(x * x)) AS xn FROM x GROUP BY 1),
+seq AS (SELECT doc_id, list_filter(string_split_regex(regexp_replace(lower(coalesce(text, '')), '\\.(\\s|$)', ' ', 'g'), '[^\\p{{L}}\\p{{N}}.]+'), lambda w: w <> '') AS ws FROM files),
+notices(notice, license, half, word, tf) AS (VALUES {notices}),
+df AS (SELECT word, count(*) AS df FROM (SELECT unnest(list_distinct(ws)) AS word FROM seq) WHERE word IN (SELECT word FROM notices) GROUP BY 1),
+idf AS (SELECT word, ln(((SELECT count(*) FROM files) + 1.0) / (coalesce(df, 0) + 1.0)) + 1 AS idf FROM (SELECT DISTINCT word FROM notices) LEFT JOIN df USING (word)),
+y AS (SELECT notice, license, half, word, (1 + ln(tf)) * idf AS y FROM notices JOIN idf USING (word)),
 yn AS (SELECT notice, sqrt(sum(y * y)) AS yn FROM y GROUP BY 1),
-cos AS (SELECT words, notice, license, round(sum(x * y / yn) / any_value(xn), 9) AS cosine FROM x JOIN y USING (word) JOIN yn USING (notice) JOIN xn USING (words) GROUP BY ALL HAVING round(sum(x * y / yn) / any_value(xn), 9) >= {MIN_COSINE}),
-own AS (SELECT doc_id, max(struct_pack(c := cosine, l := license)) AS m FROM units JOIN cos USING (words) GROUP BY 1),
+windows AS (SELECT doc_id, half, ws[k * half + 1 : k * half + 2 * half] AS ws FROM (SELECT doc_id, ws, half, unnest(range(0, (len(ws) - 1) // half + 1)) AS k FROM seq, (SELECT DISTINCT half FROM notices) WHERE len(ws) > 0)),
+kinds AS (SELECT half, ws, row_number() OVER () AS kind FROM (SELECT DISTINCT half, ws FROM windows)),
+x AS (SELECT kind, half, word, (1 + ln(count(*))) * coalesce(any_value(idf), 1.0) AS x FROM (SELECT kind, half, unnest(ws) AS word FROM kinds) LEFT JOIN idf USING (word) GROUP BY 1, 2, 3),
+xn AS (SELECT kind, sqrt(sum(x * x)) AS xn FROM x GROUP BY 1),
+cos AS (SELECT kind, notice, license, round(sum(x * y / yn) / any_value(xn), 9) AS cosine FROM x JOIN y USING (half, word) JOIN yn USING (notice) JOIN xn USING (kind) GROUP BY ALL HAVING round(sum(x * y / yn) / any_value(xn), 9) >= {MIN_COSINE}),
+own AS (SELECT doc_id, max(struct_pack(c := cosine, l := license)) AS m FROM windows JOIN kinds USING (half, ws) JOIN cos USING (kind) GROUP BY 1),
 placed AS (SELECT doc_id, path, regexp_replace(path, '/?[^/]*$', '') AS dir, m.l AS license, m.c AS cosine FROM files LEFT JOIN own USING (doc_id)),
 dirs AS (SELECT dir, min(struct_pack(c := -cosine, p := path, l := license)) AS m FROM placed WHERE license IS NOT NULL AND regexp_matches(path, '(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$') GROUP BY 1),
 near AS (SELECT p.doc_id, arg_min(d.m.l, length(p.dir) - length(d.dir)) AS l, arg_min(d.m.p, length(p.dir) - length(d.dir)) AS lp FROM placed p JOIN dirs d ON p.dir = d.dir OR starts_with(p.dir, d.dir || '/') OR d.dir = '' GROUP BY 1)

@@ -1,17 +1,21 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-Every line of a text, wherever it stands, is a possible header or notice; the lines with a licence word are units.
-A unit is a vector of its words weighted by TF-IDF, the document frequencies being counted over all units of all
-texts; it gets the template of largest cosine if that is ``min_cosine`` or more. A text's own licence is that of
-its best unit. Texts are files under paths; a file without a licence of its own inherits from the nearest ancestor
+A text is its sequence of words, line breaks or not, so a notice may be wrapped or stand inside a long line. Templates
+of up to L words (L a power of two, 8 at least) are compared with windows of 2 L words, one every L words: any stretch
+of L words lies whole in one of them, a header line as well as a licence file against a template of a thousand
+words. A window is a vector of its words: 1 + ln(occurrences), times ln((texts + 1) / (texts with the word + 1)) + 1 for
+words of the templates, counted over all texts, and times 1 for words that no template has. A window gets the template
+of largest cosine if that is ``min_cosine`` or more, and a text's own licence is that of its best window.
+
+Only windows that can reach ``min_cosine`` are formed: of each template its heaviest words are taken until the squared
+weights of the others come to less than ``min_cosine`` squared; a window without any of these words stays below it, by
+Cauchy's inequality. So nothing is left out, whatever templates a caller gives.
+
+Texts are files under paths; a file without a licence of its own inherits from the nearest ancestor
 directory that has a licence file, and a directory whose licence files disagree takes the best one (largest
 cosine, then smallest path). Ancestors are an equi-join on (path prefix), one row a level, so depth is all that
-multiplies rows.
-
-Templates are short public notices under a fixed list and may be replaced; their number is checked, so sending them to
-every task is bounded. Only words that occur in a template can add to a dot product, but a unit's length counts all
-its words, each by its own document frequency; words are counted per unit on the map side first, so that a very
-common word arrives as a few sums.
+multiplies rows. The number of templates is checked, so sending their words to every task is bounded. Equal windows are
+scored once, combined on the map side.
 
 Edge cases: a null text counts as empty and has no licence of its own; a null path is the root's file and inherits
 only from the root; repeated rows each come back; an empty table gives no rows; other columns are not read.
@@ -19,10 +23,13 @@ only from the root; repeated rows each come back; an empty table gives no rows;
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+import re
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, require, stored, text_or_empty
+from .common import drop_stored, require, spread_join, stored, text_or_empty
 
 #: Notices by which licences announce themselves, in headers and in licence files, under SPDX identifiers.
 TEMPLATES = {
@@ -37,10 +44,9 @@ TEMPLATES = {
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"),
     "Proprietary": ("Copyright. All rights reserved.", "No part may be reproduced without permission."),
 }
-#: A line without any of these can't be a notice.
-SIGNAL = r"(?i)licen[cs]e|copyright|all rights reserved|creative commons|public domain|spdx|redistribution|permission is hereby"
 MIN_COSINE = 0.5
 MAX_TEMPLATES = 1000
+LEAST_WINDOW = 8
 LICENSE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$"
 
 
@@ -48,42 +54,87 @@ def _words(column):
     return F.filter(F.split(F.regexp_replace(F.lower(column), r"\.(\s|$)", " "), r"[^\p{L}\p{N}.]+"), lambda w: w != "")
 
 
-def _units(files: DataFrame) -> DataFrame:
-    """``(file, pos, words)``: each line that can be a notice."""
-    lines = files.select("file", F.posexplode(F.split("t", r"\r?\n")).alias("pos", "line")).where(F.col("line").rlike(SIGNAL))
-    return lines.select("file", "pos", _words(F.col("line")).alias("words"))
+def template_words(text: str) -> list[str]:
+    """What ``_words`` makes of a template."""
+    return [w for w in re.split(r"[^\w.]|_", re.sub(r"\.(\s|$)", " ", text.lower())) if w]
+
+
+def window_length(words: int) -> int:
+    """Half a window's length for templates of so many words."""
+    return max(LEAST_WINDOW, 1 << (words - 1).bit_length())
+
+
+def _vectors(notices: list[tuple[int, str, list[str]]], texts: int, df: dict[str, int]) -> list[tuple[int, str, int, str, float]]:
+    """``(notice, license, half, word, y)``: templates of length 1."""
+    out = []
+    for n, lic, words in notices:
+        x = {w: (1.0 + math.log(words.count(w))) * (math.log((texts + 1.0) / (df.get(w, 0) + 1.0)) + 1.0) for w in dict.fromkeys(words)}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        out += [(n, lic, window_length(len(words)), w, v / norm) for w, v in x.items()]
+    return out
+
+
+def anchors(vectors: list[tuple[int, str, int, str, float]], min_cosine: float) -> dict[int, set[str]]:
+    """By half window length the words of which a window must have one to reach ``min_cosine``."""
+    per: dict[tuple[int, int], list[tuple[float, str]]] = {}
+    for n, _, half, w, y in vectors:
+        per.setdefault((n, half), []).append((y * y, w))
+    out: dict[int, set[str]] = {}
+    for (_, half), words in per.items():
+        left = sum(y for y, _ in words)
+        for y, w in sorted(words, reverse=True):
+            if left < (min_cosine - 1e-6) ** 2:
+                break
+            out.setdefault(half, set()).add(w)
+            left -= y
+    return out
+
+
+def _windows(files: DataFrame, wanted: dict[int, set[str]]) -> DataFrame:
+    """``(file, half, words)``: every window with a wanted word, from one pass over the texts."""
+    found = files.select("file", _words(F.col("t")).alias("ws"))
+    places = []
+    for half, some in sorted(wanted.items()):
+        literals = ", ".join(f"'{w}'" for w in sorted(some))  # letters, digits and dots
+        hits = F.expr(f"filter(transform(ws, (w, i) -> if(w in ({literals}), i div {half}, -1)), k -> k >= 0)")
+        both = F.array_distinct(F.flatten(F.transform(hits, lambda k: F.array(F.greatest(k - 1, F.lit(0)).cast("int"), k.cast("int")))))
+        places.append(F.arrays_zip(F.array_repeat(F.lit(half), F.size(both)).alias("half"), both.alias("k")))
+    each = found.select("file", "ws", F.explode(F.concat(*places)).alias("x"))
+    half, k = F.col("x.half"), F.col("x.k")
+    return each.select("file", half.alias("half"), F.slice("ws", k * half + 1, half * 2).alias("words"))
 
 
 def own_licenses(files: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, min_cosine: float = MIN_COSINE) -> DataFrame:
-    """``(file, license, cosine)`` of every file that has a licence of its own; ``files`` has ``file`` (unique) and ``t``."""
-    spark: SparkSession = files.sparkSession
+    """``(file, license, cosine)`` of every file that has a licence of its own; ``files`` has ``file``, which rows repeated whole share, and ``t``."""
+    spark = files.sparkSession
     templates = TEMPLATES if templates is None else templates
-    notices = [(n, lic, text) for n, (lic, text) in enumerate((lic, t) for lic in sorted(templates) for t in templates[lic])]
+    notices = [(n, lic, template_words(text)) for n, (lic, text) in enumerate((lic, t) for lic in sorted(templates) for t in templates[lic])]
     if len(notices) > MAX_TEMPLATES:
         raise ValueError(f"at most {MAX_TEMPLATES} templates")
-    # equal notices are scored once: units collapse to distinct word sequences with their number
-    units = stored(_units(files.where(F.col("t").rlike(SIGNAL))), "units")
-    kinds = stored(units.groupBy("words").agg(F.count("*").alias("n")).withColumn("kind", F.monotonically_increasing_id()), "kinds")
-    total = (units.count() or 0) + len(notices)
-    base = spark.createDataFrame(notices, "notice int, license string, text string").select("notice", "license", _words(F.col("text")).alias("words"))
-    parts = kinds.select("kind", "n", F.explode("words").alias("word")).groupBy("kind", "n", "word").agg(F.count("*").alias("tf"))
-    tparts = base.select("notice", "license", F.explode("words").alias("word")).groupBy("notice", "license", "word").agg(F.count("*").alias("tf"))
-    df = parts.select("word", F.col("n").alias("c")).unionByName(tparts.select("word", F.lit(1).cast("long").alias("c"))).groupBy("word").agg(F.sum("c").alias("df"))
-    weigh = (F.lit(1.0) + F.log("tf")) * (F.log(F.lit(float(total + 1)) / (F.col("df") + F.lit(1.0))) + F.lit(1.0))
-    vectors = parts.join(df, "word").select("kind", "word", weigh.alias("x"))
-    tvectors = tparts.join(df, "word").select("notice", "license", "word", weigh.alias("y"))
-    tnorm = tvectors.groupBy("notice").agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("yn"))
-    known = tvectors.join(tnorm, "notice").select("notice", "license", "word", (F.col("y") / F.col("yn")).alias("y"))
-    vectors = stored(vectors, "vectors")
-    norm = vectors.groupBy("kind").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("xn"))
-    dots = vectors.join(F.broadcast(known), "word").groupBy("kind", "notice", "license").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+    vocabulary = spark.createDataFrame([(w,) for w in sorted({w for _, _, ws in notices for w in ws})], "word string")
+    # in how many texts each template word stands, and how many texts there are
+    each = files.select(F.explode(F.concat(F.array(F.lit("")), F.array_distinct(_words(F.col("t"))))).alias("word"))
+    counted = {r["word"]: r["n"] for r in each.join(F.broadcast(vocabulary.unionByName(spark.createDataFrame([("",)], "word string"))), "word").groupBy("word").agg(F.count("*").alias("n")).collect()}
+    total = counted.get("", 0)
+    vectors = _vectors([n for n in notices if n[2]], total, counted)
+    wanted = anchors(vectors, min_cosine)
+    if not wanted:
+        return files.select("file", F.lit("").alias("license"), F.lit(0.0).alias("cosine")).where(F.lit(False))
+    units = stored(_windows(files, wanted), "windows")
+    # equal windows are scored once
+    kinds = stored(units.groupBy("half", "words").agg(F.count("*").alias("n")).withColumn("kind", F.monotonically_increasing_id()), "kinds")
+    parts = kinds.select("kind", "half", F.explode("words").alias("word")).groupBy("kind", "half", "word").agg(F.count("*").alias("tf"))
+    idf = spark.createDataFrame([(w, math.log((total + 1.0) / (counted.get(w, 0) + 1.0)) + 1.0) for w in sorted({v[3] for v in vectors})], "word string, idf double")
+    weighed = stored(parts.join(F.broadcast(idf), "word", "left").select("kind", "half", "word", ((F.lit(1.0) + F.log("tf")) * F.coalesce("idf", F.lit(1.0))).alias("x")), "weights")
+    norm = weighed.groupBy("kind").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("xn"))
+    known = spark.createDataFrame(vectors, "notice int, license string, half int, word string, y double")
+    dots = weighed.join(F.broadcast(known), ["half", "word"]).groupBy("kind", "notice", "license").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
     scored = dots.join(norm, "kind").select("kind", "license", F.round(F.col("dot") / F.col("xn"), 9).alias("cosine")).where(F.col("cosine") >= min_cosine)
-    best = scored.groupBy("kind").agg(F.max_by(F.col("license"), F.struct("cosine", F.col("license"))).alias("license"), F.max("cosine").alias("cosine"))
-    named = kinds.join(best, "kind").select("words", "license", "cosine")
-    found = units.join(named, "words")
-    top = found.groupBy("file").agg(F.max(F.struct("cosine", F.col("license"))).alias("m"))
+    best = scored.groupBy("kind").agg(F.max(F.struct("cosine", F.col("license"))).alias("m"))
+    named = stored(kinds.join(best, "kind").select("half", "words", "m", "n"), "named")
+    top = spread_join(units, named, ["half", "words"]).groupBy("file").agg(F.max("m").alias("m"))
     out = stored(top.select("file", F.col("m.license").alias("license"), F.col("m.cosine").alias("cosine")), "own")
-    drop_stored(units, kinds, vectors)
+    drop_stored(units, kinds, weighed, named)
     return out
 
 
@@ -109,7 +160,7 @@ def scan_licenses(files: DataFrame, templates: dict[str, tuple[str, ...]] | None
     require(files, "doc_id", "path", "text")
     rows = files.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("path", F.lit("")).alias("path"), text_or_empty(files).alias("t"))
     texts = rows.select(F.unhex(F.sha2(F.concat_ws("\u0001", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "path", "t"), 256)).alias("file"), "doc_id", "path", "t")
-    own = own_licenses(texts.select("file", "t").where(F.col("t").rlike(SIGNAL)).dropDuplicates(["file"]), templates, min_cosine)
+    own = own_licenses(texts.select("file", "t"), templates, min_cosine)
     placed = stored(texts.select("file", "doc_id", "path").join(own, "file", "left"), "placed")
     dirs = stored(directory_licenses(placed.where("license is not null").select("path", "license", "cosine")), "dirs")
     # each directory's nearest ancestor with a licence: directories are far fewer than files

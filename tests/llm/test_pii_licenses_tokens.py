@@ -145,6 +145,38 @@ def test_licenses(spark):
         Z.scan_licenses(df, {str(i): ("x",) for i in range(Z.MAX_TEMPLATES + 1)})
 
 
+def test_notices_in_long_lines_and_over_lines(spark):
+    rng = np.random.default_rng(4)
+    prose = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(n))
+    files = [
+        (1, "a.py", prose(300) + " No part may be reproduced without permission. " + prose(300)),
+        (2, "b.py", "/* This work is licensed under\n * the GNU General\n * Public License, version 3. */\n" + prose(50)),
+        (3, "c.py", prose(700)),
+        (4, "d.py", prose(90) + "\n" + "You can redistribute it and/or modify it under the terms\nof the GNU General Public License as published by the Free Software\nFoundation, either version 3 of the License\n" + prose(9)),
+    ]
+    df = spark.createDataFrame(files, "doc_id long, path string, text string")
+    assert {r["doc_id"]: r["license"] for r in Z.scan_licenses(df).collect()} == {1: "Proprietary", 2: "GPL-3.0", 3: None, 4: "GPL-3.0"}
+    # a caller's own templates: a whole file, and one of words that no built-in template has
+    whole = prose(200)
+    mine = {"X-1": (whole,), "X-2": ("zwei drei vier",)}
+    df = spark.createDataFrame([(1, "LICENSE", "intro\n" + whole.replace(" ", "\n") + " " + prose(20)), (2, "x/y", prose(30) + " zwei\ndrei vier " + prose(30)), (3, "x/z", whole[: len(whole) // 6])], "doc_id long, path string, text string")
+    got = {r["doc_id"]: (r["license"], r["how"]) for r in Z.scan_licenses(df, mine).collect()}
+    assert got == {1: ("X-1", "own"), 2: ("X-2", "own"), 3: ("X-1", "inherited")}
+
+
+def test_scan_against_all_windows(spark, sf):
+    import duckdb
+
+    from loremill.llm import entry
+
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    cols = ["doc_id", "path", "license", "how", "cosine", "license_path"]
+    want = sorted(map(str, con.sql(f"select {', '.join(cols)} from ({entry.oracle_sql()['op4_license_scan']})").fetchall()))
+    got = sorted(str(tuple(r)) for r in entry.op4_license_scan(spark, sf).select(*cols).collect())
+    assert got == want and any("own" in r for r in got)
+
+
 def test_document_paths_cover_all(spark, sf):
     table = spark.read.parquet(f"{sf}/documents.parquet")
     rows = Z.scan_licenses(Z.document_paths(table)).collect()
