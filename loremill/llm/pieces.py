@@ -2,19 +2,19 @@
 
 The vocabulary is a public SentencePiece BPE model whose path is a parameter; nothing is trained. Merges are
 taken from an agenda in the model's order; with ``dropout`` > 0 each candidate that comes up is skipped when a
-hash keyed by (seed, variant, segment, place, merged piece) falls under it, so one text has many segmentations
-made of the model's own merges, the same ones on every run. The variant changes along a text and from document to
-document among ``variants``, which keeps segments cacheable. With dropout 0 the ids are those of the
-stock encoder.
+hash keyed by (seed, document, place in the text, place in the segment, merged piece) falls under it. Every occurrence of a
+word thus has draws of its own: one text has as many segmentations as seeds allow, made of the model's own
+merges, the same ones on every run. With dropout 0 the ids are those of the stock encoder.
 
 No piece crosses a space, so a text is cut before runs of spaces and at line ends, and segments are encoded
-on their own; segments that were met before come from a cache of bounded size, and the new ones of a few hundred
-documents are encoded side by side: each round takes the best candidate of every segment's agenda. A character that the model lacks
-becomes its UTF-8 bytes, and so does the visible-space character U+2581 itself, which the stock encoder
-would turn into a space; hence decoding gives back every text exactly.
-
-Edge cases: a null text counts as empty and has no tokens; repeated rows each come back; an empty table gives no
-rows; other columns are kept by ``encode`` and not read by the query.
+on their own. What the agenda of a segment pops when nothing is skipped is kept in a cache of bounded size, with the
+resulting ids; an occurrence none of whose draws along that way is a skip has these ids, and only the others work off
+an agenda of their own, many side by side: each round takes the best candidate of every segment's agenda. A character
+that the model lacks becomes its UTF-8 bytes, and so does the visible-space character U+2581 itself, which the stock
+encoder would turn into a space; hence decoding gives back every text exactly.
+
+Edge cases: a null text counts as empty and has no tokens; a null doc_id counts as document 0; repeated rows each
+come back; an empty table gives no rows; other columns are kept by ``encode``, whatever their names, and not read by the query.
 """
 
 from __future__ import annotations
@@ -24,24 +24,28 @@ import os
 import re
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import require, text_or_empty
+from .common import fresh, require, text_or_empty
 
 MODEL_PATH = os.path.join("/opt/tokenizers", "piece_bpe_32k.model")
-DROPOUT, SEED, VARIANTS = 0.1, 17, 4
-#: Segments in each half of each variant's cache, if one chunk has not more.
-CACHE_SEGMENTS = 50_000
+DROPOUT, SEED = 0.1, 17
+#: Segments in the cache, if one chunk has not more.
+CACHE_SEGMENTS = 200_000
+#: Occurrences whose draws are made at a time.
+DRAWS = 1 << 18
 CHUNK_CHARS = 1 << 20
 #: Rows of a batch that are encoded before they are handed on.
-OUT_ROWS = 1000
+OUT_ROWS, OUT_BYTES = 1000, 1 << 28
 _SPACE = "▁"
 _SEGMENT = re.compile(r" *[^ \n]+| +|\n")
 #: Segments of up to so many letters are encoded side by side.
@@ -113,19 +117,17 @@ class Pieces:
                 out.append(i)
         return out
 
-    def segment(self, segment: str, dropout: float = 0.0, seed: int = SEED, variant: int = 0) -> list[int]:
+    def segment(self, segment: str, dropout: float = 0.0, key: int = 0) -> list[int]:
         """Ids of one segment, by an agenda of candidate merges: the best score first, then the leftmost."""
-        ids = self.start(segment)
-        limit = int(dropout * 65536)
-        return ids if len(ids) < 2 else self._long(ids, limit, self.key(segment, seed, variant) if limit else 0)
+        return self._long(self.start(segment), int(dropout * 65536), key)
 
-    @staticmethod
-    def key(segment: str, seed: int, variant: int) -> int:
-        return xxhash.xxh64_intdigest(segment.encode(), (seed * 1_000_003 + variant) & _M64)
+    def segments(self, segments: list[str], dropout: float = 0.0, keys: np.ndarray | None = None, way: list | None = None) -> list[bytes]:
+        """``segment`` for many non-empty ones at once, ids as little-endian int32: short ones of known letters as rows of arrays, the others one by one.
 
-    def segments(self, segments: list[str], dropout: float = 0.0, seed: int = SEED, variant: int = 0) -> list[bytes]:
-        """``segment`` for many non-empty ones at once, ids as little-endian int32: short ones of known letters as rows of arrays, the others one by one."""
+        ``way`` takes arrays (segment, merged piece, place) of all that the agendas popped, in order within a segment.
+        """
         out: list[bytes | None] = [None] * len(segments)
+        limit = int(dropout * 65536)
         sizes = np.fromiter(map(len, segments), dtype=np.int64, count=len(segments))
         codes = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         known = self.letters[codes]
@@ -136,15 +138,21 @@ class Pieces:
             pick = np.flatnonzero((sizes > low) & (sizes <= high) & ~strange)
             low = high
             if len(pick):
-                keys = np.fromiter((self.key(segments[i], seed, variant) for i in pick), dtype=np.uint64, count=len(pick)) if dropout else None
                 cols = starts[pick][:, None] + np.arange(high)[None, :]
                 inside = np.arange(high)[None, :] < sizes[pick][:, None]
                 rows = np.where(inside, known[np.minimum(cols, len(known) - 1)], -1)
-                for i, ids in zip(pick.tolist(), self._rows(rows, int(dropout * 65536), keys)):
+                popped: list | None = [] if way is not None else None
+                for i, ids in zip(pick.tolist(), self._rows(rows, limit, keys[pick] if limit else None, popped)):
                     out[i] = ids
+                if way is not None:
+                    way += [(pick[r], m, i) for r, m, i in popped]
         for i, ids in enumerate(out):
             if ids is None:
-                out[i] = np.array(self.segment(segments[i], dropout, seed, variant), dtype="<i4").tobytes()
+                popped = [] if way is not None else None
+                out[i] = np.array(self._long(self.start(segments[i]), limit, int(keys[i]) if limit else 0, popped), dtype="<i4").tobytes()
+                if popped:
+                    m, at = zip(*popped)
+                    way.append((np.full(len(m), i), np.array(m, dtype=np.int32), np.array(at)))
         return out
 
     def _find(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,7 +162,7 @@ class Pieces:
         hit = (self.pair_keys[at] == key) & (a >= 0) & (b >= 0)
         return np.where(hit, self.pair_ranks[at], np.inf).astype(np.float32), np.where(hit, self.pair_made[at], -1)
 
-    def _rows(self, ids: np.ndarray, limit: int, keys: np.ndarray | None) -> list[bytes]:
+    def _rows(self, ids: np.ndarray, limit: int, keys: np.ndarray | None, popped: list | None = None) -> list[bytes]:
         """Work off the agendas of many rows, one candidate of each a round; -1 fills a row's end.
 
         Symbols stay where they are and are linked; a merged right symbol becomes -1. The last column is a sentinel.
@@ -189,6 +197,8 @@ class Pieces:
                 open_ = open_ & ~skip
             row = base[: len(live)][open_]
             i, m = best[open_], flat_made[at[open_]]
+            if popped is not None:
+                popped.append((live[open_], m, i))
             i_at = row + i
             j_at = row + flat_after[i_at]
             k = flat_after[j_at]
@@ -200,7 +210,7 @@ class Pieces:
             flat_ranks[p_at], flat_made[p_at] = self._find(flat_ids[p_at], m)
         return done
 
-    def _long(self, ids: list[int], limit: int, key: int) -> list[int]:
+    def _long(self, ids: list[int], limit: int, key: int, popped: list | None = None) -> list[int]:
         """The agenda as a heap over linked symbols, for segments of any length."""
         merges, ranks, n = self.merges, self.ranks, len(ids)
         agenda = []
@@ -215,6 +225,8 @@ class Pieces:
                 continue
             if limit and _mix_one(key, made, i) < limit:
                 continue
+            if popped is not None:
+                popped.append((made, i))
             ids[i], ids[j] = made, -1
             k = after[i] = after[j]
             if k < n:
@@ -230,57 +242,100 @@ class Pieces:
         return b"".join(map(self.raw.__getitem__, ids)).decode()[1:]
 
 
+class _Ways:
+    """What agendas without a skip pop, and the ids they end with, for up to ``CACHE_SEGMENTS`` segments or those of one chunk."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.blobs: list[bytes] = []
+        self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.made, self.place = np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def numbers(self, segments: list[str]) -> np.ndarray:
+        """Each segment's number; new ones are learned first."""
+        new = set(segments).difference(self.known)
+        if new:
+            if self.known and len(self.known) + len(new) > CACHE_SEGMENTS:
+                self.clear()
+                new = set(segments)
+            self._learn(sorted(new))
+        return np.fromiter(map(self.known.__getitem__, segments), dtype=np.int64, count=len(segments))
+
+    def _learn(self, new: list[str]) -> None:
+        way: list = []
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+        self.blobs += self.pieces.segments(new, way=way)
+        at, made, place = (np.concatenate(x) for x in zip(*way)) if way else (np.zeros(0, np.int64),) * 3
+        by = np.argsort(at, kind="stable")
+        count = np.bincount(at, minlength=len(new)).astype(np.int64)
+        self.first = np.concatenate([self.first, len(self.made) + np.cumsum(count) - count])
+        self.count = np.concatenate([self.count, count])
+        self.made = np.concatenate([self.made, made[by].astype(np.int32)])
+        self.place = np.concatenate([self.place, place[by].astype(np.int32)])
+
+    def skipped(self, numbers: np.ndarray, keys: np.ndarray, limit: int) -> np.ndarray:
+        """Which occurrences have a skip among the draws along their segment's way."""
+        out = np.zeros(len(numbers), dtype=bool)
+        for at in range(0, len(numbers), DRAWS):
+            n, k = numbers[at : at + DRAWS], keys[at : at + DRAWS]
+            count = self.count[n]
+            whose = np.repeat(np.arange(len(n)), count)
+            step = np.arange(len(whose)) - np.repeat(np.cumsum(count) - count - self.first[n], count)
+            out[at + whose[_mix(k[whose], self.made[step], self.place[step]) < limit]] = True
+        return out
+
+
 class Encoder:
     """Encodes texts with a bounded cache of segments. Pickles without the vocabulary and the cache."""
 
-    def __init__(self, model_path: str = MODEL_PATH, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
-        if not 0 <= dropout < 1 or variants < 1:
-            raise ValueError("dropout is in [0, 1), variants at least 1")
-        self.model_path, self.dropout, self.seed, self.variants = model_path, dropout, seed, variants if dropout else 1
+    def __init__(self, model_path: str = MODEL_PATH, dropout: float = DROPOUT, seed: int = SEED):
+        if not 0 <= dropout < 1:
+            raise ValueError("dropout is in [0, 1)")
+        self.model_path, self.dropout, self.seed = model_path, dropout, seed
         self.pieces: Pieces | None = None
 
     def __getstate__(self) -> dict:
-        return {k: self.__dict__[k] for k in ("model_path", "dropout", "seed", "variants")} | {"pieces": None}
+        return {k: self.__dict__[k] for k in ("model_path", "dropout", "seed")} | {"pieces": None}
 
     def open(self) -> Pieces:
         if self.pieces is None:
-            key = (self.model_path, self.dropout, self.seed, self.variants)
-            if key not in _OPEN:
+            if self.model_path not in _OPEN:
                 _OPEN.clear()
-                _OPEN[key] = (Pieces(self.model_path), [{} for _ in range(self.variants)], [{} for _ in range(self.variants)])
-            self.pieces, self.cache, self.older = _OPEN[key]
+                _OPEN[self.model_path] = _Ways(Pieces(self.model_path))
+            self.ways = _OPEN[self.model_path]
+            self.pieces = self.ways.pieces
         return self.pieces
 
-    def _learn(self, wanted: set[str], v: int) -> None:
-        """See that the cache of variant ``v`` has all of ``wanted``."""
-        known, older = self.cache[v], self.older[v]
-        new = wanted.difference(known)
-        if not new:
-            return
-        if len(known) + len(new) > CACHE_SEGMENTS and known:  # the older half goes, what is wanted is taken over
-            older = self.older[v] = known
-            known = self.cache[v] = {}
-            new = wanted
-        kept = new.intersection(older)
-        known.update((s, older[s]) for s in kept)
-        new = sorted(new - kept)
-        known.update(zip(new, self.pieces.segments(new, self.dropout, self.seed, v)))
+    def keys(self, document: int, n: int) -> np.ndarray:
+        """The key of each of a document's first ``n`` segments."""
+        start = xxhash.xxh64_intdigest((document & _M64).to_bytes(8, "little"), self.seed & _M64)
+        with np.errstate(over="ignore"):
+            h = np.uint64(start) + np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return h ^ (h >> np.uint64(32))
 
     def encode_many(self, texts: list[str], documents: list[int]) -> list[bytes]:
-        """Ids of each text, as little-endian int32; ``documents`` are numbers that choose where each text's variants begin."""
-        self.open()
-        n = self.variants
+        """Ids of each text, as little-endian int32; ``documents`` are the numbers that their draws are keyed by."""
+        pieces, limit = self.open(), int(self.dropout * 65536)
         cut = [_SEGMENT.findall(" " + t) if t else [] for t in texts]
-        first = [(d * 2654435761 >> 8) % n for d in documents]
-        for v in range(n):
-            self._learn(set().union(*(segs[(v - f) % n :: n] for segs, f in zip(cut, first))), v)
-        get = [c.__getitem__ for c in self.cache]
-        out = []
-        for segs, f in zip(cut, first):
-            found = [b""] * len(segs)
-            for k in range(n):
-                found[k::n] = map(get[(f + k) % n], segs[k::n])
-            out.append(b"".join(found))
+        flat = list(chain.from_iterable(cut))
+        numbers = self.ways.numbers(flat)
+        found = list(map(self.ways.blobs.__getitem__, numbers.tolist()))
+        if limit and flat:
+            keys = np.concatenate([self.keys(d, len(c)) for d, c in zip(documents, cut)])
+            own = np.flatnonzero(self.ways.skipped(numbers, keys, limit))
+            for at in range(0, len(own), DRAWS):
+                some = own[at : at + DRAWS].tolist()
+                for i, ids in zip(some, pieces.segments([flat[i] for i in some], self.dropout, keys[some])):
+                    found[i] = ids
+        out, at = [], 0
+        for c in cut:
+            out.append(b"".join(found[at : at + len(c)]))
+            at += len(c)
         return out
 
     def encode(self, text: str, document: int = 0) -> list[int]:
@@ -299,8 +354,8 @@ class Encoder:
         yield from self.encode_many(some, ids)
 
 
-#: What a worker keeps from task to task: the vocabulary and two halves of a cache for each variant.
-_OPEN: dict[tuple, tuple] = {}
+#: What a worker keeps from task to task: the vocabulary and the cache.
+_OPEN: dict[str, _Ways] = {}
 
 
 def encode(docs: DataFrame, encoder: Encoder | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -309,12 +364,18 @@ def encode(docs: DataFrame, encoder: Encoder | None = None, id_col: str = "doc_i
     encoder = encoder or Encoder()
     docs = docs.drop("token_ids")
     at = docs.columns.index(text_col)
-    rows = docs.withColumn("_number", F.coalesce(F.col(id_col), F.lit(0)).cast("long"))
+    rows = docs.withColumn(fresh(docs.columns, "number")[0], F.coalesce(F.col(id_col), F.lit(0)).cast("long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, OUT_ROWS):
-                b = whole.slice(start, OUT_ROWS)
+            # so few rows at a time that places in their ids fit 32 bits: there are no more ids than bytes, with the space in front
+            sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(whole.column(at)), 0), dtype=np.int64) + 1)
+            start = 0
+            while start < whole.num_rows:
+                before = sizes[start - 1] if start else 0
+                n = max(1, min(OUT_ROWS, int(np.searchsorted(sizes, before + OUT_BYTES)) - start))
+                b = whole.slice(start, n)
+                start += n
                 raw = list(encoder.stream([t or "" for t in b.column(at).to_pylist()], b.column(b.num_columns - 1).to_pylist()))
                 ends = np.cumsum([0, *(len(x) // 4 for x in raw)], dtype=np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), dtype="<i4")))
