@@ -408,7 +408,10 @@ def train_field(docs: DataFrame, max_train: int = MAX_TRAIN) -> Field:
     """Fit on at most ``max_train`` texts that hold a digit or an at sign, those with the smallest hash."""
     require(docs, "doc_id", "text")
     some = docs.select(F.xxhash64("doc_id", "text").alias("h"), text_or_empty(docs).alias("t")).where(F.col("t").rlike("[0-9@]"))
-    texts = some.orderBy("h").limit(max_train).select("t")
+    least = some.select("h").orderBy("h").limit(max_train).agg(F.max("h")).first()[0]  # only hashes are put in order
+    if least is None:
+        return fit([])
+    texts = some.where(F.col("h") <= least).select("t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
