@@ -80,11 +80,22 @@ class Knowledge:
     def without_project(self, project: str) -> Knowledge:
         keep = lambda df: df.where(~F.coalesce(F.col("project") == project, F.lit(False)))
         gone = self.atoms.where(F.col("project") == project).select("id")
-        return Knowledge(keep(self.atoms), R.cascade_delete(self.links, gone, "source_id", "target_id"), keep(self.sessions) if self.sessions is not None else None, self.diagnostics)
+        return Knowledge(keep(self.atoms), R.cascade_delete(self.links, gone, "source_id", "target_id"), keep(self.sessions) if self.sessions is not None else None, self._diagnosed(self.diagnostics, gone))
+
+    def without_path(self, path: str) -> Knowledge:
+        """Without the atoms of a file that is gone, and all that points at them."""
+        gone = self.atoms.where(F.col("source_path") == path).select("id")
+        diags = self.diagnostics.where(~F.coalesce(F.col("source_path") == path, F.lit(False))) if self.diagnostics is not None else None
+        return Knowledge(self.atoms.where(F.col("source_path") != path), R.cascade_delete(self.links, gone, "source_id", "target_id"), self.sessions, self._diagnosed(diags, gone))
 
     def without_atom(self, id: str) -> Knowledge:
         gone = self.atom(id).select("id")
-        return Knowledge(self.atoms.where(F.col("id") != id), R.cascade_delete(self.links, gone, "source_id", "target_id"), self.sessions, self.diagnostics)
+        return Knowledge(self.atoms.where(F.col("id") != id), R.cascade_delete(self.links, gone, "source_id", "target_id"), self.sessions, self._diagnosed(self.diagnostics, gone))
+
+    @staticmethod
+    def _diagnosed(diagnostics: DataFrame | None, gone: DataFrame) -> DataFrame | None:
+        """``diagnostics`` without those of gone atoms."""
+        return None if diagnostics is None else diagnostics.join(gone.select(F.col("id").alias("atom_id")), "atom_id", "left_anti").select(*diagnostics.columns)
 
     def with_body(self, id: str, body: str) -> Knowledge:
         if body is None:

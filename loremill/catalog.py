@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from .functions import text as X
 from .model import ATOM_TYPES, LINK_TYPES, SCOPES
+from .api import Knowledge
+from .functions.porter import stem as porter_stem
 from .operators import atoms as A
 from .operators import links as L
 from .operators import reindex as R
 from .operators import search as S
 from .operators import sessions as SS
 from .operators import tasks as T
+from .operators.index import SearchIndex
 from .sources import driver_views as V
 from .sources.driver_views import with_views
 from .sources.files import split_sections
@@ -79,7 +82,8 @@ def projects(spark, d):
 
 @query(f"SELECT id, source_path FROM v_atoms WHERE project IS DISTINCT FROM '{PROJECT}'", "v_atoms")
 def project_delete_view(spark, d):
-    return V.atoms(spark, d).where(~F.coalesce(F.col("project") == PROJECT, F.lit(False))).select("id", "source_path")
+    links = spark.createDataFrame([], "source_id string, target_id string, link_type string, confidence double")
+    return Knowledge(V.atoms(spark, d), links).without_project(PROJECT).atoms.select("id", "source_path")
 
 
 # --- statistics ----------------------------------------------------------------------------------
@@ -271,11 +275,16 @@ def strip_frontmatter(spark, d):
 _GREET = "(hey|hi|hello|please|can you|could you|i want to|i need to|help me)"
 
 
-@query(f"""WITH a AS (SELECT conv_id, turn, text, regexp_replace(regexp_replace(concat(CASE conv_id % 3 WHEN 0 THEN 'Please ' WHEN 1 THEN 'hi  ' ELSE '' END, text), '^\\s+|\\s+$', '', 'g'), '(?i)^{_GREET}\\s+', '') AS t FROM conversations),
+def _titled(rows: str, keys: str) -> str:
+    """SQL for the titles of ``rows`` (``keys`` and first): greeting, capital, sentence, word."""
+    return f"""WITH a AS (SELECT *, regexp_replace(regexp_replace(first, '^\\s+|\\s+$', '', 'g'), '(?i)^{_GREET}\\s+', '') AS t FROM ({rows})),
 b AS (SELECT *, upper(left(t, 1)) || substr(t, 2) AS u FROM a), c AS (SELECT *, length(regexp_extract(u, '^([^.!?\\n]*)[.!?\\n]', 1)) AS e, regexp_matches(u, '[.!?\\n]') AS has FROM b),
 e AS (SELECT *, CASE WHEN has AND e > 0 AND e <= 80 THEN left(u, e) ELSE u END AS w FROM c),
 f AS (SELECT *, CASE WHEN contains(left(w, 61), ' ') THEN length(regexp_extract(left(w, 61), '^((?s:.)*) ', 1)) ELSE -1 END AS cut FROM e)
-SELECT conv_id, turn, CASE WHEN length(w) > 65 THEN left(w, CASE WHEN cut > 20 THEN cut ELSE 60 END) || '...' ELSE w END AS title FROM f""")
+SELECT {keys}, CASE WHEN length(w) > 65 THEN left(w, CASE WHEN cut > 20 THEN cut ELSE 60 END) || '...' ELSE w END AS title FROM f"""
+
+
+@query(_titled("SELECT conv_id, turn, concat(CASE conv_id % 3 WHEN 0 THEN 'Please ' WHEN 1 THEN 'hi  ' ELSE '' END, text) AS first FROM conversations", "conv_id, turn"))
 def generate_title(spark, d):
     first = F.concat(F.expr("case conv_id % 3 when 0 then 'Please ' when 1 then 'hi  ' else '' end"), "text")
     return V.table(spark, d, "conversations").select("conv_id", "turn", X.generate_title(first).alias("title"))
@@ -323,9 +332,9 @@ def infer_related_tags(spark, d):
     return rows.select("a", "b", F.round(L.tag_confidence(F.col("shared")), 6).alias("confidence"))
 
 
-@query("SELECT page_id, array_to_string(list_filter(list_transform(string_split(html[1:200], ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS items FROM pages")
+@query("SELECT page_id, array_to_string(list_filter(list_transform(string_split(html, ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS items FROM pages")
 def csv_list(spark, d):
-    return V.table(spark, d, "pages").select("page_id", F.array_join(X.comma_list(F.left("html", F.lit(200))), "|").alias("items"))
+    return V.table(spark, d, "pages").select("page_id", F.array_join(X.comma_list(F.col("html")), "|").alias("items"))
 
 
 # --- pair rules ------------------------------------------------------------------------------------
@@ -342,6 +351,59 @@ def infer_same_project(spark, d):
     return L.same_project(V.atoms(spark, d))
 
 
+@query(""", a AS (SELECT ingest_seq AS s, id, title, body, atom_type, project, source_path, ['k' || (ingest_seq % 90), 'm' || (ingest_seq % 45), 'n' || (ingest_seq % 60)] AS tags FROM v_atoms),
+tg AS (SELECT s, unnest(list_distinct(tags)) AS tag FROM a),
+r AS (SELECT a.s AS a, b.s AS b, 1 AS rule, least(0.9, 0.3 + 0.15 * count(*)) AS confidence FROM tg a JOIN tg b ON a.tag = b.tag AND a.s < b.s GROUP BY 1, 2 HAVING count(*) >= 2
+  UNION ALL SELECT a.s, b.s, 2, 0.6 FROM a JOIN a b ON a.s < b.s AND length(a.title) > 8 AND b.atom_type <> 'plan' AND contains(lower(b.body), lower(a.title))
+  UNION ALL SELECT a.s, b.s, 3, 0.3 FROM a JOIN a b ON a.project = b.project AND a.s < b.s AND a.source_path <> b.source_path AND a.atom_type <> 'plan' AND b.atom_type <> 'plan'),
+one AS (SELECT a, b, min(struct_pack(rule := rule, confidence := confidence)) AS r FROM r GROUP BY 1, 2)
+SELECT CASE WHEN r.rule = 2 THEN y.id ELSE x.id END AS source_id, CASE WHEN r.rule = 2 THEN x.id ELSE y.id END AS target_id, CASE WHEN r.rule = 2 THEN 'references' ELSE 'related' END AS link_type, round(r.confidence, 6)::DOUBLE AS confidence
+FROM one JOIN a x ON x.s = one.a JOIN a y ON y.s = one.b WHERE x.source_path <> y.source_path""", "v_atoms")
+def infer_links(spark, d):
+    tags = F.expr("array(concat('k', ingest_seq % 90), concat('m', ingest_seq % 45), concat('n', ingest_seq % 60))")
+    return L.infer(V.atoms(spark, d).withColumn("tags", tags)).withColumn("confidence", F.round("confidence", 6))
+
+
+# --- changes through the interface -------------------------------------------------------------------
+
+
+def _knowledge(spark, d):
+    """Every atom linked to the one of the next number."""
+    atoms = V.atoms(spark, d)
+    ids = atoms.select("ingest_seq", "id")
+    links = ids.join(ids.select((F.col("ingest_seq") - 1).alias("ingest_seq"), F.col("id").alias("target_id")), "ingest_seq")
+    return Knowledge(atoms, links.select(F.col("id").alias("source_id"), "target_id", F.lit("related").alias("link_type"), F.lit(1.0).alias("confidence")))
+
+
+_ID7 = "left(sha256('projects/src7/memory/7.md:0'), 16)"
+
+
+def _id7(spark, d) -> str:
+    import hashlib
+
+    return hashlib.sha256(b"projects/src7/memory/7.md:0").hexdigest()[:16]
+
+
+@query(f"SELECT id, CASE WHEN id = {_ID7} THEN 'new body' ELSE left(sha256(body), 16) END AS body FROM v_atoms", "v_atoms")
+def atom_edit(spark, d):
+    k = _knowledge(spark, d)
+    if not k.atoms.where(F.col("id") == _id7(spark, d)).head(1):
+        return k.atoms.select("id", F.left(F.sha2("body", 256), F.lit(16)).alias("body"))
+    edited = k.with_body(_id7(spark, d), "new body").atoms
+    return edited.select("id", F.when(F.col("body") == "new body", F.col("body")).otherwise(F.left(F.sha2("body", 256), F.lit(16))).alias("body"))
+
+
+@query("""SELECT x.id AS source_id, y.id AS target_id FROM v_atoms x JOIN v_atoms y ON y.ingest_seq = x.ingest_seq + 1 WHERE x.source_path <> (SELECT min(source_path) FROM v_atoms) AND y.source_path <> (SELECT min(source_path) FROM v_atoms)""", "v_atoms")
+def path_delete(spark, d):
+    k = _knowledge(spark, d)
+    return k.without_path(k.atoms.agg(F.min("source_path")).first()[0]).links.select("source_id", "target_id")
+
+
+@query("SELECT session_id, project FROM v_sessions WHERE session_id <> 's5'", "v_sessions")
+def session_delete(spark, d):
+    return Knowledge(V.atoms(spark, d), V.links(spark, d), V.sessions(spark, d)).without_session("s5").select("session_id", "project")
+
+
 # --- links -----------------------------------------------------------------------------------------
 
 
@@ -355,8 +417,8 @@ def atom_links(spark, d):
 
 @query("SELECT source_id, target_id, link_type FROM v_links WHERE source_id IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')", "v_links")
 def links_of_source(spark, d):
-    ids = V.table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("source_id"))
-    return V.links(spark, d).join(ids, "source_id", "left_semi").select("source_id", "target_id", "link_type")
+    ids = V.table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("id"))
+    return L.of_sources(V.links(spark, d), ids).select("source_id", "target_id", "link_type")
 
 
 @query("SELECT source_id, target_id, link_type, confidence FROM (SELECT *, row_number() OVER (PARTITION BY source_id, target_id, link_type ORDER BY prio, tie, confidence) AS r FROM v_links) WHERE r = 1", "v_links")
@@ -465,10 +527,12 @@ def session_upsert(spark, d):
     return SS.upsert(s.where("conv_id % 3 <> 0"), new).select("session_id", "project", "summary", "title", "message_count")
 
 
-@query("SELECT session_id, coalesce(nullif(title, ''), left(summary, 20)) AS title FROM v_sessions WHERE (title IS NULL OR title = '') AND summary IS NOT NULL AND summary <> ''", "v_sessions")
+_NO_TITLE = f"SELECT session_id, summary AS first FROM ({V.SQL['v_sessions']}) WHERE (title IS NULL OR title = '') AND summary IS NOT NULL AND summary <> ''"
+
+
+@query(f"SELECT s.session_id, coalesce(t.title, s.title) AS title FROM ({V.SQL['v_sessions']}) s LEFT JOIN ({_titled(_NO_TITLE, 'session_id')}) t USING (session_id)")
 def title_backfill(spark, d):
-    s = V.sessions(spark, d).where("(title is null or title = '') and summary is not null and summary <> ''")
-    return s.select("session_id", F.coalesce(F.nullif("title", F.lit("")), F.left("summary", F.lit(20))).alias("title"))
+    return SS.backfill_titles(V.sessions(spark, d)).select("session_id", "title")
 
 
 @query("SELECT ingest_seq, 's' || (ingest_seq % 50) AS session_id FROM v_atoms WHERE ingest_seq % 3 = 0 AND ingest_seq % 50 = 7", "v_atoms")
@@ -483,13 +547,79 @@ def messages(spark, d):
     return SS.messages(_lines(spark, d)).select("path", "line_no", "role", F.col("blocks")[0]["text"].alias("text"))
 
 
-@query("SELECT d.doc_id, coalesce(nullif(CASE d.doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE 'own' END, ''), 'meta ' || l.quality) AS title, coalesce(nullif(CAST(d.doc_id % 2 AS BIGINT), 0), l.toxic + 10) AS input_tokens FROM documents d LEFT JOIN labels l USING (doc_id)")
+_META = "CASE WHEN doc_id % 5 = 0 THEN '' WHEN doc_id % 7 > 0 THEN 'please check item ' || doc_id END"
+
+
+@query(f"""SELECT doc_id, CASE WHEN fill THEN 'Check item ' || doc_id ELSE title END AS title, CASE WHEN fill THEN coalesce(nullif(input_tokens, 0), tokens) ELSE input_tokens END AS input_tokens FROM (
+  SELECT d.doc_id, CASE d.doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE 'own' END AS title, CAST(d.doc_id % 2 AS BIGINT) AS input_tokens, l.tokens, d.doc_id % 3 <> 2 AND coalesce(l.message, '') <> '' AS fill
+  FROM documents d LEFT JOIN (SELECT doc_id, {_META} AS message, CAST(toxic + 10 AS BIGINT) AS tokens FROM labels) l USING (doc_id))""")
 def title_import(spark, d):
     s = V.table(spark, d, "documents").select(F.col("doc_id").alias("session_id"), F.expr("case doc_id % 3 when 0 then '' when 1 then null else 'own' end").alias("title"), (F.col("doc_id") % 2).cast("long").alias("input_tokens"))
-    meta = V.table(spark, d, "labels").select(F.col("doc_id").alias("session_id"), F.concat(F.lit("meta "), "quality").alias("new_title"), (F.col("toxic") + 10).cast("long").alias("new_tokens"))
+    meta = V.table(spark, d, "labels").select(F.col("doc_id").alias("session_id"), F.expr(_META).alias("first_user_message"), (F.col("toxic") + 10).cast("long").alias("total_tokens"))
     return SS.import_titles(s, meta).select(F.col("session_id").alias("doc_id"), "title", "input_tokens")
 
 
+# --- message blocks ------------------------------------------------------------------------------------
+
+#: Content arrays by turn modulo 4, and the blocks that are left of each: type, text, id, name, is_error.
+_CONTENT = {
+    0: '[{"type":"text","text":"one"},{"type":"text","text":"  "},{"type":"thinking","thinking":"hm"}]',
+    1: '[{"type":"tool_use","id":"t1","name":"Read","input":{"path":"a.md"}},{"type":"unknown","text":"x"}]',
+    2: '[{"type":"tool_result","tool_use_id":"t1","is_error":true,"content":[{"type":"text","text":"a"},{"type":"image"},{"type":"text","text":"b"}]},{"type":"tool_result","tool_use_id":"t2","content":"plain"}]',
+    3: '[{"type":"image","source":{"type":"base64","data":"AA"}},{"type":"image","source":{"type":"url"}},{"type":"thinking","thinking":""}]',
+}
+_BLOCKS = [
+    (0, 0, "text", "one", "", "", False), (0, 1, "thinking", "hm", "", "", False), (1, 0, "tool_use", '{"path":"a.md"}', "t1", "Read", False),
+    (2, 0, "tool_result", "a\nb", "t1", "", True), (2, 1, "tool_result", "plain", "t2", "", False), (3, 0, "image", "image/png", "", "", False),
+]
+
+
+@query("SELECT 't' || conv_id AS path, turn AS line_no, role, pos, type, replace(t, '|', chr(10)) AS text, id, name, is_error FROM conversations JOIN (VALUES "
+    + ", ".join(f"({m}, {p}, '{k}', '{t}', '{i}', '{n}', {e})".replace("\n", "|") for m, p, k, t, i, n, e in _BLOCKS) + ") b(m, pos, type, t, id, name, is_error) ON turn % 4 = m WHERE role IN ('user', 'assistant')")
+def message_blocks(spark, d):
+    content = F.element_at(F.create_map(*[F.lit(x) for kv in _CONTENT.items() for x in kv]), (F.col("turn") % 4).cast("int"))
+    raw = F.concat(F.lit('{"type":"'), "role", F.lit('","message":{"content":'), content, F.lit("}}"))
+    lines = V.table(spark, d, "conversations").select(F.concat(F.lit("t"), "conv_id").alias("path"), F.col("turn").alias("line_no"), raw.alias("raw"))
+    return SS.messages(lines).select("path", "line_no", "role", F.posexplode("blocks").alias("pos", "b")).select("path", "line_no", "role", "pos", "b.type", "b.text", "b.id", "b.name", "b.is_error")
+
+
+@query("SELECT event_id, 'k=\"' || CASE WHEN length(t) > 60 THEN left(t, 60) || '...' ELSE t END || '\"' AS shown FROM (SELECT event_id, repeat('v', CAST(event_id % 90 AS INTEGER)) AS t FROM events)")
+def tool_summary(spark, d):
+    return V.activity(spark, d).select("event_id", SS.tool_summary(F.to_json(F.struct(F.expr("repeat('v', cast(event_id % 90 as int))").alias("k"), F.lit("w").alias("z")))).alias("shown"))
+
+
+# --- live status of transcripts -------------------------------------------------------------------------
+
+_AT = "'2024-01-01T00:' || lpad(CAST(conv_id % 60 AS VARCHAR(9)), 2, '0') || ':' || lpad(CAST(turn % 60 AS VARCHAR(9)), 2, '0') || 'Z'"
+_RAW = f"""CASE WHEN turn % 5 = 4 THEN '{{broken' WHEN conv_id % 11 = 3 AND turn = 1 THEN '{{"type":"queue-operation","operation":"enqueue","content":"next ' || conv_id || '","timestamp":"' || {_AT} || '"}}'
+  WHEN role = 'assistant' AND conv_id % 7 = 0 THEN '{{"type":"assistant","timestamp":"' || {_AT} || '","message":{{"content":[{{"type":"tool_use","name":"x"}}]}}}}' ELSE '{{"type":"' || role || '","timestamp":"' || {_AT} || '"}}' END"""
+_LIVE = f"""WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back, conv_id % 11 = 3 AND turn = 1 AS enq, turn % 5 = 4 AS bad, {_AT} AS at,
+  sum(length({_RAW}) + 1) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) - 1 AS upto FROM conversations),
+p AS (SELECT conv_id, coalesce(bool_or(enq), false) AS enq, min_by(at, back) FILTER (WHERE NOT bad) AS last_timestamp, coalesce(bool_or(back = 1 AND NOT bad AND NOT enq AND role = 'assistant'), false) AS answered,
+  coalesce(bool_or(back = 1 AND NOT bad AND NOT enq AND role = 'assistant' AND conv_id % 7 = 0), false) AS tool FROM t WHERE back <= 15 AND upto <= 8192 GROUP BY 1),
+s AS (SELECT *, epoch(TIMESTAMP '2024-01-01 01:02:00') - epoch(CAST(replace(replace(last_timestamp, 'T', ' '), 'Z', '') AS TIMESTAMP)) AS age FROM p),
+live AS (SELECT 't' || conv_id AS path, last_timestamp, enq, conv_id, CASE WHEN tool THEN 'processing' WHEN age < 300 THEN CASE WHEN enq OR answered THEN 'waiting_input' ELSE 'active' END WHEN age < 3600 THEN 'idle' ELSE 'dead' END AS status FROM s) """
+
+
+def _live(spark, d):
+    raw = _RAW.replace("VARCHAR(9)", "string")
+    lines = V.table(spark, d, "conversations").selectExpr("concat('t', conv_id) as path", "turn as line_no", f"{raw} as raw")
+    return SS.status(lines, "2024-01-01T01:02:00Z")
+
+
+@query(_LIVE + "SELECT path, status, CASE WHEN status = 'waiting_input' AND enq THEN 'next ' || conv_id END AS pending_prompt, last_timestamp FROM live")
+def transcript_status(spark, d):
+    return _live(spark, d).select("path", "status", "pending_prompt", "last_timestamp")
+
+
+@query(_LIVE + f"""SELECT v.session_id, coalesce(l.status, 'dead') AS status, coalesce(CASE WHEN l.status = 'waiting_input' AND l.enq THEN 'next ' || l.conv_id END, v.summary) AS summary, coalesce(l.last_timestamp, v.last_active) AS last_active
+  FROM ({V.SQL['v_sessions']}) v LEFT JOIN (SELECT * FROM live WHERE conv_id % 2 = 0) l USING (conv_id)""")
+def session_refresh(spark, d):
+    states = _live(spark, d).where("cast(substring(path, 2) as bigint) % 2 = 0").withColumnRenamed("path", "jsonl_path")
+    sessions = V.sessions(spark, d).withColumn("jsonl_path", F.concat(F.lit("t"), "conv_id"))
+    return SS.refresh(sessions, states).select("session_id", "status", "summary", "last_active")
+
+
 # --- activity ------------------------------------------------------------------------------------------
 
 _ACT = """, last AS (SELECT user_id, max(ts) AS ts, max_by(event_type, struct_pack(t := ts, e := event_id)) AS kind FROM events GROUP BY 1), ages AS (SELECT user_id, kind, epoch_us((SELECT max(ts) FROM events)) / 1e6 - epoch_us(ts) / 1e6 AS age FROM last),
@@ -555,10 +685,16 @@ def tasks_effective(spark, d):
     return T.effective(V.tasks(spark, d)).select("id", "status", "effective_status")
 
 
-@query(", own AS (SELECT * FROM v_tasks WHERE priority = 2 AND project IN ('c1', 'c2', 'c3'))" + _EFF.format(t="own") + "SELECT id, project, effective_status, priority, created_at FROM eff WHERE effective_status <> 'done'", "v_tasks")
+@query(", own AS (SELECT * FROM v_tasks WHERE priority = 2)" + _EFF.format(t="own") + "SELECT id, project, effective_status, priority, created_at FROM eff WHERE effective_status <> 'done'", "v_tasks")
 def tasks_list(spark, d):
-    own = V.tasks(spark, d).where(F.col("project").isin("c1", "c2", "c3"))
-    return T.list_tasks(own, priority=2).select("id", "project", "effective_status", "priority", "created_at")
+    return T.list_tasks(V.tasks(spark, d), priority=2).select("id", "project", "effective_status", "priority", "created_at")
+
+
+@query(_EFF.format(t="v_tasks") + "SELECT effective_status, id, 'Task ' || id AS title, coalesce(priority, 2) AS priority, array_to_string(list_slice(['t' || id % 3, 'u' || id % 5, project, 'w'], 1, CASE WHEN id % 4 = 0 THEN 2 ELSE 3 END), ',') AS tags FROM eff WHERE effective_status <> 'done'", "v_tasks")
+def tasks_cards(spark, d):
+    tags = F.expr("if(id % 4 = 0, array(concat('t', id % 3), concat('u', id % 5)), array(concat('t', id % 3), concat('u', id % 5), project, 'w'))")
+    rows = V.tasks(spark, d).withColumns({"title": F.concat(F.lit("Task "), F.col("id").cast("string")), "tags": tags})
+    return T.cards(rows, include_done=False).withColumn("tags", F.array_join("tags", ","))
 
 
 @query(_EFF.format(t="v_tasks") + "SELECT effective_status, count(*) AS n, min(created_at) AS oldest FROM eff GROUP BY 1", "v_tasks")
@@ -601,39 +737,71 @@ def _phrase(a: str, b: str) -> str:
     return f"({one('tt')} + {one('tb')})"
 
 
+_INDEXES: dict[tuple[str, str], SearchIndex] = {}
+
+
+def _index(spark, d) -> SearchIndex:
+    """The stored index of a folder's atoms, built once a session."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        _INDEXES[key] = SearchIndex.build(V.atoms(spark, d))
+    return _INDEXES[key]
+
+
+def _found(spark, d, raw: str, limit: int | None = None, stem: bool = False) -> DataFrame:
+    return _index(spark, d).search(V.atoms(spark, d), raw, limit, stem=stem)
+
+
 def _ranked(found: DataFrame) -> DataFrame:
     return found.select("id", "title", F.round("rank", 6).alias("rank"))
 
 
+@query(ORACLES["bm25_terms"])
+def search_index(spark, d):
+    return _index(spark, d).terms()
+
+
 @query(_bm25([_count("er"), _count("thon")], "tf0 > 0 AND tf1 > 0", tail="ORDER BY r.rank, ingest_seq LIMIT 20"), "v_atoms")
 def search_bm25_nostem(spark, d):
+    return _ranked(_found(spark, d, "er thon", 20))
+
+
+@query(_bm25([_count("er"), _count("thon")], "tf0 > 0 AND tf1 > 0", tail="ORDER BY r.rank, ingest_seq LIMIT 20"), "v_atoms")
+def search_unindexed(spark, d):
     return _ranked(S.search(V.atoms(spark, d), "er thon", 20, stem=False))
 
 
 @query(_bm25([_phrase("of", "the")], "tf0 > 0"), "v_atoms")
 def search_phrase(spark, d):
-    return _ranked(S.search(V.atoms(spark, d), '"of the"', None, stem=False))
+    return _ranked(_found(spark, d, '"of the"'))
 
 
 @query(_bm25([_count("er"), _count("thon"), _count("sur")], "(tf0 > 0 AND NOT tf1 > 0) OR tf2 > 0", keep="id").replace(" - CASE WHEN ln((n - n1", " - 0 * CASE WHEN ln((n - n1"), "v_atoms")
 def search_boolean(spark, d):
-    return S.search(V.atoms(spark, d), "er NOT thon OR sur", None, stem=False).select("id")
+    return _found(spark, d, "er NOT thon OR sur").select("id")
 
 
 @query(_bm25([_count("thono", True)], "tf0 > 0"), "v_atoms")
 def search_prefix(spark, d):
-    return _ranked(S.search(V.atoms(spark, d), "thono*", None, stem=False))
+    return _ranked(_found(spark, d, "thono*"))
 
 
-@query()
+def _forms(word: str) -> str:
+    """SQL for how often a stem's words occur: the words are those that up to three endings make and the stemmer takes back."""
+    ends = ["", "s", "es", "ed", "ing", "er", "ly", "ness", "ment", "al", "ation", "ful", "ive", "e", "y", "ies", "ion"]
+    stem = porter_stem(word)
+    made = sorted({w for a in ends for b in ends for c in ends if porter_stem(w := stem + a + b + c) == stem})
+    return f"len(list_filter(list_concat(tt, tb), lambda x: x IN ({', '.join(repr(w) for w in made)})))"
+
+
+@query(_bm25([_forms("ering"), _forms("thing")], "tf0 > 0 AND tf1 > 0", tail="ORDER BY r.rank, ingest_seq LIMIT 20"), "v_atoms")
 def search(spark, d):
-    return _ranked(S.search(V.atoms(spark, d), "ering thing", 20))
+    return _ranked(_found(spark, d, "ering thing", 20, True))
 
 
 @query()
 def search_snippet(spark, d):
-    found = S.search(V.atoms(spark, d), "er thon", 20, stem=False)
-    return S.with_snippets(found, "er thon", stem=False).select("id", "snippet")
+    return S.with_snippets(_found(spark, d, "er thon", 20), "er thon", stem=False).select("id", "snippet")
 
 
 _TOPIC = "SELECT ingest_seq, id, rank, {n} AS topic FROM ({q}) "
@@ -643,7 +811,7 @@ _TOPIC = "SELECT ingest_seq, id, rank, {n} AS topic FROM ({q}) "
     + "r AS (" + " UNION ALL ".join(f"(SELECT c.*, {i} AS topic, (0 - CASE WHEN ln((n - n{i} + 0.5) / (n{i} + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - n{i} + 0.5) / (n{i} + 0.5)) END * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / avg_dl)))::DOUBLE AS rank FROM c, st WHERE tf{i} > 0 ORDER BY rank, ingest_seq LIMIT 5)" for i in (0, 1)) + ") "
     + "SELECT id, topic AS topic_no, round(rank, 6) AS rank, left('## ' || title || ' ' || CASE scope WHEN 'global' THEN '[GLOBAL]' WHEN 'shared' THEN '[SHARED]' ELSE '' END || chr(10) || '_Source: ' || coalesce(project, 'global') || ' | ' || atom_type || '_', 200) AS head FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY topic) AS k FROM r) WHERE k = 1", "v_atoms")
 def context(spark, d):
-    rows = S.context(V.atoms(spark, d), ["er", "sur"], stem=False)
+    rows = _index(spark, d).context(V.atoms(spark, d), ["er", "sur"], stem=False)
     return rows.select("id", "topic_no", F.round("rank", 6).alias("rank"), F.left(F.substring_index("part", "\n", 2), F.lit(200)).alias("head"))
 
 

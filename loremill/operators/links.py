@@ -12,6 +12,11 @@ def resolve(targets: DataFrame, atoms: DataFrame) -> DataFrame:
     return targets.join(first, targets.path == first.source_path).select("source_id", "target_id", F.lit("references").alias("link_type"), F.lit(1.0).alias("confidence"))
 
 
+def of_sources(links: DataFrame, ids: DataFrame) -> DataFrame:
+    """Links that start at one of ``ids`` (id)."""
+    return links.join(ids.select(F.col("id").alias("source_id")), "source_id", "left_semi")
+
+
 def broken(targets: DataFrame, known_paths: DataFrame) -> DataFrame:
     """Targets whose path is not there."""
     return targets.join(known_paths.select(F.col("path")).distinct(), "path", "left_anti")
@@ -60,25 +65,29 @@ def tag_confidence(shared):
 def title_mentions(titles: DataFrame, bodies: DataFrame, least: int = 9) -> DataFrame:
     """(a, b): the body of the later atom b holds the title of the earlier a (a < b), case folded.
 
-    Instead of trying every title in every body, both sides meet on a word: a title's longest inner word is a whole word of
-    any body that holds the title. A title of one or two words has no inner word; its longest word may be part of a
-    longer one, so it meets on that word's first four letters, which some word of the body holds. ``contains`` then decides.
-    ``titles``: seq, title; ``bodies``: seq, body.
+    Instead of trying every title in every body, both sides meet on a word: an inner word of a title is a whole word of
+    any body that holds the title, so a title meets bodies on the one of its inner words that the fewest bodies have. A title of
+    one or two words has no inner word; its longest word may be part of a longer one, so it meets on that word's first four letters,
+    which some word of the body holds. The titles that a body met go to it as one list, and ``contains`` decides there, so a body moves
+    once however many titles it met. ``titles``: seq, title; ``bodies``: seq, body.
     """
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     longest = lambda ws: F.aggregate(ws, F.lit(""), lambda acc, x: F.when(F.length(x) > F.length(acc), x).otherwise(acc))
-    inner = lambda ws: F.when(F.size(ws) >= 3, longest(F.slice(ws, F.lit(2), F.size(ws) - 2))).otherwise(F.lit(""))
+    inner = lambda ws: F.when(F.size(ws) >= 3, F.array_distinct(F.slice(ws, F.lit(2), F.size(ws) - 2))).otherwise(F.array().cast("array<string>"))
     t = titles.where(F.length("title") >= least).select(F.col("seq").alias("a"), F.lower("title").alias("lt"), words(F.col("title")).alias("w"))
-    t = t.select("a", "lt", inner(F.col("w")).alias("key"), F.left(longest(F.col("w")), F.lit(4)).alias("part"))
-    kinds = t.groupBy("lt", "key", "part").agg(F.min("a").alias("least_a"))
+    kinds = t.groupBy("lt").agg(F.min("a").alias("least_a"), F.first("w").alias("w"))
     b = bodies.select(F.col("seq").alias("b"), F.lower("body").alias("lb"))
     each = b.select("b", F.explode(F.array_distinct(words(F.col("lb")))).alias("word"))
-    whole = kinds.where("key <> ''")
-    cand = each.withColumnRenamed("word", "key").join(whole, "key").where("least_a < b")
-    few = kinds.where("key = ''")
+    wanted = kinds.select("lt", "least_a", F.explode(inner(F.col("w"))).alias("word"))
+    df = each.join(wanted.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("df"))
+    keyed = wanted.join(df, "word", "left").groupBy("lt", "least_a").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word")).alias("k")).where("k.df > 0")
+    cand = each.join(keyed.select("lt", "least_a", F.col("k.word").alias("word")), "word").where("least_a < b")
+    few = kinds.where(F.size("w") < 3).select("lt", "least_a", F.left(longest(F.col("w")), F.lit(4)).alias("part"))
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("word") - 3, F.lit(1))), lambda i: F.substring("word", i, 4)))
-    cand2 = each.select("b", F.explode(grams).alias("part")).join(few, "part").where("least_a < b")
-    hit = cand.select("b", "lt").unionByName(cand2.select("b", "lt")).distinct().join(b, "b").where(F.contains("lb", "lt")).select("b", "lt")
+    parts = each.select("b", F.explode(grams).alias("part")).join(few.select("part").distinct(), "part", "left_semi").distinct()
+    cand2 = parts.join(few, "part").where("least_a < b")
+    met = cand.select("b", "lt").unionByName(cand2.select("b", "lt")).groupBy("b").agg(F.collect_set("lt").alias("lts"))
+    hit = met.join(b, "b").select("b", F.explode(F.filter("lts", lambda x: F.contains(F.col("lb"), x))).alias("lt"))
     return hit.join(t.select("a", "lt"), "lt").where("a < b").select("a", "b")
 
 

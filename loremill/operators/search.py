@@ -3,7 +3,7 @@
 A query's phrases are counted in each atom by array functions over its tokens, in the same pass that filters, so
 nothing but the matching atoms is ever shuffled; three sums (documents, tokens, documents a phrase) make a one-row
 table that every task gets. Top-k is a bounded heap a task. With ``stem`` the tokens pass a cached Porter
-stemmer in an Arrow function. ``postings`` builds the same counts as a stored index, dealt by term, for many queries.
+stemmer in an Arrow function. This is the way without an index, one pass a search; ``operators.index`` answers the same from stored postings.
 """
 
 from __future__ import annotations
@@ -113,25 +113,22 @@ def search(atoms: DataFrame, raw: str, limit: int | None = 20, atom_type: str |
     return out if limit is None else out.orderBy("rank", order).limit(limit)
 
 
-def context(atoms: DataFrame, topics: list[str], project: str | None = None, per_topic: int = 5, stem: bool = True, order: str = "ingest_seq") -> DataFrame:
-    """The best atoms of each topic, each once (its first topic's), best rank first, with their markdown part."""
+def merged_parts(atoms: DataFrame, found: list[DataFrame]) -> DataFrame:
+    """Answers to several topics as one: each atom once, under its first topic, best rank first, with its markdown part."""
     rows = None
-    for i, t in enumerate(topics):
-        r = search(atoms, t, per_topic, project=project, stem=stem, order=order).withColumn("topic_no", F.lit(i))
+    for r in found:
         rows = r if rows is None else rows.unionByName(r)
     if rows is None:
         rows = atoms.where(F.lit(False)).withColumns({"rank": F.lit(0.0), "topic_no": F.lit(0)})
     first = rows.groupBy("id").agg(F.min_by(F.struct(*[c for c in rows.columns if c != "id"]), "topic_no").alias("r")).select("id", "r.*")
     badge = F.when(F.col("scope") == "global", "[GLOBAL]").when(F.col("scope") == "shared", "[SHARED]").otherwise("")
     part = F.concat(F.lit("## "), "title", F.lit(" "), badge, F.lit("\n_Source: "), F.coalesce("project", F.lit("global")), F.lit(" | "), "atom_type", F.lit("_\n\n"), "body")
-    return first.withColumn("part", part).orderBy("rank", order)
+    return first.withColumn("part", part).orderBy("rank", "ingest_seq")
 
 
-def postings(atoms: DataFrame, stem: bool = False) -> DataFrame:
-    """``(term, id, col, pos)``: the inverted index, to be written dealt and sorted by term."""
-    docs = tokenised(atoms, stem)
-    cols = F.array(*[F.struct(F.lit(i).alias("col"), F.col(f"tok_{c}").alias("tok")) for i, c in enumerate(COLUMNS)])
-    return docs.select("id", F.inline(cols)).select("id", "col", F.posexplode("tok").alias("pos", "term"))
+def context(atoms: DataFrame, topics: list[str], project: str | None = None, per_topic: int = 5, stem: bool = True, order: str = "ingest_seq") -> DataFrame:
+    """The best atoms of each topic without an index."""
+    return merged_parts(atoms, [search(atoms, t, per_topic, project=project, stem=stem, order=order).withColumn("topic_no", F.lit(i)) for i, t in enumerate(topics)])
 
 
 def term_statistics(atoms: DataFrame) -> DataFrame:

@@ -127,9 +127,17 @@ def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def import_titles(sessions: DataFrame, meta: DataFrame) -> DataFrame:
-    """Fill what is empty from outside metadata (session_id, new_title, new_tokens)."""
-    j = sessions.join(meta, "session_id", "left")
-    return j.withColumn("title", F.coalesce(F.nullif("title", F.lit("")), "new_title")).withColumn("input_tokens", F.coalesce(F.nullif("input_tokens", F.lit(0)), "new_tokens")).drop("new_title", "new_tokens")
+    """Sessions without a title take one from outside metadata (session_id, first_user_message, total_tokens) that has a message, and its tokens if they have none.
+
+    Sessions with a title stay as they are, tokens included. Of several rows of metadata for a session the one with the smallest message holds.
+    """
+    from ..functions.text import generate_title
+
+    some = meta.where(F.coalesce("first_user_message", F.lit("")) != "").groupBy("session_id").agg(F.min(F.struct("first_user_message", "total_tokens")).alias("_meta"))
+    j = sessions.join(some, "session_id", "left")
+    fill = (F.coalesce("title", F.lit("")) == "") & F.col("_meta").isNotNull()
+    tokens = F.coalesce(F.nullif("input_tokens", F.lit(0)), F.col("_meta.total_tokens"))
+    return j.withColumns({"title": F.when(fill, generate_title(F.col("_meta.first_user_message"))).otherwise(F.col("title")), "input_tokens": F.when(fill, tokens).otherwise(F.col("input_tokens"))}).drop("_meta")
 
 
 #: The shape of a content block, all kinds in one.

@@ -38,6 +38,14 @@ def board(tasks: DataFrame, include_done: bool = True) -> DataFrame:
     return out.groupBy("effective_status").agg(F.count("*").alias("n"), F.min("created_at").alias("oldest"))
 
 
+def cards(tasks: DataFrame, most_tags: int = 3, include_done: bool = True) -> DataFrame:
+    """The cards of the board: each task under its column, with its first tags."""
+    out = effective(tasks)
+    if not include_done:
+        out = out.where("effective_status <> 'done'")
+    return out.select("effective_status", "id", "title", F.coalesce("priority", F.lit(2).cast("long")).alias("priority"), F.slice(F.coalesce("tags", F.array().cast("array<string>")), 1, most_tags).alias("tags")).orderBy("effective_status", "priority", "id")
+
+
 def update(tasks: DataFrame, changes: DataFrame, children: DataFrame | None = None) -> DataFrame:
     """Override statuses by ``changes`` (id, new_status); ``children`` are tasks found on the way, added as ready."""
     out = tasks.join(changes, "id", "left").withColumn("status", F.coalesce("new_status", "status")).drop("new_status")
