@@ -37,6 +37,7 @@ def test_exact_groups_sql(spark, sf):
 
 def test_whole_pipeline_against_brute_force(spark, sf):
     import math
+    import re
 
     import pyarrow as pa
 
@@ -53,11 +54,16 @@ def test_whole_pipeline_against_brute_force(spark, sf):
     left = {i: t for i, t in texts.items() if Q.score_texts(model, pa.array([t]))[0] >= 0.5}
     # 2: of equal texts the largest doc_id
     left = {i: t for i, t in left.items() if i == max(j for j, u in left.items() if u == t)}
-    # 3: all pairs of fingerprints
+    # 3: the true similarity of all pairs of sets of five-word shingles
     ids = sorted(left)
-    words, shingles = {i: S.word_fingerprints(left[i], S.NUMBER) for i in ids}, {i: S.fingerprints(left[i], 5, S.NUMBER - 1) for i in ids}
-    apart = lambda x, y: [((a ^ b) & (2**64 - 1)).bit_count() for a, b in zip(x, y)]
-    most = int(64 * S.NUMBER * math.acos(1.6 / 1.8) / math.pi)
+
+    def shingles(text):
+        words = re.split("[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text).strip("\x20\x09\x0a\x0b\x0c\x0d"))
+        return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))}
+
+    sets = {i: shingles(left[i]) for i in ids}
+    signs, most = lambda t: S.fingerprints(t, 5, S.NUMBER - 1), int(64 * S.NUMBER * math.acos(1.6 / 1.8) / math.pi)
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
     root = {i: i for i in ids}
 
     def find(i):
@@ -67,13 +73,18 @@ def test_whole_pipeline_against_brute_force(spark, sf):
 
     for x, a in enumerate(ids):
         for b in ids[:x]:
-            if min(apart(words[a], words[b])) <= 2 and sum(apart(shingles[a], shingles[b])) <= most:
+            if min(len(sets[a]), len(sets[b])) < 0.7 * max(len(sets[a]), len(sets[b])):
+                continue
+            near = alike(a, b)
+            if 0.75 < near < 0.85:  # the verifier's own error: what is this close to the threshold is its to tell
+                near = 1 if sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(signs(left[a]), signs(left[b]))) <= most else 0
+            if near >= 0.8:
                 p, q = find(a), find(b)
                 root[max(p, q)] = min(p, q)
     left = {i: t for i, t in left.items() if find(i) == i}
     # 4: every item over every whole text, without pieces
     items = [n for (t,) in duckdb.sql(f"select text from '{sf}/benchmark.parquet'").fetchall() if (n := D.normalise(t))]
-    holds = lambda t: any(D.myers(D.masks(n), len(n), t)[0] <= D.budget(len(n)) for n in items)
+    holds = lambda t: any(D.myers(D.masks(n), len(n), t)[0] <= len(n) // 10 for n in items)
     left = {i: t for i, t in left.items() if not holds(D.normalise(t))}
     assert set(got) == set(left)
     # 5: the ids say the text
