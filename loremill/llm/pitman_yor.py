@@ -48,10 +48,10 @@ from .common import drop_stored, require, stored, text_or_empty
 FREQUENT = 524_288
 TOP_PAIRS = 262_144
 HEAVY = 4096
-CHUNK_TOKENS = 1_000_000
-CHUNK_BYTES = 4 << 20
+CHUNK_TOKENS = 500_000
+CHUNK_BYTES = 2 << 20
 #: Training tokens to a bucket, and the least number of buckets.
-BUCKET_TOKENS, LEAST_BUCKETS = 3_000_000, 16
+BUCKET_TOKENS, LEAST_BUCKETS = 1_500_000, 16
 BURN_IN, SAMPLES = 3, 3
 STRENGTH, ROOT_STRENGTH = 1.0, 1.0
 #: Discounts until they are estimated from the counts of counts.
@@ -402,13 +402,11 @@ def _deal(words: np.ndarray, shared: Shared, kind: int, chunk: int, ui: np.ndarr
     words, place, ui, wi = words[order], place[order], rank[ui], rank[wi]
     bucket = shared.dealt(words[ui], words[wi])
     by = np.argsort(bucket * len(words) ** 2 + ui * len(words) + wi if shared.buckets * len(words) ** 2 < 2**62 else np.lexsort((wi, ui, bucket)).argsort(), kind="stable")
-    ends = np.searchsorted(bucket[by], np.arange(shared.buckets + 1))
+    there, starts = np.unique(bucket[by], return_index=True)
     if docs is not None:
         first = np.cumsum(entries) - entries
-    for b in range(shared.buckets):
-        i = by[ends[b] : ends[b + 1]]
-        if not len(i):
-            continue
+    for b, low, high in zip(there.tolist(), starts, [*starts[1:], len(by)]):
+        i = by[low:high]
         us, per = np.unique(ui[i], return_counts=True)
         ws, wx = np.unique(wi[i], return_inverse=True)
         arrays = [*pack_words(words[us], place[us]), per, *pack_words(words[ws], place[ws]), wx]
@@ -508,11 +506,10 @@ def _messages(s: Seatings, bucket: int, c: np.ndarray, ks: list[np.ndarray]) ->
     order, place = word_order(s.w, s.shared.frequent)
     to = s.shared.word_bucket(s.w[order])
     by = np.argsort(to, kind="stable")
-    ends = np.searchsorted(to[by], np.arange(s.shared.buckets + 1))
-    for b in range(s.shared.buckets):
-        i = order[by[ends[b] : ends[b + 1]]]
-        if len(i):
-            yield _rows(MESSAGE, 1, [b], [bucket], blob=[pack(*pack_words(s.w[i], place[i]), c[i], *[k[i] for k in ks])])
+    there, starts = np.unique(to[by], return_index=True)
+    for b, low, high in zip(there.tolist(), starts, [*starts[1:], len(by)]):
+        i = order[by[low:high]]
+        yield _rows(MESSAGE, 1, [b], [bucket], blob=[pack(*pack_words(s.w[i], place[i]), c[i], *[k[i] for k in ks])])
 
 
 def _answers(rows: dict, s: Seatings) -> list[np.ndarray]:
