@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,9 +15,10 @@ from .operators import reindex as R
 from .operators import search as S
 from .operators import sessions as SS
 from .operators import tasks as T
+from .operators.index import SearchIndex
 from .storage import cut
 from .sources.files import Roots, notes, parse_notes, resolve_path, transcript_lines
-from .sources.transcripts import project_sessions
+from .sources.transcripts import desktop_sessions, project_sessions
 
 
 class BadRequest(ValueError):
@@ -36,17 +37,26 @@ class Knowledge:
     links: DataFrame
     sessions: DataFrame | None = None
     diagnostics: DataFrame | None = None
+    #: A stored index of ``atoms``; without one each search reads the texts.
+    index: SearchIndex | None = None
+    #: What the last ``reindex`` did: change (created, updated, unchanged, removed) and n.
+    run: DataFrame | None = None
+
+    def indexed(self) -> Knowledge:
+        """The same with a stored search index."""
+        return replace(self, index=SearchIndex.build(self.atoms))
 
     # --- search and context ---
     def search(self, q: str, project: str | None = None, type: str | None = None, scope: str | None = None, limit: int = 20) -> DataFrame:
         if not q or not q.strip():
             raise BadRequest("q is missing")
-        found = S.search(self.atoms, q, limit, atom_type=type, scope=scope, project=project)
+        search = self.index.search if self.index else S.search
+        found = search(self.atoms, q, limit, atom_type=type, scope=scope, project=project)
         out = S.with_snippets(found, q)
         return out.select("id", F.col("source_path").alias("path"), F.coalesce("project", F.lit("global")).alias("project"), "title", F.col("atom_type").alias("type"), "snippet", F.col("rank").alias("score")).orderBy("score")
 
     def context(self, topics: list[str], project: str | None = None) -> DataFrame:
-        return S.context(self.atoms, topics, project)
+        return self.index.context(self.atoms, topics, project) if self.index else S.context(self.atoms, topics, project)
 
     def shared_knowledge(self) -> DataFrame:
         return A.shared_knowledge(self.atoms)
@@ -70,6 +80,11 @@ class Knowledge:
             raise NotFound(id)
         return found
 
+    def atom_raw(self, id: str) -> DataFrame:
+        """The whole file that an atom comes from, as it is on disk: id and raw."""
+        path = self.atom(id).select("source_path").first()[0]
+        return self.atoms.sparkSession.read.text(path, wholetext=True).select(F.lit(id).alias("id"), F.col("value").alias("raw"))
+
     def atom_links(self, id: str) -> DataFrame:
         mine = self.links.where((F.col("source_id") == id) | (F.col("target_id") == id))
         return L.touching(mine, self.atoms.select("id", "title")).where(F.col("id") == id).orderBy("link_type", F.desc("confidence"))
@@ -178,14 +193,21 @@ class Knowledge:
 
     def stats(self) -> dict[str, DataFrame]:
         d = {"by_type": A.counts(self.atoms, "atom_type"), "by_scope": A.counts(self.atoms, "scope"), "by_project": A.by_project(self.atoms)}
+        tables = {"atoms": self.atoms, "links": self.links, "sessions": self.sessions, "diagnostics": self.diagnostics}
+        d["totals"] = A.total_rows(**{name: df for name, df in tables.items() if df is not None})
         return d | ({"diagnostics": A.counts(self.diagnostics, "type")} if self.diagnostics is not None else {})
 
     def dashboard(self) -> DataFrame:
         return A.dashboard(self.sessions, self.atoms)
 
 
-def reindex(spark, roots: Roots, old: Knowledge | None = None, now: str = "1970-01-01 00:00:00") -> Knowledge:
-    """Read all sources and bring atoms, links, diagnostics and sessions up to date; new atoms are created at ``now``."""
+def reindex(spark, roots: Roots, old: Knowledge | None = None, now: str = "1970-01-01 00:00:00", desktop_root: str | None = None, metadata: DataFrame | None = None) -> Knowledge:
+    """Read all sources and bring atoms, links, diagnostics and sessions up to date; ``run`` tells what changed.
+
+    New atoms are created at ``now``, changed ones updated at ``now``; atoms of the same content keep their times, and those
+    that are gone go with their links. A stored index of ``old`` gets a segment for the changes only. ``desktop_root`` has
+    desktop-app sessions, ``metadata`` (session_id, first_user_message, total_tokens) titles for sessions without one.
+    """
     from .functions.text import link_targets
 
     raw = cut(notes(spark, roots), "raw")
@@ -194,8 +216,11 @@ def reindex(spark, roots: Roots, old: Knowledge | None = None, now: str = "1970-
     atoms = atoms.orderBy("source_path", "section_index").withColumn("ingest_seq", F.monotonically_increasing_id())
     atoms = atoms.withColumns({"created_at": F.lit(now), "updated_at": F.lit(now)})
     if old is not None:
+        before = old.atoms.select("id", F.col("content_hash").alias("_was"), F.col("updated_at").alias("_at"))
+        atoms = atoms.join(before, "id", "left").withColumn("updated_at", F.when(F.col("_was") == F.col("content_hash"), F.col("_at")).otherwise(F.col("updated_at"))).drop("_was", "_at")
         atoms = R.upsert(old.atoms.select(*atoms.columns).join(atoms.select("id"), "id", "left_semi"), atoms)
     atoms, diags = cut(atoms, "atoms"), cut(diags, "diagnostics")
+    changes = cut(R.classify(old.atoms if old is not None else atoms.where(F.lit(False)), atoms), "changes")
     targets = atoms.select(F.col("id").alias("source_id"), "source_path", F.explode(link_targets(F.col("body"))).alias("t")).select("source_id", resolve_path("source_path", "t").alias("path"))
     targets = cut(targets, "targets")
     explicit = L.resolve(targets, atoms)
@@ -203,9 +228,21 @@ def reindex(spark, roots: Roots, old: Knowledge | None = None, now: str = "1970-
     orphan = L.orphans(atoms, explicit)
     diags = diags.unionByName(gone.select(F.lit("broken_reference").alias("type"), F.col("source_id").alias("atom_id"), F.lit(None).cast("string").alias("source_path"), F.concat(F.lit("Missing: "), "path").alias("message"), F.lit(None).cast("string").alias("details")))
     diags = diags.unionByName(orphan.select(F.lit("orphan").alias("type"), F.col("id").alias("atom_id"), "source_path", F.concat(F.lit("No links: "), "title").alias("message"), F.lit(None).cast("string").alias("details")))
+    diags = diags.unionByName(A.duplicates(atoms).withColumn("details", F.lit(None).cast("string")))
     both = explicit.withColumn("prio", F.lit(0)).unionByName(L.infer(atoms).withColumn("prio", F.lit(1)))
-    sessions = SS.backfill_titles(project_sessions(spark, roots))
+    sessions = project_sessions(spark, roots)
+    if desktop_root:
+        desktop = desktop_sessions(spark, desktop_root)
+        sessions = sessions.unionByName(desktop.join(sessions.select("session_id"), "session_id", "left_anti").select(*sessions.columns))
+    if metadata is not None:
+        sessions = SS.import_titles(sessions, metadata).select(*sessions.columns)
+    sessions = SS.backfill_titles(sessions)
     if old is not None and old.sessions is not None:
         kept = SS.upsert(old.sessions, sessions)
         sessions = sessions.drop(*[c for c in kept.columns if c != "session_id"]).join(kept, "session_id", "right").select(*sessions.columns)
-    return Knowledge(atoms, L.insert_or_ignore(both, "prio").select("source_id", "target_id", "link_type", "confidence"), cut(sessions, "sessions"), diags)
+    index = None
+    if old is not None and old.index is not None:
+        changed = atoms.join(changes.where("change in ('created', 'updated')"), "id", "left_semi")
+        index = old.index.updated(changed, changes.where("change = 'removed'").select("id"))
+    links = L.insert_or_ignore(both, "prio").select("source_id", "target_id", "link_type", "confidence")
+    return Knowledge(atoms, links, cut(sessions, "sessions"), diags, index, A.counts(changes, "change"))

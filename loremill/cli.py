@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .api import Knowledge, reindex
 from .sources.files import Roots
-from .streaming.jobs import watch_files
+from .streaming.jobs import watch
 
 
 def arguments() -> argparse.ArgumentParser:
@@ -71,7 +71,13 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     a = arguments().parse_args(argv)
     spark = spark or SparkSession.builder.appName("loremill").getOrCreate()
     if a.command == "watch":
-        q = watch_files(spark, list(Roots(a.root).globs().values()), lambda df, n: print(*lines(reindex(spark, Roots(a.root)), argparse.Namespace(command="index")), sep="\n"), a.every)
+        known: dict[str, Knowledge] = {}
+
+        def tick(_: int) -> None:
+            known["k"] = reindex(spark, Roots(a.root), known.get("k"))
+            print(*(f"{r['change']} {r['n']}" for r in known["k"].run.orderBy("change").collect()))
+
+        q = watch(spark, tick, a.every)
         q.awaitTermination()
         return []
     out = lines(reindex(spark, Roots(a.root)), a)

@@ -60,6 +60,15 @@ def totals(**tables: DataFrame) -> DataFrame:
     return out
 
 
+def total_rows(**tables: DataFrame) -> DataFrame:
+    """A row a table with its number of rows."""
+    out = None
+    for name, df in tables.items():
+        one = df.agg(F.lit(name).alias("name"), F.count("*").alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def group_by_project(atoms: DataFrame) -> DataFrame:
     """Atoms and their types a project."""
     return atoms.groupBy(F.coalesce("project", F.lit("global")).alias("project")).agg(F.count("*").alias("n"), F.count_distinct("atom_type").alias("types"), F.min("title").alias("first_title"))

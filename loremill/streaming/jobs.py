@@ -1,7 +1,7 @@
 """Streaming jobs: event windows with watermarks, live sessions, and incremental re-indexing of files.
 
-A file source never emits a changed file again, so edits and deletions are found by batch comparison
-(``operators.reindex``); the stream only tells that something is new.
+A file source never emits a changed file again and tells nothing of one that is gone, so ``watch`` only keeps time: each
+trigger compares the sources with the known atoms (``api.reindex``), which finds new, edited and deleted files.
 """
 
 from __future__ import annotations
@@ -54,8 +54,8 @@ def stream_query(spark: SparkSession, sf_dir: str, shape: Callable[[DataFrame],
     return drain(shape(event_stream(spark, sf_dir).withWatermark("ts", WATERMARK)), mode)
 
 
-def watch_files(spark: SparkSession, globs: list[str], on_batch: Callable[[DataFrame, int], None], every: str = "60 seconds", checkpoint: str | None = None):
-    """Start a query that hands each batch of new files (path, raw) to ``on_batch``."""
-    rows = spark.readStream.schema("value string").option("wholetext", "true").text(globs[0] if len(globs) == 1 else "{" + ",".join(globs) + "}")
-    writer = rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw")).writeStream.foreachBatch(on_batch).trigger(processingTime=every)
+def watch(spark: SparkSession, on_tick: Callable[[int], None], every: str = "60 seconds", checkpoint: str | None = None):
+    """Start a query that calls ``on_tick`` with a number at each trigger; it has no state but that number."""
+    ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
+    writer = ticks.writeStream.foreachBatch(lambda _, n: on_tick(n)).trigger(processingTime=every)
     return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()

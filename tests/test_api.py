@@ -67,3 +67,43 @@ def test_streams_equal_batches(spark, sf):
     for shape in (J.tumbling, J.sliding, J.session_gaps):
         rows = lambda df: sorted(map(str, df.collect()))
         assert rows(J.stream_query(spark, sf, shape)) == rows(shape(batch))
+
+
+def test_reindex_tells_edits_and_deletions(spark, tmp_path):
+    folder = tmp_path / "projects/p/memory"
+    folder.mkdir(parents=True)
+    for name, body in {"a": "apple", "b": "pear", "c": "apple"}.items():
+        (folder / f"{name}.md").write_text(f"---\nname: {name}\n---\n{body}")
+    roots, numbers = Roots(str(tmp_path)), lambda k: {r["change"]: r["n"] for r in k.run.collect()}
+    first = reindex(spark, roots, now="2024-01-01 00:00:00").indexed()
+    assert numbers(first) == {"created": 3}
+    assert {r["name"]: r["n"] for r in first.stats()["totals"].collect()}["atoms"] == 3
+    a = first.atoms.where("title = 'a'").first()["id"]
+    assert first.atom_raw(a).first()["raw"].endswith("apple")
+    (folder / "a.md").write_text("---\nname: a\n---\nplum")
+    (folder / "b.md").unlink()
+    (folder / "d.md").write_text("---\nname: d\n---\ncherry pear")
+    ticks = []
+    from loremill.streaming.jobs import watch
+
+    q = watch(spark, ticks.append, "0 seconds", str(tmp_path / "checkpoint"))
+    while not ticks and q.isActive:
+        pass
+    q.stop()
+    assert ticks
+    second = reindex(spark, roots, first, now="2024-02-02 00:00:00")
+    assert numbers(second) == {"created": 1, "updated": 1, "unchanged": 1, "removed": 1}
+    assert {r["title"]: r["updated_at"][:7] for r in second.atoms.collect()} == {"a": "2024-02", "c": "2024-01", "d": "2024-02"}
+    found = lambda q: sorted(r["title"] for r in second.search(q).collect())
+    assert (found("apple"), found("pear"), found("plum")) == (["c"], ["d"], ["a"])
+    plain = Knowledge(second.atoms, second.links)
+    assert [round(r["score"], 9) for r in plain.search("pear").collect()] == [round(r["score"], 9) for r in second.search("pear").collect()]
+
+
+def test_reindex_tells_exact_copies(spark, tmp_path):
+    folder = tmp_path / "projects/p/memory"
+    folder.mkdir(parents=True)
+    for name in "xy":
+        (folder / f"{name}.md").write_text("---\nname: same\n---\nthe same text")
+    k = reindex(spark, Roots(str(tmp_path)))
+    assert [r["source_path"][-4:] for r in k.diagnose("duplicate").collect()] == ["y.md"]
