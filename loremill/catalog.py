@@ -593,9 +593,9 @@ def tool_summary(spark, d):
 _AT = "'2024-01-01T00:' || lpad(CAST(conv_id % 60 AS VARCHAR(9)), 2, '0') || ':' || lpad(CAST(turn % 60 AS VARCHAR(9)), 2, '0') || 'Z'"
 _RAW = f"""CASE WHEN turn % 5 = 4 THEN '{{broken' WHEN conv_id % 11 = 3 AND turn = 1 THEN '{{"type":"queue-operation","operation":"enqueue","content":"next ' || conv_id || '","timestamp":"' || {_AT} || '"}}'
   WHEN role = 'assistant' AND conv_id % 7 = 0 THEN '{{"type":"assistant","timestamp":"' || {_AT} || '","message":{{"content":[{{"type":"tool_use","name":"x"}}]}}}}' ELSE '{{"type":"' || role || '","timestamp":"' || {_AT} || '"}}' END"""
-_LIVE = f"""WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back, conv_id % 11 = 3 AND turn = 1 AS enq, turn % 5 = 4 AS bad, {_AT} AS at,
+_LIVE = f"""WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back, conv_id % 11 = 3 AND turn = 1 AS enq, turn % 5 = 4 AS bad, {_AT} AS stamp,
   sum(length({_RAW}) + 1) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) - 1 AS upto FROM conversations),
-p AS (SELECT conv_id, coalesce(bool_or(enq), false) AS enq, min_by(at, back) FILTER (WHERE NOT bad) AS last_timestamp, coalesce(bool_or(back = 1 AND NOT bad AND NOT enq AND role = 'assistant'), false) AS answered,
+p AS (SELECT conv_id, coalesce(bool_or(enq), false) AS enq, min_by(stamp, back) FILTER (WHERE NOT bad) AS last_timestamp, coalesce(bool_or(back = 1 AND NOT bad AND NOT enq AND role = 'assistant'), false) AS answered,
   coalesce(bool_or(back = 1 AND NOT bad AND NOT enq AND role = 'assistant' AND conv_id % 7 = 0), false) AS tool FROM t WHERE back <= 15 AND upto <= 8192 GROUP BY 1),
 s AS (SELECT *, epoch(TIMESTAMP '2024-01-01 01:02:00') - epoch(CAST(replace(replace(last_timestamp, 'T', ' '), 'Z', '') AS TIMESTAMP)) AS age FROM p),
 live AS (SELECT 't' || conv_id AS path, last_timestamp, enq, conv_id, CASE WHEN tool THEN 'processing' WHEN age < 300 THEN CASE WHEN enq OR answered THEN 'waiting_input' ELSE 'active' END WHEN age < 3600 THEN 'idle' ELSE 'dead' END AS status FROM s) """
