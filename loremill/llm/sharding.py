@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import require, stored
+from .common import fresh, require, stored
 
 BITS = 4
 SHARDS = 40
@@ -62,10 +62,17 @@ def hilbert_index(dims: list[Column], bits: int = BITS) -> Column:
 
 
 def _cuts(df: DataFrame, column: str, parts: int) -> list[str]:
-    """At most ``parts - 1`` values of a string column that split its rows, in order, into near-equal shares."""
-    per = df.groupBy(column).agg(F.count("*").alias("c"))
-    upto, total = F.sum("c").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.sum("c").over(Window.partitionBy())
-    code = per.select(column, F.floor(F.coalesce(upto, F.lit(0)) * parts / total).alias("code"))
+    """At most ``parts - 1`` values of a string column that split its rows, in order, into near-equal shares.
+
+    Values are sorted by range and counted on by partition, so no task orders them all.
+    """
+    per = stored(df.groupBy(column).agg(F.count("*").alias("c")).repartitionByRange(column).withColumn("part", F.spark_partition_id()), "values")
+    before = lambda w: F.coalesce(F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # one row a partition
+    sums = per.groupBy("part").agg(F.sum("c").alias("c"))
+    starts = sums.select("part", before(Window.orderBy("part")).alias("start"), F.sum("c").over(Window.partitionBy()).alias("total"))
+    upto = per.withColumn("within", before(Window.partitionBy("part").orderBy(column))).join(F.broadcast(starts), "part")
+    code = upto.select(column, F.floor((F.col("start") + F.col("within")) * parts / F.col("total")).alias("code"))
     return [r[0] for r in code.where("code > 0").groupBy("code").agg(F.min(column)).orderBy("code").select(f"min({column})").collect()]
 
 
@@ -122,9 +129,20 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     return hilbert_places(docs, shards).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "h")
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """Write ``docs`` as one folder a shard, rows in slot order, for readers that prune on file statistics."""
-    places = hilbert_places(docs, shards).select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), "shard", "slot").dropDuplicates(["_id", "_crc"])
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, files: int = 4) -> None:
+    """Write ``docs`` as one folder a shard, for readers that prune on file statistics: about ``files`` files each, every one a range of slots in their order.
+
+    Rows find their places by doc_id, size and CRC; of rows alike in all three each takes a place of its own. Edge cases are
+    those above; a column named ``shard`` or ``slot`` is refused, as the folders and files have these; other names may be any.
+    """
+    if taken := {"shard", "slot"} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"columns {sorted(taken)} are names of the shards' own")
+    keys = fresh(docs.columns, "id", "crc", "size", "nth")
+    i, crc, size, nth = keys
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    both = docs.join(places, (F.col("_id").eqNullSafe(F.col("doc_id"))) & (F.col("_crc") == F.crc32(body)))
-    both.drop("_id", "_crc").repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    number = F.row_number().over(Window.partitionBy(i, crc, size).orderBy(crc))
+    least = F.lit(-(2**63))  # as a null doc_id sorts
+    places = stored(hilbert_places(docs, shards).select(F.coalesce("doc_id", least).alias(i), F.col("text_crc32").alias(crc), F.col("size").alias(size), "shard", "slot").withColumn(nth, number), "places")
+    rows = docs.withColumns({i: F.coalesce(F.col("doc_id").cast("long"), least), crc: F.crc32(body), size: (F.length(body) + OVERHEAD).cast("long")}).withColumn(nth, number)
+    both = rows.join(places, keys).drop(*keys)
+    both.repartitionByRange(shards * files, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

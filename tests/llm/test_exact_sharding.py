@@ -1,11 +1,12 @@
 import hashlib
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
-from loremill.llm.exact_dedup import drop_exact_duplicates, exact_groups
-from loremill.llm.sharding import hilbert_index, shard_rows, write_shards
+from loremill.llm.exact_dedup import block_identities, drop_exact_duplicates, exact_groups
+from loremill.llm.sharding import _cuts, hilbert_index, shard_rows, write_shards
 
 from .helpers import ODD, docs, odd
 
@@ -33,6 +34,34 @@ def test_colliding_keys_are_told_apart(spark):
     assert got(exact_groups(docs(spark, rows), block_bytes=16, key=weak)) == brute(rows)
 
 
+def test_names_are_the_sorted_place_whatever_the_partitions(spark):
+    rows = docs(spark, [(i, f"{i % 7}" * (40 + i % 5 * 30)) for i in range(300)])
+    named = lambda n: sorted((r["k"], r["level"], r["name"]) for r in block_identities(rows.repartition(n), block_bytes=16).collect())
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        first = named(1)
+        spark.conf.set("spark.sql.shuffle.partitions", "3")
+        assert named(5) == first
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    zero = {n for _, level, n in first if level == 0}
+    assert not zero or max(zero) <= 300
+
+
+def test_heavy_blocks_and_groups(spark):
+    many = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("same text " * 50)).otherwise(F.concat(F.lit("head " * 40), F.col("id") % 900)).alias("text"))
+    rows = [(r["doc_id"], r["text"]) for r in many.collect()]
+    assert got(exact_groups(many, block_bytes=64)) == brute(rows)
+
+
+def test_drop_keeps_columns_of_any_name(spark):
+    names = ["_keep", "_sha", "_nth", "k", "sha", "nth", "a.b"]
+    rows = odd(spark).drop("k", "name").withColumns({n: F.concat(F.lit(n), F.coalesce("doc_id", F.lit(0))) for n in names})
+    kept = drop_exact_duplicates(rows)
+    assert kept.columns == rows.columns
+    assert all(r[n] == f"{n}{r['doc_id'] or 0}" for r in kept.collect() for n in names)
+
+
 def test_empty_table_and_drop(spark):
     assert exact_groups(docs(spark, [(1, "x")]).where("false")).count() == 0
     kept = drop_exact_duplicates(odd(spark))
@@ -77,3 +106,27 @@ def test_written_shards(spark, sf, tmp_path):
     back = spark.read.parquet(str(tmp_path / "s"))
     assert back.count() == table.count()
     assert {r["count"] for r in back.groupBy("shard").count().collect()} == {40}
+
+
+def test_written_shards_hold_repeated_rows_and_clashing_ids(spark, tmp_path):
+    rows = odd(spark).unionByName(odd(spark))
+    write_shards(rows, str(tmp_path / "s"), 3)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert Counter((r["doc_id"], r["text"]) for r in back.collect()) == Counter(ODD * 2)
+    slots = defaultdict(list)
+    for r in back.collect():
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    with pytest.raises(ValueError):
+        write_shards(rows.withColumn("slot", F.lit(1)), str(tmp_path / "t"), 3)
+
+
+def test_cuts_against_one_sorted_list(spark):
+    rows = [f"v{i * i % 97:02}" for i in range(500)] + ["v13"] * 400
+    per, n, cuts = sorted(Counter(rows).items()), len(rows), {}
+    upto = 0
+    for v, c in per:
+        if code := upto * 16 // n:
+            cuts.setdefault(code, v)
+        upto += c
+    assert _cuts(spark.createDataFrame([(v,) for v in rows], "v string"), "v", 16) == [cuts[k] for k in sorted(cuts)]
