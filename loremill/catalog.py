@@ -351,6 +351,12 @@ def infer_same_project(spark, d):
     return L.same_project(V.atoms(spark, d))
 
 
+@query("""SELECT project, CAST(sum(n) AS BIGINT) AS members, count(*) AS files, CAST((sum(n) * sum(n) - sum(n * n)) // 2 AS BIGINT) AS links
+  FROM (SELECT project, source_path, count(*) AS n FROM v_atoms WHERE project <> '' AND atom_type <> 'plan' AND contains(source_path, 'memory') GROUP BY 1, 2) GROUP BY 1""", "v_atoms")
+def project_classes(spark, d):
+    return L.project_classes(V.atoms(spark, d))
+
+
 @query(""", a AS (SELECT ingest_seq AS s, id, title, body, atom_type, project, source_path, ['k' || (ingest_seq % 90), 'm' || (ingest_seq % 45), 'n' || (ingest_seq % 60)] AS tags FROM v_atoms),
 tg AS (SELECT s, unnest(list_distinct(tags)) AS tag FROM a),
 r AS (SELECT a.s AS a, b.s AS b, 1 AS rule, least(0.9, 0.3 + 0.15 * count(*)) AS confidence FROM tg a JOIN tg b ON a.tag = b.tag AND a.s < b.s GROUP BY 1, 2 HAVING count(*) >= 2

@@ -49,13 +49,29 @@ def extends_chain(sections: DataFrame) -> DataFrame:
     return sections.select(F.col("id").alias("source_id"), nxt.alias("target_id")).where("target_id is not null").select("source_id", "target_id", F.lit("extends").alias("link_type"), F.lit(0.95).alias("confidence"))
 
 
-def tag_overlap(tags: DataFrame, least: int = 2) -> DataFrame:
-    """``tags`` (seq, tag, distinct) to pairs a < b that share ``least`` or more tags, by an equi-join on the tag.
+#: Rows of one key that a task pairs with each other.
+RUN = 2000
 
-    The pairs are the result, so their number is the answer's own; a tag's rows are dealt by AQE's skew join.
+
+def _met(rows: DataFrame, key: str, run: int) -> DataFrame:
+    """``x`` and ``y``: every two of ``rows`` (``key``, ``seq`` and more) with the same ``key`` and x.seq < y.seq, once.
+
+    A key's rows are cut into hashed runs of about ``run`` and go to one tile for each two runs, so a key that a third of all
+    rows have is worked off by as many tasks as its pairs need. Pairs are the result, so their number is the answer's own.
     """
-    a, b = tags.select("tag", F.col("seq").alias("a")), tags.select("tag", F.col("seq").alias("b"))
-    return a.join(b, "tag").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    runs = rows.groupBy(key).agg(F.ceil(F.count("*") / F.lit(run)).cast("int").alias("runs"))
+    mine = rows.join(runs, key).withColumn("run", F.pmod(F.xxhash64("seq"), F.col("runs")).cast("int"))
+    tiles = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)))
+    tiles = tiles.select(F.col(key).alias("key"), F.least("run", "other").alias("i"), F.greatest("run", "other").alias("j"), "run", F.struct(*[c for c in rows.columns if c != key]).alias("row"))
+    on = ["key", "i", "j"]
+    x, y = (tiles.select(*on, F.col("run").alias(f"run_{n}"), F.col("row").alias(n)) for n in "xy")
+    return x.join(y, on).where("x.seq < y.seq and (i = j or run_x <> run_y)").select("x", "y")
+
+
+def tag_overlap(tags: DataFrame, least: int = 2, run: int = RUN) -> DataFrame:
+    """``tags`` (seq, tag, distinct) to pairs a < b that share ``least`` or more tags, by an equi-join on the tag."""
+    met = _met(tags.select("tag", "seq"), "tag", run).select(F.col("x.seq").alias("a"), F.col("y.seq").alias("b"))
+    return met.groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
 
 
 def tag_confidence(shared):
@@ -91,12 +107,21 @@ def title_mentions(titles: DataFrame, bodies: DataFrame, least: int = 9) -> Data
     return hit.join(t.select("a", "lt"), "lt").where("a < b").select("a", "b")
 
 
-def same_project(atoms: DataFrame) -> DataFrame:
-    """(a, b), a < b: non-plan memory-path atoms of one project, from different files."""
+def _project_members(atoms: DataFrame) -> DataFrame:
     m = atoms.where(F.col("project").isNotNull() & (F.col("project") != "") & (F.col("atom_type") != "plan") & F.col("source_path").contains("memory"))
-    a = m.select("project", F.col("ingest_seq").alias("a"), F.col("source_path").alias("pa"))
-    b = m.select("project", F.col("ingest_seq").alias("b"), F.col("source_path").alias("pb"))
-    return a.join(b, "project").where("a < b and pa <> pb").select("a", "b")
+    return m.select("project", F.col("ingest_seq").alias("seq"), "source_path")
+
+
+def same_project(atoms: DataFrame, run: int = RUN) -> DataFrame:
+    """(a, b), a < b: non-plan memory-path atoms of one project, from different files."""
+    return _met(_project_members(atoms), "project", run).where("x.source_path <> y.source_path").select(F.col("x.seq").alias("a"), F.col("y.seq").alias("b"))
+
+
+def project_classes(atoms: DataFrame) -> DataFrame:
+    """project, members, files and links of ``same_project`` by project, from counts: nothing grows with the square of a project."""
+    files = _project_members(atoms).groupBy("project", "source_path").agg(F.count("*").alias("n"))
+    out = files.groupBy("project").agg(F.sum("n").alias("members"), F.count("*").alias("files"), F.sum(F.col("n") * F.col("n")).alias("within"))
+    return out.select("project", "members", "files", F.expr("(members * members - within) div 2").alias("links"))
 
 
 def infer(atoms: DataFrame) -> DataFrame:
