@@ -86,6 +86,26 @@ def op10_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(docs))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import audit
+
+    return audit(_docs(spark, sf_dir))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged by the seeded rule, then repaired at the least cost."""
+    from .conversations import damaged, repair
+
+    return repair(damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+def op13_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict without the rule's name, which depends on the order that the sample suggests."""
+    from .rules import rule_cascade
+
+    return rule_cascade(_docs(spark, sf_dir)).drop("rejected_by")
+
+
 OP9_SQL = """
 SELECT doc_id,
        max(doc_id) OVER same AS keep_id,
@@ -150,6 +170,77 @@ SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(shard AS INTEGER) AS shard,
 """
 
 
+OP11_SQL = """
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+groups AS (SELECT DISTINCT lang, source FROM d),
+each AS (SELECT id, lang, source, term, count(*) AS n FROM (SELECT id, lang, source, unnest(ws) AS term FROM d) GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n)::HUGEINT AS everywhere FROM each GROUP BY ALL HAVING count(*) >= 30),
+v AS (SELECT lang, count(*)::HUGEINT AS v, sum(everywhere) AS lang_total FROM kept GROUP BY 1),
+cells AS (SELECT lang, source, term, sum(n)::HUGEINT AS n FROM each SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+totals AS (SELECT g.lang, g.source, coalesce(sum(n), 0)::HUGEINT AS total FROM groups g LEFT JOIN cells USING (lang, source) GROUP BY ALL),
+p AS (SELECT t.lang, t.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 5)) // (total + 5 * v) AS p, 1 + (1000000000 * (everywhere + 5)) // (lang_total + 5 * v) AS q
+  FROM totals t JOIN v USING (lang) JOIN kept k USING (lang) LEFT JOIN cells c USING (lang, source, term)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(any_value(value), 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM p x JOIN p y USING (lang, term) GROUP BY ALL) s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source GROUP BY ALL),
+ranked AS (SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+  UNION ALL (SELECT lang, source, 'term', term, p - q, row_number() OVER (PARTITION BY lang, source ORDER BY p - q DESC, term) AS r FROM p WHERE n > 0 AND p > q QUALIFY r <= 50))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked
+"""
+
+
+OP13_SQL = """
+WITH t AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM t),
+windows AS (SELECT id, unnest(list_transform(range(len(ws) - 4), lambda i: ws[i + 1 : i + 5])) AS g, unnest(range(len(ws) - 4)) AS i FROM w WHERE len(ws) >= 5),
+again AS (SELECT id, i FROM windows QUALIFY count(*) OVER (PARTITION BY id, g) > 1),
+covered AS (SELECT id, count(DISTINCT i + k) AS n FROM again, range(5) r(k) GROUP BY 1),
+base AS (SELECT doc_id, t, ws, lines, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+  (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN covered c USING (id)),
+failed AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed
+  OR n_symbols * 10 > n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR (n_dup_lines >= 3 AND n_dup_lines * 10 > 3 * len(lines))
+  OR len(list_filter(ws, lambda x: regexp_matches(x, '\\p{L}'))) * 2 < n_words
+  OR length(regexp_replace(t, '\\P{Lu}', '', 'g')) * 2 > length(regexp_replace(t, '\\P{L}', '', 'g'))
+  OR len(list_filter(lines, lambda x: regexp_matches(x, '^\\s*[-*•·]'))) * 10 > 9 * len(lines)
+  OR len(list_filter(lines, lambda x: regexp_matches(x, '(\\.\\.\\.|…)\\s*$'))) * 10 > 3 * len(lines)) AS kept FROM failed
+"""
+
+
+def _op12_sql() -> str:
+    """A recursive step a row; each state is (cost, audit, repaired rows), compared in that order."""
+    white = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    moved = lambda s, cost, edit, row=None: f"struct_pack(c := {s}.c + {cost}, a := {s}.a || '{edit}', r := {f'list_append({s}.r, {row})' if row else f'{s}.r'})"
+    least = lambda *xs: f"list_min([{', '.join(xs)}])"
+    never = "struct_pack(c := 1000000000::BIGINT, a := '', r := []::VARCHAR[])"
+    when = lambda cond, x: f"CASE WHEN {cond} THEN {x} ELSE {never} END"
+    closing = lambda inner: f"SELECT * REPLACE ({least('u', *(moved(x, 2, 'I', chr(39) + 'user:' + chr(39)) for x in 'nsa'))} AS u, {least('a', moved('u', 2, 'I', chr(39) + 'assistant:' + chr(39)))} AS a) FROM ({inner})"
+    own, user, reply = "role || ':' || text", "'user:' || text", "'assistant:' || text"
+    go = "NOT (blank OR repeat)"
+    keep = lambda s, i: when(f"{go} AND left(role, 1) = '{i}'", moved(s, "cut", "K", own))
+    rerole = lambda s, row: when(go, moved(s, "2 + cut", "R", row))
+    step = f"""SELECT conv, rn, {moved('n', 3, 'D')} AS n, {least(moved('s', 3, 'D'), keep('n', 's'))} AS s,
+  {least(moved('u', 3, 'D'), *(x for s in 'nsa' for x in (keep(s, 'u'), rerole(s, user))))} AS u, {least(moved('a', 3, 'D'), keep('u', 'a'), rerole('u', reply))} AS a
+  FROM (SELECT f.*, w.n, w.s, w.u, w.a FROM walk w JOIN faults f ON f.conv = w.conv AND f.rn = w.rn + 1)"""
+    return f"""
+WITH RECURSIVE bits8 AS (SELECT n AS i, n::BIGINT AS x, 0 AS k FROM range(256) t(n) UNION ALL SELECT i, {_CRC_STEP}, k + 1 FROM bits8 WHERE k < 8),
+crc AS (SELECT list(x ORDER BY i) AS tab FROM bits8 WHERE k = 8),
+keyed AS (SELECT conv_id, coalesce(conv_id::VARCHAR, ' ') AS conv, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+kinds AS (SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(k)), lambda i: ascii(k[i + 1])::BIGINT)), lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295) % 20 AS kind FROM keyed, crc),
+hurt AS (SELECT conv, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM (SELECT *, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) FROM kinds)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text) AS rn FROM hurt),
+marked AS (SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv, role, text ORDER BY rn) > 1 AS again, right(rtrim(text, {white}), 1) NOT IN ('.', '!', '?') AS open,
+  lag(left(role, 1)) OVER (PARTITION BY conv ORDER BY rn) || left(role, 1) NOT IN ('su', 'ua', 'au') AS odd FROM placed),
+faults AS (SELECT conv, turn, rn, role, text, blank, NOT blank AND again AS repeat, CAST(NOT blank AND NOT again AND open AS BIGINT) AS cut, odd FROM marked),
+walk AS (SELECT conv, 0::BIGINT AS rn, n, s, struct_pack(c := 2::BIGINT, a := 'I', r := ['user:']) AS u, struct_pack(c := 4::BIGINT, a := 'II', r := ['user:', 'assistant:']) AS a FROM (SELECT DISTINCT conv, struct_pack(c := 0::BIGINT, a := '', r := []::VARCHAR[]) AS n, {never} AS s FROM keyed)
+  UNION ALL ({closing(closing(step))})),
+best AS (SELECT conv, arg_max({least('n', 'a')}, rn) AS b FROM walk GROUP BY conv),
+counts AS (SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank, count_if(repeat) AS duplicate, coalesce(sum(cut), 0) AS truncated, count_if(odd) AS illegal FROM faults GROUP BY conv)
+SELECT k.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal,
+  b.c AS cost, b.a AS audit, sha256(array_to_string(b.r, chr(10))) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, conv FROM keyed) k JOIN best USING (conv) LEFT JOIN counts USING (conv)
+"""
+
+
 def _op4_sql() -> str:
     from .licenses import MIN_COSINE, TEMPLATES, template_words, window_length
 
@@ -179,8 +270,8 @@ SELECT doc_id, path, coalesce(license, l) AS license, CASE WHEN license IS NOT N
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_rollup, op2_pii_spans, op3_benchmark_matches, op4_license_scan, op5_piece_encoding, op6_hilbert_shards, op7_simhash_components, op8_quality_scores, op9_exact_groups, op10_pitman_yor_scores)}
+    return {f.__name__: f for f in (op1_token_rollup, op2_pii_spans, op3_benchmark_matches, op4_license_scan, op5_piece_encoding, op6_hilbert_shards, op7_simhash_components, op8_quality_scores, op9_exact_groups, op10_pitman_yor_scores, op11_source_divergence, op12_conversation_repair, op13_rule_cascade)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_license_scan": _op4_sql(), "op6_hilbert_shards": OP6_SQL, "op9_exact_groups": OP9_SQL}
+    return {"op4_license_scan": _op4_sql(), "op6_hilbert_shards": OP6_SQL, "op9_exact_groups": OP9_SQL, "op11_source_divergence": OP11_SQL, "op12_conversation_repair": _op12_sql(), "op13_rule_cascade": OP13_SQL}
