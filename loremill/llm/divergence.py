@@ -122,39 +122,39 @@ def shares(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
 class _Tile:
     """Differences of the groups of one block from those of another, over the chunks of a span."""
 
-    def __init__(self, lang: str, i: int, j: int, span: int):
-        self.key = (lang, i, j, span)
+    def __init__(self, key: tuple[str, int, int, int], block: int, chunk: int, span: int):
+        self.key, self.block, self.size, self.last = key, block, chunk, (key[3] + 1) * span
         self.names: tuple[list[str], list[str]] = ([], [])
         self.totals: tuple[list[int], list[int]] = ([], [])
         self.at: dict[int, int] = {}
-        self.terms, self.chunk, self.matrix = 0, span * SPAN, None
+        self.terms, self.chunk, self.matrix = 0, key[3] * span, None
         self.packed: list[tuple[int, np.ndarray, np.ndarray]] = []
 
-    def group(self, gid: int, source: str, total: int, terms: int, block: int) -> None:
+    def group(self, gid: int, source: str, total: int, terms: int) -> None:
         self.terms = terms
         for side in (0, 1):
-            if gid // block == self.key[1 + side]:
+            if gid // self.block == self.key[1 + side]:
                 self.at[gid] = len(self.names[side])
                 self.names[side].append(source)
                 self.totals[side].append(total)
 
-    def counts(self, chunk: int, gid: int, places: np.ndarray, n: np.ndarray, block: int) -> None:
+    def counts(self, chunk: int, gid: int, places: np.ndarray, n: np.ndarray) -> None:
         while self.chunk < chunk:
-            self.add_chunk(block)
+            self.add_chunk()
         self.packed.append((gid, places, n))
 
-    def add_chunk(self, block: int) -> None:
+    def add_chunk(self) -> None:
         """The chunk's part of the matrix; groups without a row have zero counts."""
         if self.matrix is None:
             self.matrix = np.zeros((len(self.names[0]), len(self.names[1])), np.int64)
-        size = min(CHUNK, self.terms - self.chunk * CHUNK)
+        size = min(self.size, self.terms - self.chunk * self.size)
         if size > 0 and self.matrix.size:
             sides = []
             for side in (0, 1) if self.key[1] != self.key[2] else (0,):
                 totals = np.array(self.totals[side], np.int64)
                 p = np.repeat(shares(np.zeros(len(totals), np.int64), totals)[:, None], size, axis=1)
                 for gid, places, n in self.packed:
-                    if gid // block == self.key[1 + side]:
+                    if gid // self.block == self.key[1 + side]:
                         k = self.at[gid]
                         p[k, places] = shares(n, totals[k])
                 sides.append(p)
@@ -162,15 +162,14 @@ class _Tile:
                 self.matrix[k] += np.abs(sides[-1] - row).sum(axis=1)
         self.packed, self.chunk = [], self.chunk + 1
 
-    def end(self, block: int) -> list[tuple[str, str, str, int]]:
-        last = max(1, min((self.key[3] + 1) * SPAN, -(-self.terms // CHUNK)))
-        while self.chunk < last or self.matrix is None:
-            self.add_chunk(block)
+    def end(self) -> list[tuple[str, str, str, int]]:
+        while self.chunk < min(self.last, -(-self.terms // self.size)) or self.matrix is None:
+            self.add_chunk()
         same = self.key[1] == self.key[2]
         return [(self.key[0], a, b, int(self.matrix[x, y])) for x, a in enumerate(self.names[0]) for y, b in enumerate(self.names[1]) if not same or x < y]
 
 
-def _tiled(rows: DataFrame, block: int) -> DataFrame:
+def _tiled(rows: DataFrame, block: int, chunk_size: int, span_size: int) -> DataFrame:
     """``(lang, a, b, value)`` of each tile and span; ``rows`` are sorted by tile and chunk, the groups' heads first."""
     schema = pa.schema([("lang", pa.string()), ("a", pa.string()), ("b", pa.string()), ("value", pa.int64())])
 
@@ -186,15 +185,15 @@ def _tiled(rows: DataFrame, block: int) -> DataFrame:
                 cells = b.column(b.schema.get_field_index("cells"))
                 for k, (lang, i, j, span, chunk, gid, source, total, terms) in enumerate(zip(*plain)):
                     if tile is None or tile.key != (lang, i, j, span):
-                        if tile is not None and (found := tile.end(block)):
+                        if tile is not None and (found := tile.end()):
                             yield out(found)
-                        tile = _Tile(lang, i, j, span)
+                        tile = _Tile((lang, i, j, span), block, chunk_size, span_size)
                     if chunk < 0:
-                        tile.group(gid, source, total, terms, block)
+                        tile.group(gid, source, total, terms)
                     else:
                         values = cells[k].values
-                        tile.counts(chunk, gid, values.field(0).to_numpy(), values.field(1).to_numpy(), block)
-        if tile is not None and (found := tile.end(block)):
+                        tile.counts(chunk, gid, values.field(0).to_numpy(), values.field(1).to_numpy())
+        if tile is not None and (found := tile.end()):
             yield out(found)
 
     return rows.mapInArrow(run, "lang string, a string, b string, value long")
@@ -206,7 +205,7 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return each.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("block", "blocks", "other")
 
 
-def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, block: int = BLOCK) -> DataFrame:
+def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, block: int = BLOCK, chunk: int = CHUNK, span: int = SPAN) -> DataFrame:
     """lang, source, part, item, value and rank: each group's distance to every other source of its language (``pair``) and
     its ``top`` terms above the language's share (``term``)."""
     counted = stored(term_counts(docs).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "counts")
@@ -227,17 +226,16 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, block:
     full = spread_join(cells, groups.where("n > 0"), ["lang", "source"])
     # packed count vectors, a row a group and chunk
     placed = full.withColumn("k", F.col("place") - F.col("start"))
-    packed = placed.groupBy("lang", "source", "gid", "groups", F.expr(f"k div {CHUNK}").alias("chunk")).agg(F.collect_list(F.struct((F.col("k") % CHUNK).cast("int").alias("k"), F.col("count").alias("n"))).alias("cells"))
+    packed = placed.groupBy("lang", "source", "gid", "groups", F.expr(f"k div {chunk}").alias("chunk")).agg(F.collect_list(F.struct((F.col("k") % chunk).cast("int").alias("k"), F.col("count").alias("n"))).alias("cells"))
     blocks = {"block": F.expr(f"gid div {block}"), "blocks": F.ceil(F.col("groups") / F.lit(block)).cast("long")}
-    vectors = packed.withColumns(blocks | {"span": F.expr(f"chunk div {SPAN}")})
-    heads = groups.withColumns(blocks | {"span": F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.ceil(F.col("terms") / F.lit(CHUNK * SPAN)) - 1).cast("long")))})
+    vectors = packed.withColumns(blocks | {"span": F.expr(f"chunk div {span}")})
+    heads = groups.withColumns(blocks | {"span": F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.ceil(F.col("terms") / F.lit(chunk * span)) - 1).cast("long")))})
     heads = heads.select("lang", "source", "gid", F.lit(-1).cast("long").alias("chunk"), "block", "blocks", "span", (F.col("total") + PRIOR * F.col("terms")).alias("total"), "terms")
     none = {"total": F.lit(0).cast("long"), "terms": F.lit(0).cast("long")}
     rows = _dealt(vectors.select("lang", "source", "gid", "chunk", "block", "blocks", "span", "cells").withColumns(none)).unionByName(_dealt(heads.withColumn("cells", F.lit(None).cast("array<struct<k:int,n:bigint>>"))))
     tile = ["lang", "i", "j", "span"]
-    sums = _tiled(rows.repartition(*tile).sortWithinPartitions(*tile, "chunk", "gid"), block).groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
+    sums = _tiled(rows.repartition(*tile).sortWithinPartitions(*tile, "chunk", "gid"), block, chunk, span).groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
     both = sums.select("lang", F.inline(F.array(F.struct(F.col("a").alias("source"), F.col("b").alias("item"), "value"), F.struct(F.col("b").alias("source"), F.col("a").alias("item"), "value"))))
-    # the shares' common divisor is part of a group's row, so its own share and the language's are known cell by cell
     above = full.select("lang", "source", F.col("term").alias("item"), (share("count", "total", "terms") - share("everywhere", "lang_total", "terms")).alias("value")).where("value > 0")
     rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
     pair = both.withColumn("rank", rank).select("lang", "source", F.lit("pair").alias("part"), "item", "value", "rank")
