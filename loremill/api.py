@@ -231,15 +231,13 @@ def reindex(spark, roots: Roots, old: Knowledge | None = None, now: str = "1970-
     diags = diags.unionByName(A.duplicates(atoms).withColumn("details", F.lit(None).cast("string")))
     both = explicit.withColumn("prio", F.lit(0)).unionByName(L.infer(atoms).withColumn("prio", F.lit(1)))
     sessions = project_sessions(spark, roots)
+    if old is not None and old.sessions is not None:
+        sessions = SS.upsert(R.evolve(old.sessions, sessions), sessions)
     if desktop_root:
-        desktop = desktop_sessions(spark, desktop_root)
-        sessions = sessions.unionByName(desktop.join(sessions.select("session_id"), "session_id", "left_anti").select(*sessions.columns))
+        sessions = SS.upsert(sessions, desktop_sessions(spark, desktop_root))
     if metadata is not None:
-        sessions = SS.import_titles(sessions, metadata).select(*sessions.columns)
+        sessions = SS.import_titles(sessions, metadata)
     sessions = SS.backfill_titles(sessions)
-    if old is not None and old.sessions is not None:
-        kept = SS.upsert(old.sessions, sessions)
-        sessions = sessions.drop(*[c for c in kept.columns if c != "session_id"]).join(kept, "session_id", "right").select(*sessions.columns)
     index = None
     if old is not None and old.index is not None:
         changed = atoms.join(changes.where("change in ('created', 'updated')"), "id", "left_semi")

@@ -524,13 +524,23 @@ def dashboard_projects(spark, d):
     return A.dashboard(V.sessions(spark, d), V.atoms(spark, d).where("ingest_seq % 2 = 0").withColumn("project", F.replace(F.col("project"), F.lit("src"), F.lit("p"))))
 
 
-@query("""SELECT session_id, CASE WHEN o.project IS NOT NULL THEN o.project ELSE n.project END AS project, coalesce(n.summary, o.summary) AS summary, coalesce(o.custom_title, n.title, o.title) AS title, coalesce(n.message_count, o.message_count) AS message_count
-  FROM (SELECT * FROM v_sessions WHERE conv_id % 3 <> 0) o FULL JOIN (SELECT session_id, 'new' AS project, CASE WHEN conv_id % 2 = 0 THEN 'again ' || conv_id END AS summary, CASE WHEN conv_id % 4 = 1 THEN 'T' || conv_id END AS title, message_count + 1 AS message_count FROM v_sessions WHERE conv_id % 5 <> 0) n USING (session_id)""", "v_sessions")
+#: What a session's transcript says at the second reading; every seventh is a desktop session.
+_SECOND = """SELECT session_id, 'new' AS project, 'b2' AS git_branch, 'p2' AS jsonl_path, 'later' AS started_at, CASE WHEN conv_id % 3 = 1 THEN NULL ELSE '2025-01-01T00:00:00Z' END AS last_active, 'dead' AS status, CAST(9 AS BIGINT) AS subagent_count,
+  CASE WHEN conv_id % 2 = 0 THEN concat('again ', conv_id) END AS summary, CASE WHEN conv_id % 4 = 1 THEN concat('T', conv_id) END AS title, message_count + 1 AS message_count, conv_id % 7 = 0 AS is_cowork, CASE WHEN conv_id % 7 = 0 THEN 'w2' END AS workspace_id FROM {sessions} WHERE conv_id % 5 <> 0"""
+_FIRST = "SELECT *, concat('b', conv_id) AS git_branch, concat('p', conv_id) AS jsonl_path, CAST(conv_id % 4 AS BIGINT) AS subagent_count, CAST(NULL AS BOOLEAN) AS is_cowork, CAST(NULL AS VARCHAR(9)) AS workspace_id FROM {sessions} WHERE conv_id % 3 <> 0"
+_MEETS = "o.session_id IS NOT NULL AND n.session_id IS NOT NULL"
+
+
+@query(f"""SELECT session_id, {', '.join(f"CASE WHEN o.session_id IS NULL THEN n.{c} ELSE o.{c} END AS {c}" for c in ("git_branch", "jsonl_path", "started_at"))}, o.custom_title,
+  {', '.join(f"CASE WHEN {_MEETS} AND n.is_cowork THEN n.{c} WHEN o.session_id IS NULL THEN n.{c} ELSE o.{c} END AS {c}" for c in ("project", "is_cowork", "workspace_id"))},
+  {', '.join(f"CASE WHEN n.session_id IS NULL THEN o.{c} ELSE n.{c} END AS {c}" for c in ("last_active", "status", "message_count"))},
+  CASE WHEN o.session_id IS NULL OR n.session_id IS NOT NULL AND NOT n.is_cowork THEN n.subagent_count ELSE o.subagent_count END AS subagent_count,
+  coalesce(n.summary, o.summary) AS summary, CASE WHEN n.session_id IS NULL THEN o.title ELSE coalesce(o.custom_title, n.title, o.title) END AS title
+  FROM ({_FIRST.format(sessions="v_sessions")}) o FULL JOIN ({_SECOND.format(sessions="v_sessions")}) n USING (session_id)""", "v_sessions")
 def session_upsert(spark, d):
     s = V.sessions(spark, d)
-    n = F.col("conv_id")
-    new = s.where("conv_id % 5 <> 0").select("session_id", F.lit("new").alias("project"), "started_at", F.when(n % 2 == 0, F.concat(F.lit("again "), n)).alias("summary"), F.when(n % 4 == 1, F.concat(F.lit("T"), n)).alias("title"), (F.col("message_count") + 1).alias("message_count"), "last_active")
-    return SS.upsert(s.where("conv_id % 3 <> 0"), new).select("session_id", "project", "summary", "title", "message_count")
+    old, new = (spark.sql(q.format(sessions="{s}"), s=s) for q in (_FIRST, _SECOND))
+    return SS.upsert(old, new).drop("conv_id", "last_role")
 
 
 _NO_TITLE = f"SELECT session_id, summary AS first FROM ({V.SQL['v_sessions']}) WHERE (title IS NULL OR title = '') AND summary IS NOT NULL AND summary <> ''"

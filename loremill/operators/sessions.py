@@ -117,13 +117,43 @@ def list_sessions(sessions: DataFrame, project: str | None = None, status: str |
     return sessions.orderBy(F.desc_nulls_last("last_active"))
 
 
+#: What a re-read of a known session's transcript replaces; a desktop session's own fields are replaced too, but for its subagents.
+REPLACED = ("last_active", "status", "message_count", "subagent_count")
+DESKTOP = ("project", "is_cowork", "workspace_id", "participant_id")
+
+
 def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Re-indexed sessions over known ones: first project, branch, slug and start are kept; a new summary or title
-    replaces only if there is one, and never a custom title."""
-    o = old.select("session_id", *[F.col(c).alias(f"o_{c}") for c in ("project", "started_at", "summary", "title", "custom_title", "message_count", "last_active")], F.lit(True).alias("was"))
-    j = o.join(new, "session_id", "full_outer")
-    kept = lambda c: F.when(F.col("was"), F.col(f"o_{c}")).otherwise(F.col(c)).alias(c)
-    return j.select("session_id", kept("project"), kept("started_at"), F.coalesce("summary", "o_summary").alias("summary"), F.coalesce("o_custom_title", "title", "o_title").alias("title"), F.coalesce("message_count", "o_message_count").alias("message_count"), F.coalesce("last_active", "o_last_active").alias("last_active"))
+    """Re-indexed sessions over known ones, with all columns of both.
+
+    A known session keeps its project, branch, slug, path, start, custom title and whatever else it has; its activity, status and counts
+    are replaced, a summary only by another one, and a title by the custom title, else by a new one. Rows of ``new`` with
+    ``is_cowork`` also replace project, workspace and participant, but not the count of subagents. Sessions that ``new`` does not have
+    stay as they are. A null session_id meets nothing and stays a row of its own.
+    """
+    o = old.select(F.col("session_id"), F.lit(True).alias("_was"), F.struct(*old.columns).alias("_o"))
+    n = new.select(F.col("session_id"), F.lit(True).alias("_is"), F.struct(*new.columns).alias("_n"))
+    j = o.join(n, "session_id", "full_outer")
+    both = F.col("_was").isNotNull() & F.col("_is").isNotNull()
+    desktop = both & F.coalesce(F.col("_n.is_cowork"), F.lit(False)) if "is_cowork" in new.columns else F.lit(False)
+
+    def value(c: str) -> Column:
+        if c not in new.columns:
+            return F.col(f"_o.{c}")
+        if c not in old.columns:
+            return F.col(f"_n.{c}")
+        mine, its = F.col(f"_o.{c}"), F.col(f"_n.{c}")
+        kept = F.when(F.col("_was").isNull(), its).otherwise(mine)
+        if c == "summary":
+            return F.coalesce(its, mine)
+        if c == "title":
+            custom = F.col("_o.custom_title") if "custom_title" in old.columns else F.lit(None)
+            return F.when(F.col("_is").isNull(), mine).otherwise(F.coalesce(custom, its, mine))
+        if c in REPLACED:
+            return F.when(both & (~desktop if c == "subagent_count" else F.lit(True)), its).otherwise(kept)
+        return F.when(desktop, its).otherwise(kept) if c in DESKTOP else kept
+
+    names = [c for c in [*old.columns, *(c for c in new.columns if c not in old.columns)] if c != "session_id"]
+    return j.select("session_id", *[value(c).alias(c) for c in names])
 
 
 def import_titles(sessions: DataFrame, meta: DataFrame) -> DataFrame:

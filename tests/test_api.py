@@ -107,3 +107,29 @@ def test_reindex_tells_exact_copies(spark, tmp_path):
         (folder / f"{name}.md").write_text("---\nname: same\n---\nthe same text")
     k = reindex(spark, Roots(str(tmp_path)))
     assert [r["source_path"][-4:] for r in k.diagnose("duplicate").collect()] == ["y.md"]
+
+
+def test_sessions_outlive_three_readings(spark, tmp_path):
+    import json
+
+    folder, desk = tmp_path / "r/projects/p", tmp_path / "d/w/u/s9"
+    folder.mkdir(parents=True)
+    desk.mkdir(parents=True)
+    line = lambda i, text: json.dumps({"type": "user", "sessionId": i, "timestamp": f"2024-01-01T00:00:0{len(text) % 9}Z", "gitBranch": "main", "slug": "sl", "message": {"content": text}})
+    for i in ("s1", "s2"):
+        (folder / f"{i}.jsonl").write_text(line(i, "please fix it"))
+    # one session is known to the desktop app as well
+    (desk / "audit.jsonl").write_text(json.dumps({"session_id": "s2", "_audit_timestamp": "t5", "type": "user", "message": {"content": "from the desk"}}))
+    k = reindex(spark, Roots(str(tmp_path / "r")), desktop_root=str(tmp_path / "d"))
+    first = {r["session_id"]: r for r in k.sessions.collect()}
+    assert (first["s2"]["project"], first["s2"]["is_cowork"], first["s2"]["last_active"], first["s2"]["git_branch"]) == ("w", True, "t5", "main")
+    k = Knowledge(k.atoms, k.links, k.renamed("s1", "My own name"))
+    (folder / "s2.jsonl").unlink()
+    (desk / "audit.jsonl").unlink()
+    (folder / "s1.jsonl").write_text(line("s1", "please fix it") + "\n" + json.dumps({"type": "assistant", "timestamp": "2024-02-02T00:00:00Z"}))
+    for _ in range(3):
+        k = reindex(spark, Roots(str(tmp_path / "r")), k, desktop_root=str(tmp_path / "d"))
+    last = {r["session_id"]: r for r in k.sessions.collect()}
+    assert last["s2"] == first["s2"]
+    was = first["s1"].asDict() | {"custom_title": "My own name", "title": "My own name", "message_count": 2, "last_active": "2024-02-02T00:00:00Z"}
+    assert last["s1"].asDict() == was
