@@ -48,13 +48,13 @@ def tail(lines: DataFrame, key: str = "path", last: int = TAIL, most_bytes: int
     return kept.withColumn("back", F.row_number().over(newest)).where(F.col("back") <= last)
 
 
-def recency(age_seconds: Column, enqueued: Column, last_type: Column) -> Column:
+def recency(age_seconds: Column, enqueued: Column, last_type: Column, fresh: float = 300, alive: float = 3600) -> Column:
     """Status by age: under five minutes waiting or active, under an hour idle, else dead; no time is dead."""
-    fresh = F.when(enqueued | (last_type == "assistant"), "waiting_input").otherwise("active")
-    return F.when(age_seconds < 300, fresh).when(age_seconds < 3600, "idle").otherwise("dead")
+    spoken = F.when(enqueued | (last_type == "assistant"), "waiting_input").otherwise("active")
+    return F.when(age_seconds < fresh, spoken).when(age_seconds < alive, "idle").otherwise("dead")
 
 
-def status(lines: DataFrame, now: str, key: str = "path") -> DataFrame:
+def status(lines: DataFrame, now: str, key: str = "path", fresh: float = 300, alive: float = 3600) -> DataFrame:
     """Live status, pending prompt and last time of each transcript; ``now`` is an ISO time."""
     t = tail(lines, key).withColumn("v", F.try_parse_json("raw"))
     field = lambda p: F.try_variant_get("v", p, "string")
@@ -69,7 +69,7 @@ def status(lines: DataFrame, now: str, key: str = "path") -> DataFrame:
     )
     at = F.try_to_timestamp("last_timestamp")
     age = F.unix_micros(F.lit(now).cast("timestamp")) / 1e6 - F.unix_micros(at) / 1e6
-    st = F.when(F.col("tool"), "processing").otherwise(F.coalesce(recency(age, F.col("enqueued"), F.coalesce("last_type", F.lit(""))), F.lit("dead")))
+    st = F.when(F.col("tool"), "processing").otherwise(F.coalesce(recency(age, F.col("enqueued"), F.coalesce("last_type", F.lit("")), fresh, alive), F.lit("dead")))
     pending = F.when((st == "waiting_input") & F.col("enqueued"), F.col("pending"))
     return per.select(key, st.alias("status"), pending.alias("pending_prompt"), "last_timestamp")
 

@@ -22,11 +22,16 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{tempfile.gettempdir()}/loremill-checkpoints"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet under ``spark.checkpoint.dir`` and read back: later stages start from files."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder; it goes when the driver ends."""
     path = f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet under ``spark.checkpoint.dir`` and read back: later stages start from files."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -6,12 +6,13 @@ trigger compares the sources with the known atoms (``api.reindex``), which finds
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import new_path
+
 WATERMARK = "10 minutes"
 
 
@@ -39,15 +40,22 @@ def session_gaps(events: DataFrame, gap: str = "5 minutes") -> DataFrame:
 
 
 def drain(stream: DataFrame, mode: str, checkpoint: str | None = None) -> DataFrame:
-    """Run a stream over what is there and return the rows of its last state, for comparing with a batch."""
+    """Run a stream over what is there and return its rows, for comparing with a batch: in complete mode those of the last state.
+
+    Each micro-batch writes its rows as Parquet under a folder of its number in the shared folder, so a batch that runs again
+    replaces what it wrote, and no row passes the driver. Without a ``checkpoint`` a new one is made there too.
+    """
     spark = stream.sparkSession
-    name = "s" + uuid.uuid4().hex
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    q = writer.start()
-    q.awaitTermination()
-    return spark.table(name)
+    path, done = new_path(spark, "stream"), []
+
+    def write(rows: DataFrame, n: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/rows/batch={n}")
+        done.append(n)
+
+    writer = stream.writeStream.foreachBatch(write).outputMode(mode).trigger(availableNow=True)
+    writer.option("checkpointLocation", checkpoint or f"{path}/checkpoint").start().awaitTermination()
+    wanted = [f"{path}/rows/batch={n}" for n in (done[-1:] if mode == "complete" else done)]
+    return spark.read.schema(stream.schema).parquet(*wanted) if wanted else spark.createDataFrame([], stream.schema)
 
 
 def stream_query(spark: SparkSession, sf_dir: str, shape: Callable[[DataFrame], DataFrame], mode: str = "complete") -> DataFrame:
@@ -58,4 +66,4 @@ def watch(spark: SparkSession, on_tick: Callable[[int], None], every: str = "60
     """Start a query that calls ``on_tick`` with a number at each trigger; it has no state but that number."""
     ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
     writer = ticks.writeStream.foreachBatch(lambda _, n: on_tick(n)).trigger(processingTime=every)
-    return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+    return writer.option("checkpointLocation", checkpoint or f"{new_path(spark, 'watch')}/checkpoint").start()
