@@ -41,6 +41,8 @@ class Knowledge:
     index: SearchIndex | None = None
     #: What the last ``reindex`` did: change (created, updated, unchanged, removed) and n.
     run: DataFrame | None = None
+    #: The inferred links between atoms, by which the next ``reindex`` decides only those of changed atoms.
+    pairs: DataFrame | None = None
 
     def indexed(self) -> Knowledge:
         """The same with a stored search index."""
@@ -229,7 +231,13 @@ def reindex(spark, roots: Roots, old: Knowledge | None = None, now: str = "1970-
     diags = diags.unionByName(gone.select(F.lit("broken_reference").alias("type"), F.col("source_id").alias("atom_id"), F.lit(None).cast("string").alias("source_path"), F.concat(F.lit("Missing: "), "path").alias("message"), F.lit(None).cast("string").alias("details")))
     diags = diags.unionByName(orphan.select(F.lit("orphan").alias("type"), F.col("id").alias("atom_id"), "source_path", F.concat(F.lit("No links: "), "title").alias("message"), F.lit(None).cast("string").alias("details")))
     diags = diags.unionByName(A.duplicates(atoms).withColumn("details", F.lit(None).cast("string")))
-    both = explicit.withColumn("prio", F.lit(0)).unionByName(L.infer(atoms).withColumn("prio", F.lit(1)))
+    if old is not None and old.pairs is not None:
+        pairs = L.infer_changed(old.pairs, atoms, cut(L.unlike(old.atoms, atoms), "unlike"))
+    else:
+        pairs = L.infer_pairs(atoms)
+    pairs = cut(pairs, "pairs")
+    inferred = L.extends_chain(atoms).unionByName(pairs)
+    both = explicit.withColumn("prio", F.lit(0)).unionByName(inferred.withColumn("prio", F.lit(1)))
     sessions = project_sessions(spark, roots)
     if old is not None and old.sessions is not None:
         sessions = SS.upsert(R.evolve(old.sessions, sessions), sessions)
@@ -243,4 +251,4 @@ def reindex(spark, roots: Roots, old: Knowledge | None = None, now: str = "1970-
         changed = atoms.join(changes.where("change in ('created', 'updated')"), "id", "left_semi")
         index = old.index.updated(changed, changes.where("change = 'removed'").select("id"))
     links = L.insert_or_ignore(both, "prio").select("source_id", "target_id", "link_type", "confidence")
-    return Knowledge(atoms, links, cut(sessions, "sessions"), diags, index, A.counts(changes, "change"))
+    return Knowledge(atoms, links, cut(sessions, "sessions"), diags, index, A.counts(changes, "change"), pairs)

@@ -21,6 +21,7 @@ from .operators.index import SearchIndex
 from .sources import driver_views as V
 from .sources.driver_views import with_views
 from .sources.files import split_sections
+from .storage import cut
 from .streaming import jobs as J
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -357,17 +358,36 @@ def project_classes(spark, d):
     return L.project_classes(V.atoms(spark, d))
 
 
-@query(""", a AS (SELECT ingest_seq AS s, id, title, body, atom_type, project, source_path, ['k' || (ingest_seq % 90), 'm' || (ingest_seq % 45), 'n' || (ingest_seq % 60)] AS tags FROM v_atoms),
-tg AS (SELECT s, unnest(list_distinct(tags)) AS tag FROM a),
+#: Tags by number, and what the rules make of a table ``a`` (s, id, title, body, atom_type, project, source_path, tags).
+_TAGS = "array(concat('k', ingest_seq % 90), concat('m', ingest_seq % 45), concat('n', ingest_seq % 60))"
+_INFERRED = """tg AS (SELECT s, unnest(list_distinct(tags)) AS tag FROM a),
 r AS (SELECT a.s AS a, b.s AS b, 1 AS rule, least(0.9, 0.3 + 0.15 * count(*)) AS confidence FROM tg a JOIN tg b ON a.tag = b.tag AND a.s < b.s GROUP BY 1, 2 HAVING count(*) >= 2
   UNION ALL SELECT a.s, b.s, 2, 0.6 FROM a JOIN a b ON a.s < b.s AND length(a.title) > 8 AND b.atom_type <> 'plan' AND contains(lower(b.body), lower(a.title))
   UNION ALL SELECT a.s, b.s, 3, 0.3 FROM a JOIN a b ON a.project = b.project AND a.s < b.s AND a.source_path <> b.source_path AND a.atom_type <> 'plan' AND b.atom_type <> 'plan'),
 one AS (SELECT a, b, min(struct_pack(rule := rule, confidence := confidence)) AS r FROM r GROUP BY 1, 2)
 SELECT CASE WHEN r.rule = 2 THEN y.id ELSE x.id END AS source_id, CASE WHEN r.rule = 2 THEN x.id ELSE y.id END AS target_id, CASE WHEN r.rule = 2 THEN 'references' ELSE 'related' END AS link_type, round(r.confidence, 6)::DOUBLE AS confidence
-FROM one JOIN a x ON x.s = one.a JOIN a y ON y.s = one.b WHERE x.source_path <> y.source_path""", "v_atoms")
+FROM one JOIN a x ON x.s = one.a JOIN a y ON y.s = one.b WHERE x.source_path <> y.source_path"""
+
+
+@query(""", a AS (SELECT ingest_seq AS s, id, title, body, atom_type, project, source_path, ['k' || (ingest_seq % 90), 'm' || (ingest_seq % 45), 'n' || (ingest_seq % 60)] AS tags FROM v_atoms),
+""" + _INFERRED, "v_atoms")
 def infer_links(spark, d):
-    tags = F.expr("array(concat('k', ingest_seq % 90), concat('m', ingest_seq % 45), concat('n', ingest_seq % 60))")
-    return L.infer(V.atoms(spark, d).withColumn("tags", tags)).withColumn("confidence", F.round("confidence", 6))
+    return L.infer(V.atoms(spark, d).withColumn("tags", F.expr(_TAGS))).withColumn("confidence", F.round("confidence", 6))
+
+
+@query(""", a AS (SELECT ingest_seq AS s, id, CASE WHEN ingest_seq % 37 = 0 THEN 'the ' || title ELSE title END AS title, CASE WHEN ingest_seq % 43 = 0 THEN 'Edited: ' || left(body, 500) ELSE body END AS body, atom_type, CASE WHEN ingest_seq % 53 = 0 THEN 'src1' ELSE project END AS project, source_path,
+  ['k' || (CASE WHEN ingest_seq % 31 = 0 THEN 1 ELSE ingest_seq END % 90), 'm' || (ingest_seq % 45), 'n' || (ingest_seq % 60)] AS tags FROM v_atoms WHERE ingest_seq % 29 <> 0),
+""" + _INFERRED, "v_atoms")
+def infer_links_changed(spark, d):
+    """The links of an earlier state brought up to date after edits of titles, bodies, projects and tags, creations and deletions."""
+    n, now = F.col("ingest_seq"), V.atoms(spark, d).withColumn("tags", F.expr(_TAGS))
+    old = now.where(n % 41 != 0)
+    new = now.where(n % 29 != 0).withColumns({
+        "title": F.when(n % 37 == 0, F.concat(F.lit("the "), "title")).otherwise(F.col("title")), "body": F.when(n % 43 == 0, F.concat(F.lit("Edited: "), F.left("body", F.lit(500)))).otherwise(F.col("body")),
+        "project": F.when(n % 53 == 0, "src1").otherwise(F.col("project")), "tags": F.when(n % 31 == 0, F.expr(_TAGS.replace("concat('k', ingest_seq % 90)", "'k1'"))).otherwise(F.col("tags")),
+    })
+    before = cut(L.infer_pairs(old), "links_before")
+    return L.infer_changed(before, new, cut(L.unlike(old, new), "unlike")).withColumn("confidence", F.round("confidence", 6))
 
 
 # --- changes through the interface -------------------------------------------------------------------

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import cut
+
 
 def resolve(targets: DataFrame, atoms: DataFrame) -> DataFrame:
     """``targets`` (source_id, path) to atoms: a path's first atom by ingest order."""
@@ -51,6 +55,8 @@ def extends_chain(sections: DataFrame) -> DataFrame:
 
 #: Rows of one key that a task pairs with each other.
 RUN = 2000
+#: Keys with more than a run of rows that are broadcast at most.
+MANY_KEYS = 50_000
 
 
 def _met(rows: DataFrame, key: str, run: int) -> DataFrame:
@@ -59,8 +65,11 @@ def _met(rows: DataFrame, key: str, run: int) -> DataFrame:
     A key's rows are cut into hashed runs of about ``run`` and go to one tile for each two runs, so a key that a third of all
     rows have is worked off by as many tasks as its pairs need. Pairs are the result, so their number is the answer's own.
     """
-    runs = rows.groupBy(key).agg(F.ceil(F.count("*") / F.lit(run)).cast("int").alias("runs"))
-    mine = rows.join(runs, key).withColumn("run", F.pmod(F.xxhash64("seq"), F.col("runs")).cast("int"))
+    # rows of a key stay where they are until they are cut; beyond MANY_KEYS long keys the join is by key, which Spark splits where it is skewed
+    runs = cut(rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > run).select(F.col(key).alias("_key"), F.ceil(F.col("n") / F.lit(run)).cast("int").alias("runs")), "runs")
+    few = runs.limit(MANY_KEYS + 1).count() <= MANY_KEYS
+    many = rows.join(F.broadcast(runs) if few else runs, F.col(key) == F.col("_key"), "left").drop("_key").withColumn("runs", F.coalesce("runs", F.lit(1)))
+    mine = many.where(F.col(key).isNotNull()).withColumn("run", F.pmod(F.xxhash64("seq"), F.col("runs")).cast("int"))
     tiles = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)))
     tiles = tiles.select(F.col(key).alias("key"), F.least("run", "other").alias("i"), F.greatest("run", "other").alias("j"), "run", F.struct(*[c for c in rows.columns if c != key]).alias("row"))
     on = ["key", "i", "j"]
@@ -78,31 +87,91 @@ def tag_confidence(shared):
     return F.least(F.lit(0.9), F.lit(0.3) + F.lit(0.15) * shared)
 
 
+#: Characters in a row on which a title and a body meet, and from how many of them in a row a long title keeps one.
+GRAM, SPREAD = 9, 8
+_SLICE = 1 << 20
+
+
+def anchors(text: str, gram: int, spread: int) -> np.ndarray:
+    """Hashes of the ``gram`` characters that are least among ``spread`` successive ones, anywhere in ``text``, sorted.
+
+    Whatever holds ``text`` as a part has all of its anchors too. A text of fewer than gram + spread - 1 characters has none.
+    """
+    found = []
+    for start in range(0, max(1, len(text) - gram - spread + 2), _SLICE):
+        c = np.frombuffer(text[start : start + _SLICE + gram + spread - 2].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        n = len(c) - gram + 1
+        if n < spread:
+            continue
+        h = np.zeros(n, np.uint64)
+        for k in range(gram):
+            h = h * np.uint64(1099511628211) + c[k : k + n]
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+        found.append(np.unique(np.lib.stride_tricks.sliding_window_view(h, spread).min(axis=1) if spread > 1 else h))
+    return np.unique(np.concatenate(found)).view(np.int64) if found else np.zeros(0, np.int64)
+
+
+def _anchors(column: Column, gram: int, spread: int, wanted: np.ndarray | None = None) -> Column:
+    """``anchors`` of a text column; with a bitmap only those whose bit is set."""
+
+    def one(t: object) -> np.ndarray | None:
+        if not isinstance(t, str):
+            return None
+        x = anchors(t, gram, spread)
+        return x if wanted is None else x[wanted[x & (BITS - 1)]]
+
+    @F.pandas_udf("array<bigint>")
+    def of(texts: pd.Series) -> pd.Series:
+        return texts.map(one)
+
+    return of(column)
+
+
+#: Bits of the map by which tasks drop anchors that no title has; its size is the same for any number of titles.
+BITS = 1 << 24
+
+
+def _bitmap(anchors_of_titles: DataFrame) -> np.ndarray:
+    """Which of ``BITS`` remainders some anchor ``x`` has: at most 512 rows of 4 kB reach the driver."""
+    at = F.pmod("x", F.lit(BITS)) + 1  # places from 1 on
+    rows = anchors_of_titles.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
+    out = np.zeros(BITS, bool)
+    for r in rows:
+        bits = np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little")
+        out[(r["bucket"] - 1) * len(bits) : r["bucket"] * len(bits)] = bits
+    return out
+
+
+#: Titles that a row of a body takes to the last test.
+TITLES = 1000
+
+
 def title_mentions(titles: DataFrame, bodies: DataFrame, least: int = 9) -> DataFrame:
     """(a, b): the body of the later atom b holds the title of the earlier a (a < b), case folded.
 
-    Instead of trying every title in every body, both sides meet on a word: an inner word of a title is a whole word of
-    any body that holds the title, so a title meets bodies on the one of its inner words that the fewest bodies have. A title of
-    one or two words has no inner word; its longest word may be part of a longer one, so it meets on that word's first four letters,
-    which some word of the body holds. The titles that a body met go to it as one list, and ``contains`` decides there, so a body moves
-    once however many titles it met. ``titles``: seq, title; ``bodies``: seq, body.
+    Instead of trying every title in every body, both sides meet on characters, spaces and marks as well as letters: a body that
+    holds a title holds each ``GRAM`` characters in a row of it, so a title meets bodies on the one of its anchors that the fewest
+    bodies have. Of titles of ``GRAM + SPREAD - 1`` characters or more only least hashes are anchors (and if all are that long, of
+    bodies too). What no title has is dropped by a bitmap of fixed size where a body is read. ``contains`` decides at last.
+    A body moves once for ``TITLES`` titles that it met.
+    ``titles``: seq, title; ``bodies``: seq, body. Null titles and bodies hold nothing and are held by nothing; equal titles are tried once.
     """
-    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    longest = lambda ws: F.aggregate(ws, F.lit(""), lambda acc, x: F.when(F.length(x) > F.length(acc), x).otherwise(acc))
-    inner = lambda ws: F.when(F.size(ws) >= 3, F.array_distinct(F.slice(ws, F.lit(2), F.size(ws) - 2))).otherwise(F.array().cast("array<string>"))
-    t = titles.where(F.length("title") >= least).select(F.col("seq").alias("a"), F.lower("title").alias("lt"), words(F.col("title")).alias("w"))
-    kinds = t.groupBy("lt").agg(F.min("a").alias("least_a"), F.first("w").alias("w"))
-    b = bodies.select(F.col("seq").alias("b"), F.lower("body").alias("lb"))
-    each = b.select("b", F.explode(F.array_distinct(words(F.col("lb")))).alias("word"))
-    wanted = kinds.select("lt", "least_a", F.explode(inner(F.col("w"))).alias("word"))
-    df = each.join(wanted.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("df"))
-    keyed = wanted.join(df, "word", "left").groupBy("lt", "least_a").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word")).alias("k")).where("k.df > 0")
-    cand = each.join(keyed.select("lt", "least_a", F.col("k.word").alias("word")), "word").where("least_a < b")
-    few = kinds.where(F.size("w") < 3).select("lt", "least_a", F.left(longest(F.col("w")), F.lit(4)).alias("part"))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("word") - 3, F.lit(1))), lambda i: F.substring("word", i, 4)))
-    parts = each.select("b", F.explode(grams).alias("part")).join(few.select("part").distinct(), "part", "left_semi").distinct()
-    cand2 = parts.join(few, "part").where("least_a < b")
-    met = cand.select("b", "lt").unionByName(cand2.select("b", "lt")).groupBy("b").agg(F.collect_set("lt").alias("lts"))
+    gram = max(1, min(GRAM, least))
+    t = titles.where(F.length("title") >= least).select(F.col("seq").alias("a"), F.lower("title").alias("lt"))
+    kinds = t.groupBy("lt").agg(F.min("a").alias("least_a"))
+    b = bodies.where("body is not null").select(F.col("seq").alias("b"), F.lower("body").alias("lb"))
+    long = F.length("lt") >= gram + SPREAD - 1
+    of_titles = F.when(long, _anchors(F.col("lt"), gram, SPREAD)).otherwise(_anchors(F.col("lt"), gram, 1))
+    wanted = cut(kinds.select("lt", "least_a", long.alias("long"), F.explode(of_titles).alias("x")), "title_anchors")
+    spread = 1 if wanted.where("not long").head(1) else SPREAD
+    hits = b.select("b", F.explode(_anchors(F.col("lb"), gram, spread, _bitmap(wanted))).alias("x"))
+    hits = cut(hits.join(wanted.groupBy("x").agg(F.min("least_a").alias("first")), "x").where("first < b").select("x", "b"), "title_hits")
+    df = hits.groupBy("x").agg(F.count("*").alias("df"))
+    # a title of which some anchor is nowhere is nowhere
+    keyed = wanted.join(df, "x", "left").groupBy("lt", "least_a").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "x")).alias("k")).where("k.df > 0")
+    cand = cut(hits.join(keyed.select("lt", "least_a", F.col("k.x").alias("x")), "x").where("least_a < b").select("b", "lt"), "title_candidates")
+    runs = cand.groupBy("b").agg(F.ceil(F.count("*") / F.lit(TITLES)).cast("int").alias("runs"))
+    met = cand.join(runs, "b").groupBy("b", F.pmod(F.xxhash64("lt"), F.col("runs")).alias("run")).agg(F.collect_set("lt").alias("lts"))
     hit = met.join(b, "b").select("b", F.explode(F.filter("lts", lambda x: F.contains(F.col("lb"), x))).alias("lt"))
     return hit.join(t.select("a", "lt"), "lt").where("a < b").select("a", "b")
 
@@ -124,20 +193,77 @@ def project_classes(atoms: DataFrame) -> DataFrame:
     return out.select("project", "members", "files", F.expr("(members * members - within) div 2").alias("links"))
 
 
-def infer(atoms: DataFrame) -> DataFrame:
-    """Inferred links of all atoms: the first rule that holds for a pair a < b of different files.
+def _tags(atoms: DataFrame) -> DataFrame:
+    return atoms.select(F.col("ingest_seq").alias("seq"), F.explode(F.array_distinct(F.coalesce("tags", F.array().cast("array<string>")))).alias("tag"))
 
-    Shared tags (related, a to b), else the earlier title in the later body (references, b to a, 0.6; b no plan), else
-    the same project (related, 0.3). The chain of a file's sections is added.
-    """
-    tags = atoms.select(F.col("ingest_seq").alias("seq"), F.explode(F.array_distinct(F.coalesce("tags", F.array().cast("array<string>")))).alias("tag"))
-    r1 = tag_overlap(tags).select("a", "b", F.lit(1).alias("rule"), tag_confidence(F.col("shared")).alias("confidence"))
-    mentions = title_mentions(atoms.select(F.col("ingest_seq").alias("seq"), "title"), atoms.where("atom_type <> 'plan'").select(F.col("ingest_seq").alias("seq"), "body"))
+
+def _titles(atoms: DataFrame) -> DataFrame:
+    return atoms.select(F.col("ingest_seq").alias("seq"), "title")
+
+
+def _bodies(atoms: DataFrame) -> DataFrame:
+    return atoms.where("atom_type <> 'plan'").select(F.col("ingest_seq").alias("seq"), "body")
+
+
+def _first_rule(atoms: DataFrame, shared: DataFrame, mentions: DataFrame, together: DataFrame) -> DataFrame:
+    """Links from the pairs (a, b) of the three rules: the first that holds, between different files."""
+    r1 = shared.select("a", "b", F.lit(1).alias("rule"), tag_confidence(F.col("shared")).alias("confidence"))
     r2 = mentions.select("a", "b", F.lit(2).alias("rule"), F.lit(0.6).alias("confidence"))
-    r3 = same_project(atoms).select("a", "b", F.lit(3).alias("rule"), F.lit(0.3).alias("confidence"))
+    r3 = together.select("a", "b", F.lit(3).alias("rule"), F.lit(0.3).alias("confidence"))
     first = r1.unionByName(r2).unionByName(r3).groupBy("a", "b").agg(F.min(F.struct("rule", "confidence")).alias("r"))
     ids = atoms.select("ingest_seq", "id", "source_path")
     ends = first.join(ids.select(F.col("ingest_seq").alias("a"), F.col("id").alias("ida"), F.col("source_path").alias("pa")), "a").join(ids.select(F.col("ingest_seq").alias("b"), F.col("id").alias("idb"), F.col("source_path").alias("pb")), "b").where("pa <> pb")
     back = F.col("r.rule") == 2
-    pairs = ends.select(F.when(back, F.col("idb")).otherwise(F.col("ida")).alias("source_id"), F.when(back, F.col("ida")).otherwise(F.col("idb")).alias("target_id"), F.when(back, "references").otherwise("related").alias("link_type"), F.col("r.confidence").alias("confidence"))
-    return extends_chain(atoms).unionByName(pairs)
+    return ends.select(F.when(back, F.col("idb")).otherwise(F.col("ida")).alias("source_id"), F.when(back, F.col("ida")).otherwise(F.col("idb")).alias("target_id"), F.when(back, "references").otherwise("related").alias("link_type"), F.col("r.confidence").alias("confidence"))
+
+
+def infer_pairs(atoms: DataFrame) -> DataFrame:
+    """Inferred links of all atoms: the first rule that holds for a pair a < b of different files.
+
+    Shared tags (related, a to b), else the earlier title in the later body (references, b to a, 0.6; b no plan), else
+    the same project (related, 0.3).
+    """
+    return _first_rule(atoms, tag_overlap(_tags(atoms)), title_mentions(_titles(atoms), _bodies(atoms)), same_project(atoms))
+
+
+def infer(atoms: DataFrame) -> DataFrame:
+    """``infer_pairs`` and the chain of each file's sections."""
+    return extends_chain(atoms).unionByName(infer_pairs(atoms))
+
+
+#: What the rules read of an atom.
+READ = ("title", "body", "tags", "project", "atom_type", "source_path")
+
+
+def unlike(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Ids of atoms of which the rules read something else in ``new`` than in ``old``: there or not, or any of ``READ`` differs."""
+    print_of = lambda df, c: df.select("id", F.sha2(F.to_json(F.struct(*[x for x in READ if x in df.columns])), 256).alias(c))
+    return print_of(old, "was").join(print_of(new, "is"), "id", "full_outer").where("not (was <=> is)").select("id")
+
+
+def _met_by(changed: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """``x`` and ``y``, x.seq < y.seq: pairs of ``rows`` (with ``changed``) of which one is changed, by an equi-join of the changed ones with all."""
+    cols = [c for c in rows.columns if c != key]
+    mine = rows.join(changed, "seq", "left_semi").select(key, F.struct(*cols).alias("c"))
+    flagged = rows.join(changed.select("seq", F.lit(True).alias("too")), "seq", "left").select(key, F.struct(*cols).alias("o"), F.coalesce("too", F.lit(False)).alias("too"))
+    met = mine.join(flagged, key).where("c.seq <> o.seq and (not too or c.seq < o.seq)")
+    first = F.col("c.seq") < F.col("o.seq")
+    return met.select(F.when(first, F.col("c")).otherwise(F.col("o")).alias("x"), F.when(first, F.col("o")).otherwise(F.col("c")).alias("y"))
+
+
+def infer_changed(pairs: DataFrame, atoms: DataFrame, changed: DataFrame) -> DataFrame:
+    """``infer_pairs(atoms)``, from the ``pairs`` of an earlier state and the ids that are ``unlike`` since then.
+
+    A pair of which neither atom changed keeps its link: the rules read nothing but the two atoms and their order (which must be that of
+    before for atoms that stay). Pairs with a changed or vanished atom go, and those of changed atoms with all atoms are decided anew by all
+    rules, so a pair whose first rule no longer holds falls back to the next. Candidates, shuffled rows and tests grow with the change, in both
+    directions: changed titles in all bodies, and all titles in changed bodies.
+    """
+    kept = pairs.join(changed.select(F.col("id").alias("source_id")), "source_id", "left_anti").join(changed.select(F.col("id").alias("target_id")), "target_id", "left_anti").select(*pairs.columns)
+    now = cut(atoms.select("id", F.col("ingest_seq").alias("seq")).join(changed, "id", "left_semi").select("seq"), "changed")
+    met = _met_by(now, _tags(atoms).select("tag", "seq"), "tag").select(F.col("x.seq").alias("a"), F.col("y.seq").alias("b"))
+    shared = met.groupBy("a", "b").agg(F.count("*").alias("shared")).where("shared >= 2")
+    only = lambda df: df.join(now, "seq", "left_semi")
+    mentions = title_mentions(only(_titles(atoms)), _bodies(atoms)).unionByName(title_mentions(_titles(atoms), only(_bodies(atoms)))).distinct()
+    together = _met_by(now, _project_members(atoms), "project").where("x.source_path <> y.source_path").select(F.col("x.seq").alias("a"), F.col("y.seq").alias("b"))
+    return kept.unionByName(_first_rule(atoms, shared, mentions, together))

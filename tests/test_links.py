@@ -1,5 +1,11 @@
+import random
 from itertools import combinations
 
+import numpy as np
+from hypothesis import given
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
 from loremill.operators import links as L
 
 
@@ -23,3 +29,62 @@ def test_project_pairs_and_classes_against_all_pairs(spark):
     project = {r[0]: r[1] for r in kept}
     assert got == {p: (sum(r[1] == p for r in kept), len({r[3] for r in kept if r[1] == p}), sum(project[a] == p for a, _ in want)) for p in set(project.values())}
     assert L.project_classes(atoms.where("false")).count() == 0
+
+
+def held(rows, least=9):
+    """(a, b) by trying every title in every body."""
+    return sorted((a, b) for a, t, _ in rows for b, _, x in rows if a < b and t is not None and x is not None and len(t) >= least and t.lower() in x.lower())
+
+
+def test_titles_of_any_characters_are_found(spark):
+    titles = ["----------", "abc ------- de", "a b c d e f", "ab cdefgh", "Über die Brücke", "x" * 9, "x" * 16, " " * 12, "under_score-mark", "日本語のタイトルです", "Alpha notes", "I am in it", None, "short", "tab\tand more", "ends here."]
+    bodies = [f"{'' if k % 3 else 'zz'}{t}{'' if k % 2 else 'zz'}" for k, t in enumerate(titles)] + ["see ---------- here", "zzabc ------- dezz", "ÜBER DIE BRÜCKE!", None, "", "x" * 40, "alpha  notes", "malpha notes", "I am in it."]
+    rows = [(k, t, None) for k, t in enumerate(titles)] + [(100 + k, "ten letters", x) for k, x in enumerate(bodies)] + [(50, "x" * 9, "ten letters and alpha notes")]
+    df = spark.createDataFrame(rows, "seq long, title string, body string").withColumn("b", F.lit("clash"))
+    assert sorted(map(tuple, L.title_mentions(df, df).collect())) == held(rows)
+    assert sorted(map(tuple, L.title_mentions(df, df, 3).collect())) == held(rows, 3)
+    assert L.title_mentions(df.limit(0), df).count() == 0 and L.title_mentions(df, df.limit(0)).count() == 0
+
+
+def test_titles_at_random_against_contains(spark):
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("ab -A") for _ in range(n))
+    rows = [(i, text(rng.randrange(7, 22)), text(400)) for i in range(150)]
+    # titles that stand in some body for sure
+    rows += [(1000 + i, rows[i][2][i : i + 9 + i % 12], None) for i in range(100)] + [(2000 + i, "", rows[i][2]) for i in range(100)]
+    df = spark.createDataFrame(rows, "seq long, title string, body string")
+    want = held(rows)
+    assert len(want) > 50 and sorted(map(tuple, L.title_mentions(df, df).collect())) == want
+
+
+@given(st.text("abc ", min_size=16, max_size=60), st.text("abc ", max_size=40), st.text("abc ", max_size=40))
+def test_what_holds_a_text_has_its_anchors(t, before, after):
+    mine, its = L.anchors(t, 9, 8), L.anchors(before + t + after, 9, 8)
+    assert len(mine) and np.isin(mine, its).all()
+
+
+def test_links_by_change_are_those_of_all(spark):
+    rng = random.Random(5)
+
+    def atom(i, v):
+        r = random.Random(i * 1000 + v)
+        tags = [f"t{r.randrange(6)}" for _ in range(r.randrange(5))] or None
+        return (f"id{i}", f"title number {i % 9}" if r.random() < 0.7 else None, " ".join(f"title number {r.randrange(12)}" for _ in range(r.randrange(3))), tags, r.choice(["p", "q", None]), r.choice(["memory", "plan"]), f"memory/{i // 2}.md")
+
+    schema = "id string, title string, body string, tags array<string>, project string, atom_type string, source_path string, ingest_seq long"
+    frame = lambda state: spark.createDataFrame([(*atom(i, v), n) for n, (i, v) in enumerate(sorted(state.items()))], schema)
+    rows = lambda df: sorted((r["source_id"], r["target_id"], r["link_type"], round(r["confidence"], 9)) for r in df.collect())
+    state = {i: 0 for i in range(40)}
+    old = frame(state)
+    pairs = spark.createDataFrame(L.infer_pairs(old).collect(), "source_id string, target_id string, link_type string, confidence double")
+    for step in (1, 2):
+        for i in rng.sample(range(50), 9):
+            if i in state and rng.random() < 0.4:
+                del state[i]
+            else:
+                state[i] = step
+        new = frame(state)
+        pairs = spark.createDataFrame(L.infer_changed(pairs, new, L.unlike(old, new)).collect(), pairs.schema)
+        assert rows(pairs) == rows(L.infer_pairs(new))
+        old = new
+    assert rows(L.infer_changed(pairs, old, L.unlike(old, old))) == rows(pairs)
