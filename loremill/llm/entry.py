@@ -242,26 +242,29 @@ FROM (SELECT DISTINCT conv_id, conv FROM keyed) k JOIN best USING (conv) LEFT JO
 
 
 def _op4_sql() -> str:
-    from .licenses import MIN_COSINE, TEMPLATES, template_words, window_length
+    from .licenses import MIN_COSINE, TEMPLATES, template_words
 
     quoted = lambda t: "'" + t.replace("'", "''") + "'"
     listed = [(n, lic, template_words(t)) for n, (lic, t) in enumerate((lic, t) for lic in sorted(TEMPLATES) for t in TEMPLATES[lic])]
-    notices = ", ".join(f"({n}, {quoted(lic)}, {window_length(len(ws))}, {quoted(w)}, {ws.count(w)})" for n, lic, ws in listed for w in dict.fromkeys(ws))
+    notices = ", ".join(f"({n}, {quoted(lic)}, {len(ws)}, {off}, {quoted(w)})" for n, lic, ws in listed for off, w in enumerate(ws))
     return f"""
 WITH files AS (SELECT doc_id, text, CASE WHEN doc_id % 100 = 0 THEN (doc_id // 1000) || '/LICENSE.' || doc_id WHEN doc_id % 10 = 0 THEN (doc_id // 1000) || '/' || (doc_id // 10) || '/LICENSE.' || doc_id
   ELSE (doc_id // 1000) || '/' || (doc_id // 10) || '/' || doc_id || '.txt' END AS path FROM documents),
 seq AS (SELECT doc_id, list_filter(string_split_regex(regexp_replace(lower(coalesce(text, '')), '\\.(\\s|$)', ' ', 'g'), '[^\\p{{L}}\\p{{N}}.]+'), lambda w: w <> '') AS ws FROM files),
-notices(notice, license, half, word, tf) AS (VALUES {notices}),
+places(notice, license, m, off, word) AS (VALUES {notices}),
+notices AS (SELECT notice, license, m, word, count(*) AS tf FROM places GROUP BY ALL),
 df AS (SELECT word, count(*) AS df FROM (SELECT unnest(list_distinct(ws)) AS word FROM seq) WHERE word IN (SELECT word FROM notices) GROUP BY 1),
 idf AS (SELECT word, ln(((SELECT count(*) FROM files) + 1.0) / (coalesce(df, 0) + 1.0)) + 1 AS idf FROM (SELECT DISTINCT word FROM notices) LEFT JOIN df USING (word)),
-y AS (SELECT notice, license, half, word, (1 + ln(tf)) * idf AS y FROM notices JOIN idf USING (word)),
-yn AS (SELECT notice, sqrt(sum(y * y)) AS yn FROM y GROUP BY 1),
-windows AS (SELECT doc_id, half, ws[k * half + 1 : k * half + 2 * half] AS ws FROM (SELECT doc_id, ws, half, unnest(range(0, (len(ws) - 1) // half + 1)) AS k FROM seq, (SELECT DISTINCT half FROM notices) WHERE len(ws) > 0)),
-kinds AS (SELECT half, ws, row_number() OVER () AS kind FROM (SELECT DISTINCT half, ws FROM windows)),
-x AS (SELECT kind, half, word, (1 + ln(count(*))) * coalesce(any_value(idf), 1.0) AS x FROM (SELECT kind, half, unnest(ws) AS word FROM kinds) LEFT JOIN idf USING (word) GROUP BY 1, 2, 3),
-xn AS (SELECT kind, sqrt(sum(x * x)) AS xn FROM x GROUP BY 1),
-cos AS (SELECT kind, notice, license, round(sum(x * y / yn) / any_value(xn), 9) AS cosine FROM x JOIN y USING (half, word) JOIN yn USING (notice) JOIN xn USING (kind) GROUP BY ALL HAVING round(sum(x * y / yn) / any_value(xn), 9) >= {MIN_COSINE}),
-own AS (SELECT doc_id, max(struct_pack(c := cosine, l := license)) AS m FROM windows JOIN kinds USING (half, ws) JOIN cos USING (kind) GROUP BY 1),
+raw AS (SELECT notice, license, m, word, (1 + ln(tf)) * idf AS y FROM notices JOIN idf USING (word)),
+y AS (SELECT notice, license, m, word, y / sqrt(sum(y * y) OVER (PARTITION BY notice)) AS y FROM raw),
+anchors AS (SELECT notice, word FROM (SELECT notice, word, 1 - coalesce(sum(y * y) OVER (PARTITION BY notice ORDER BY round(y * y, 12) DESC, word DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM y) WHERE rest >= {MIN_COSINE} * {MIN_COSINE} - 1e-6),
+hits AS (SELECT doc_id, ws, i, ws[i + 1] AS word FROM (SELECT doc_id, ws, unnest(range(len(ws))) AS i FROM seq) WHERE ws[i + 1] IN (SELECT word FROM anchors)),
+windows AS (SELECT doc_id, notice, ws[greatest(i - off, 0) + 1 : greatest(i - off, 0) + m] AS ws FROM hits JOIN anchors USING (word) JOIN places USING (notice, word)),
+kinds AS (SELECT notice, ws, row_number() OVER () AS kind FROM (SELECT DISTINCT notice, ws FROM windows)),
+x AS (SELECT kind, notice, word, (1 + ln(count(*))) * coalesce(any_value(idf), 1.0) AS x FROM (SELECT kind, notice, unnest(ws) AS word FROM kinds) LEFT JOIN idf USING (word) GROUP BY 1, 2, 3),
+lic AS (SELECT DISTINCT notice, license FROM notices),
+cos AS (SELECT kind, any_value(license) AS license, round(sum(x * coalesce(y, 0)) / sqrt(sum(x * x)), 9) AS cosine FROM x LEFT JOIN (SELECT notice, word, y FROM y) y USING (notice, word) JOIN lic USING (notice) GROUP BY kind HAVING round(sum(x * coalesce(y, 0)) / sqrt(sum(x * x)), 9) >= {MIN_COSINE}),
+own AS (SELECT doc_id, max(struct_pack(c := cosine, l := license)) AS m FROM windows JOIN kinds USING (notice, ws) JOIN cos USING (kind) GROUP BY 1),
 placed AS (SELECT doc_id, path, regexp_replace(path, '/?[^/]*$', '') AS dir, m.l AS license, m.c AS cosine FROM files LEFT JOIN own USING (doc_id)),
 dirs AS (SELECT dir, min(struct_pack(c := -cosine, p := path, l := license)) AS m FROM placed WHERE license IS NOT NULL AND regexp_matches(path, '(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$') GROUP BY 1),
 near AS (SELECT p.doc_id, arg_min(d.m.l, length(p.dir) - length(d.dir)) AS l, arg_min(d.m.p, length(p.dir) - length(d.dir)) AS lp FROM placed p JOIN dirs d ON p.dir = d.dir OR starts_with(p.dir, d.dir || '/') OR d.dir = '' GROUP BY 1)

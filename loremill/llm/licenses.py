@@ -1,15 +1,15 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-A text is its sequence of words, line breaks or not, so a notice may be wrapped or stand inside a long line. Templates
-of up to L words (L a power of two, 8 at least) are compared with windows of 2 L words, one every L words: any stretch
-of L words lies whole in one of them, a header line as well as a licence file against a template of a thousand
-words. A window is a vector of its words: 1 + ln(occurrences), times ln((texts + 1) / (texts with the word + 1)) + 1 for
-words of the templates, counted over all texts, and times 1 for words that no template has. A window gets the template
-of largest cosine if that is ``min_cosine`` or more, and a text's own licence is that of its best window.
+A text is its sequence of words, line breaks or not, so a notice may be wrapped or stand inside a long line. A template of m
+words is compared with windows of exactly m words, each laid so that one of the template's anchor words stands where the
+template has it. A window is a vector of its words: 1 + ln(occurrences), times ln((texts + 1) / (texts with the word + 1)) + 1 for
+words of the templates, counted over all texts, and times 1 for words that no template has. A text's own licence is
+that of the template of largest cosine, if it is ``min_cosine`` or more.
 
-Only windows that can reach ``min_cosine`` are formed: of each template its heaviest words are taken until the squared
-weights of the others come to less than ``min_cosine`` squared; a window without any of these words stays below it, by
-Cauchy's inequality. So nothing is left out, whatever templates a caller gives.
+So an exact notice always has a window of its own with a cosine of 1, in a file of any length, whether one file in a million has
+it or every one: what stands around it is in no window, and the weight of a word is never below 1. A template's anchors are
+its heaviest words, until the squared weights of the others come to less than ``min_cosine`` squared: a window without any of them
+stays below ``min_cosine``, by Cauchy's inequality.
 
 Texts are files under paths; a file without a licence of its own inherits from the nearest ancestor
 directory that has a licence file, and a directory whose licence files disagree takes the best one (largest
@@ -44,9 +44,8 @@ TEMPLATES = {
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"),
     "Proprietary": ("Copyright. All rights reserved.", "No part may be reproduced without permission."),
 }
-MIN_COSINE = 0.5
+MIN_COSINE = 0.8
 MAX_TEMPLATES = 1000
-LEAST_WINDOW = 8
 LICENSE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$"
 
 
@@ -59,49 +58,46 @@ def template_words(text: str) -> list[str]:
     return [w for w in re.split(r"[^\w.]|_", re.sub(r"\.(\s|$)", " ", text.lower())) if w]
 
 
-def window_length(words: int) -> int:
-    """Half a window's length for templates of so many words."""
-    return max(LEAST_WINDOW, 1 << (words - 1).bit_length())
-
-
-def _vectors(notices: list[tuple[int, str, list[str]]], texts: int, df: dict[str, int]) -> list[tuple[int, str, int, str, float]]:
-    """``(notice, license, half, word, y)``: templates of length 1."""
+def _vectors(notices: list[tuple[int, str, list[str]]], texts: int, df: dict[str, int]) -> list[tuple[int, str, str, float]]:
+    """``(notice, license, word, y)``: templates of length 1."""
     out = []
     for n, lic, words in notices:
         x = {w: (1.0 + math.log(words.count(w))) * (math.log((texts + 1.0) / (df.get(w, 0) + 1.0)) + 1.0) for w in dict.fromkeys(words)}
         norm = math.sqrt(sum(v * v for v in x.values()))
-        out += [(n, lic, window_length(len(words)), w, v / norm) for w, v in x.items()]
+        out += [(n, lic, w, v / norm) for w, v in x.items()]
     return out
 
 
-def anchors(vectors: list[tuple[int, str, int, str, float]], min_cosine: float) -> dict[int, set[str]]:
-    """By half window length the words of which a window must have one to reach ``min_cosine``."""
-    per: dict[tuple[int, int], list[tuple[float, str]]] = {}
-    for n, _, half, w, y in vectors:
-        per.setdefault((n, half), []).append((y * y, w))
+def anchors(vectors: list[tuple[int, str, str, float]], min_cosine: float) -> dict[int, set[str]]:
+    """By notice the words of which a window must have one to reach ``min_cosine``."""
+    per: dict[int, list[tuple[float, str]]] = {}
+    for n, _, w, y in vectors:
+        per.setdefault(n, []).append((y * y, w))
     out: dict[int, set[str]] = {}
-    for (_, half), words in per.items():
+    for n, words in per.items():
         left = sum(y for y, _ in words)
-        for y, w in sorted(words, reverse=True):
-            if left < (min_cosine - 1e-6) ** 2:
+        # the weights of a tie are equal, so their words decide
+        for y, w in sorted(words, key=lambda x: (round(x[0], 12), x[1]), reverse=True):
+            if left < min_cosine**2 - 1e-6:
                 break
-            out.setdefault(half, set()).add(w)
+            out.setdefault(n, set()).add(w)
             left -= y
     return out
 
 
-def _windows(files: DataFrame, wanted: dict[int, set[str]]) -> DataFrame:
-    """``(file, half, words)``: every window with a wanted word, from one pass over the texts."""
+def _windows(files: DataFrame, notices: list[tuple[int, str, list[str]]], wanted: dict[int, set[str]]) -> DataFrame:
+    """``(file, notice, words)``: every window that an anchor word lays, from one pass over the texts."""
+    spark = files.sparkSession
+    most = max(len(ws) for _, _, ws in notices)
+    laid = [(w, n, off, len(ws)) for n, _, ws in notices for off, w in enumerate(ws) if w in wanted.get(n, ())]
+    literals = ", ".join(f"'{w}'" for w in sorted({w for w, *_ in laid}))  # letters, digits and dots
     found = files.select("file", _words(F.col("t")).alias("ws"))
-    places = []
-    for half, some in sorted(wanted.items()):
-        literals = ", ".join(f"'{w}'" for w in sorted(some))  # letters, digits and dots
-        hits = F.expr(f"filter(transform(ws, (w, i) -> if(w in ({literals}), i div {half}, -1)), k -> k >= 0)")
-        both = F.array_distinct(F.flatten(F.transform(hits, lambda k: F.array(F.greatest(k - 1, F.lit(0)).cast("int"), k.cast("int")))))
-        places.append(F.arrays_zip(F.array_repeat(F.lit(half), F.size(both)).alias("half"), both.alias("k")))
-    each = found.select("file", "ws", F.explode(F.concat(*places)).alias("x"))
-    half, k = F.col("x.half"), F.col("x.k")
-    return each.select("file", half.alias("half"), F.slice("ws", k * half + 1, half * 2).alias("words"))
+    at = F.expr(f"filter(transform(ws, (w, i) -> if(w in ({literals}), i, -1)), i -> i >= 0)")
+    # an anchor with the words around it: no more than the longest template on each side
+    near = F.transform(at, lambda i: F.struct(F.get("ws", i).alias("word"), F.least(i, F.lit(most)).alias("at"), F.slice("ws", F.greatest(i - most, F.lit(0)) + 1, F.lit(2 * most)).alias("near")))
+    hits = found.select("file", F.inline(near))
+    places = spark.createDataFrame(laid, "word string, notice int, off int, m int")
+    return hits.join(F.broadcast(places), "word").select("file", "notice", F.slice("near", F.greatest(F.col("at") - F.col("off"), F.lit(0)) + 1, F.col("m")).alias("words"))
 
 
 def own_licenses(files: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, min_cosine: float = MIN_COSINE) -> DataFrame:
@@ -111,30 +107,32 @@ def own_licenses(files: DataFrame, templates: dict[str, tuple[str, ...]] | None
     notices = [(n, lic, template_words(text)) for n, (lic, text) in enumerate((lic, t) for lic in sorted(templates) for t in templates[lic])]
     if len(notices) > MAX_TEMPLATES:
         raise ValueError(f"at most {MAX_TEMPLATES} templates")
+    notices = [n for n in notices if n[2]]
     vocabulary = spark.createDataFrame([(w,) for w in sorted({w for _, _, ws in notices for w in ws})], "word string")
     # in how many texts each template word stands, and how many texts there are
     each = files.select(F.explode(F.concat(F.array(F.lit("")), F.array_distinct(_words(F.col("t"))))).alias("word"))
     counted = {r["word"]: r["n"] for r in each.join(F.broadcast(vocabulary.unionByName(spark.createDataFrame([("",)], "word string"))), "word").groupBy("word").agg(F.count("*").alias("n")).collect()}
     total = counted.get("", 0)
-    vectors = _vectors([n for n in notices if n[2]], total, counted)
+    vectors = _vectors(notices, total, counted)
     wanted = anchors(vectors, min_cosine)
     if not wanted:
         return files.select("file", F.lit("").alias("license"), F.lit(0.0).alias("cosine")).where(F.lit(False))
-    units = stored(_windows(files, wanted), "windows")
+    units = stored(_windows(files, notices, wanted), "windows")
     # equal windows are scored once
-    kinds = stored(units.groupBy("half", "words").agg(F.count("*").alias("n")).withColumn("kind", F.monotonically_increasing_id()), "kinds")
-    parts = kinds.select("kind", "half", F.explode("words").alias("word")).groupBy("kind", "half", "word").agg(F.count("*").alias("tf"))
-    idf = spark.createDataFrame([(w, math.log((total + 1.0) / (counted.get(w, 0) + 1.0)) + 1.0) for w in sorted({v[3] for v in vectors})], "word string, idf double")
-    weighed = stored(parts.join(F.broadcast(idf), "word", "left").select("kind", "half", "word", ((F.lit(1.0) + F.log("tf")) * F.coalesce("idf", F.lit(1.0))).alias("x")), "weights")
-    norm = weighed.groupBy("kind").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("xn"))
-    known = spark.createDataFrame(vectors, "notice int, license string, half int, word string, y double")
-    dots = weighed.join(F.broadcast(known), ["half", "word"]).groupBy("kind", "notice", "license").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
-    scored = dots.join(norm, "kind").select("kind", "license", F.round(F.col("dot") / F.col("xn"), 9).alias("cosine")).where(F.col("cosine") >= min_cosine)
-    best = scored.groupBy("kind").agg(F.max(F.struct("cosine", F.col("license"))).alias("m"))
-    named = stored(kinds.join(best, "kind").select("half", "words", "m", "n"), "named")
-    top = spread_join(units, named, ["half", "words"]).groupBy("file").agg(F.max("m").alias("m"))
+    kinds = stored(units.groupBy("notice", "words").agg(F.count("*").alias("n")).withColumn("kind", F.monotonically_increasing_id()), "kinds")
+    parts = kinds.select("kind", "notice", F.explode("words").alias("word")).groupBy("kind", "notice", "word").agg(F.count("*").alias("tf"))
+    known = spark.createDataFrame(vectors, "notice int, license string, word string, y double")
+    idf = spark.createDataFrame([(w, math.log((total + 1.0) / (counted.get(w, 0) + 1.0)) + 1.0) for w in sorted({v[2] for v in vectors})], "word string, idf double")
+    weighed = parts.join(F.broadcast(idf), "word", "left").withColumn("x", (F.lit(1.0) + F.log("tf")) * F.coalesce("idf", F.lit(1.0)))
+    weighed = weighed.join(F.broadcast(known.drop("license")), ["notice", "word"], "left")
+    cosine = F.round(F.sum(F.col("x") * F.coalesce("y", F.lit(0.0))) / F.sqrt(F.sum(F.col("x") * F.col("x"))), 9)
+    scored = weighed.groupBy("kind", "notice").agg(cosine.alias("cosine")).where(F.col("cosine") >= min_cosine)
+    names = spark.createDataFrame([(n, lic) for n, lic, _ in notices], "notice int, license string")
+    best = scored.join(F.broadcast(names), "notice").select("kind", F.struct("cosine", "license").alias("m"))
+    named = stored(kinds.join(best, "kind").select("notice", "words", "m", "n"), "named")
+    top = spread_join(units, named, ["notice", "words"]).groupBy("file").agg(F.max("m").alias("m"))
     out = stored(top.select("file", F.col("m.license").alias("license"), F.col("m.cosine").alias("cosine")), "own")
-    drop_stored(units, kinds, weighed, named)
+    drop_stored(units, kinds, named)
     return out
 
 

@@ -164,6 +164,21 @@ def test_notices_in_long_lines_and_over_lines(spark):
     assert got == {1: ("X-1", "own"), 2: ("X-2", "own"), 3: ("X-1", "inherited")}
 
 
+def test_exact_notices_are_found_however_common(spark):
+    rng = np.random.default_rng(6)
+    prose = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(n))
+    notices = [(lic, t) for lic, ts in Z.TEMPLATES.items() for t in ts]
+    every = [(i, f"x/{i}.py", "SPDX-License-Identifier: MIT\n" + prose(80), "MIT") for i in range(300)]
+    some = [(i, f"x/{i}.py", "Released under the MIT License.", "MIT") for i in range(300)] + [(300, "x/300.py", "Released under the MIT License. You may not use this file except", "MIT")]
+    mixed = [(i, f"x/{i}.py", f"{prose(i % 7)}\n{t}\n{prose(30)}", lic) for i, (lic, t) in enumerate(notices * 4)] + [(1000 + i, f"x/{1000 + i}.py", prose(60), None) for i in range(900)]
+    for files in (every, some, mixed):
+        df = spark.createDataFrame([f[:3] for f in files], "doc_id long, path string, text string")
+        got = {r["doc_id"]: r["license"] for r in Z.scan_licenses(df).collect()}
+        assert got == {i: lic for i, _, _, lic in files}
+    other = spark.createDataFrame([(i, f"{i}.c", "SPDX-License-Identifier: " + ("MIT" if i else "Zlib")) for i in range(50)], "doc_id long, path string, text string")
+    assert [r["doc_id"] for r in Z.scan_licenses(other).where("license is null").collect()] == [0]
+
+
 def test_scan_against_all_windows(spark, sf):
     import duckdb
 
