@@ -123,8 +123,8 @@ class Matcher:
                 return False
         return True
 
-    def find(self, text: str) -> list[tuple[int, int, int]]:
-        """``(item_id, distance, end)`` of every item within its budget; ``end`` in the normalised text."""
+    def find(self, text: str) -> list[tuple[int, int, int, int]]:
+        """``(item_id, distance, end, length)`` of every item within its budget; ``end`` and ``length`` in normalised text."""
         if self.machine is None:
             self._build()
         norm = normalise(text)
@@ -154,7 +154,7 @@ class Matcher:
                     if d == 0:
                         break
             if best:
-                out.append((item_id, *best))
+                out.append((item_id, *best, m))
         return out
 
 
@@ -179,11 +179,10 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, max_error: float =
     out = None
     for block in item_blocks(benchmark, block_bytes):
         matcher = Matcher(block, max_error)
-        lengths = {i: len(n) for i, n in matcher.items}
 
-        def run(batches: Iterator[pa.RecordBatch], matcher: Matcher = matcher, lengths: dict = lengths) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], matcher: Matcher = matcher) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                found = [(d, i, e, lengths[i], end) for d, t in zip(b.column(0).to_pylist(), b.column(1)) for i, e, end in matcher.find(t.as_py())]
+                found = [(d, i, e, m, end) for d, t in zip(b.column(0).to_pylist(), b.column(1)) for i, e, end, m in matcher.find(t.as_py())]
                 cols = list(zip(*found)) or [[]] * 5
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "item_id", "distance", "item_length", "match_end"])

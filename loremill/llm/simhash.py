@@ -232,8 +232,8 @@ def tile_links(ids: list[int], sigs, left: list[bool], right: list[bool], most:
     return out
 
 
-def _long_lists(members: DataFrame, sig: DataFrame, most: int) -> DataFrame:
-    """``(a, b)`` that connect what all pairs of each list would; ``members`` has ``part``, ``key`` and ``rep``.
+def _long_lists(members: DataFrame, sig: DataFrame, most: int, doubtful: int) -> tuple[DataFrame, DataFrame]:
+    """``(a, b)`` that connect what all pairs of each list would, and pairs with the hub up to ``doubtful`` bits apart; ``members`` has ``part``, ``key`` and ``rep``.
 
     A list's smallest rep is compared with all others first. Those it fails meet each other and those it passes, in tiles of two
     runs of about ``RUN`` each, so a list that is one group costs one comparison a member and no task holds a whole list.
@@ -243,8 +243,8 @@ def _long_lists(members: DataFrame, sig: DataFrame, most: int) -> DataFrame:
     on = ["part", "key"]
     hubs = members.groupBy(*on).agg(F.min("rep").alias("hub"))
     far = members.join(hubs, on).join(sig.withColumnRenamed("sig", "x"), F.col("rep") == F.col("k")).drop("k")
-    far = far.join(sig.withColumnRenamed("sig", "y"), F.col("hub") == F.col("k")).drop("k").withColumn("ok", _apart("x", "y") <= most)
-    first = stored(far.select(*on, "hub", "rep", "ok", F.col("x").alias("sig")), "hubs")
+    far = far.join(sig.withColumnRenamed("sig", "y"), F.col("hub") == F.col("k")).drop("k").withColumn("d", _apart("x", "y")).withColumn("ok", F.col("d") <= most)
+    first = stored(far.select(*on, "hub", "rep", "ok", "d", F.col("x").alias("sig")), "hubs")
     # a run is a hash class; failed members (right) also meet the passed ones (left)
     counts = first.groupBy(*on).agg(F.count_if(~F.col("ok")).alias("nr"), F.count_if("ok").alias("nl")).where("nr > 0")
     runs = lambda n: F.ceil(F.col(n) / F.lit(RUN)).cast("int")
@@ -263,7 +263,8 @@ def _long_lists(members: DataFrame, sig: DataFrame, most: int) -> DataFrame:
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     rest = tiles.groupBy(*on, "i", "j").applyInArrow(run, "a long, b long")
-    return first.where("ok").select(F.col("hub").alias("a"), F.col("rep").alias("b")).unionByName(rest)
+    with_hub = lambda which: first.where(which).select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+    return with_hub("ok").unionByName(rest), with_hub((~F.col("ok")) & (F.col("d") <= doubtful))
 
 
 def near_rows(docs: DataFrame, words: int = 5, similarity: float = 0.8, number: int = NUMBER, list_cap: int = LIST_CAP) -> DataFrame:
@@ -271,9 +272,10 @@ def near_rows(docs: DataFrame, words: int = 5, similarity: float = 0.8, number:
 
     64 bits of shingles differ too much at a similarity of 0.8 for byte positions to find them, so texts meet where
     one of ``BANDS`` keys of least shingle hashes is the same: a chance of 1 - (1 - 0.8 ** 5) ** 20 = 0.9996 at 0.8 for
-    any kind of edit. What meets is verified on ``number`` SimHashes of its shingles, 64 bits each, whose differing bits
-    together tell the angle and so the similarity to about 0.03. Every pair that meets is compared, or is in one group
-    already; lists longer than ``list_cap`` are compared in tiles. Texts with the same fingerprints are one node, numbered
+    any kind of edit. What meets is sieved by ``number`` SimHashes of its shingles, 64 bits each, whose differing bits
+    together tell the angle and so the similarity to about 0.03: pairs four deviations below or above the threshold are decided by
+    them, those between that no sure link joins by their exact sets of shingles. Every pair that meets is compared, or is in one group
+    already; lists longer than ``list_cap`` are compared in tiles, there exactly with the list's hub only. Texts with the same fingerprints are one node, numbered
     on its own: rows are told apart by doc_id and text, so a doc_id that several texts have, or none, joins nothing.
     """
     require(docs, "doc_id", "text")
@@ -300,15 +302,53 @@ def near_rows(docs: DataFrame, words: int = 5, similarity: float = 0.8, number:
     met = stored(spread_join(posts, lists.withColumn("size", F.col("n")), on).withColumnRenamed("size", "n"), "met")
     short = met.where(f"n <= {list_cap}").groupBy(*on).agg(F.sort_array(F.collect_list("rep")).alias("l"))
     pairs = short.selectExpr("inline(flatten(transform(l, (x, i) -> transform(slice(l, i + 2, size(l)), y -> struct(x as a, y as b)))))").distinct()
-    # the angle between shingle vectors of two texts of one length with that similarity
-    most = int(64 * number * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    # the angle between shingle vectors of two texts of one length with that similarity, and how far signatures stray from it
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    most, stray = int(64 * number * share), 4 * math.sqrt(64 * number * share * (1 - share))
     ends = pairs.join(sig.select(F.col("k").alias("a"), F.col("sig").alias("x")), "a").join(sig.select(F.col("k").alias("b"), F.col("sig").alias("y")), "b")
-    links_ = ends.where(_apart("x", "y") <= most).select("a", "b")
+    apart = stored(ends.select("a", "b", _apart("x", "y").alias("d")).where(F.col("d") <= most + stray), "apart")
+    links_, doubt = apart.where(F.col("d") <= most - stray).select("a", "b"), apart.where(F.col("d") > most - stray).select("a", "b")
     if met.where(f"n > {list_cap}").head(1):
-        links_ = links_.unionByName(_long_lists(met.where(f"n > {list_cap}").select(*on, "rep"), sig, most))
-    found = components(links_)
-    groups = nodes.join(found, nodes.rep == found.node, "left").select("rep", F.coalesce("root", "rep").alias("grp"), "n")
-    return spread_join(named.drop("keys"), stored(groups, "groups"), ["rep"]).select("k", "h1", "h2", "grp")
+        of_long, in_doubt = _long_lists(met.where(f"n > {list_cap}").select(*on, "rep"), sig, most, int(most + stray))
+        links_, doubt = links_.unionByName(of_long), doubt.unionByName(in_doubt)
+    found = _joined(nodes, components(links_))
+    # pairs of one group need no proof
+    root = stored(found.select("rep", "grp"), "sure")
+    across = doubt.join(root.select(F.col("rep").alias("a"), F.col("grp").alias("ga")), "a").join(root.select(F.col("rep").alias("b"), F.col("grp").alias("gb")), "b").where("ga <> gb")
+    across = stored(across.distinct(), "doubt")
+    if across.head(1):
+        proven = _proven(docs, named, across, words, similarity)
+        more = components(proven.select(F.col("ga").alias("a"), F.col("gb").alias("b")))
+        found = found.join(more.select(F.col("node").alias("grp"), F.col("root")), "grp", "left").select("rep", F.coalesce("root", "grp").alias("grp"), "n")
+    return spread_join(named.drop("keys"), stored(found, "groups"), ["rep"]).select("k", "h1", "h2", "grp")
+
+
+def _joined(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    return nodes.join(found, nodes.rep == found.node, "left").select("rep", F.coalesce("root", "rep").alias("grp"), "n")
+
+
+#: Texts to be compared exactly whose keys are broadcast at most.
+MANY_KEYS = 200_000
+
+
+def _proven(docs: DataFrame, named: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b and more) whose texts' sets of shingle hashes are alike by ``similarity``: shared ones to all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [sorted({_signed(h) for h in shingle_hashes(t.as_py(), words)}) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["rep", "set"])
+
+    reps = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
+    # one row stands for a node, as its texts have the same signature
+    keys = stored(named.join(reps, "rep", "left_semi").groupBy("rep").agg(F.min(F.struct("k", "h1", "h2")).alias("m")).select("rep", "m.*"), "doubtful")
+    few = keys.limit(MANY_KEYS + 1).count() <= MANY_KEYS
+    source = docs.select(*[c.alias(x) for c, x in zip(_row_key(docs), ("k", "h1", "h2"))], text_or_empty(docs).alias("t"))
+    texts = source.join(F.broadcast(keys) if few else keys, ["k", "h1", "h2"]).select("rep", "t")
+    sets = stored(texts.mapInArrow(run, "rep long, set array<long>").groupBy("rep").agg(F.first("set").alias("set")), "shingle_sets")
+    side = lambda a, x: sets.select(F.col("rep").alias(a), F.col("set").alias(x))
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").withColumn("shared", F.size(F.array_intersect("x", "y")))
+    return both.where(F.col("shared") >= F.lit(similarity) * (F.size("x") + F.size("y") - F.col("shared"))).drop("x", "y", "shared")
 
 
 def _row_key(docs: DataFrame) -> list:

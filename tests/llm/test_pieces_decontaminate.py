@@ -165,3 +165,11 @@ def test_several_items_of_one_text():
 def test_bad_arguments():
     with pytest.raises(ValueError):
         Encoder(dropout=1.0)
+
+
+def test_items_of_one_number_have_lengths_of_their_own(spark):
+    items = [(1, "the quick brown fox jumps over"), (1, "a wholly different passage of the benchmark"), (None, "an item without any number at all")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = spark.createDataFrame([(k, f"before it {t} after it") for k, (_, t) in enumerate(items)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["item_id"], r["item_length"], r["distance"]) for r in benchmark_matches(rows, bench).collect()}
+    assert got == {k: (i, len(t), 0) for k, (i, t) in enumerate(items)}
