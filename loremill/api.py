@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .functions.text import slug
 from .model import TASK_STATUSES, atom_id
 from .operators import atoms as A
 from .operators import links as L
@@ -121,8 +121,10 @@ class Knowledge:
         return Knowledge(self.atoms.withColumn("body", F.when(F.col("id") == id, F.lit(body)).otherwise(F.col("body"))), self.links, self.sessions, self.diagnostics)
 
     def remember(self, rows: DataFrame, folder: str = "memory") -> DataFrame:
-        """New memory atoms from rows of title, body, scope and project; file names get a number when taken."""
-        named = A.slug_collisions(rows.withColumn("_n", F.monotonically_increasing_id()), order="_n")
+        """New memory atoms from rows of title, body, scope and project; file names get a number when taken, by atoms that are there too."""
+        there = F.regexp_extract("source_path", f"^{re.escape(folder)}/([^/]*)\\.md$", 1)
+        taken = self.atoms.select(F.nullif(there, F.lit("")).alias("file")).where("file is not null")
+        named = A.slug_collisions(rows.withColumn("_n", F.monotonically_increasing_id()), order="_n", taken=taken)
         path = F.concat(F.lit(folder + "/"), "file", F.lit(".md"))
         return named.withColumn("source_path", path).withColumns({"id": atom_id(F.col("source_path"), F.lit(0)), "content_hash": F.left(F.sha2("body", 256), F.lit(16)), "atom_type": F.lit("memory"), "source_type": F.lit("native")}).drop("_n", "nth", "slug", "file")
 
@@ -155,8 +157,8 @@ class Knowledge:
         if child:
             if not child.get("title"):
                 raise BadRequest("title is missing")
-            path = F.concat(F.lit("tasks/"), slug(F.lit(child["title"])), F.lit(".md"))
-            kids = spark.range(1).select(atom_id(path, F.lit(0)).alias("id"), F.lit(child["title"]).alias("title"), F.lit(child.get("body", "")).alias("body"), F.lit("task").alias("atom_type"), path.alias("source_path"), F.lit("ready").alias("status"), F.lit(id).alias("discovered_from"))
+            made = self.create_tasks(spark.createDataFrame([(child["title"], child.get("body", ""))], "title string, body string"))
+            kids = made.select("id", "title", "body", "atom_type", "source_path", "status", F.lit(id).alias("discovered_from"))
         return T.update(self._tasks(), spark.createDataFrame([(id, status)], "id string, new_status string"), kids)
 
     # --- sessions ---

@@ -99,10 +99,22 @@ def duplicates(atoms: DataFrame) -> DataFrame:
     return atoms.join(groups, "content_hash").where("ingest_seq <> first_seq").select(F.lit("duplicate").alias("type"), F.col("id").alias("atom_id"), "source_path", F.concat(F.lit("Same content as "), F.col("first_seq").cast("string")).alias("message"))
 
 
-def slug_collisions(rows: DataFrame, title: str = "title", order: str = "ingest_seq", within: tuple[str, ...] = ()) -> DataFrame:
-    """File names for titles: the first of a slug takes it, later ones add _2, _3 and so on."""
+def slug_collisions(rows: DataFrame, title: str = "title", order: str = "ingest_seq", within: tuple[str, ...] = (), taken: DataFrame | None = None) -> DataFrame:
+    """File names for titles: the first of a slug takes it, later ones add _2, _3 and so on, past the names of ``taken`` (file).
+
+    The k-th new name of a slug gets the k-th number that is free: k and as many more as there are taken numbers below, which is
+    how many of the taken numbers, less their own place among them, are not above k. Nulls have no name.
+    """
     from pyspark.sql import Window
 
     s = rows.withColumn("slug", slug(F.col(title)))
     nth = F.row_number().over(Window.partitionBy(*within, "slug").orderBy(order))
-    return s.withColumn("nth", nth).withColumn("file", F.when(F.col("nth") == 1, F.col("slug")).otherwise(F.concat_ws("_", "slug", F.col("nth").cast("string"))))
+    s = s.withColumn("nth", nth)
+    if taken is not None:
+        part = lambda n: F.regexp_extract("file", r"^(.*)_([2-9]|[1-9][0-9]{1,8})$", n)
+        # a name is number 1 of itself, and a_3 is number 3 of a
+        names = F.array(F.struct(F.col("file").alias("slug"), F.lit(1).alias("no")), F.struct(part(1).alias("slug"), F.try_to_number(part(2), F.lit("999999999")).cast("int").alias("no")))
+        known = taken.select(F.inline(names)).where("no is not null").join(s.select("slug").distinct(), "slug", "left_semi").distinct()
+        gaps = known.groupBy("slug").agg(F.sort_array(F.collect_list("no")).alias("t")).select("slug", F.transform("t", lambda x, i: x - i).alias("gaps"))
+        s = s.join(gaps, "slug", "left").withColumn("nth", F.col("nth") + F.coalesce(F.size(F.filter("gaps", lambda g: g <= F.col("nth"))), F.lit(0))).drop("gaps")
+    return s.withColumn("file", F.when(F.col("nth") == 1, F.col("slug")).otherwise(F.concat_ws("_", "slug", F.col("nth").cast("string"))))

@@ -69,6 +69,8 @@ class SearchIndex:
     """What ``search`` reads; ``columns`` of an atom come from the atoms' own table."""
 
     segments: list[Segment]
+    #: Whether atoms may have other numbers by now than their postings tell.
+    renumbered: bool = False
 
     @staticmethod
     def build(atoms: DataFrame) -> SearchIndex:
@@ -78,13 +80,13 @@ class SearchIndex:
         """The index after ``changed`` atoms came in and those of ``gone`` (id) went."""
         dead = cut(changed.select("id").unionByName(gone.select("id")).distinct(), "dead")
         older = [Segment(s.postings, s.terms, s.docs, [*s.dead, dead]) for s in self.segments]
-        return SearchIndex([*older, _segment(changed)])
+        return SearchIndex([*older, _segment(changed)], True)
 
     def merged(self) -> SearchIndex:
         """One segment of all, for when there are many."""
         postings = cut(self.postings().repartitionByRange("term", "id").sortWithinPartitions("term", "id"), "postings")
         terms = cut(self.terms().withColumn("stem", _stems("term")).repartitionByRange("stem").sortWithinPartitions("stem"), "terms")
-        return SearchIndex([Segment(postings, terms, cut(self.docs(), "lengths"))])
+        return SearchIndex([Segment(postings, terms, cut(self.docs(), "lengths"))], self.renumbered)
 
     def _all(self, name: str, where: Column | None = None) -> DataFrame:
         parts = []
@@ -156,6 +158,8 @@ class SearchIndex:
         Statistics cover all atoms; the filters only choose among the matches. With a limit only so many rows meet the atoms.
         """
         found = self.matches(raw, stem, parsed)
+        if self.renumbered:
+            found = found.drop("ingest_seq").join(atoms.select("id", "ingest_seq"), "id")
         kept = atoms
         for value, column in ((atom_type, "atom_type"), (scope, "scope"), (project, "project")):
             if value:

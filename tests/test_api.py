@@ -133,3 +133,22 @@ def test_sessions_outlive_three_readings(spark, tmp_path):
     assert last["s2"] == first["s2"]
     was = first["s1"].asDict() | {"custom_title": "My own name", "title": "My own name", "message_count": 2, "last_active": "2024-02-02T00:00:00Z"}
     assert last["s1"].asDict() == was
+
+
+def test_creation_sees_what_exists(hub, spark):
+    new = lambda *ts: spark.createDataFrame([(t, "x") for t in ts], "title string, body string")
+    k = hub
+    names = []
+    for titles in (("Same", "same!"), ("Same",), ("SAME", "other", "same")):
+        made = k.remember(new(*titles)).cache()
+        names.append(sorted(r["source_path"] for r in made.collect()))
+        k = Knowledge(k.atoms.unionByName(made, allowMissingColumns=True), k.links)
+    assert names == [["memory/same.md", "memory/same_2.md"], ["memory/same_3.md"], ["memory/other.md", "memory/same_4.md", "memory/same_5.md"]]
+    assert k.atoms.where("source_path like 'memory/same%'").select("id").distinct().count() == 5
+    # gaps are filled first
+    taken = spark.createDataFrame([("a",), ("a_3",), ("a_4",), ("a_1",), ("a_x",), ("b_2",), (None,)], "file string")
+    from loremill.operators import atoms as A
+
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(["a", "a", "a", "b", "b", "c"])], "ingest_seq long, title string")
+    got = [r["file"] for r in A.slug_collisions(rows, taken=taken).orderBy("ingest_seq").collect()]
+    assert got == ["a_2", "a_5", "a_6", "b", "b_3", "c"]
