@@ -17,8 +17,8 @@ from .operators import sessions as SS
 from .operators import tasks as T
 from .operators.index import SearchIndex
 from .storage import cut
-from .sources.files import Roots, notes, parse_notes, resolve_path, transcript_lines
-from .sources.transcripts import desktop_sessions, project_sessions
+from .sources.files import Roots, file_changes, note_files, parse_notes, read_notes, resolve_path, transcript_lines, transcript_tails
+from .sources.transcripts import desktop_sessions, project_sessions, session_metadata
 
 
 class BadRequest(ValueError):
@@ -43,6 +43,10 @@ class Knowledge:
     run: DataFrame | None = None
     #: The inferred links between atoms, by which the next ``reindex`` decides only those of changed atoms.
     pairs: DataFrame | None = None
+    #: The listing of the files that ``atoms`` come from, by which the next ``reindex`` opens only those that changed.
+    files: DataFrame | None = None
+    #: path and change (added, changed, same, gone) of the files that the last ``reindex`` met.
+    read: DataFrame | None = None
 
     def indexed(self) -> Knowledge:
         """The same with a stored search index."""
@@ -97,17 +101,24 @@ class Knowledge:
     def without_project(self, project: str) -> Knowledge:
         keep = lambda df: df.where(~F.coalesce(F.col("project") == project, F.lit(False)))
         gone = self.atoms.where(F.col("project") == project).select("id")
-        return Knowledge(keep(self.atoms), R.cascade_delete(self.links, gone, "source_id", "target_id"), keep(self.sessions) if self.sessions is not None else None, self._diagnosed(self.diagnostics, gone))
+        left = self._without(gone, keep(self.atoms), self.diagnostics)
+        return replace(left, sessions=keep(self.sessions) if self.sessions is not None else None)
 
     def without_path(self, path: str) -> Knowledge:
         """Without the atoms of a file that is gone, and all that points at them."""
         gone = self.atoms.where(F.col("source_path") == path).select("id")
         diags = self.diagnostics.where(~F.coalesce(F.col("source_path") == path, F.lit(False))) if self.diagnostics is not None else None
-        return Knowledge(self.atoms.where(F.col("source_path") != path), R.cascade_delete(self.links, gone, "source_id", "target_id"), self.sessions, self._diagnosed(diags, gone))
+        return self._without(gone, self.atoms.where(~F.coalesce(F.col("source_path") == path, F.lit(False))), diags)
 
     def without_atom(self, id: str) -> Knowledge:
         gone = self.atom(id).select("id")
-        return Knowledge(self.atoms.where(F.col("id") != id), R.cascade_delete(self.links, gone, "source_id", "target_id"), self.sessions, self._diagnosed(self.diagnostics, gone))
+        return self._without(gone, self.atoms.where(F.col("id") != id), self.diagnostics)
+
+    def _without(self, gone: DataFrame, atoms: DataFrame, diagnostics: DataFrame | None) -> Knowledge:
+        """``atoms`` are those that stay; links, pairs, diagnostics and the index lose ``gone`` (id)."""
+        linked = lambda df: None if df is None else R.cascade_delete(df, gone, "source_id", "target_id")
+        index = self.index.updated(self.atoms.where(F.lit(False)), gone) if self.index else None
+        return replace(self, atoms=atoms, links=linked(self.links), pairs=linked(self.pairs), diagnostics=self._diagnosed(diagnostics, gone), index=index)
 
     @staticmethod
     def _diagnosed(diagnostics: DataFrame | None, gone: DataFrame) -> DataFrame | None:
@@ -115,10 +126,13 @@ class Knowledge:
         return None if diagnostics is None else diagnostics.join(gone.select(F.col("id").alias("atom_id")), "atom_id", "left_anti").select(*diagnostics.columns)
 
     def with_body(self, id: str, body: str) -> Knowledge:
+        """With another body of an atom; ``reindex`` keeps it until the atom's file changes. The index takes it in."""
         if body is None:
             raise BadRequest("body is missing")
         self.atom(id)
-        return Knowledge(self.atoms.withColumn("body", F.when(F.col("id") == id, F.lit(body)).otherwise(F.col("body"))), self.links, self.sessions, self.diagnostics)
+        atoms = self.atoms.withColumn("body", F.when(F.col("id") == id, F.lit(body)).otherwise(F.col("body")))
+        index = self.index.updated(atoms.where(F.col("id") == id), self.atoms.where(F.lit(False)).select("id")) if self.index else None
+        return replace(self, atoms=atoms, index=index, pairs=None)
 
     def remember(self, rows: DataFrame, folder: str = "memory") -> DataFrame:
         """New memory atoms from rows of title, body, scope and project; file names get a number when taken, by atoms that are there too."""
@@ -177,8 +191,13 @@ class Knowledge:
         self.session(id)
         return self.sessions.withColumn("custom_title", F.when(F.col("session_id") == id, F.lit(title)).otherwise(F.col("custom_title")))
 
-    def live(self, lines: DataFrame, now: str) -> DataFrame:
-        """Sessions with the status that their transcripts' tails show at ``now``; ``lines``: path, line_no, raw."""
+    def live(self, lines: DataFrame | None, now: str) -> DataFrame:
+        """Sessions with the status that their transcripts' tails show at ``now``; ``lines``: path, line_no, raw.
+
+        Without ``lines`` the last bytes of each session's transcript are read, and nothing before them.
+        """
+        if lines is None:
+            lines = transcript_tails(self.sessions.where("jsonl_path is not null").select(F.col("jsonl_path").alias("path")).distinct())
         return SS.refresh(self.sessions, SS.status(lines, now).withColumnRenamed("path", "jsonl_path"))
 
     def without_session(self, id: str) -> DataFrame:
@@ -205,17 +224,29 @@ class Knowledge:
         return A.dashboard(self.sessions, self.atoms)
 
 
-def reindex(spark, roots: Roots, old: Knowledge | None = None, now: str = "1970-01-01 00:00:00", desktop_root: str | None = None, metadata: DataFrame | None = None) -> Knowledge:
-    """Read all sources and bring atoms, links, diagnostics and sessions up to date; ``run`` tells what changed.
+def reindex(spark, roots: Roots, old: Knowledge | None = None, now: str = "1970-01-01 00:00:00", desktop_root: str | None = None, metadata: DataFrame | str | None = None, quiet_ms: int = 0) -> Knowledge:
+    """Bring atoms, links, diagnostics and sessions up to date with all sources; ``run`` tells what changed.
 
-    New atoms are created at ``now``, changed ones updated at ``now``; atoms of the same content keep their times, and those
+    Of the notes only files are opened that differ from the listing of ``old`` (``file_changes``; ``quiet_ms`` leaves files alone that
+    were written just now); atoms of the others stay as they are in ``old``, edited and deleted ones too. New
+    atoms are created at ``now``, changed ones updated at ``now``; atoms of the same content keep their times, and those
     that are gone go with their links. A stored index of ``old`` gets a segment for the changes only. ``desktop_root`` has
-    desktop-app sessions, ``metadata`` (session_id, first_user_message, total_tokens) titles for sessions without one.
+    desktop-app sessions, ``metadata`` titles for sessions without one: rows (session_id, first_user_message, total_tokens) or
+    the path of a file for ``session_metadata``.
     """
     from .functions.text import link_targets
 
-    raw = cut(notes(spark, roots), "raw")
+    files = note_files(spark, roots)
+    known = old.files if old is not None and old.files is not None else None
+    read = cut(file_changes(known if known is not None else files.where(F.lit(False)), files, quiet_ms), "files")
+    files = read.where("change <> 'gone'").drop("change")
+    raw = cut(read_notes(read.where("change in ('added', 'changed')")), "raw")
     atoms, diags = parse_notes(raw)
+    if known is not None:
+        same = read.where("change = 'same'").select(F.col("path").alias("source_path"))
+        atoms = atoms.unionByName(old.atoms.select(*atoms.columns).join(same, "source_path", "left_semi"))
+        if old.diagnostics is not None:
+            diags = diags.unionByName(old.diagnostics.where("type in ('stale', 'missing_frontmatter')").join(same, "source_path", "left_semi").select(*diags.columns))
     # increasing in path order without bringing all rows to one task: range-sorted, then numbered by partition and place
     atoms = atoms.orderBy("source_path", "section_index").withColumn("ingest_seq", F.monotonically_increasing_id())
     atoms = atoms.withColumns({"created_at": F.lit(now), "updated_at": F.lit(now)})
@@ -228,7 +259,7 @@ def reindex(spark, roots: Roots, old: Knowledge | None = None, now: str = "1970-
     targets = atoms.select(F.col("id").alias("source_id"), "source_path", F.explode(link_targets(F.col("body"))).alias("t")).select("source_id", resolve_path("source_path", "t").alias("path"))
     targets = cut(targets, "targets")
     explicit = L.resolve(targets, atoms)
-    gone = L.broken(targets, raw.select("path"))
+    gone = L.broken(targets, files.select("path"))
     orphan = L.orphans(atoms, explicit)
     diags = diags.unionByName(gone.select(F.lit("broken_reference").alias("type"), F.col("source_id").alias("atom_id"), F.lit(None).cast("string").alias("source_path"), F.concat(F.lit("Missing: "), "path").alias("message"), F.lit(None).cast("string").alias("details")))
     diags = diags.unionByName(orphan.select(F.lit("orphan").alias("type"), F.col("id").alias("atom_id"), "source_path", F.concat(F.lit("No links: "), "title").alias("message"), F.lit(None).cast("string").alias("details")))
@@ -245,6 +276,8 @@ def reindex(spark, roots: Roots, old: Knowledge | None = None, now: str = "1970-
         sessions = SS.upsert(R.evolve(old.sessions, sessions), sessions)
     if desktop_root:
         sessions = SS.upsert(sessions, desktop_sessions(spark, desktop_root))
+    if isinstance(metadata, str):
+        metadata = session_metadata(spark, metadata)
     if metadata is not None:
         sessions = SS.import_titles(sessions, metadata)
     sessions = SS.backfill_titles(sessions)
@@ -253,4 +286,4 @@ def reindex(spark, roots: Roots, old: Knowledge | None = None, now: str = "1970-
         changed = atoms.join(changes.where("change in ('created', 'updated')"), "id", "left_semi")
         index = old.index.updated(changed, changes.where("change = 'removed'").select("id"))
     links = L.insert_or_ignore(both, "prio").select("source_id", "target_id", "link_type", "confidence")
-    return Knowledge(atoms, links, cut(sessions, "sessions"), diags, index, A.counts(changes, "change"), pairs)
+    return Knowledge(atoms, links, cut(sessions, "sessions"), diags, index, A.counts(changes, "change"), pairs, files, read)

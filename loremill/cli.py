@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .api import Knowledge, reindex
 from .sources.files import Roots
-from .streaming.jobs import watch
+from .streaming.jobs import follow
 
 
 def arguments() -> argparse.ArgumentParser:
@@ -71,13 +71,10 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     a = arguments().parse_args(argv)
     spark = spark or SparkSession.builder.appName("loremill").getOrCreate()
     if a.command == "watch":
-        known: dict[str, Knowledge] = {}
-
-        def tick(_: int) -> None:
-            known["k"] = reindex(spark, Roots(a.root), known.get("k"))
-            print(*(f"{r['change']} {r['n']}" for r in known["k"].run.orderBy("change").collect()))
-
-        q = watch(spark, tick, a.every)
+        shown = lambda k: print(*(f"{r['change']} {r['n']}" for r in k.run.orderBy("change").collect()))
+        known = reindex(spark, Roots(a.root))
+        shown(known)
+        q = follow(spark, Roots(a.root), known, shown, a.every)
         q.awaitTermination()
         return []
     out = lines(reindex(spark, Roots(a.root)), a)

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..model import atom_id, content_hash
+from ..operators.sessions import TAIL_BYTES
+from .ranges import RANGE_BYTES, lines, listing, tails, whole
 
 
 @dataclass(frozen=True)
@@ -33,26 +36,51 @@ class Roots:
         return [*self.globs().values(), self.transcripts()]
 
 
-def _plain(path: Column) -> Column:
-    return F.regexp_replace(path, r"^file:/*", "/")
+def note_files(spark: SparkSession, roots: Roots) -> DataFrame:
+    """``(path, length, modified, source_type)`` of every markdown source that is there; none is opened."""
+    kinds = [listing(spark, glob).withColumn("source_type", F.lit(kind)) for kind, glob in roots.globs().items()]
+    return reduce(DataFrame.unionByName, kinds)
+
+
+def read_notes(files: DataFrame) -> DataFrame:
+    """``(path, source_type, raw)`` of the files of a listing; those that are gone by now give no row."""
+    return whole(files).join(files.select("path", "source_type"), "path").select("path", "source_type", "raw")
 
 
 def notes(spark: SparkSession, roots: Roots) -> DataFrame:
     """``(path, source_type, raw)`` of every markdown source that is there."""
-    out = spark.createDataFrame([], "path string, source_type string, raw string")
-    jvm = spark.sparkContext._jvm
-    for kind, glob in roots.globs().items():
-        p = jvm.org.apache.hadoop.fs.Path(glob)
-        found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
-        if found is not None and len(found):
-            out = out.unionByName(spark.read.text(glob, wholetext=True).select(_plain(F.col("_metadata.file_path")).alias("path"), F.lit(kind).alias("source_type"), F.col("value").alias("raw")))
-    return out
-
-
-def transcript_lines(spark: SparkSession, glob: str) -> DataFrame:
-    """``(path, project, line_no, raw)``; a carriage return at a line's end stays."""
-    rows = spark.read.text(glob, wholetext=True).select(_plain(F.col("_metadata.file_path")).alias("path"), F.col("value"))
-    return rows.select("path", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("project"), F.posexplode(F.split("value", "\n")).alias("line_no", "raw"))
+    return read_notes(note_files(spark, roots))
+
+
+def file_changes(old: DataFrame, new: DataFrame, quiet_ms: int = 0) -> DataFrame:
+    """Two listings side by side: the columns of a listing and ``change`` (added, changed, same or gone).
+
+    A file whose length or time differs has changed. With ``quiet_ms`` a file that was written less than so long ago may
+    still be written to: it keeps its old row as ``same``, so a later listing finds it changed, and is not there yet if it is
+    new. A file that is edited within the resolution of the file system's times, to the same length, is not seen.
+    """
+    o = old.select("path", F.struct(*old.columns).alias("_o"))
+    n = new.select("path", F.struct(*new.columns).alias("_n"))
+    j = o.join(n, "path", "full_outer")
+    same = (F.col("_o.length") == F.col("_n.length")) & (F.col("_o.modified") == F.col("_n.modified"))
+    restless = F.coalesce(F.unix_millis("_n.modified") > F.unix_millis(F.current_timestamp()) - quiet_ms, F.lit(False)) if quiet_ms else F.lit(False)
+    change = F.when(F.col("_n").isNull(), "gone").when(F.col("_o").isNull(), F.when(~restless, "added")).when(same | restless, "same").otherwise("changed")
+    row = F.when(F.col("change").isin("same", "gone"), F.col("_o")).otherwise(F.col("_n"))
+    return j.withColumn("change", change).where("change is not null").withColumn("_r", row).select("_r.*", "change")
+
+
+def transcript_lines(spark: SparkSession, glob: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """``(path, project, line_no, raw)``; ``line_no`` is the byte where a line begins, and a carriage return at its end stays."""
+    return _transcript(lines(listing(spark, glob), range_bytes))
+
+
+def transcript_tails(paths: DataFrame, most_bytes: int = TAIL_BYTES) -> DataFrame:
+    """The same of the last bytes of the transcripts that ``paths`` (path) names, for all that reads tails only."""
+    return _transcript(tails(paths, most_bytes))
+
+
+def _transcript(rows: DataFrame) -> DataFrame:
+    return rows.select("path", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("project"), F.col("at").alias("line_no"), "raw")
 
 
 _TEXT, _TEXTS = T.StringType(), T.ArrayType(T.StringType())

@@ -1,7 +1,7 @@
 """Streaming jobs: event windows with watermarks, live sessions, and incremental re-indexing of files.
 
-A file source never emits a changed file again and tells nothing of one that is gone, so ``watch`` only keeps time: each
-trigger compares the sources with the known atoms (``api.reindex``), which finds new, edited and deleted files.
+A file source never emits a changed file again and tells nothing of one that is gone, so ``watch`` only keeps time: at each
+trigger ``follow`` compares the listing of the sources with the last one, which finds new, edited and deleted files and opens no other.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..api import Knowledge, reindex
+from ..sources.files import Roots, file_changes, note_files
 from ..storage import new_path
 
 WATERMARK = "10 minutes"
@@ -67,3 +69,17 @@ def watch(spark: SparkSession, on_tick: Callable[[int], None], every: str = "60
     ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
     writer = ticks.writeStream.foreachBatch(lambda _, n: on_tick(n)).trigger(processingTime=every)
     return writer.option("checkpointLocation", checkpoint or f"{new_path(spark, 'watch')}/checkpoint").start()
+
+
+def follow(spark: SparkSession, roots: Roots, known: Knowledge, on_change: Callable[[Knowledge], None], every: str = "1 second", quiet_ms: int = 500, checkpoint: str | None = None):
+    """Start a query that calls ``on_change`` with what is known after files came, changed or went, once they rested ``quiet_ms``."""
+    last = [known]
+
+    def tick(_: int) -> None:
+        new = file_changes(last[0].files, note_files(spark, roots), quiet_ms)
+        if new.where("change <> 'same'").head(1):
+            now = spark.range(1).select(F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")).first()[0]
+            last[0] = reindex(spark, roots, last[0], now, quiet_ms=quiet_ms)
+            on_change(last[0])
+
+    return watch(spark, tick, every, checkpoint)
