@@ -20,8 +20,8 @@ from .operators import tasks as T
 from .operators.index import SearchIndex
 from .sources import driver_views as V
 from .sources.driver_views import with_views
-from .sources.files import split_sections
-from .storage import cut
+from .sources.files import file_changes, split_sections, transcript_lines
+from .storage import cut, new_path
 from .streaming import jobs as J
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -745,6 +745,30 @@ def task_update(spark, d):
     return T.update(t, t.where("id % 9 = 0").select("id", F.lit("done").alias("new_status")), children).select("id", "status", "project")
 
 
+# --- files ---------------------------------------------------------------------------------------------------
+
+_LINE = "conv_id || ':' || turn || ' ' || coalesce(role, '') || ' ' || replace(replace(coalesce(text, ''), chr(10), ' '), chr(13), ' ')"
+
+
+@query(f"SELECT sha256(l) AS line, count(*) AS n FROM (SELECT {_LINE} AS l FROM conversations) GROUP BY 1")
+def transcript_ranges(spark, d):
+    """All turns written as text files and read back by byte ranges of 100,000 bytes: no line is lost or read twice."""
+    line = F.expr("concat(conv_id, ':', turn, ' ', coalesce(role, ''), ' ', translate(coalesce(text, ''), '\\n\\r', '  '))")
+    path = new_path(spark, "transcripts")
+    V.table(spark, d, "conversations").select(line.alias("value")).write.text(path)
+    lines = transcript_lines(spark, f"{path}/*.txt", 100_000).where("raw <> ''")
+    return lines.groupBy(F.sha2("raw", 256).alias("line")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'gone' WHEN doc_id % 5 = 0 THEN 'added' WHEN doc_id % 3 = 0 THEN 'changed' ELSE 'same' END AS change FROM documents WHERE NOT (doc_id % 7 = 0 AND doc_id % 5 = 0)")
+def listing_changes(spark, d):
+    """Two listings of the documents as files: some gone, some added, some of another length."""
+    rows = V.table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("path"), F.octet_length("text").cast("long").alias("length"), F.timestamp_seconds(F.col("doc_id")).alias("modified"))
+    old = rows.where("doc_id % 5 <> 0")
+    new = rows.where("doc_id % 7 <> 0").withColumn("length", F.when(F.expr("doc_id % 3 = 0"), F.col("length") + 1).otherwise(F.col("length")))
+    return file_changes(old, new, 500).select("doc_id", "change")
+
+
 # --- search ------------------------------------------------------------------------------------------------
 
 _TOK = ", tk AS (SELECT ingest_seq, id, title, project, scope, atom_type, body, regexp_extract_all(strip_accents(lower(title)), '[\\p{L}\\p{N}]+') AS tt, regexp_extract_all(strip_accents(lower(body)), '[\\p{L}\\p{N}]+') AS tb FROM v_atoms) "
@@ -840,15 +864,29 @@ def search_snippet(spark, d):
     return S.with_snippets(_found(spark, d, "er thon", 20), "er thon", stem=False).select("id", "snippet")
 
 
+@query(_bm25([_count("er"), _count("thon")], "tf0 > 0 AND tf1 > 0", tail="ORDER BY r.rank, ingest_seq LIMIT 20"), "v_atoms")
+def search_after_changes(spark, d):
+    """An index of nine in ten atoms, a third of those with other bodies, that three changes bring up to date."""
+    atoms = V.atoms(spark, d)
+    tenth = F.pmod("ingest_seq", F.lit(10))
+    old = atoms.where(tenth != 9).withColumn("body", F.when(tenth < 3, F.concat(F.lit("er thon "), F.col("body"))).otherwise(F.col("body")))
+    extra = atoms.where(tenth == 4).withColumn("id", F.concat(F.lit("x"), "id"))
+    none = atoms.where(F.lit(False)).select("id")
+    index = SearchIndex.build(old.unionByName(extra))
+    for changed, gone in ((atoms.where(tenth < 2), extra.select("id")), (atoms.where(tenth == 2), none), (atoms.where(tenth == 9), none)):
+        index = index.updated(changed, gone)
+    return _ranked(index.search(atoms, "er thon", 20, stem=False))
+
+
 _TOPIC = "SELECT ingest_seq, id, rank, {n} AS topic FROM ({q}) "
 
 
 @query(_TOK + ", c AS (SELECT *, len(tt) + len(tb) AS dl, " + f"{_count('er')} AS tf0, {_count('sur')} AS tf1 FROM tk), st AS (SELECT count(*) AS n, avg(dl) AS avg_dl, count(*) FILTER (WHERE tf0 > 0) AS n0, count(*) FILTER (WHERE tf1 > 0) AS n1 FROM c), "
     + "r AS (" + " UNION ALL ".join(f"(SELECT c.*, {i} AS topic, (0 - CASE WHEN ln((n - n{i} + 0.5) / (n{i} + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - n{i} + 0.5) / (n{i} + 0.5)) END * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / avg_dl)))::DOUBLE AS rank FROM c, st WHERE tf{i} > 0 ORDER BY rank, ingest_seq LIMIT 5)" for i in (0, 1)) + ") "
-    + "SELECT id, topic AS topic_no, round(rank, 6) AS rank, left('## ' || title || ' ' || CASE scope WHEN 'global' THEN '[GLOBAL]' WHEN 'shared' THEN '[SHARED]' ELSE '' END || chr(10) || '_Source: ' || coalesce(project, 'global') || ' | ' || atom_type || '_', 200) AS head FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY topic) AS k FROM r) WHERE k = 1", "v_atoms")
+    + "SELECT id, topic AS topic_no, round(rank, 6) AS rank, sha256('## ' || title || ' ' || CASE scope WHEN 'global' THEN '[GLOBAL]' WHEN 'shared' THEN '[SHARED]' ELSE '' END || chr(10) || '_Source: ' || coalesce(project, 'global') || ' | ' || atom_type || '_' || chr(10) || chr(10) || body) AS part_sha256 FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY topic) AS k FROM r) WHERE k = 1", "v_atoms")
 def context(spark, d):
     rows = _index(spark, d).context(V.atoms(spark, d), ["er", "sur"], stem=False)
-    return rows.select("id", "topic_no", F.round("rank", 6).alias("rank"), F.left(F.substring_index("part", "\n", 2), F.lit(200)).alias("head"))
+    return rows.select("id", "topic_no", F.round("rank", 6).alias("rank"), F.sha2("part", 256).alias("part_sha256"))
 
 
 #: Every link type stays listed, so that a new one is noticed here.

@@ -5,9 +5,11 @@ offset, so a phrase never runs from one into the next. ``terms`` has each distin
 document frequency: a stemmed search asks it for the words of a stem, so stems are made of distinct words only. ``docs``
 has each atom's length.
 
-An index is a list of segments; a change of atoms adds a segment for those that are new or changed and a list of ids that
-no longer count in the segments before it. Both are written once and never changed, so a lost task writes them again
-and readers of the old list are not disturbed. ``merged`` makes one segment of all.
+An index is a list of segments; a change of atoms adds a segment for those that are new or changed, and a list of ids that
+no longer count to each segment that has them. Segments of like size are merged, and one of which half is dead is written anew, so
+each segment counts more than twice the atoms of the next smaller one; lists of dead ids are kept so as well. After any number of
+changes a search thus reads logarithmically many segments, and a posting is rewritten logarithmically often. Tables are written once
+and never changed, so a lost task writes them again and readers of the old list are not disturbed. ``merged`` makes one segment of all.
 
 A term that a third of all atoms have is cut at atom boundaries when postings are dealt by range, so no task holds all of
 its rows. Edge cases: null titles, bodies and tags have no words; an empty table gives an empty index; atoms must have distinct ids.
@@ -15,7 +17,7 @@ its rows. Edge cases: null titles, bodies and tags have no words; an empty table
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 import pandas as pd
@@ -38,26 +40,70 @@ def _stems(words: pd.Series) -> pd.Series:
 
 @dataclass
 class Segment:
-    """Written tables of some atoms; ``dead`` are ids that later segments replace or that are gone."""
+    """Written tables of ``n`` atoms; ``dead`` has (ids, how many) of those that later segments replace or that are gone, each once."""
 
     postings: DataFrame
     terms: DataFrame
     docs: DataFrame
-    dead: list[DataFrame] = field(default_factory=list)
+    n: int
+    dead: list[tuple[DataFrame, int]] = field(default_factory=list)
+
+    @property
+    def alive(self) -> int:
+        return self.n - sum(n for _, n in self.dead)
 
     def live(self, rows: DataFrame) -> DataFrame:
-        return reduce(lambda df, gone: df.join(gone, "id", "left_anti"), self.dead, rows)
+        return reduce(lambda df, gone: df.join(gone[0], "id", "left_anti"), self.dead, rows)
+
+    def without(self, gone: DataFrame) -> Segment:
+        """The same with those of ``gone`` (id) that it has among the dead; without any it stays as it is."""
+        mine = cut(self.live(self.docs.select("id")).join(gone, "id", "left_semi"), "dead")
+        if not (n := mine.count()):
+            return self
+        both = lambda a, b: (cut(a[0].unionByName(b[0]), "dead"), a[1] + b[1])
+        return replace(self, dead=_tiers([*self.dead, (mine, n)], lambda d: d[1], both))
+
+
+def _tiers(items: list, size, merge) -> list:
+    """Items from the largest on, merged until each is more than twice as large as the next."""
+    items = sorted(items, key=size, reverse=True)
+    for i in range(len(items) - 1, 0, -1):
+        if size(items[i - 1]) <= 2 * size(items[i]):
+            return _tiers([*items[: i - 1], merge(items[i - 1], items[i]), *items[i + 1 :]], size, merge)
+    return items
 
 
 def _segment(atoms: DataFrame) -> Segment:
     docs = tokenised(atoms)
     places = F.concat(*[F.transform(F.col(f"tok_{c}"), _place(n)) for n, c in enumerate(COLUMNS)])
-    words = docs.select("id", F.col("ingest_seq").cast("long").alias("ingest_seq"), F.col("dl").cast("int").alias("dl"), F.inline(places))
-    posts = words.groupBy("term", "id").agg(F.first("ingest_seq").alias("ingest_seq"), F.first("dl").alias("dl"), F.sort_array(F.collect_list("p")).alias("pos"))
-    postings = cut(posts.repartitionByRange("term", "id").sortWithinPartitions("term", "id"), "postings")
+    # all words of an atom are in its row, so its postings are made there: sorted, and cut where the word changes
+    posts = docs.select("id", F.col("ingest_seq").cast("long").alias("ingest_seq"), F.col("dl").cast("int").alias("dl"), F.inline(_postings_of(F.sort_array(places))))
+    return _written(posts.select("term", "id", "ingest_seq", "dl", "pos"), docs.select("id", F.col("dl").cast("int").alias("dl")))
+
+
+def _postings_of(words: Column) -> Column:
+    """(term, pos) for each run of a term in sorted (term, p); one-element arrays hold what is used more than once."""
+
+    def runs(w: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i == 0) | (w[i]["term"] != w[i - 1]["term"]))
+        run = lambda st: lambda b, k: F.struct(w[b]["term"].alias("term"), F.transform(F.slice(w, b + 1, F.coalesce(F.get(st, k + 1), F.size(w)) - b), lambda x: x["p"]).alias("pos"))
+        return F.flatten(F.transform(F.array(starts), lambda st: F.transform(st, run(st))))
+
+    return F.flatten(F.transform(F.filter(F.array(words), lambda w: F.size(w) > 0), runs))
+
+
+def _written(postings: DataFrame, docs: DataFrame) -> Segment:
+    postings = cut(postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id"), "postings")
     terms = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.size("pos")).alias("cf"))
     terms = cut(terms.withColumn("stem", _stems("term")).repartitionByRange("stem").sortWithinPartitions("stem"), "terms")
-    return Segment(postings, terms, cut(docs.select("id", F.col("dl").cast("int").alias("dl")), "lengths"))
+    lengths = cut(docs, "lengths")
+    return Segment(postings, terms, lengths, lengths.count())
+
+
+def _merge(*segments: Segment) -> Segment:
+    """One segment of the atoms that count in ``segments``."""
+    all_of = lambda name: reduce(DataFrame.unionByName, [s.live(getattr(s, name)) for s in segments])
+    return _written(all_of("postings"), all_of("docs"))
 
 
 def _place(n: int):
@@ -79,14 +125,15 @@ class SearchIndex:
     def updated(self, changed: DataFrame, gone: DataFrame) -> SearchIndex:
         """The index after ``changed`` atoms came in and those of ``gone`` (id) went."""
         dead = cut(changed.select("id").unionByName(gone.select("id")).distinct(), "dead")
-        older = [Segment(s.postings, s.terms, s.docs, [*s.dead, dead]) for s in self.segments]
-        return SearchIndex([*older, _segment(changed)], True)
+        segments = [s.without(dead) for s in self.segments]
+        segments = [s if 2 * s.alive >= s.n or not s.alive else _merge(s) for s in segments]
+        new = _segment(changed)
+        kept = [s for s in [*segments, new] if s.alive] or [new]
+        return SearchIndex(_tiers(kept, lambda s: s.alive, _merge), True)
 
     def merged(self) -> SearchIndex:
-        """One segment of all, for when there are many."""
-        postings = cut(self.postings().repartitionByRange("term", "id").sortWithinPartitions("term", "id"), "postings")
-        terms = cut(self.terms().withColumn("stem", _stems("term")).repartitionByRange("stem").sortWithinPartitions("stem"), "terms")
-        return SearchIndex([Segment(postings, terms, cut(self.docs(), "lengths"))], self.renumbered)
+        """One segment of all."""
+        return SearchIndex([_merge(*self.segments)], self.renumbered)
 
     def _all(self, name: str, where: Column | None = None) -> DataFrame:
         parts = []

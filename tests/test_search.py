@@ -106,3 +106,38 @@ def test_snippet_short_and_unmarked():
     assert S.make_snippet("a fox b", [(("fox",), False)], False) == "a <mark>fox</mark> b"
     assert S.make_snippet("lazy dog", [(("lazy", "dog"), False)], False) == "<mark>lazy dog</mark>"
     assert S.make_snippet("", [(("x",), False)], False) == ""
+
+
+def test_index_keeps_few_segments_and_answers_like_the_texts(spark):
+    import random
+
+    from loremill.operators.index import SearchIndex, _tiers
+
+    shape = "ingest_seq long, id string, title string, body string, tags_text string, project string, scope string, atom_type string"
+    rnd = random.Random(5)
+    row = lambda n, body: (n, f"i{n}", None if n % 4 else "fox", body, None, None, "project", "memory")
+    text = lambda: rnd.choice(["fox", "dog fox fox", "", None, "the lazy dog " * 3])
+    now = {n: text() for n in range(12)}
+    table = lambda ns: spark.createDataFrame([row(n, now[n]) for n in ns], shape)
+    index = SearchIndex.build(table(now))
+    for step in range(3):
+        gone = [2 * step]
+        new = [1 + step, 20 + step]
+        for n in gone:
+            now.pop(n, None)
+        now.update({n: text() for n in new})
+        index = index.updated(table(new), spark.createDataFrame([(f"i{n}",) for n in gone], "id string"))
+        assert len(index.segments) <= 3 and sum(s.alive for s in index.segments) == len(now)
+    atoms = table(now)
+    for i in (index, index.merged()):
+        rows = lambda df: [(r["id"], round(r["rank"], 9)) for r in df.collect()]
+        assert rows(i.search(atoms, "fox", 9)) == rows(S.search(atoms, "fox", 9))
+    # only removals, down to nothing, and up again
+    empty = index.updated(atoms.where("false"), atoms.select("id"))
+    assert len(empty.segments) == 1 and empty.search(atoms.where("false"), "fox", 9).count() == 0
+    # by sizes alone: fifty changes of one atom leave logarithmically many
+    sizes: list[int] = [1000]
+    for _ in range(50):
+        sizes = _tiers([*sizes, 1], lambda n: n, lambda a, b: a + b)
+        assert len(sizes) <= 10 and all(a > 2 * b for a, b in zip(sizes, sizes[1:]))
+    assert sum(sizes) == 1050
