@@ -78,7 +78,8 @@ def _segment(atoms: DataFrame) -> Segment:
     places = F.concat(*[F.transform(F.col(f"tok_{c}"), _place(n)) for n, c in enumerate(COLUMNS)])
     # all words of an atom are in its row, so its postings are made there: sorted, and cut where the word changes
     posts = docs.select("id", F.col("ingest_seq").cast("long").alias("ingest_seq"), F.col("dl").cast("int").alias("dl"), F.inline(_postings_of(F.sort_array(places))))
-    return _written(posts.select("term", "id", "ingest_seq", "dl", "pos"), docs.select("id", F.col("dl").cast("int").alias("dl")))
+    # written once before the range shuffle, whose sampling would make them twice
+    return _written(cut(posts.select("term", "id", "ingest_seq", "dl", "pos"), "words"), docs.select("id", F.col("dl").cast("int").alias("dl")))
 
 
 def _postings_of(words: Column) -> Column:
