@@ -32,13 +32,15 @@ def head(lines: DataFrame, key: str = "path", fields: dict[str, str] = FIELDS) -
     )
 
 
-def tail(lines: DataFrame, key: str = "path", last: int = TAIL, most_bytes: int = TAIL_BYTES) -> DataFrame:
+def tail(lines: DataFrame, key: str = "path", last: int = TAIL, most_bytes: int | None = TAIL_BYTES) -> DataFrame:
     """The last 15 non-blank lines in the last 8,192 bytes of a transcript, ``back`` = 1 for the newest.
 
     A line that the byte limit cuts keeps its end only (and so no longer parses). Lines are taken as joined by
-    line feeds, the last one without.
+    line feeds, the last one without. Without ``most_bytes`` the last 15 lines are whole, however long they are.
     """
     newest = Window.partitionBy(key).orderBy(F.desc("line_no"))
+    if most_bytes is None:
+        return lines.where(F.trim("raw") != "").withColumn("back", F.row_number().over(newest)).where(F.col("back") <= last)
     size = F.octet_length("raw") + 1
     seen = lines.withColumn("_upto", F.sum(size).over(newest.rowsBetween(Window.unboundedPreceding, 0)) - 1)
     over = F.col("_upto") - most_bytes

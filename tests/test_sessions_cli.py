@@ -72,3 +72,16 @@ def test_cli(spark, root):
     assert run("sessions", "--status", "dead", "--limit", "1")[0] == "2 sessions"
     assert "by_type: memory 1" in run("stats")
     assert run("context", "fox")[0].startswith("## Note one")
+
+
+def test_session_tail_keeps_long_lines_like_its_sql(spark, tmp_path):
+    import duckdb
+
+    from loremill import catalog
+
+    rows = [(1, t, "user", "x" * 900) for t in range(20)] + [(2, t, "assistant", "é" * (9000 if t == 3 else 1)) for t in range(5)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    want = sorted(con.sql(catalog.ORACLES["session_tail"]).fetchall())
+    assert len(want) == 20 and sorted(map(tuple, catalog.QUERIES["session_tail"](spark, str(tmp_path)).collect())) == want
