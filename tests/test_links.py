@@ -88,3 +88,46 @@ def test_links_by_change_are_those_of_all(spark):
         assert rows(pairs) == rows(L.infer_pairs(new))
         old = new
     assert rows(L.infer_changed(pairs, old, L.unlike(old, old))) == rows(pairs)
+
+
+def shuffled_rows(spark):
+    gateway = spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def linked(rows):
+    """Links of (seq, title, body, tags, project) by trying all pairs; files hold two atoms."""
+    out = []
+    for x, y in combinations(rows, 2):
+        if x[0] // 2 == y[0] // 2:
+            continue
+        shared = len(set(x[3]) & set(y[3]))
+        if shared >= 2:
+            out.append((f"i{x[0]}", f"i{y[0]}", "related", round(min(0.9, 0.3 + 0.15 * shared), 6)))
+        elif len(x[1]) >= 9 and x[1] in y[2]:
+            out.append((f"i{y[0]}", f"i{x[0]}", "references", 0.6))
+        elif x[4] and x[4] == y[4]:
+            out.append((f"i{x[0]}", f"i{y[0]}", "related", 0.3))
+    return sorted(out)
+
+
+def test_pairs_of_hot_keys_are_not_shuffled(spark):
+    n = 400
+    rows = [(i, "one hot title" if i % 3 else f"title {i} here", f"this has one hot title{i}" if i % 5 else "none", ["t", "u"] if i % 4 == 0 else [f"v{i % 3}"], "p" if i % 7 else None) for i in range(n)]
+    atoms = spark.createDataFrame([(s, f"i{s}", t, b, g, p, "note", f"memory/{s // 2}.md") for s, t, b, g, p in rows], "ingest_seq long, id string, title string, body string, tags array<string>, project string, atom_type string, source_path string")
+    want = linked(rows)
+    got = lambda df: sorted((r["source_id"], r["target_id"], r["link_type"], round(r["confidence"], 6)) for r in df.collect())
+    for run in (1000, 70):
+        before = shuffled_rows(spark)
+        assert got(L.infer_pairs(atoms, run)) == want
+        assert shuffled_rows(spark) - before < len(want) / 4
+    tags = spark.createDataFrame([(s, t) for s, _, _, g, _ in rows for t in g], "seq long, tag string")
+    before = shuffled_rows(spark)
+    assert L.tag_overlap(tags).count() == 100 * 99 // 2 and shuffled_rows(spark) - before < 2000
+    texts = atoms.select(F.col("ingest_seq").alias("seq"), "title", "body")
+    assert sorted(map(tuple, L.title_mentions(texts, texts, run=50).collect())) == sorted((x[0], y[0]) for x, y in combinations(rows, 2) if x[1] in y[2])
+    # a change of some, in short runs
+    later = [(s, t if s % 11 else "one hot title", b, g if s % 13 else ["t", "u"], p if s % 17 else "p") for s, t, b, g, p in rows if s % 19]
+    new = spark.createDataFrame([(s, f"i{s}", t, b, g, p, "note", f"memory/{s // 2}.md") for s, t, b, g, p in later], atoms.schema)
+    assert got(L.infer_changed(L.infer_pairs(atoms, 70), new, L.unlike(atoms, new), 70)) == linked(later)
