@@ -1,4 +1,4 @@
-"""A stored inverted index: postings sorted by term, so a search reads the row groups of its own words and no text.
+"""A stored inverted index: each file's postings are sorted by term, so a search reads the pages of its own words and no text.
 
 ``postings`` has a row a (term, atom) with the places of the term; places of the three columns are kept apart by a large
 offset, so a phrase never runs from one into the next. ``terms`` has each distinct word once, with its stem and its
@@ -11,26 +11,33 @@ each segment counts more than twice the atoms of the next smaller one; lists of
 changes a search thus reads logarithmically many segments, and a posting is rewritten logarithmically often. Tables are written once
 and never changed, so a lost task writes them again and readers of the old list are not disturbed. ``merged`` makes one segment of all.
 
-A term that a third of all atoms have is cut at atom boundaries when postings are dealt by range, so no task holds all of
-its rows. Edge cases: null titles, bodies and tags have no words; an empty table gives an empty index; atoms must have distinct ids.
+Postings stay in the files of their atoms, a file a task, as search engines keep shards by document: building and merging shuffle no
+posting but those that a long list of dead ids must meet, and a term that a third of all atoms have is in as many files as they are. Edge cases: null titles, bodies and tags have no words; an empty table gives an empty index; atoms must have distinct ids.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.porter import stem as porter_stem
+from ..functions.text import tokens
 from ..plans.query_language import Phrase, parse, sanitise
 from ..storage import cut
-from .search import COLUMNS, B, K1, LEAST_IDF, _stemmed, _truth, _used, tokenised
+from .search import COLUMNS, B, K1, LEAST_IDF, _stemmed, _truth, _used
 
 OFFSET = 1 << 40
+#: Words of one sorted block of postings, and dead ids that are broadcast at most.
+BLOCK, MANY_DEAD = 1 << 21, 500_000
 
 
 @F.pandas_udf(T.StringType())
@@ -53,7 +60,8 @@ class Segment:
         return self.n - sum(n for _, n in self.dead)
 
     def live(self, rows: DataFrame) -> DataFrame:
-        return reduce(lambda df, gone: df.join(gone[0], "id", "left_anti"), self.dead, rows)
+        few = sum(n for _, n in self.dead) <= MANY_DEAD
+        return reduce(lambda df, gone: df.join(F.broadcast(gone[0]) if few else gone[0], "id", "left_anti"), self.dead, rows)
 
     def without(self, gone: DataFrame) -> Segment:
         """The same with those of ``gone`` (id) that it has among the dead; without any it stays as it is."""
@@ -74,27 +82,70 @@ def _tiers(items: list, size, merge) -> list:
 
 
 def _segment(atoms: DataFrame) -> Segment:
-    docs = tokenised(atoms)
-    places = F.concat(*[F.transform(F.col(f"tok_{c}"), _place(n)) for n, c in enumerate(COLUMNS)])
-    # all words of an atom are in its row, so its postings are made there: sorted, and cut where the word changes
-    posts = docs.select("id", F.col("ingest_seq").cast("long").alias("ingest_seq"), F.col("dl").cast("int").alias("dl"), F.inline(_postings_of(F.sort_array(places))))
-    # written once before the range shuffle, whose sampling would make them twice
-    return _written(cut(posts.select("term", "id", "ingest_seq", "dl", "pos"), "words"), docs.select("id", F.col("dl").cast("int").alias("dl")))
-
-
-def _postings_of(words: Column) -> Column:
-    """(term, pos) for each run of a term in sorted (term, p); one-element arrays hold what is used more than once."""
-
-    def runs(w: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i == 0) | (w[i]["term"] != w[i - 1]["term"]))
-        run = lambda st: lambda b, k: F.struct(w[b]["term"].alias("term"), F.transform(F.slice(w, b + 1, F.coalesce(F.get(st, k + 1), F.size(w)) - b), lambda x: x["p"]).alias("pos"))
-        return F.flatten(F.transform(F.array(starts), lambda st: F.transform(st, run(st))))
-
-    return F.flatten(F.transform(F.filter(F.array(words), lambda w: F.size(w) > 0), runs))
+    # one row an atom and column, so that its words are made once
+    of = [F.struct(F.lit(n).alias("n"), F.coalesce(F.col(c), F.lit("")).alias("text")) for n, c in enumerate(COLUMNS)]
+    if "tags_text" not in atoms.columns:
+        atoms = atoms.withColumn("tags_text", F.to_json("tags") if "tags" in atoms.columns else F.lit(""))
+    rows = atoms.select("id", F.col("ingest_seq").cast("long").alias("ingest_seq"), F.explode(F.array(*of)).alias("c"))
+    docs = rows.select("id", "ingest_seq", F.col("c.n").alias("n"), tokens(F.col("c.text")).alias("words"))
+    posts = cut(docs.mapInArrow(_postings, "term string, id string, ingest_seq long, dl int, pos array<long>"), "postings")
+    # a row without a term tells an atom's length
+    return _written(posts.where("term is not null"), posts.where("term is null").select("id", "dl"))
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of whole atoms, in blocks of about ``BLOCK`` words sorted by term; an atom's rows (one a column) follow each other."""
+    held: list[pa.Table] = []
+    words = 0
+    for b in batches:
+        held.append(pa.Table.from_batches([b]))
+        words += len(b.column(3).flatten())
+        if words >= BLOCK:
+            whole = pa.concat_tables(held)
+            last = whole.num_rows - whole.num_rows % len(COLUMNS)
+            yield from _block(whole.slice(0, last))
+            held = [whole.slice(last)] if last < whole.num_rows else []
+            words = 0
+    if held:
+        yield from _block(pa.concat_tables(held))
+
+
+def _block(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    rows = rows.combine_chunks()
+    if not rows.num_rows:
+        return
+    lists = rows.column("words").chunk(0)
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    atom = np.arange(rows.num_rows) // len(COLUMNS)
+    ids, seqs = rows.column("id").chunk(0), rows.column("ingest_seq").chunk(0)
+    firsts = pa.array(np.arange(0, rows.num_rows, len(COLUMNS)))
+    length = np.add.reduceat(sizes, np.arange(0, rows.num_rows, len(COLUMNS))).astype(np.int32)
+    names = ["term", "id", "ingest_seq", "dl", "pos"]
+    yield pa.RecordBatch.from_arrays([pa.nulls(len(firsts), pa.string()), ids.take(firsts), seqs.take(firsts), pa.array(length), pa.nulls(len(firsts), pa.list_(pa.int64()))], names)
+    found = lists.flatten().dictionary_encode()
+    if not len(found):
+        return
+    order = pc.sort_indices(found.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    code = rank[found.indices.to_numpy(zero_copy_only=False)]
+    place = np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(rows.column("n").to_numpy().astype(np.int64) * OFFSET, sizes)
+    owner = np.repeat(atom, sizes)
+    by = np.argsort(code, kind="stable")  # atoms and places stay in order
+    code, place, owner = code[by], place[by], owner[by]
+    new = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (owner[1:] != owner[:-1])])
+    ends = np.r_[new, len(code)]
+    terms = found.dictionary.take(pa.array(order))
+    for at in range(0, len(new), 1 << 16):
+        some = new[at : at + (1 << 16)]
+        to = ends[at + len(some)]
+        first = pa.array(owner[some] * len(COLUMNS))
+        pos = pa.ListArray.from_arrays(pa.array(np.r_[some, to] - some[0], pa.int32()), pa.array(place[some[0] : to]))
+        yield pa.RecordBatch.from_arrays([terms.take(pa.array(code[some])), ids.take(first), seqs.take(first), pa.array(length[owner[some]]), pos], names)
 
 
 def _written(postings: DataFrame, docs: DataFrame) -> Segment:
-    postings = cut(postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id"), "postings")
+    """A segment of postings that are in files already, or of a merge."""
     terms = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.size("pos")).alias("cf"))
     terms = cut(terms.withColumn("stem", _stems("term")).repartitionByRange("stem").sortWithinPartitions("stem"), "terms")
     lengths = cut(docs, "lengths")
@@ -104,11 +155,7 @@ def _written(postings: DataFrame, docs: DataFrame) -> Segment:
 def _merge(*segments: Segment) -> Segment:
     """One segment of the atoms that count in ``segments``."""
     all_of = lambda name: reduce(DataFrame.unionByName, [s.live(getattr(s, name)) for s in segments])
-    return _written(all_of("postings"), all_of("docs"))
-
-
-def _place(n: int):
-    return lambda t, i: F.struct(t.alias("term"), (i.cast("long") + F.lit(n * OFFSET)).alias("p"))
+    return _written(cut(all_of("postings").sortWithinPartitions("term"), "postings"), all_of("docs"))
 
 
 @dataclass
@@ -234,11 +281,6 @@ def _phrase_count(p: Phrase, at: dict[tuple[str, bool], Column]) -> Column:
     if not last:
         return F.size(columns[0])
 
-    def followed(x: Column) -> Column:
-        ok = F.lit(True)
-        for i, c in enumerate(columns[1:], 1):
-            ok = ok & F.array_contains(c, x + F.lit(i))
-        return ok
-
-    return F.size(F.filter(columns[0], followed))
-
+    # places are distinct, so those that all words share, moved back to the first, are as many as the phrases
+    back = lambda i: lambda x: x - F.lit(i)
+    return F.size(reduce(F.array_intersect, [F.transform(c, back(i)) for i, c in enumerate(columns)]))

@@ -141,3 +141,42 @@ def test_index_keeps_few_segments_and_answers_like_the_texts(spark):
         sizes = _tiers([*sizes, 1], lambda n: n, lambda a, b: a + b)
         assert len(sizes) <= 10 and all(a > 2 * b for a, b in zip(sizes, sizes[1:]))
     assert sum(sizes) == 1050
+
+
+def test_postings_of_blocks_against_counting(monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    from loremill.operators import index as I
+
+    monkeypatch.setattr(I, "BLOCK", 7)
+    rnd = random.Random(2)
+    atoms = [(f"i{n}", n, [[rnd.choice(["a", "b", "é", "ab"]) for _ in range(rnd.randrange(4))] for _ in range(3)]) for n in range(30)]
+    rows = [(i, n, c, ws) for i, n, columns in atoms for c, ws in enumerate(columns)]
+    shape = pa.schema([("id", pa.string()), ("ingest_seq", pa.int64()), ("n", pa.int32()), ("words", pa.list_(pa.string()))])
+    batches = [pa.RecordBatch.from_pylist([dict(zip(shape.names, r)) for r in rows[at : at + 4]], shape) for at in range(0, len(rows), 4)]
+    got = [r for b in I._postings(iter(batches)) for r in b.to_pylist()]
+    want: dict = {}
+    for i, n, c, ws in rows:
+        for k, w in enumerate(ws):
+            want.setdefault((w, i), []).append(c * I.OFFSET + k)
+    assert {(r["term"], r["id"]): r["pos"] for r in got if r["term"] is not None} == want and len(got) == len(want) + len(atoms)
+    size = {i: sum(map(len, columns)) for i, _, columns in atoms}
+    assert all(r["dl"] == size[r["id"]] and r["ingest_seq"] == int(r["id"][1:]) for r in got)
+
+
+def test_building_shuffles_no_postings_and_phrases_are_counted(spark):
+    from loremill.operators.index import SearchIndex
+
+    from .test_links import shuffled_rows
+
+    words = ["of", "the", "sea", "one"]
+    rows = [(n, f"i{n}", words[n % 4], " ".join(words[(n + k * (1 + n % 3)) % 4] for k in range(9)), None, "project", "memory", "[]") for n in range(600)]
+    atoms = spark.createDataFrame(rows, "ingest_seq long, id string, title string, body string, project string, scope string, atom_type string, tags_text string")
+    before = shuffled_rows(spark)
+    index = SearchIndex.build(atoms)
+    assert shuffled_rows(spark) - before < 200
+    pairs = lambda df: sorted((r["id"], round(r["rank"], 9)) for r in df.collect())
+    for raw in ('"of the"', '"the sea one"'):
+        assert pairs(index.search(atoms, raw, None, stem=False)) == pairs(S.search(atoms, raw, None, stem=False))
