@@ -267,10 +267,20 @@ def _long_lists(members: DataFrame, sig: DataFrame, most: int, doubtful: int) ->
     return with_hub("ok").unionByName(rest), with_hub((~F.col("ok")) & (F.col("d") <= doubtful))
 
 
+def index_pairs(nodes: DataFrame, max_bits: int = MAX_BITS, list_cap: int = LIST_CAP) -> DataFrame:
+    """``(a, b)``, a < b: nodes (rep and sig) that the index finds by their first fingerprints; of nodes with the same one each meets the smallest."""
+    first = nodes.select("rep", F.col("sig")[0].alias("fp"))
+    firsts = stored(first.groupBy("fp").agg(F.min("rep").alias("hub"), F.count("*").alias("n")), "first_prints")
+    same = spread_join(first, firsts, ["fp"]).where("hub <> rep").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+    found = links(firsts.select("fp", F.col("hub").alias("rep")), max_bits, list_cap)
+    return same.unionByName(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+
+
 def near_rows(docs: DataFrame, words: int = 5, similarity: float = 0.8, number: int = NUMBER, list_cap: int = LIST_CAP) -> DataFrame:
     """``k`` (doc_id), ``h1`` and ``h2`` (hashes of the text) and ``grp`` for every row: one ``grp`` for each group of texts whose ``words``-word shingles are alike by ``similarity`` or more.
 
-    64 bits of shingles differ too much at a similarity of 0.8 for byte positions to find them, so texts meet where
+    Texts meet first in the byte-position index of their first fingerprints, its postings tallied (``index_pairs``): every pair within ``MAX_BITS`` bits, in lists
+    longer than ``list_cap`` with their hub only. 64 bits of shingles differ more at a similarity of 0.8 than byte positions can find, so further texts meet where
     one of ``BANDS`` keys of least shingle hashes is the same: a chance of 1 - (1 - 0.8 ** 5) ** 20 = 0.9996 at 0.8 for
     any kind of edit. What meets is sieved by ``number`` SimHashes of its shingles, 64 bits each, whose differing bits
     together tell the angle and so the similarity to about 0.03: pairs four deviations below or above the threshold are decided by
@@ -301,7 +311,8 @@ def near_rows(docs: DataFrame, words: int = 5, similarity: float = 0.8, number:
     lists = posts.groupBy(*on).agg(F.count("*").alias("n")).where("n > 1")
     met = stored(spread_join(posts, lists.withColumn("size", F.col("n")), on).withColumnRenamed("size", "n"), "met")
     short = met.where(f"n <= {list_cap}").groupBy(*on).agg(F.sort_array(F.collect_list("rep")).alias("l"))
-    pairs = short.selectExpr("inline(flatten(transform(l, (x, i) -> transform(slice(l, i + 2, size(l)), y -> struct(x as a, y as b)))))").distinct()
+    banded = short.selectExpr("inline(flatten(transform(l, (x, i) -> transform(slice(l, i + 2, size(l)), y -> struct(x as a, y as b)))))")
+    pairs = index_pairs(nodes, list_cap=list_cap).unionByName(banded).distinct()
     # the angle between shingle vectors of two texts of one length with that similarity, and how far signatures stray from it
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     most, stray = int(64 * number * share), 4 * math.sqrt(64 * number * share * (1 - share))

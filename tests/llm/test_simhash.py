@@ -223,3 +223,14 @@ def test_every_pair_that_meets_is_decided(spark, cap, monkeypatch):
     else:  # long lists: by signatures, and exactly with the list's hub
         least, most_of_all = groups(lambda d, _: d <= most)[0], groups(lambda d, true: d <= most or d <= most + stray and true)[0]
         assert all(got[i] == got[r] for i, r in least.items()) and all(most_of_all[i] == most_of_all[r] for i, r in got.items())
+
+
+def test_near_copies_meet_in_the_index_without_any_band(spark):
+    # no bands here: only the byte-position index and its tally bring the copies together
+    rng = random.Random(4)
+    texts = [[f"w{rng.randrange(5000)}" for _ in range(900)] for _ in range(6)]
+    rows = [(2 * i, " ".join(t)) for i, t in enumerate(texts)] + [(2 * i + 1, " ".join(t[:-1] + ["end"])) for i, t in enumerate(texts)]
+    close = [2 * i for i in range(6) if (fingerprints(rows[i][1], 5)[0] ^ fingerprints(rows[6 + i][1], 5)[0]).bit_count() <= 2]
+    nodes = spark.createDataFrame([(n, fingerprints(t, 5, simhash.NUMBER - 1)) for n, (_, t) in enumerate(rows)], "rep long, sig array<long>")
+    got = {(r["a"], r["b"]) for r in simhash.index_pairs(nodes).collect()}
+    assert len(close) > 2 and {(k // 2, 6 + k // 2) for k in close} <= got
