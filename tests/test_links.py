@@ -131,3 +131,22 @@ def test_pairs_of_hot_keys_are_not_shuffled(spark):
     later = [(s, t if s % 11 else "one hot title", b, g if s % 13 else ["t", "u"], p if s % 17 else "p") for s, t, b, g, p in rows if s % 19]
     new = spark.createDataFrame([(s, f"i{s}", t, b, g, p, "note", f"memory/{s // 2}.md") for s, t, b, g, p in later], atoms.schema)
     assert got(L.infer_changed(L.infer_pairs(atoms, 70), new, L.unlike(atoms, new), 70)) == linked(later)
+
+
+def test_project_pairs_are_small_in_files(spark, tmp_path):
+    n = 3000
+    atoms = spark.range(n).selectExpr("id * 7 as ingest_seq", "'p' as project", "'note' as atom_type", "concat('memory/', id) as source_path")
+    L.same_project(atoms, 1000).write.parquet(f"{tmp_path}/pairs")
+    got = spark.read.parquet(f"{tmp_path}/pairs")
+    assert got.count() == got.distinct().count() == n * (n - 1) // 2 and got.where("a >= b").count() == 0
+    # a stretch of the same others for one atom after another
+    assert sum(p.stat().st_size for p in tmp_path.glob("pairs/*.parquet")) < 0.4 * n * n / 2
+
+
+def test_runs_of_a_key_follow_each_other(spark):
+    rows = spark.range(1000).selectExpr("id as seq", "case when id % 3 = 0 then null when id % 7 = 0 then 'b' else 'hot' end as k", "id * 2 as more")
+    runs = L._runs(rows, "k", 50).orderBy("key", "run").collect()
+    for k, want in (("hot", [i for i in range(1000) if i % 3 and i % 7]), ("b", [i for i in range(1000) if i % 3 and i % 7 == 0])):
+        mine = [r for r in runs if r["key"] == k]
+        assert [x["seq"] for r in mine for x in r["rows"]] == want and all(r["n"] == len(r["rows"]) <= 50 for r in mine)
+    assert {r["key"] for r in runs} == {"hot", "b"}
