@@ -150,3 +150,29 @@ def test_runs_of_a_key_follow_each_other(spark):
         mine = [r for r in runs if r["key"] == k]
         assert [x["seq"] for r in mine for x in r["rows"]] == want and all(r["n"] == len(r["rows"]) <= 50 for r in mine)
     assert {r["key"] for r in runs} == {"hot", "b"}
+
+
+def test_titles_of_common_words_meet_few_bodies(spark, monkeypatch):
+    rng = random.Random(7)
+    words = [f"{x}{y}ing the" for x in ("mend", "read", "hold", "walk", "call", "talk") for y in ("", "er", "ish")]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    titles = [text(6)[: rng.randrange(37, 48)] for _ in range(200)]
+    rows = [(i, t, text(60) + (f" {titles[i - 1]}" if i % 10 == 1 else "")) for i, t in enumerate(titles)]
+    df = spark.createDataFrame(rows, "seq long, title string, body string")
+    tried, write = [], L.cut
+    monkeypatch.setattr(L, "cut", lambda df, name: (lambda out: (name == "title_candidates" and tried.append(out.count())) or out)(write(df, name)))
+    want = held(rows)
+    assert sorted(map(tuple, L.title_mentions(df, df).collect())) == want and len(want) >= 20
+    # bodies do not try titles of which they only hold a stretch that many have
+    assert len(tried) == 1 and tried[0] <= 20 * len(want)
+
+
+def test_titles_of_every_length_are_found(spark):
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choice("ab cé日") for _ in range(n))
+    bodies = [text(150) for _ in range(60)]
+    rows = [(n, bodies[n % 60][n : n + n], None) for n in range(1, 60)] + [(100 + i, "", x) for i, x in enumerate(bodies)]
+    df = spark.createDataFrame(rows, "seq long, title string, body string")
+    for least in (1, 4, 9, 12):
+        want = held(rows, least)
+        assert len(want) >= 45 and sorted(map(tuple, L.title_mentions(df, df, least).collect())) == want
