@@ -176,3 +176,12 @@ def test_titles_of_every_length_are_found(spark):
     for least in (1, 4, 9, 12):
         want = held(rows, least)
         assert len(want) >= 45 and sorted(map(tuple, L.title_mentions(df, df, least).collect())) == want
+
+
+def test_links_are_small_in_files(spark, tmp_path):
+    n = 2500
+    atoms = spark.range(n).selectExpr("id * 3 as ingest_seq", "left(sha2(string(id), 256), 16) as id", "'none' as title", "'x' as body", "array('t', concat('u', id % 2)) as tags", "if(id % 2 = 0, 'p', 'q') as project", "'note' as atom_type", "concat('memory/', id) as source_path")
+    L.infer_pairs(atoms.where("id is not null")).write.parquet(f"{tmp_path}/links")
+    got = spark.read.parquet(f"{tmp_path}/links")
+    assert got.count() == 2 * (n // 2) * (n // 2 - 1) // 2 and got.select("link_type", "confidence").distinct().collect() == [("related", 0.6)]
+    assert sum(p.stat().st_size for p in tmp_path.glob("links/*.parquet")) < 0.6 * got.count()
