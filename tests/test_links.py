@@ -178,6 +178,20 @@ def test_titles_of_every_length_are_found(spark):
         assert len(want) >= 45 and sorted(map(tuple, L.title_mentions(df, df, least).collect())) == want
 
 
+def test_links_of_a_state_brought_up_to_date(spark):
+    rng = random.Random(13)
+    atom = lambda i, v: (i, f"i{i}", f"the title of {rng.randrange(9)}", " ".join(f"the title of {rng.randrange(12)}" for _ in range(2)), [f"t{rng.randrange(5)}" for _ in range(3)], rng.choice(["p", "q", None]), "note", f"memory/{i // 2}.md")
+    was = {i: atom(i, 0) for i in range(80) if i % 7}
+    now = {i: was[i] if i in was and i % 5 else atom(i, 1) for i in range(80) if i % 11}
+    old, new = (spark.createDataFrame(list(x.values()), "ingest_seq long, id string, title string, body string, tags array<string>, project string, atom_type string, source_path string") for x in (was, now))
+    got = lambda df: sorted((r["source_id"], r["target_id"], r["link_type"], r["confidence"]) for r in df.collect())
+    want = linked([(r[0], *r[2:6]) for r in now.values()])
+    for run in (1000, 9):
+        assert got(L.infer_update(old, new, run)) == want
+        assert got(L.infer_pairs(new, run)) == want
+    assert got(L.infer_update(new, new)) == want and got(L.infer_update(old.limit(0), new)) == want
+
+
 def test_links_are_small_in_files(spark, tmp_path):
     n = 2500
     atoms = spark.range(n).selectExpr("id * 3 as ingest_seq", "left(sha2(string(id), 256), 16) as id", "'none' as title", "'x' as body", "array('t', concat('u', id % 2)) as tags", "if(id % 2 = 0, 'p', 'q') as project", "'note' as atom_type", "concat('memory/', id) as source_path")
